@@ -67,14 +67,14 @@ sizes AS (SELECT job_id, count(*) AS n FROM sets GROUP BY job_id),
 shared_items AS (
   SELECT x.job_id AS job_id, y.job_id AS other_id, count(*) AS i
   FROM sets x JOIN sets y ON x.skill_id = y.skill_id AND x.job_id <> y.job_id GROUP BY 1, 2),
-similar AS (
+similar_pairs AS (
   SELECT o.job_id, o.other_id, o.i, a.n + b.n - o.i AS u
   FROM shared_items o JOIN sizes a ON a.job_id = o.job_id JOIN sizes b ON b.job_id = o.other_id
   WHERE 20 * o.i >= 7 * (a.n + b.n - o.i)),
 neighbors AS (
   SELECT job_id, other_id, i, u, round_even(i::DOUBLE / u, 4) AS score,
          row_number() OVER (PARTITION BY job_id ORDER BY i::DOUBLE / u DESC, other_id) AS rank
-  FROM similar QUALIFY rank <= 8),
+  FROM similar_pairs QUALIFY rank <= 8),
 kept AS (
   SELECT DISTINCT least(job_id, other_id) AS job_a, greatest(job_id, other_id) AS job_b, score FROM neighbors)
 """

@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ranking import top_k
 
 # Threshold 0.35 = 7/20, neighbours kept per job, digits of a score.
@@ -41,92 +42,98 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both > 0, both / either).otherwise(F.lit(0.0))
 
 
-def skill_sets(job_skills: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(job_id, skill_id) rows -> members (job_id, toks) and distinct sets (toks)."""
-    members = (
+def skill_sets(job_skills: DataFrame) -> DataFrame:
+    """(job_id, skill_id) rows -> one row per job with its distinct skills, sorted."""
+    return (
         job_skills.select("job_id", "skill_id")
         .distinct()
         .groupBy("job_id")
         .agg(F.array_sort(F.collect_list("skill_id")).alias("toks"))
     )
-    return members, members.select("toks").distinct()
 
 
-def _ordered_sets(members: DataFrame, sets: DataFrame, k: int, hot_df: int) -> DataFrame:
-    """Set rows: sid, n, toks rarest first, hot suffix, the k + 1 smallest job ids."""
-    df = (
-        sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    )
-    ordered = (
-        sets.select("toks", F.explode("toks").alias("tok"))
-        .join(df, "tok")
-        .groupBy("toks")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ranked"))
-        .select(
-            "toks",
-            F.transform("ranked", lambda r: r["tok"]).alias("ordered"),
-            F.transform(F.filter("ranked", lambda r: r["df"] > hot_df), lambda r: r["tok"]).alias("hot"),
-        )
-    )
-    smallest = (
+def _distinct_sets(members: DataFrame, k: int) -> DataFrame:
+    """Equal skill sets folded: (toks, job_ids, sid), the k + 1 smallest job ids each."""
+    return (
         top_k(members, ["toks"], [F.col("job_id").asc()], k + 1)
         .groupBy("toks")
         .agg(F.array_sort(F.collect_list("job_id")).alias("job_ids"))
+        .withColumn("sid", F.col("job_ids")[0])
     )
-    return ordered.join(smallest, "toks").select(
-        F.col("job_ids")[0].alias("sid"),
-        F.size("ordered").alias("n"),
-        "toks",
-        F.col("ordered"),
-        "hot",
-        "job_ids",
+
+
+def _ranked_tokens(folded: DataFrame) -> DataFrame:
+    """Skills with a number that grows with how many sets hold them.
+
+    The sort is a range sort over all tasks; the numbers follow its partitions. They are
+    stored before use, because a recomputed partition must not number them differently.
+    """
+    df = folded.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    return cut_lineage(df.orderBy("df", "tok").withColumn("tid", F.monotonically_increasing_id()))
+
+
+def _encoded_sets(folded: DataFrame, tokens: DataFrame, hot_df: int) -> DataFrame:
+    """Set rows (sid, n, cold_n, ordered, job_ids): skill numbers rarest first, the hot ones
+    from position ``cold_n`` on."""
+    ordered = (
+        folded.select("sid", F.explode("toks").alias("tok"))
+        .join(tokens, "tok")
+        .groupBy("sid")
+        .agg(
+            F.array_sort(F.collect_list("tid")).alias("ordered"),
+            F.count_if(F.col("df") <= hot_df).cast("int").alias("cold_n"),
+        )
+    )
+    return ordered.join(folded.select("sid", "job_ids"), "sid").select(
+        "sid", F.size("ordered").alias("n"), "cold_n", "ordered", "job_ids"
     )
 
 
 def _min_overlap(na: Column, nb: Column) -> Column:
     """Smallest overlap that reaches the threshold: ceil(7 (na + nb) / 27)."""
-    return F.expr("0") + F.floor(((na + nb) * NUM + (NUM + DEN - 1)) / F.lit(NUM + DEN)).cast("int")
+    return F.ceil((na + nb) * NUM / F.lit(NUM + DEN)).cast("int")
 
 
-def _cold_pairs(sets: DataFrame, max_hot: int) -> DataFrame:
-    """Set pairs whose rarest common skill is not hot (or that are too hot to enumerate)."""
-    is_large = F.size("hot") > max_hot
-    prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1
-    indexed = sets.select(
-        "sid", "n", F.col("ordered"), is_large.alias("large"),
-        (F.col("n") - F.size("hot")).alias("cold_n"),
-        F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("pos", "tok"),
-    )
-    cold = indexed.where(F.col("pos") < F.col("cold_n"))
-    hot = indexed.where(F.col("pos") >= F.col("cold_n"))
-    found = _join_index(cold, cold, F.col("a.sid") < F.col("b.sid"))
-    # A hot token is indexed here only for pairs with a set too hot to list subsets of.
-    large = hot.where("large")
-    with_large = _join_index(large, large, F.col("a.sid") < F.col("b.sid"))
-    large_small = _join_index(large, hot.where(~F.col("large")), F.lit(True))
-    return reduce(DataFrame.unionByName, [found, with_large, large_small])
+def _hot_n() -> Column:
+    return F.col("n") - F.col("cold_n")
 
 
-def _join_index(left: DataFrame, right: DataFrame, once: Column) -> DataFrame:
-    a, b = left.alias("a"), right.alias("b")
+def _shared_token_pairs(sets: DataFrame, max_hot: int) -> DataFrame:
+    """Set pairs (a, b, i, u), each once, found at their rarest common skill: those where it
+    is not hot, and those where one set is too hot to list its subsets."""
+    prefix = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1
+    index = sets.select(
+        "sid", "n", "ordered", (_hot_n() > max_hot).alias("large"), "cold_n",
+        F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("pos", "tok"),
+    ).withColumn("hot", F.col("pos") >= F.col("cold_n"))
+    a, b = index.alias("a"), index.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
-    need = _min_overlap(na, nb)
-    candidate = (
-        (F.col("a.tok") == F.col("b.tok"))
-        & once
+    worth_it = (
+        (F.col("a.sid") < F.col("b.sid"))
+        & (~F.col("a.hot") | F.col("a.large") | F.col("b.large"))
         & (DEN * na >= NUM * nb)
         & (DEN * nb >= NUM * na)
-        & (F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= need)
+        & (F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= _min_overlap(na, nb))
     )
-    common = F.array_intersect(F.col("a.ordered"), F.col("b.ordered"))
-    pairs = a.join(b, candidate).select(
-        F.col("a.sid").alias("a"), F.col("b.sid").alias("b"),
-        F.col("a.tok").alias("tok"), common.alias("common"), (na + nb).alias("total"),
+    return _verified(a.join(b, (F.col("a.tok") == F.col("b.tok")) & worth_it), worth_it)
+
+
+def _verified(candidates: DataFrame, worth_it: Column) -> DataFrame:
+    # ``worth_it`` again: it keeps the intersection behind the cheap tests wherever the
+    # optimizer moves it.
+    common = F.when(worth_it, F.array_intersect(F.col("a.ordered"), F.col("b.ordered")))
+    total = F.col("a.n") + F.col("b.n")
+    return (
+        candidates.select(
+            F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.col("a.tok").alias("tok"),
+            common.alias("common"), total.alias("total"),
+        )
+        .where(
+            ((NUM + DEN) * F.size("common") >= NUM * F.col("total"))
+            & (F.get("common", 0) == F.col("tok"))
+        )
+        .select("a", "b", F.size("common").alias("i"), (F.col("total") - F.size("common")).alias("u"))
     )
-    # Found once, at the rarest common skill.
-    return pairs.where(F.col("common")[0] == F.col("tok")).select(
-        "a", "b", F.size("common").alias("i"), (F.col("total") - F.size("common")).alias("u")
-    ).where(DEN * F.col("i") >= NUM * F.col("u"))
 
 
 def _subsets(hot: Column, smallest: Column) -> Column:
@@ -141,10 +148,11 @@ def _subsets(hot: Column, smallest: Column) -> Column:
 
 def _hot_neighbors(sets: DataFrame, k: int, max_hot: int) -> DataFrame:
     """(sid, job_id, i, u) through shared subsets of hot skills."""
-    small = sets.where((F.size("hot") > 0) & (F.size("hot") <= max_hot))
-    least = F.greatest(F.lit(1), F.ceil(F.col("n") * NUM / DEN).cast("int"))
+    small = sets.where((_hot_n() > 0) & (_hot_n() <= max_hot))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int"))
+    hot = F.slice("ordered", F.col("cold_n") + 1, _hot_n())
     listed = small.select(
-        "sid", "n", F.col("ordered"), "job_ids", F.explode(_subsets(F.col("hot"), least)).alias("subset")
+        "sid", "n", "ordered", "job_ids", F.explode(_subsets(hot, least)).alias("subset")
     )
     offered = top_k(
         listed.select(
@@ -173,12 +181,17 @@ def similar_top_k(
 ) -> DataFrame:
     """Directed neighbours (job_id, other_id, rank, i, u, score): at most ``k`` per job,
     most similar first, equal similarity by id."""
-    members, distinct_sets = skill_sets(job_skills)
-    sets = _ordered_sets(members, distinct_sets, k, hot_df)
-    pairs = _cold_pairs(sets, max_hot)
-    both_ways = pairs.unionByName(
-        pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "i", "u")
+    # Each of these is read by several of the steps below, so it is computed once.
+    members = cut_lineage(skill_sets(job_skills))
+    folded = _distinct_sets(members, k)
+    sets = cut_lineage(_encoded_sets(folded, _ranked_tokens(folded), hot_df))
+    pair = F.explode(
+        F.array(
+            F.struct(F.col("a"), F.col("b")),
+            F.struct(F.col("b").alias("a"), F.col("a").alias("b")),
+        )
     )
+    both_ways = _shared_token_pairs(sets, max_hot).select(pair.alias("p"), "i", "u").select("p.*", "i", "u")
     ids_of = sets.select(F.col("sid").alias("b"), "job_ids")
     across = both_ways.join(ids_of, "b").select(
         F.col("a").alias("sid"), F.explode("job_ids").alias("job_id"), "i", "u"
@@ -197,7 +210,7 @@ def similar_top_k(
             )
         ).alias("best")
     )
-    per_set = sets.select("sid", "toks").join(offered, "sid").select("toks", "best")
+    per_set = folded.select("sid", "toks").join(offered, "sid").select("toks", "best")
     own = F.filter("best", lambda o: o["other_id"] != F.col("job_id"))
     return (
         members.join(per_set, "toks")
