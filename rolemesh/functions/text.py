@@ -44,6 +44,11 @@ ASHBY_EMPLOYMENT = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def blank_to_null(c: Column) -> Column:
     """Empty text counts as missing."""
     return F.nullif(c, F.lit(""))
@@ -264,7 +269,8 @@ def merge_sections(sections: Column, preferred: list[str] = DESCRIPTION_SECTIONS
     """Wanted sections in the wanted order; of a repeated heading the last one counts."""
     blocks = []
     for name in preferred:
-        found = F.filter(sections, lambda s, name=name: s["heading"] == name)
+        wanted = F.lit(name)
+        found = F.filter(sections, lambda s: s["heading"] == wanted)  # noqa: B023 - used at once
         blocks.append(F.concat(F.lit(name + "\n"), F.try_element_at(found, F.lit(-1))["content"]))
     return blank_to_null(F.concat_ws("\n\n", *blocks))
 

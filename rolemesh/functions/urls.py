@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null
+from .text import blank_to_null, let
 
 # Query keys that never identify a posting.
 TRACKING_KEYS = [
@@ -141,45 +141,51 @@ def strip_tracking_params(url: Column) -> Column:
     return _with_query(F.regexp_extract(url, r"^([^?#]*)", 1), _query_text(kept))
 
 
-def _query_value(url: Column, key: str) -> Column:
+def _value_of(pairs: Column, key: str) -> Column:
     """First non-empty value of one exact query key."""
-    hits = F.filter(query_pairs(url), lambda p: (p["k"] == key) & (p["v"] != ""))
-    return F.get(hits, 0)["v"]
+    return F.get(F.filter(pairs, lambda p: (p["k"] == key) & (p["v"] != "")), 0)["v"]
+
+
+def _query_value(url: Column, *keys: str) -> Column:
+    return let(query_pairs(url), lambda pairs: F.coalesce(*[_value_of(pairs, k) for k in keys]))
 
 
 def canonical_detail_url(url: Column, site: str) -> Column:
     """One spelling per posting page of a site."""
-    clean = strip_tracking_params(url)
-    scheme = F.coalesce(blank_to_null(F.lower(_part(clean, 1))), F.lit("https"))
-    host = F.lit(PROFILES[site].host)
+    build = _path_detail if site == BYTEDANCE.key else _query_detail
+    return let(strip_tracking_params(url), lambda clean: build(clean, PROFILES[site].host))
+
+
+def _scheme(url: Column) -> Column:
+    return F.coalesce(blank_to_null(F.lower(_part(url, 1))), F.lit("https"))
+
+
+def _path_detail(clean: Column, host: str) -> Column:
+    """The id is part of the path; the rest of the query stays."""
     path = _part(clean, 3)
-    if site == BYTEDANCE.key:
-        before = F.regexp_extract(path, r"/campus/position/(\d+)/detail", 1)
-        after = F.regexp_extract(path, r"/campus/position/detail/(\d+)", 1)
-        short = (
-            F.when(before != "", F.concat(F.lit("/campus/position/"), before, F.lit("/detail")))
-            .when(after != "", F.concat(F.lit("/campus/position/detail/"), after))
-            .otherwise(path)
-        )
-        query = F.regexp_extract(clean, r"\?(.*)$", 1)
-        return _with_query(F.concat(scheme, F.lit("://"), host, short), query)
-    base = F.concat(scheme, F.lit("://"), host, F.lit("/post_detail.html"))
-    posts = F.filter(query_pairs(clean), lambda p: (F.lower(p["k"]) == "postid") & (p["v"] != ""))
-    others = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    _query_value(clean, key).isNotNull(),
-                    F.concat(F.lit(key + "="), _encode(_query_value(clean, key))),
-                )
-                for key in ("id", "pid", "tid")
-            ]
-        )
+    before = F.regexp_extract(path, r"/campus/position/(\d+)/detail", 1)
+    after = F.regexp_extract(path, r"/campus/position/detail/(\d+)", 1)
+    short = (
+        F.when(before != "", F.concat(F.lit("/campus/position/"), before, F.lit("/detail")))
+        .when(after != "", F.concat(F.lit("/campus/position/detail/"), after))
+        .otherwise(path)
     )
-    query = F.when(
-        F.size(posts) > 0, F.concat(F.lit("postid="), _encode(F.get(posts, 0)["v"]))
-    ).otherwise(F.array_join(others, "&"))
-    return _with_query(base, query)
+    query = F.regexp_extract(clean, r"\?(.*)$", 1)
+    return _with_query(F.concat(_scheme(clean), F.lit("://" + host), short), query)
+
+
+def _query_detail(clean: Column, host: str) -> Column:
+    """The id is a query key: a post id in any case, else the id, pid and tid given."""
+
+    def query(pairs: Column) -> Column:
+        posts = F.filter(pairs, lambda p: (F.lower(p["k"]) == "postid") & (p["v"] != ""))
+        others = [F.concat(F.lit(k + "="), _encode(_value_of(pairs, k))) for k in ("id", "pid", "tid")]
+        return F.coalesce(
+            F.concat(F.lit("postid="), _encode(F.get(posts, 0)["v"])), F.concat_ws("&", *others)
+        )
+
+    base = F.concat(_scheme(clean), F.lit("://" + host + "/post_detail.html"))
+    return _with_query(base, let(query_pairs(clean), query))
 
 
 def is_detail_url(url: Column, site: str) -> Column:
@@ -187,7 +193,7 @@ def is_detail_url(url: Column, site: str) -> Column:
     on_site = host.isin(PROFILES[site].host, "www." + PROFILES[site].host)
     if site == BYTEDANCE.key:
         return on_site & path.rlike(r"/campus/position/(\d+/detail|detail/\d+)")
-    has_id = F.coalesce(*[_query_value(url, k) for k in ("id", "postid", "postId")]).isNotNull()
+    has_id = _query_value(url, "id", "postid", "postId").isNotNull()
     return on_site & path.isin("/post_detail.html", "/m/post_detail.html") & has_id
 
 
@@ -200,7 +206,7 @@ def url_job_id(url: Column) -> Column:
     )
     from_query = F.when(
         F.endswith(host, F.lit("qq.com")),
-        F.coalesce(*[_query_value(url, k) for k in ("postid", "postId", "id")]),
+        _query_value(url, "postid", "postId", "id"),
     )
     return F.coalesce(from_path, from_query)
 

@@ -147,8 +147,7 @@ def _match(entry: Column, sentences: Column, description: Column, tokens: Column
             ).cast(SKILL_MATCH),
         )
 
-    # A one-element array binds the evidence once for both its uses.
-    return F.get(F.transform(F.array(evidence), classify), 0)
+    return text.let(evidence, classify)
 
 
 def _candidates_inline(df: DataFrame, entries: list[tuple]) -> DataFrame:
@@ -308,7 +307,7 @@ def _first_of_each_kind(matches: Column) -> Column:
         kinds = F.transform(all_matches, kind)
         return F.filter(all_matches, lambda m, i: F.array_position(kinds, kind(m)) == i + 1)
 
-    return F.get(F.transform(F.array(matches), dedupe), 0)
+    return text.let(matches, dedupe)
 
 
 def skill_matches(results: DataFrame) -> DataFrame:
