@@ -82,7 +82,7 @@ def cleaned_whitespace(spark, sf):
 
 
 def _rules(expr: str, rules) -> str:
-    whens = " ".join(f"WHEN {has_word(expr, p.replace(chr(92) + 'b', ''))} THEN '{label}'" for label, p in rules)
+    whens = " ".join(f"WHEN {has_word(expr, '|'.join(cue.words))} THEN '{label}'" for label, cue in rules)
     return f"CASE {whens} END"
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,17 +15,44 @@ from pyspark.sql import functions as F
 # Unicode white space plus the four ASCII separators that Java's \s leaves out.
 WS = r"[\s\x1c-\x1f]"
 
-# Patterns and their order decide the result.
+_WS_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+@dataclass(frozen=True)
+class Cue:
+    """What to look for in text, ignoring case.
+
+    ``words`` are literal terms between word boundaries, ``shapes`` are (literal part,
+    pattern) pairs between word boundaries, ``free`` terms match anywhere. A pattern only
+    runs where a literal part occurs, which a plain substring search finds out first.
+    """
+
+    words: Sequence[str] = ()
+    shapes: Sequence[tuple[str, str]] = ()
+    free: Sequence[str] = ()
+
+    def found(self, lowered: Column) -> Column:
+        """Whether lower-cased text holds any of the terms."""
+        tests = [F.contains(lowered, F.lit(t.lower())) for t in self.free]
+        needles = [w.lower() for w in self.words] + [needle.lower() for needle, _ in self.shapes]
+        if needles:
+            some = reduce(or_, [F.contains(lowered, F.lit(n)) for n in needles])
+            patterns = [r"\Q" + w + r"\E" for w in self.words] + [p for _, p in self.shapes]
+            tests.append(some & lowered.rlike(r"(?iU)\b(?:" + "|".join(patterns) + r")\b"))
+        return reduce(or_, tests, F.lit(False))
+
+
+# Terms and their order decide the result.
 REMOTE_RULES = [
-    ("remote", r"\bremote\b"),
-    ("hybrid", r"\bhybrid\b"),
-    ("onsite", r"\b(on[- ]?site|onsite)\b"),
+    ("remote", Cue(["remote"])),
+    ("hybrid", Cue(["hybrid"])),
+    ("onsite", Cue(shapes=[("site", "on[- ]?site")])),
 ]
 EMPLOYMENT_RULES = [
-    ("full-time", r"\bfull[- ]?time\b"),
-    ("part-time", r"\bpart[- ]?time\b"),
-    ("contract", r"\bcontract(or)?\b"),
-    ("internship", r"\bintern(ship)?\b"),
+    ("full-time", Cue(shapes=[("time", "full[- ]?time")])),
+    ("part-time", Cue(shapes=[("time", "part[- ]?time")])),
+    ("contract", Cue(["contract", "contractor"])),
+    ("internship", Cue(["intern", "internship"])),
 ]
 LEVER_EMPLOYMENT = {
     "full time": "full-time",
@@ -61,7 +91,7 @@ def first_filled(*cols: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -142,13 +172,16 @@ def normalize_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def first_rule(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Label of the first pattern found, in rule order; null when none is."""
-    result = None
-    for label, pattern in rules:
-        hit = text.rlike("(?iU)" + pattern)
-        result = F.when(hit, label) if result is None else result.when(hit, label)
-    return result
+def first_rule(c: Column, rules: Sequence[tuple[str, Cue]]) -> Column:
+    """Label of the first cue found, in rule order; null when none is."""
+
+    def choose(lowered: Column) -> Column:
+        result = F.lit(None).cast("string")
+        for label, cue in reversed(rules):
+            result = F.when(cue.found(lowered), label).otherwise(result)
+        return result
+
+    return let(F.lower(c), choose)
 
 
 def infer_remote_mode(location: Column, description: Column, rules=REMOTE_RULES) -> Column:

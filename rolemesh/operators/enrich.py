@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..schemas import ENRICHMENT, SKILL_MATCH
+from ..session import cut_lineage
 from .dedupe import upsert_job_skill_edges, upsert_skills
 from .ranking import first_per_key
 from .vocabulary import BULLET_MARKS, CJK, SENTENCE_END, Rules, Skill, taxonomy_hash
@@ -93,11 +94,12 @@ def contains_term(c: Column, term: str) -> Column:
 
 
 def sentence_tokens(sentences: Column) -> Column:
-    """array of (text, lower, tokens), the text stripped."""
+    """array of (sentence, text, lower, tokens); ``text`` is the stripped sentence."""
 
     def describe(s: Column) -> Column:
         stripped, lowered = text.strip(s), F.lower(s)
         return F.struct(
+            s.alias("sentence"),
             stripped.alias("text"),
             lowered.alias("lower"),
             F.regexp_extract_all(lowered, F.lit(r"(?U)\w+"), F.lit(0)).alias("tokens"),
@@ -108,46 +110,48 @@ def sentence_tokens(sentences: Column) -> Column:
 
 def _match(entry: Column, sentences: Column, description: Column, tokens: Column, rules: Rules) -> Column:
     """Evidence, edge type and confidence of one candidate skill; no evidence -> null."""
-    evidence = F.transform(
-        F.filter(
-            sentences,
-            lambda s: F.arrays_overlap(s["tokens"], entry["words"])
-            | F.coalesce(s["lower"].rlike(entry["phrases"]), F.lit(False))
-            | F.exists(entry["cjk"], lambda t: F.contains(s["lower"], t)),
-        ),
-        lambda s: s["text"],
+    evidence = F.filter(
+        sentences,
+        lambda s: F.arrays_overlap(s["tokens"], entry["words"])
+        | F.coalesce(F.rlike(s["lower"], entry["phrases"]), F.lit(False))
+        | F.exists(entry["cjk"], lambda t: F.contains(s["lower"], t)),
     )
     label = F.lower(entry["normalized_label"])
     label_in_text = (
-        F.when(entry["label_pattern"].isNotNull(), description.rlike(entry["label_pattern"]))
+        F.when(entry["label_pattern"].isNotNull(), F.rlike(description, entry["label_pattern"]))
         .when(F.array_contains(entry["cjk"], label), F.contains(F.lower(description), label))
         .otherwise(F.array_contains(tokens, label))
     )
 
     def classify(found: Column) -> Column:
-        joined = F.array_join(found, " ")
-        preferred = joined.rlike("(?iU)" + rules.sections["preferred"])
-        confirmed = joined.rlike("(?iU)" + rules.sections["required"]) | label_in_text
-        return F.when(
-            F.size(found) > 0,
-            F.struct(
+        # Sentences end with their terminator, so no cue can span two of them.
+        preferred = F.exists(found, lambda s: rules.sections["preferred"].found(s["lower"]))
+        confirmed = label_in_text | F.exists(
+            found, lambda s: rules.sections["required"].found(s["lower"])
+        )
+        kind = (
+            F.when(preferred, F.struct(F.lit(PREFERS), F.lit(PREFERRED_WEIGHT), F.lit(PREFERRED_CONFIDENCE)))
+            .when(confirmed, F.struct(F.lit(REQUIRES), F.lit(REQUIRED_WEIGHT), F.lit(CONFIRMED_CONFIDENCE)))
+            .otherwise(F.struct(F.lit(REQUIRES), F.lit(REQUIRED_WEIGHT), F.lit(PLAIN_CONFIDENCE)))
+        ).cast("struct<edge_type:string,weight:double,confidence:double>")
+        return text.let(
+            kind,
+            lambda k: F.struct(
                 entry["skill_id"],
                 entry["label"],
                 entry["normalized_label"],
                 entry["aliases"],
                 entry["parent_id"],
                 entry["category"],
-                F.when(preferred, PREFERS).otherwise(REQUIRES),
-                F.when(preferred, PREFERRED_WEIGHT).otherwise(REQUIRED_WEIGHT),
-                F.when(preferred, PREFERRED_CONFIDENCE)
-                .when(confirmed, CONFIRMED_CONFIDENCE)
-                .otherwise(PLAIN_CONFIDENCE),
-                F.slice(found, 1, EVIDENCE_PER_SKILL),
+                k["edge_type"],
+                k["weight"],
+                k["confidence"],
+                F.slice(F.transform(found, lambda s: s["text"]), 1, EVIDENCE_PER_SKILL),
                 F.lit(PROVENANCE),
             ).cast(SKILL_MATCH),
         )
 
-    return text.let(evidence, classify)
+    return text.let(evidence, lambda found: F.when(F.size(found) > 0, classify(found)))
 
 
 def _candidates_inline(df: DataFrame, entries: list[tuple]) -> DataFrame:
@@ -217,33 +221,40 @@ def _candidates_joined(df: DataFrame, entries: list[tuple], key: str) -> DataFra
     return joined.withColumn("_entries", merged).drop("_found")
 
 
-def _bullets(sentences: Column, pattern: str) -> Column:
+def _bullets(described: Column, cue: text.Cue) -> Column:
     """Four sentences after the section cue, or the first three when there is no cue."""
-    anchor = F.array_position(
-        F.transform(sentences, lambda s: s.rlike("(?iU)" + pattern)), F.lit(True)
-    ).cast("int")
-    window = F.when(anchor > 0, F.slice(sentences, anchor + 1, F.lit(4))).otherwise(
-        F.slice(sentences, 1, 3)
+    marks = F.transform(described, lambda s: cue.found(s["lower"]))
+    window = text.let(
+        F.array_position(marks, F.lit(True)).cast("int"),
+        lambda at: F.when(at > 0, F.slice(described, at + 1, F.lit(4))).otherwise(
+            F.slice(described, 1, 3)
+        ),
     )
-    kept = F.filter(window, lambda s: text.strip(s) != "")
-    return F.transform(kept, lambda s: F.btrim(s, F.lit(BULLET_MARKS)))
+    kept = F.filter(window, lambda s: s["text"] != "")
+    return F.transform(kept, lambda s: F.btrim(s["sentence"], F.lit(BULLET_MARKS)))
 
 
-def describe_text(jobs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Attributes read by ordered patterns: family, level, salary, summary, section bullets."""
-    corpus = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description_text", F.lit("")))
-    sentences = F.col("_sentences")
-    spoken = F.filter(F.transform(sentences, text.strip), lambda s: s != "")
-    return (
-        jobs.withColumn("role_family", text.first_rule(corpus, rules.role_families))
-        .withColumn("seniority", text.first_rule(corpus, rules.seniority))
-        .withColumn(
-            "salary_text",
-            text.blank_to_null(F.regexp_extract("description_text", "(?iU)" + rules.salary, 0)),
-        )
-        .withColumn("summary", F.array_join(F.slice(spoken, 1, 2), " "))
-        .withColumn("responsibilities", _bullets(sentences, rules.sections["responsibilities"]))
-        .withColumn("qualifications", _bullets(sentences, rules.sections["qualifications"]))
+def describe_text(described: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Attributes read by ordered cues: family, level, salary, summary, section bullets.
+
+    Needs ``title``, ``description_text`` and ``_described`` (:func:`sentence_tokens`).
+    """
+    corpus = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("description_text"))
+    sentences = F.col("_described")
+    salary = F.when(
+        F.col("description_text").rlike(r"\p{Nd}{2}"),
+        text.blank_to_null(F.regexp_extract("description_text", "(?iU)" + rules.salary, 0)),
+    )
+    spoken = F.filter(F.transform(sentences, lambda s: s["text"]), lambda s: s != "")
+    return described.withColumns(
+        {
+            "role_family": text.first_rule(corpus, rules.role_families),
+            "seniority": text.first_rule(corpus, rules.seniority),
+            "salary_text": salary,
+            "summary": F.array_join(F.slice(spoken, 1, 2), " "),
+            "responsibilities": _bullets(sentences, rules.sections["responsibilities"]),
+            "qualifications": _bullets(sentences, rules.sections["qualifications"]),
+        }
     )
 
 
@@ -258,8 +269,10 @@ def enrich(
     entries = [_entry(i, s) for i, s in enumerate(taxonomy)]
     base = jobs.select(
         key, "title", F.coalesce("description_text", F.lit("")).alias("description_text"), "remote_mode"
-    ).withColumn("_sentences", split_sentences(F.col("description_text")))
-    tokenised = base.withColumn("_described", sentence_tokens(F.col("_sentences"))).withColumn(
+    )
+    tokenised = base.withColumn(
+        "_described", sentence_tokens(split_sentences(F.col("description_text")))
+    ).withColumn(
         "_tokens", F.array_distinct(F.flatten(F.col("_described.tokens")))
     )
     if len(entries) <= max_inline:
@@ -312,7 +325,8 @@ def _first_of_each_kind(matches: Column) -> Column:
 
 def skill_matches(results: DataFrame) -> DataFrame:
     """One row per (job, skill match), with its position; unusable matches are left out."""
-    exploded = results.select("job_id", F.posexplode("skills").alias("pos", "skill"))
+    # The outer form keeps Spark from testing the array first, which would compute it twice.
+    exploded = results.select("job_id", F.posexplode_outer("skills").alias("pos", "skill"))
     return exploded.select("job_id", "pos", "skill.*").where(
         (F.coalesce("skill_id", F.lit("")) != "") & (F.coalesce("label", F.lit("")) != "")
     )
@@ -366,6 +380,8 @@ def cached_enrichment(
     computed = provider.enrich(to_compute.drop("cache_key"), taxonomy).join(
         to_compute.select(F.col("id").alias("job_id"), "cache_key", "description_hash"), "job_id"
     )
+    # Needed for the cache, for copies and for jobs without a key, so it is stored once.
+    computed = cut_lineage(computed)
     result_columns = ENRICHMENT.fieldNames()
     fresh = computed.where(F.col("cache_key").isNotNull()).select(
         "cache_key",

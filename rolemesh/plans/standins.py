@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import Cue
 from ..operators import dedupe, graph, similarity
 from ..operators.browse import GraphTables
-from ..operators.vocabulary import Rules, Skill, cue
+from ..operators.vocabulary import Rules, Skill
 
 FETCHED_AT = "2024-01-01T00:00:00+00:00"
 
@@ -31,20 +32,20 @@ TAXONOMY = [
 ]
 RULES = Rules(
     sections={
-        "preferred": cue(["than"]),
-        "required": cue(["from"]),
-        "responsibilities": cue(["from"]),
-        "qualifications": cue(["with"]),
+        "preferred": Cue(["than"]),
+        "required": Cue(["from"]),
+        "responsibilities": Cue(["from"]),
+        "qualifications": Cue(["with"]),
     },
     role_families=[
-        ("legal", cue(["license"])),
-        ("de", cue(["der"])),
-        ("fr", cue(["pour"])),
-        ("es", cue(["los"])),
+        ("legal", Cue(["license"])),
+        ("de", Cue(["der"])),
+        ("fr", Cue(["pour"])),
+        ("es", Cue(["los"])),
     ],
-    seniority=[("senior", cue(["with"])), ("junior", cue(["que"]))],
-    remote=[("remote", r"\blicense\b"), ("hybrid", r"\bthing\b"), ("onsite", r"\bfrom\b")],
-    employment=[("contract", r"\bthen\b"), ("internship", r"\bthing\b")],
+    seniority=[("senior", Cue(["with"])), ("junior", Cue(["que"]))],
+    remote=[("remote", Cue(["license"])), ("hybrid", Cue(["thing"])), ("onsite", Cue(["from"]))],
+    employment=[("contract", Cue(["then"])), ("internship", Cue(["thing"]))],
 )
 
 
@@ -65,7 +66,7 @@ def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("description_text"),
         none.alias("description_html"),
         none.alias("json_payload"),
-        none.cast("map<string,string>").alias("metadata"),
+        F.lit(None).cast("map<string,string>").alias("metadata"),
         F.lit(FETCHED_AT).alias("fetched_at"),
     )
 
