@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from collections.abc import Sequence
@@ -100,8 +101,9 @@ def collapse(c: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _ascii_table() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility decomposition holds ASCII, split by output length."""
+def _ascii_table() -> tuple[str, str, str, str]:
+    """Characters whose compatibility decomposition holds ASCII: those that become one
+    character (as two aligned strings), and the others (as a character class and JSON)."""
     singles_from, singles_to, longer = [], [], {}
     for point in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= point <= 0xDFFF:
@@ -113,16 +115,19 @@ def _ascii_table() -> tuple[str, str, dict[str, str]]:
             singles_to.append(folded)
         elif folded:
             longer[char] = folded
-    return "".join(singles_from), "".join(singles_to), longer
+    points = [ord(c) for c in longer]
+    starts = [p for p in points if p - 1 not in set(points)]
+    ends = [p for p in points if p + 1 not in set(points)]
+    ranges = "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in zip(starts, ends))
+    return "".join(singles_from), "".join(singles_to), f"[{ranges}]", json.dumps(longer)
 
 
 def ascii_fold(c: Column) -> Column:
     """Decompose accents, ligatures and wide forms, then drop what is not ASCII."""
-    singles_from, singles_to, longer = _ascii_table()
-    char_class = "[" + "".join(longer) + "]"
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    singles_from, singles_to, has_longer, longer = _ascii_table()
+    table = F.from_json(F.lit(longer), "map<string,string>")
     expanded = F.when(
-        c.rlike(char_class),
+        c.rlike(has_longer),
         F.array_join(
             F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
         ),
