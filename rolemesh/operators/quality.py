@@ -38,66 +38,102 @@ def _kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def _kind_name(v: Column) -> Column:
-    kind = _kind(v)
-    named = F.lit("float")
-    for name, label in _NAMES.items():
-        named = F.when(kind == name, label).otherwise(named)
-    return named
+def _kind_name(kind: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, kind), F.lit("float"))
+
+
+def _problem(path: Column, message: Column) -> Column:
+    return F.struct(path.alias("path"), message.alias("message"))
+
+
+def _type_names(contract: dict) -> list[str]:
+    expected = contract.get("type", [])
+    return expected if isinstance(expected, list) else [expected]
+
+
+def _type_problem(kind: Column, contract: dict, path: Column) -> Column:
+    """One (path, message) when a value of this kind is not allowed, else null."""
+    names = _type_names(contract)
+    accepted = [k for n in names for k in _ACCEPTS[n]]
+    if not names:
+        return F.lit(None).cast("struct<path:string,message:string>")
+    message = F.concat(F.lit("expected " + " | ".join(names) + ", got "), _kind_name(kind))
+    return F.when(~kind.isin(accepted), _problem(path, message))
+
+
+def _is_leaf(contract: dict) -> bool:
+    names = _type_names(contract)
+    has_fields = "object" in names and (
+        contract.get("required") or contract.get("properties")
+        or contract.get("additionalProperties", True) is not True
+    )
+    return not has_fields and not ("array" in names and isinstance(contract.get("items"), dict))
 
 
 def _violations(v: Column, contract: dict, path: Column) -> Column:
     """array of (path, message) for one variant value against one contract."""
-    nothing = F.array().cast(_NONE)
-    expected = contract.get("type")
-    if expected is None:
-        return nothing
-    names = expected if isinstance(expected, list) else [expected]
-    accepted = [k for n in names for k in _ACCEPTS[n]]
-    wrong = F.array(
-        F.struct(
-            path.alias("path"),
-            F.concat(F.lit("expected " + " | ".join(names) + ", got "), _kind_name(v)).alias("message"),
-        )
-    ).cast(_NONE)
-    inner = []
-    if "object" in names:
-        inner.append(F.when(_kind(v) == "OBJECT", _object_violations(v, contract, path)).otherwise(nothing))
-    if "array" in names and isinstance(contract.get("items"), dict):
-        inner.append(F.when(_kind(v) == "ARRAY", _array_violations(v, contract["items"], path)).otherwise(nothing))
-    deeper = F.concat(*inner) if inner else nothing
-    return F.when(_kind(v).isin(accepted), deeper).otherwise(wrong)
+
+    def by_kind(kind: Column) -> Column:
+        own = F.array_compact(F.array(_type_problem(kind, contract, path)))
+        if _is_leaf(contract):
+            return own
+        names = _type_names(contract)
+        out = own
+        if "array" in names and isinstance(contract.get("items"), dict):
+            out = F.when(kind == "ARRAY", _array_violations(v, contract["items"], path)).otherwise(out)
+        if "object" in names:
+            out = F.when(kind == "OBJECT", _object_violations(v, contract, path)).otherwise(out)
+        return out
+
+    return text.let(_kind(v), by_kind)
 
 
 def _object_violations(v: Column, contract: dict, path: Column) -> Column:
-    nothing = F.array().cast(_NONE)
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    return text.let(members, lambda m: _member_violations(m, contract, path))
+
+
+def _member_violations(members: Column, contract: dict, path: Column) -> Column:
     properties = contract.get("properties", {})
     additional = contract.get("additionalProperties", True)
-    members = F.try_variant_get(v, "$", "map<string,variant>")
-    keys = F.map_keys(members)
-    parts = []
-    for key in contract.get("required", []):
-        missing = F.array(
-            F.struct(F.concat(path, F.lit("." + key)).alias("path"), F.lit("is required").alias("message"))
-        ).cast(_NONE)
-        parts.append(F.when(~F.array_contains(keys, key), missing).otherwise(nothing))
+
+    def under(key: str) -> Column:
+        return F.concat(path, F.lit("." + key))
+
+    single = [
+        F.when(~F.map_contains_key(members, key), _problem(under(key), F.lit("is required")))
+        for key in contract.get("required", [])
+    ]
+    nested = []
     for key, sub in properties.items():
-        member = F.try_variant_get(v, "$." + key, "variant")
-        checked = _violations(member, sub, F.concat(path, F.lit("." + key)))
-        parts.append(F.when(F.array_contains(keys, key), checked).otherwise(nothing))
+        member = F.try_element_at(members, F.lit(key))
+        if _is_leaf(sub):
+            # Absent members have no kind, so they break no type rule.
+            single.append(_leaf(member, sub, under(key)))
+        else:
+            found = _violations(member, sub, under(key))
+            nested.append(F.when(F.map_contains_key(members, key), found).otherwise(_nothing()))
     if additional is not True and additional is not None:
         extra = F.filter(F.map_entries(members), lambda e: ~e["key"].isin(list(properties)))
 
         def judge(e: Column) -> Column:
             where = F.concat(path, F.lit("."), e["key"])
             if additional is False:
-                return F.array(
-                    F.struct(where.alias("path"), F.lit("is not allowed").alias("message"))
-                ).cast(_NONE)
+                return F.array(_problem(where, F.lit("is not allowed")))
             return _violations(e["value"], additional, where)
 
-        parts.append(F.flatten(F.transform(extra, judge)))
-    return F.concat(*parts) if parts else nothing
+        nested.append(F.flatten(F.transform(extra, judge)))
+    own = F.array_compact(F.array(*single)).cast(_NONE) if single else _nothing()
+    return F.concat(own, *[n.cast(_NONE) for n in nested])
+
+
+def _leaf(member: Column, contract: dict, path: Column) -> Column:
+    return text.let(_kind(member), lambda kind: _type_problem(kind, contract, path))
+
+
+def _nothing() -> Column:
+    return F.array().cast(_NONE)
 
 
 def _array_violations(v: Column, items: dict, path: Column) -> Column:
@@ -119,7 +155,9 @@ def violations(df: DataFrame, contract: str | dict, payload: str, context: Colum
     parsed = df.select(context.alias("context"), F.try_parse_json(payload).alias("_v"))
     unreadable = F.array(F.struct(F.lit("$").alias("path"), F.lit("is not valid JSON").alias("message"))).cast(_NONE)
     found = F.when(F.col("_v").isNull(), unreadable).otherwise(_violations(F.col("_v"), rules, F.lit("$")))
-    return parsed.select("context", F.explode(found).alias("e")).select("context", "e.path", "e.message")
+    # The outer form keeps Spark from testing the array first, which would compute it twice.
+    listed = parsed.select("context", F.explode_outer(found).alias("e"))
+    return listed.where(F.col("e").isNotNull()).select("context", "e.path", "e.message")
 
 
 def require_valid(df: DataFrame, contract: str | dict, payload: str, context: Column, show: int = 20) -> DataFrame:

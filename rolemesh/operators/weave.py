@@ -163,10 +163,12 @@ def cap_links(links: DataFrame, per_node: int = LINKS_PER_NODE) -> DataFrame:
     return kept.select("source", "target", "weight", "ord")
 
 
-def root_weave(g: GraphTables, kind: str, limit: int = ROOTS) -> DataFrame:
+def root_weave(
+    g: GraphTables, kind: str, limit: int = ROOTS, more_than: float = MIN_SIMILARITY
+) -> DataFrame:
     """Links drawn between the roots of one kind."""
     top = cut_lineage(roots(g, kind, limit=limit))
-    similar = weighted_similarity(weighted_features(g, kind, top), top)
+    similar = weighted_similarity(weighted_features(g, kind, top), top, more_than)
     if kind == "job" and g.neighbors is not None:
         links = merge_links(similar, direct_links(g.neighbors, top))
     else:

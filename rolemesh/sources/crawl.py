@@ -73,51 +73,67 @@ def first_field(fields: Column, keys: list[str]) -> Column:
     return F.coalesce(*[_filled(F.try_element_at(fields, F.lit(k))) for k in _normal(keys)])
 
 
+def _kind(v: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
 def value_text(json_text: Column, depth: int = 3) -> Column:
     """JSON value -> text: lists joined by `` / ``, objects by their naming keys."""
-    return _variant_text(F.try_parse_json(json_text), depth)
+    return text.let(
+        json_text,
+        lambda t: F.when(t.rlike(r'^"[^"\\]*"$'), text.clean_whitespace(F.btrim(t, F.lit('"'))))
+        .when(t.rlike(r"^-?\d+$"), t)
+        .otherwise(text.let(F.try_parse_json(t), lambda v: _variant_text(v, depth))),
+    )
 
 
 def _variant_text(v: Column, depth: int) -> Column:
-    kind = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    plain = F.try_variant_get(v, "$", "string")
-    out = F.when(kind == "STRING", text.clean_whitespace(plain)).when(
-        kind.isin("BIGINT", "DOUBLE", "DECIMAL"), plain
-    ).when(kind == "BOOLEAN", F.initcap(plain))
-    if depth:
-        members = F.transform_keys(
-            F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: urls.normalize_key(k)
+    def by_kind(kind: Column) -> Column:
+        plain = F.try_variant_get(v, "$", "string")
+        out = (
+            F.when(kind == "STRING", text.clean_whitespace(plain))
+            .when(kind.isin("BIGINT", "DOUBLE", "DECIMAL"), plain)
+            .when(kind == "BOOLEAN", F.initcap(plain))
         )
-        named = [
-            F.when(
-                ~F.is_variant_null(F.try_element_at(members, F.lit(k))),
-                text.blank_to_null(F.try_variant_get(F.try_element_at(members, F.lit(k)), "$", "string")),
+        if depth:
+            parts = F.transform(
+                F.try_variant_get(v, "$", "array<variant>"), lambda x: _variant_text(x, depth - 1)
             )
-            for k in NAME_KEYS
-        ]
-        parts = F.transform(
-            F.try_variant_get(v, "$", "array<variant>"), lambda x: _variant_text(x, depth - 1)
-        )
-        joined = F.array_join(F.filter(parts, lambda p: F.length(p) > 0), " / ")
-        out = out.when(kind == "ARRAY", text.blank_to_null(joined)).when(
-            kind == "OBJECT",
-            F.coalesce(text.blank_to_null(F.concat_ws(" / ", *named)), text.clean_whitespace(plain)),
-        )
-    return out.when(kind != "VOID", text.clean_whitespace(plain))
+            joined = F.array_join(F.filter(parts, lambda p: F.length(p) > 0), " / ")
+            members = F.transform_keys(
+                F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: urls.normalize_key(k)
+            )
+            named = text.let(members, _naming_values)
+            out = out.when(kind == "ARRAY", text.blank_to_null(joined)).when(
+                kind == "OBJECT", F.coalesce(named, text.clean_whitespace(plain))
+            )
+        return out.when(kind != "VOID", text.clean_whitespace(plain))
+
+    return text.let(_kind(v), by_kind)
+
+
+def _naming_values(members: Column) -> Column:
+    values = F.transform(
+        F.array(*[F.lit(k) for k in NAME_KEYS]),
+        lambda k: text.blank_to_null(F.try_variant_get(F.try_element_at(members, k), "$", "string")),
+    )
+    return text.blank_to_null(F.array_join(F.array_compact(values), " / "))
 
 
 def html_value(json_text: Column) -> Column:
     """JSON value -> markup text; lists joined by line breaks."""
-    v = F.try_parse_json(json_text)
-    kind = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    parts = F.transform(
-        F.try_variant_get(v, "$", "array<variant>"),
-        lambda x: text.blank_to_null(text.strip(F.try_variant_get(x, "$", "string"))),
-    )
-    listed = F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n")
-    return F.when(kind == "ARRAY", text.blank_to_null(listed)).when(
-        kind != "VOID", text.blank_to_null(text.strip(F.try_variant_get(v, "$", "string")))
-    )
+
+    def read(v: Column) -> Column:
+        parts = F.transform(
+            F.try_variant_get(v, "$", "array<variant>"),
+            lambda x: text.blank_to_null(text.strip(F.try_variant_get(x, "$", "string"))),
+        )
+        listed = F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n")
+        return F.when(_kind(v) == "ARRAY", text.blank_to_null(listed)).when(
+            _kind(v) != "VOID", text.blank_to_null(text.strip(F.try_variant_get(v, "$", "string")))
+        )
+
+    return text.let(F.try_parse_json(json_text), read)
 
 
 def _object_score(o: Column, page_id: Column) -> Column:
@@ -218,7 +234,8 @@ def resolve_list_payload(payloads: DataFrame, page: str = "page_url") -> DataFra
     Only (score, place) of each payload's best list meets the others of its page; the items
     stay where they are until the winner is known.
     """
-    best = payloads.withColumn("_best", _best(json_lists("payload"), _list_score)).where(
+    opened = payloads.select(page, "seq", json_lists("payload").alias("_lists"))
+    best = opened.withColumn("_best", _best(F.col("_lists"), _list_score)).where(
         F.col("_best.score") >= 0
     )
     rank = F.struct((-F.col("_best.score")).alias("neg"), F.col("seq").alias("seq"))
@@ -236,8 +253,7 @@ _STUB = [
 
 def listing_stubs(items: DataFrame, site: str, carry: list[str] = ()) -> DataFrame:
     """List items (item: JSON text) -> stubs; a missing URL is built from ids; no URL, no stub."""
-    fields = F.get(json_objects("item"), 0)["fields"]
-    opened = items.withColumn("_f", fields)
+    opened = items.withColumn("_o", json_objects("item")).withColumn("_f", F.get("_o", 0)["fields"])
 
     def read(keys: list[str]) -> Column:
         return value_text(first_field(F.col("_f"), keys))
