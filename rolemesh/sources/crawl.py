@@ -7,6 +7,7 @@ and only the chosen part takes part in the choice per page.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -64,13 +65,15 @@ def _normal(keys: list[str]) -> list[str]:
     return list(dict.fromkeys(plain))
 
 
-def _filled(json_text: Column) -> Column:
-    return F.when(~json_text.isin("null", '""'), json_text)
+def _names(*key_sets: list[str]) -> Column:
+    """Spellings of several attributes as one constant array of arrays."""
+    return F.from_json(F.lit(json.dumps([_normal(k) for k in key_sets])), "array<array<string>>")
 
 
-def first_field(fields: Column, keys: list[str]) -> Column:
+def first_field(fields: Column, names: Column) -> Column:
     """JSON text of the first filled spelling of an attribute in one object."""
-    return F.coalesce(*[_filled(F.try_element_at(fields, F.lit(k))) for k in _normal(keys)])
+    values = F.transform(names, lambda k: F.try_element_at(fields, k))
+    return F.get(F.filter(values, lambda x: ~x.isin("null", '""')), 0)
 
 
 def _kind(v: Column) -> Column:
@@ -138,23 +141,23 @@ def html_value(json_text: Column) -> Column:
 
 def _object_score(o: Column, page_id: Column) -> Column:
     """How much an object looks like the posting of the page."""
-
-    def has(keys: list[str]) -> Column:
-        # Zero, false and empty containers do not count as filled.
-        value = first_field(o["fields"], keys)
-        return F.coalesce(~value.isin("0", "0.0", "false", "[]", "{}"), F.lit(False))
-
-    def points(test: Column, name: str) -> Column:
-        return F.when(test, OBJECT_SCORES[name]).otherwise(0)
-
-    same = value_text(first_field(o["fields"], ID_KEYS), 0) == page_id
+    sets = _names(TITLE_KEYS, ID_KEYS, LOCATION_KEYS, DESCRIPTION_KEYS + DESCRIPTION_HTML_KEYS)
+    points = F.array(*[F.lit(OBJECT_SCORES[n]) for n in ("title", "id", "location", "description")])
+    # Zero, false and empty containers do not count as filled.
+    filled = F.transform(
+        sets,
+        lambda names: ~F.coalesce(
+            first_field(o["fields"], names).isin("0", "0.0", "false", "[]", "{}"), F.lit(True)
+        ),
+    )
+    scored = F.aggregate(
+        F.zip_with(filled, points, lambda has, n: F.when(has, n).otherwise(0)), F.lit(0), lambda x, y: x + y
+    )
+    own_id = F.btrim(first_field(o["fields"], F.get(sets, 1)), F.lit('"'))
     return (
-        points(has(TITLE_KEYS), "title")
-        + points(has(ID_KEYS), "id")
-        + points(has(LOCATION_KEYS), "location")
-        + points(has(DESCRIPTION_KEYS) | has(DESCRIPTION_HTML_KEYS), "description")
-        + points(F.coalesce(same, F.lit(False)), "same_id")
-        + points(o["scalars"].rlike(POSTING_WORDS), "words")
+        scored
+        + F.when(F.coalesce(own_id == page_id, F.lit(False)), OBJECT_SCORES["same_id"]).otherwise(0)
+        + F.when(o["scalars"].rlike(POSTING_WORDS), OBJECT_SCORES["words"]).otherwise(0)
     )
 
 
@@ -167,15 +170,14 @@ def _best(items: Column, score) -> Column:
 
 
 _RESOLVED = {
-    "title": (TITLE_KEYS, value_text),
-    "external_id": (ID_KEYS, value_text),
-    "location": (LOCATION_KEYS, value_text),
-    "employment": (EMPLOYMENT_KEYS, value_text),
-    "posted": (POSTED_KEYS, value_text),
-    "description": (DESCRIPTION_KEYS, value_text),
-    "description_html": (DESCRIPTION_HTML_KEYS, html_value),
-    "team": (TEAM_KEYS, value_text),
-    "department": (DEPARTMENT_KEYS, value_text),
+    "title": TITLE_KEYS,
+    "external_id": ID_KEYS,
+    "location": LOCATION_KEYS,
+    "employment": EMPLOYMENT_KEYS,
+    "posted": POSTED_KEYS,
+    "description": DESCRIPTION_KEYS,
+    "team": TEAM_KEYS,
+    "department": DEPARTMENT_KEYS,
 }
 
 
@@ -195,18 +197,25 @@ def resolve_detail_payload(payloads: DataFrame, page: str = "page_url") -> DataF
         F.col("_objects"), lambda o: (o["pos"] >= best["pos"]) & (o["pos"] <= best["last"])
     )
 
-    def attribute(keys: list[str], read) -> Column:
-        values = F.filter(
-            F.transform(inside, lambda o: first_field(o["fields"], keys)), lambda x: x.isNotNull()
-        )
-        return read(F.get(values, 0))
+    def found(names: Column) -> Column:
+        values = F.transform(F.col("_inside"), lambda o: first_field(o["fields"], names))
+        return F.get(F.filter(values, lambda x: x.isNotNull()), 0)
 
-    resolved = chosen.select(
+    read = chosen.withColumn("_inside", inside).withColumns(
+        {
+            "_texts": F.transform(
+                F.transform(_names(*_RESOLVED.values()), found), lambda t: value_text(t)
+            ),
+            "_html": html_value(found(F.get(_names(DESCRIPTION_HTML_KEYS), 0))),
+        }
+    )
+    resolved = read.select(
         page,
         F.struct((-F.col("_best.score")).alias("neg"), F.col("seq"), best["pos"].alias("pos")).alias("_rank"),
         F.struct(
             F.col("_best.score").alias("score"),
-            *[attribute(keys, read).alias(name) for name, (keys, read) in _RESOLVED.items()],
+            *[F.get("_texts", i).alias(name) for i, name in enumerate(_RESOLVED)],
+            F.col("_html").alias("description_html"),
             best["json"].alias("payload"),
         ).alias("_picked"),
     )
@@ -214,17 +223,14 @@ def resolve_detail_payload(payloads: DataFrame, page: str = "page_url") -> DataF
 
 
 def _list_score(x: Column) -> Column:
-    def points(keys: list[str], name: str) -> Column:
-        wanted = F.array(*[F.lit(k) for k in _normal(keys)])
-        return F.when(F.arrays_overlap(x["keys"], wanted), LIST_SCORES[name]).otherwise(0)
-
-    total = (
-        points(TITLE_KEYS, "title")
-        + points(ID_KEYS, "id")
-        + points(URL_KEYS, "url")
-        + points(LOCATION_KEYS, "location")
-        + F.when(x["scalars"].rlike(POSTING_WORDS), LIST_SCORES["words"]).otherwise(0)
+    sets = _names(TITLE_KEYS, ID_KEYS, URL_KEYS, LOCATION_KEYS)
+    points = F.array(*[F.lit(LIST_SCORES[n]) for n in ("title", "id", "url", "location")])
+    hits = F.zip_with(
+        sets, points, lambda names, n: F.when(F.arrays_overlap(x["keys"], names), n).otherwise(0)
     )
+    total = F.aggregate(hits, F.lit(0), lambda a, b: a + b) + F.when(
+        x["scalars"].rlike(POSTING_WORDS), LIST_SCORES["words"]
+    ).otherwise(0)
     return F.when(x["all_objects"], total).otherwise(-1)
 
 
@@ -255,39 +261,51 @@ def listing_stubs(items: DataFrame, site: str, carry: list[str] = ()) -> DataFra
     """List items (item: JSON text) -> stubs; a missing URL is built from ids; no URL, no stub."""
     opened = items.withColumn("_o", json_objects("item")).withColumn("_f", F.get("_o", 0)["fields"])
 
-    def read(keys: list[str]) -> Column:
-        return value_text(first_field(F.col("_f"), keys))
-
-    given = read(URL_KEYS)
-    if site == urls.BYTEDANCE.key:
-        job_id = read(ID_KEYS)
+    by_path = site == urls.BYTEDANCE.key
+    wanted = {
+        "url": URL_KEYS,
+        "title": TITLE_KEYS,
+        "location": LOCATION_KEYS,
+        "employment": EMPLOYMENT_KEYS,
+        "posted": POSTED_KEYS,
+        "department": DEPARTMENT_KEYS,
+        "team": TEAM_KEYS,
+        "external_id": ID_KEYS if by_path else ["postid", "postId", "id", "jobId"],
+        "postid": ["postid", "postId"],
+        "id": ["id", "jobId"],
+        "pid": ["pid", "projectId"],
+        "tid": ["tid", "typeId"],
+    }
+    values = F.transform(
+        F.transform(_names(*wanted.values()), lambda names: first_field(F.col("_f"), names)),
+        lambda t: value_text(t),
+    )
+    opened = opened.withColumn("_values", values)
+    read = {name: F.get("_values", i) for i, name in enumerate(wanted)}
+    if by_path:
         built = F.when(
-            job_id.rlike(r"^\d{8,}$"),
-            F.concat(F.lit("https://jobs.bytedance.com/campus/position/"), job_id, F.lit("/detail")),
+            read["external_id"].rlike(r"^\d{8,}$"),
+            F.concat(F.lit("https://jobs.bytedance.com/campus/position/"), read["external_id"], F.lit("/detail")),
         )
     else:
-        job_id = read(["postid", "postId", "id", "jobId"])
         base = "https://join.qq.com/post_detail.html?"
         built = F.coalesce(
-            F.concat(F.lit(base + "postid="), read(["postid", "postId"])),
-            F.concat(
-                F.lit(base + "id="), read(["id", "jobId"]), F.lit("&pid="), read(["pid", "projectId"]),
-                F.lit("&tid="), read(["tid", "typeId"]),
-            ),
+            F.concat(F.lit(base + "postid="), read["postid"]),
+            F.concat(F.lit(base + "id="), read["id"], F.lit("&pid="), read["pid"], F.lit("&tid="), read["tid"]),
         )
     return (
-        opened.withColumn("_url", F.coalesce(given, built))
+        opened.withColumn("_url", F.coalesce(read["url"], built))
         .where(F.col("_url").isNotNull())
         .select(
             *carry,
             urls.canonical_detail_url(F.col("_url"), site).alias("detail_url"),
-            read(TITLE_KEYS).alias("title"),
-            read(LOCATION_KEYS).alias("location"),
-            read(EMPLOYMENT_KEYS).alias("employment"),
-            dates.normalize_date(read(POSTED_KEYS)).alias("posted"),
-            job_id.alias("external_id"),
-            read(DEPARTMENT_KEYS).alias("department"),
-            read(TEAM_KEYS).alias("team"),
+            read["title"].alias("title"),
+            read["location"].alias("location"),
+            read["employment"].alias("employment"),
+            dates.normalize_date(read["posted"]).alias("posted"),
+            read["external_id"].alias("external_id"),
+            read["department"].alias("department"),
+            read["team"].alias("team"),
             F.col("item").alias("payload"),
             F.lit(None).cast("string").alias("card_text"),
         )
@@ -362,7 +380,8 @@ def merge_detail_records(
     """
     profile = PROFILES[site]
     s = stubs.select(F.col("detail_url").alias("page_url"), *[F.col(c).alias("_s_" + c) for c in _STUB[1:]])
-    r = resolved.select("page_url", *[F.col(c).alias("_r_" + c) for c in [*_RESOLVED, "payload"]])
+    found = [*_RESOLVED, "description_html", "payload"]
+    r = resolved.select("page_url", *[F.col(c).alias("_r_" + c) for c in found])
     body = F.coalesce(text.clean_whitespace(F.col("body_text")), F.lit(""))
     joined = s.join(pages.withColumn("_body", body), "page_url", "left").join(r, "page_url", "left")
     b = F.col("_body")
