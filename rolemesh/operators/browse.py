@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut_lineage
 from . import graph
 from .ranking import newest_first, top_k, type_rank
 
@@ -349,7 +350,8 @@ def focused_nodes(
     if selected:
         first = g.nodes.where(F.col("id") == selected).select("id", F.lit(0).cast("long").alias("pos"))
         hits = hits.unionByName(first.join(hits.select("id"), "id", "left_anti"))
-    return expand(g, hits, 1, FOCUSED_NODES, kind).select("id")
+    # A handful of rows that the expansion reads several times.
+    return expand(g, cut_lineage(hits), 1, FOCUSED_NODES, kind).select("id")
 
 
 def _order(columns):
@@ -368,6 +370,7 @@ def overview(
         ids, limit = focused_nodes(g, query, kind, selected), FOCUSED_NODES
     else:
         ids, limit = overview_nodes(g).select("id"), OVERVIEW_NODES
+    ids = cut_lineage(ids)  # at most ``limit`` rows, read for nodes and for edges
     if ids.isEmpty():
         ids = overview_nodes(g, limit=min(limit, FALLBACK_NODES)).select("id")
     if selected:

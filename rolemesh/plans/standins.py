@@ -9,12 +9,18 @@ from ..functions.text import Cue
 from ..operators import dedupe, graph, similarity
 from ..operators.browse import GraphTables
 from ..operators.vocabulary import Rules, Skill
+from ..session import spread
 
 FETCHED_AT = "2024-01-01T00:00:00+00:00"
 
 
+# Texts cost far more to work on than to move.
+HEAVY_ROWS = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in HEAVY_ROWS else scan
 
 
 # --- documents as postings ---------------------------------------------------
@@ -135,18 +141,18 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as job-skill rows; of repeated (job, skill, type) the last line counts."""
-    prefers = F.col("l_returnflag") == "R"
-    rows = table(spark, sf_dir, "lineitem").select(
+    """Line items as job-skill rows, one per (job, skill, type); the type fixes the weight."""
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = lines.select(
+        "l_orderkey", "l_partkey", (F.col("l_returnflag") == "R").alias("prefers")
+    ).distinct()
+    prefers = F.col("prefers")
+    return pairs.select(
         F.concat(F.lit("job:"), F.col("l_orderkey").cast("string")).alias("job_id"),
         F.concat(F.lit("skill:"), F.col("l_partkey").cast("string")).alias("skill_id"),
         F.when(prefers, "PREFERS").otherwise("REQUIRES").alias("edge_type"),
         F.when(prefers, 0.6).otherwise(1.0).alias("weight"),
         F.when(prefers, 0.6).otherwise(0.75).alias("confidence"),
-        F.col("l_linenumber").alias("ord"),
-    )
-    return dedupe.upsert_last_wins(
-        rows, ["job_id", "skill_id", "edge_type"], "ord", ["weight", "confidence"]
     )
 
 

@@ -51,3 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and continue from the files."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, dealt out evenly.
+
+    For CPU-heavy work on a small file that cannot be split. Large inputs have more splits
+    than cores and are returned as they are. Only for plain scans: asking a plan with a
+    shuffle for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
