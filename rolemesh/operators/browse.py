@@ -91,9 +91,7 @@ def company_newest_jobs(jobs: DataFrame, k: int = CHILDREN) -> DataFrame:
 
 def skill_company_newest_jobs(g: GraphTables, k: int = CHILDREN) -> DataFrame:
     """Newest jobs of every (skill, company); ranked before any join on the company."""
-    described = g.known.select("skill_id", "job_id").distinct().join(
-        g.jobs.select(F.col("id").alias("job_id"), "company_id", "title", "posted_at"), "job_id"
-    )
+    described = g.known.select("skill_id", "job_id", "company_id", "title", "posted_at").distinct()
     return top_k(described, ["skill_id", "company_id"], newest_first(), k)
 
 
@@ -209,9 +207,7 @@ def company_neighborhoods(g: GraphTables, jobs: int = 7, skills: int = 8) -> tup
 
 def skill_neighborhoods(g: GraphTables, jobs: int = 7, companies: int = 4) -> DataFrame:
     """Per skill: newest jobs (a job counts once per edge) and first companies."""
-    linked = g.known.select("skill_id", "job_id", "edge_type").join(
-        g.jobs.select(F.col("id").alias("job_id"), "title", "posted_at"), "job_id"
-    )
+    linked = g.known.select("skill_id", "job_id", "edge_type", "title", "posted_at")
     newest = (
         top_k(linked, ["skill_id"], [*newest_first(), F.col("edge_type").asc()], jobs)
         .groupBy("skill_id", "job_id")

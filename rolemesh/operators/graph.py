@@ -142,10 +142,12 @@ def family_edges(jobs: DataFrame) -> DataFrame:
 
 
 def known_job_skills(job_skills: DataFrame, jobs: DataFrame, skills: DataFrame) -> DataFrame:
-    """Job-skill rows whose both ends exist, with skill label and the job's company."""
+    """Job-skill rows whose both ends exist, with the skill's label and the job's company,
+    title and date, so that rankings need no second join; unused columns are pruned."""
+    carried = jobs.select(F.col("id").alias("job_id"), "company_id", "title", "posted_at")
     return job_skills.join(
         skills.select(F.col("id").alias("skill_id"), F.col("label").alias("skill_label")), "skill_id"
-    ).join(jobs.select(F.col("id").alias("job_id"), "company_id"), "job_id")
+    ).join(carried, "job_id")
 
 
 def skill_edges(known: DataFrame) -> DataFrame:
