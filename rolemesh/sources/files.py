@@ -17,8 +17,7 @@ def _read(spark: SparkSession, path: str, pattern: str, multi_line: bool) -> Dat
     lines = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .option("wholetext", str(multi_line).lower())
-        .text(path)
+        .text(path, wholetext=multi_line)
         .select(
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block"),
