@@ -3,7 +3,8 @@
 No step pairs up everything that shares a popular skill.
 
 * Jobs with equal skill sets are folded into one *set row* that keeps its ``k + 1``
-  smallest job ids; a job never needs more neighbours than that from one set.
+  smallest job ids; a job never needs more neighbours than that from one set. A set with
+  more than ``k`` jobs serves its own jobs, at similarity 1, and only offers to others.
 * Skills are ordered by how many sets hold them, rarest first. A pair is found at its
   rarest common skill only.
 * Rarest common skill held by at most ``hot_df`` sets: prefix-filtered equi-join. Every
@@ -72,9 +73,9 @@ def _ranked_tokens(folded: DataFrame) -> DataFrame:
     return cut_lineage(df.orderBy("df", "tok").withColumn("tid", F.monotonically_increasing_id()))
 
 
-def _encoded_sets(folded: DataFrame, tokens: DataFrame, hot_df: int) -> DataFrame:
-    """Set rows (sid, n, cold_n, ordered, job_ids): skill numbers rarest first, the hot ones
-    from position ``cold_n`` on."""
+def _encoded_sets(folded: DataFrame, tokens: DataFrame, hot_df: int, k: int) -> DataFrame:
+    """Set rows (sid, n, cold_n, ordered, job_ids, full): skill numbers rarest first, the hot
+    ones from position ``cold_n`` on. A full set has enough jobs to serve its own."""
     ordered = (
         folded.select("sid", F.explode("toks").alias("tok"))
         .join(tokens, "tok")
@@ -85,7 +86,8 @@ def _encoded_sets(folded: DataFrame, tokens: DataFrame, hot_df: int) -> DataFram
         )
     )
     return ordered.join(folded.select("sid", "job_ids"), "sid").select(
-        "sid", F.size("ordered").alias("n"), "cold_n", "ordered", "job_ids"
+        "sid", F.size("ordered").alias("n"), "cold_n", "ordered", "job_ids",
+        (F.size("job_ids") > k).alias("full"),
     )
 
 
@@ -103,7 +105,7 @@ def _shared_token_pairs(sets: DataFrame, max_hot: int) -> DataFrame:
     is not hot, and those where one set is too hot to list its subsets."""
     prefix = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1
     index = sets.select(
-        "sid", "n", "ordered", (_hot_n() > max_hot).alias("large"), "cold_n",
+        "sid", "n", "ordered", (_hot_n() > max_hot).alias("large"), "cold_n", "full",
         F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("pos", "tok"),
     ).withColumn("hot", F.col("pos") >= F.col("cold_n"))
     a, b = index.alias("a"), index.alias("b")
@@ -111,6 +113,7 @@ def _shared_token_pairs(sets: DataFrame, max_hot: int) -> DataFrame:
     worth_it = (
         (F.col("a.sid") < F.col("b.sid"))
         & (~F.col("a.hot") | F.col("a.large") | F.col("b.large"))
+        & (~F.col("a.full") | ~F.col("b.full"))
         & (DEN * na >= NUM * nb)
         & (DEN * nb >= NUM * na)
         & (F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= _min_overlap(na, nb))
@@ -152,7 +155,7 @@ def _hot_neighbors(sets: DataFrame, k: int, max_hot: int) -> DataFrame:
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int"))
     hot = F.slice("ordered", F.col("cold_n") + 1, _hot_n())
     listed = small.select(
-        "sid", "n", "ordered", "job_ids", F.explode(_subsets(hot, least)).alias("subset")
+        "sid", "n", "ordered", "job_ids", "full", F.explode(_subsets(hot, least)).alias("subset")
     )
     offered = top_k(
         listed.select(
@@ -163,7 +166,7 @@ def _hot_neighbors(sets: DataFrame, k: int, max_hot: int) -> DataFrame:
         [F.col("job_id").asc()],
         k + 1,
     ).drop("rank")
-    asked = listed.select("subset", "sid", F.col("n").alias("na"), F.col("ordered").alias("mine"))
+    asked = listed.where(~F.col("full")).select("subset", "sid", F.col("n").alias("na"), F.col("ordered").alias("mine"))
     met = asked.join(offered, "subset").where(
         (F.col("sid") != F.col("other"))
         & ((NUM + DEN) * F.size("subset") >= NUM * (F.col("na") + F.col("nb")))
@@ -184,7 +187,7 @@ def similar_top_k(
     # Each of these is read by several of the steps below, so it is computed once.
     members = cut_lineage(skill_sets(job_skills))
     folded = _distinct_sets(members, k)
-    sets = cut_lineage(_encoded_sets(folded, _ranked_tokens(folded), hot_df))
+    sets = cut_lineage(_encoded_sets(folded, _ranked_tokens(folded), hot_df, k))
     pair = F.explode(
         F.array(
             F.struct(F.col("a"), F.col("b")),
