@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -55,14 +56,32 @@ def compare(spark, con, fn, sql: str, sf_dir: str) -> str | None:
     return None
 
 
+def _tuned(build_session):
+    return build_session(
+        "oracle",
+        "local[8]",
+        spark__sql__shuffle__partitions="8",
+        spark__ui__enabled="false",
+        spark__driver__memory="8g",
+        spark__ui__showConsoleProgress="false",
+    )
+
+
 def main(argv: list[str]) -> int:
     from rolemesh.catalog import ORACLES, QUERIES
     from rolemesh.session import build_session
 
     sf_dir = f"/root/testdata/{argv[0]}" if argv else "/root/testdata/sf0.01"
     wanted = argv[1:]
-    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                          spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
+    if os.environ.get("PLAIN"):  # a session without any of the package's settings
+        from pyspark.sql import SparkSession
+
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config(
+            "spark.driver.memory", "8g"
+        ).config("spark.ui.enabled", "false").getOrCreate().conf.set("spark.sql.session.timeZone", "UTC")
+        spark = SparkSession.active()
+    else:
+        spark = _tuned(build_session)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = 0
