@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import browse, graph, similarity
+from ..operators import graph, similarity
 from ..plans import standins
 from ..plans.standins import graph_tables
 from .registry import query

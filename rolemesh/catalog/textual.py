@@ -9,7 +9,7 @@ from ..operators import dedupe, quality
 from ..plans.standins import RULES, table
 from ..sources import pages as page_source
 from .registry import query
-from .sql import WS, collapse, edge_id, graph_slug, has_word, slug, strip, strip_tags
+from .sql import collapse, edge_id, graph_slug, has_word, slug, strip, strip_tags
 
 FIRST_LINE = "split_part(text, chr(10), 1)"
 

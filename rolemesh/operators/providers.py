@@ -99,9 +99,6 @@ def _optional(v: Column) -> Column:
     return text.blank_to_null(text.strip(v))
 
 
-def _number(v: Column) -> Column:
-    return F.expr("null").cast("double") if v is None else v.try_cast("double")
-
 
 def _clamped(v: Column) -> Column:
     number = v.try_cast("double")
@@ -276,7 +273,3 @@ def build_provider_requests(jobs: DataFrame, taxonomy: list[Skill]) -> DataFrame
             F.lit(',"taxonomy":' + compact + "}"),
         ).alias("request"),
     )
-
-
-def result_schema() -> T.StructType:
-    return ENRICHMENT

@@ -20,8 +20,6 @@ Similarity is compared in integers: i / u >= 7 / 20 is 20 i >= 7 u.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
