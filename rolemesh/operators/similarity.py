@@ -9,11 +9,13 @@ No step pairs up everything that shares a popular skill.
   rarest common skill only.
 * Rarest common skill held by at most ``hot_df`` sets: prefix-filtered equi-join. Every
   posting list on this path is at most ``hot_df`` long, so the join grows linearly.
-* Rarest common skill hot: then the whole overlap consists of hot skills. Each set lists
-  the subsets of its hot skills that are large enough to matter; for every (subset, set
-  size) only the ``k + 1`` smallest job ids are kept, and each set looks its own subsets
-  up. Whatever that drops is beaten by k kept jobs of the same group, so the result stays
-  exact. Sets with more than ``max_hot`` hot skills use the prefix join for all skills.
+* Rarest common skill hot: then the whole overlap consists of hot skills. Sets list subsets
+  of their hot skills; for every (subset, set size) only the ``k + 1`` smallest job ids are
+  kept, and each set looks its own subsets up. Whatever that drops is beaten by ``k`` kept
+  jobs of the same group, so the result stays exact.
+* Large subsets first: a set that finds ``k + 1`` jobs more similar than anything still
+  unseen could be is done. Only the others list all subsets that can matter, and pairs
+  with a set of more than ``max_hot`` hot skills, which has too many, use the prefix join.
 
 Similarity is compared in integers: i / u >= 7 / 20 is 20 i >= 7 u.
 """
@@ -33,6 +35,8 @@ DIGITS = 4
 
 HOT_DF = 1_000
 MAX_HOT = 10
+# First look-up: skills the asking and the offering set may have outside the overlap.
+NEAR_ASKED, NEAR_OFFERED = 1, 2
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -98,20 +102,29 @@ def _hot_n() -> Column:
     return F.col("n") - F.col("cold_n")
 
 
-def _shared_token_pairs(sets: DataFrame, max_hot: int) -> DataFrame:
-    """Set pairs (a, b, i, u), each once, found at their rarest common skill: those where it
-    is not hot, and those where one set is too hot to list its subsets."""
+def _token_pairs(sets: DataFrame, over_hot: bool) -> DataFrame:
+    """Set pairs (a, b, i, u), each once, that meet at their rarest common skill.
+
+    Either all pairs whose rarest common skill is not hot, or, for hot ones, the pairs with
+    a set too large to list its subsets and a set that is still open.
+    """
     prefix = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1
+    flags = ["full"] if not over_hot else ["large", "open"]
     index = sets.select(
-        "sid", "n", "ordered", (_hot_n() > max_hot).alias("large"), "cold_n", "full",
+        "sid", "n", "ordered", *flags, "cold_n",
         F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("pos", "tok"),
-    ).withColumn("hot", F.col("pos") >= F.col("cold_n"))
+    )
+    is_hot = F.col("pos") >= F.col("cold_n")
+    index = index.where(is_hot if over_hot else ~is_hot)
     a, b = index.alias("a"), index.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
+    if over_hot:
+        wanted = (F.col("a.large") | F.col("b.large")) & (F.col("a.open") | F.col("b.open"))
+    else:
+        wanted = ~F.col("a.full") | ~F.col("b.full")
     worth_it = (
         (F.col("a.sid") < F.col("b.sid"))
-        & (~F.col("a.hot") | F.col("a.large") | F.col("b.large"))
-        & (~F.col("a.full") | ~F.col("b.full"))
+        & wanted
         & (DEN * na >= NUM * nb)
         & (DEN * nb >= NUM * na)
         & (F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= _min_overlap(na, nb))
@@ -138,25 +151,39 @@ def _verified(candidates: DataFrame, worth_it: Column) -> DataFrame:
 
 
 def _subsets(hot: Column, smallest: Column) -> Column:
-    """All subsets of ``hot`` (its order kept) with at least ``smallest`` elements."""
-    empty = F.array(F.slice(hot, 1, 0))
+    """Subsets of ``hot`` (its order kept) with at least ``smallest`` elements; branches that
+    already left too many out are not followed."""
+    spare = F.size(hot) - smallest
+    start = F.array(F.struct(F.slice(hot, 1, 0).alias("s"), F.lit(0).alias("out")))
 
     def grow(acc: Column, tok: Column) -> Column:
-        return F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(tok))))
+        with_it = F.transform(
+            acc, lambda x: F.struct(F.concat(x["s"], F.array(tok)).alias("s"), x["out"].alias("out"))
+        )
+        without = F.transform(
+            F.filter(acc, lambda x: x["out"] < spare),
+            lambda x: F.struct(x["s"].alias("s"), (x["out"] + 1).alias("out")),
+        )
+        return F.concat(with_it, without)
 
-    return F.filter(F.aggregate(hot, empty, grow), lambda s: F.size(s) >= smallest)
+    listed = F.transform(F.aggregate(hot, start, grow), lambda x: x["s"])
+    return F.when(spare >= 0, listed)
 
 
-def _hot_neighbors(sets: DataFrame, k: int, max_hot: int) -> DataFrame:
-    """(sid, job_id, i, u) through shared subsets of hot skills."""
-    small = sets.where((_hot_n() > 0) & (_hot_n() <= max_hot))
-    least = F.greatest(F.lit(1), F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int"))
-    hot = F.slice("ordered", F.col("cold_n") + 1, _hot_n())
-    listed = small.select(
-        "sid", "n", "ordered", "job_ids", "full", F.explode(_subsets(hot, least)).alias("subset")
+def _listed(sets: DataFrame, smallest: Column) -> DataFrame:
+    """Set rows with one row per subset of their hot skills of at least ``smallest``."""
+    hot = F.slice("ordered", F.col("cold_n") + 1, F.col("n") - F.col("cold_n"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int"), smallest)
+    # The outer form keeps Spark from listing twice to see whether there is anything.
+    return sets.select("*", F.explode_outer(_subsets(hot, least)).alias("subset")).where(
+        F.col("subset").isNotNull()
     )
+
+
+def _met_in_subsets(asking: DataFrame, offering: DataFrame, k: int) -> DataFrame:
+    """(sid, job_id, i, u) of sets that share one of their listed subsets, and the sizes."""
     offered = top_k(
-        listed.select(
+        offering.select(
             "subset", F.col("n").alias("nb"), F.col("sid").alias("other"),
             F.col("ordered").alias("theirs"), F.explode("job_ids").alias("job_id"),
         ),
@@ -164,7 +191,7 @@ def _hot_neighbors(sets: DataFrame, k: int, max_hot: int) -> DataFrame:
         [F.col("job_id").asc()],
         k + 1,
     ).drop("rank")
-    asked = listed.where(~F.col("full")).select("subset", "sid", F.col("n").alias("na"), F.col("ordered").alias("mine"))
+    asked = asking.select("subset", "sid", F.col("n").alias("na"), F.col("ordered").alias("mine"))
     met = asked.join(offered, "subset").where(
         (F.col("sid") != F.col("other"))
         & ((NUM + DEN) * F.size("subset") >= NUM * (F.col("na") + F.col("nb")))
@@ -173,10 +200,60 @@ def _hot_neighbors(sets: DataFrame, k: int, max_hot: int) -> DataFrame:
     overlap = F.size(F.array_intersect("mine", "theirs"))
     return met.where(overlap == F.size("subset")).select(
         "sid", "job_id", F.size("subset").alias("i"),
-        (F.col("na") + F.col("nb") - F.size("subset")).alias("u"),
+        (F.col("na") + F.col("nb") - F.size("subset")).alias("u"), "na", "nb",
     )
 
 
+def _near(sets: DataFrame, k: int) -> DataFrame:
+    """Jobs of sets that differ by very few hot skills."""
+    n = F.col("n")
+    return _met_in_subsets(
+        _listed(sets.where(~F.col("full")), n - NEAR_ASKED), _listed(sets, n - NEAR_OFFERED), k
+    ).select("sid", "job_id", "i", "u")
+
+
+def _open_sets(sets: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """Sets that may still meet a better job through hot skills: they do not have ``k + 1``
+    jobs above what an unseen pair could reach, (n - 2) / n or n / (n + 3)."""
+    n, i, u = F.col("n"), F.col("i"), F.col("u")
+    above = (i * n > u * (n - NEAR_ASKED - 1)) & (i * (n + NEAR_OFFERED + 1) > u * n)
+    done = (
+        best.join(sets.select("sid", "n"), "sid")
+        .where(above)
+        .groupBy("sid")
+        .agg(F.count("*").alias("ahead"))
+        .where(F.col("ahead") > k)
+    )
+    has_hot = (n > F.col("cold_n")) & ~F.col("full")
+    return sets.where(has_hot).join(done.select("sid"), "sid", "left_anti")
+
+
+def _far(sets: DataFrame, still_open: DataFrame, k: int, max_hot: int) -> DataFrame:
+    """What the open sets have not met yet through hot skills."""
+    large = (F.col("n") - F.col("cold_n")) > max_hot
+    small, asking = sets.where(~large), still_open.where(~large)
+    asked = _listed(asking, F.lit(1))
+    # Only groups that some open set asks for are built.
+    offered = _listed(small, F.lit(1)).join(asked.select("subset").distinct(), "subset", "left_semi")
+    seen = (F.col("na") - F.col("i") <= NEAR_ASKED) & (F.col("nb") - F.col("i") <= NEAR_OFFERED)
+    by_subset = _met_in_subsets(asked, offered, k).where(~seen).select("sid", "job_id", "i", "u")
+    flagged = sets.join(
+        still_open.select("sid", F.lit(True).alias("_open")), "sid", "left"
+    ).select("*", large.alias("large"), F.col("_open").isNotNull().alias("open"))
+    return by_subset.unionByName(_offers(flagged, _token_pairs(flagged, True)))
+
+
+def _offers(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Set pairs, both ways, as the jobs each set is offered."""
+    ways = F.array(
+        F.struct(F.col("a").alias("sid"), F.col("b").alias("other")),
+        F.struct(F.col("b").alias("sid"), F.col("a").alias("other")),
+    )
+    both = pairs.select(F.explode(ways).alias("p"), "i", "u").select("p.*", "i", "u")
+    jobs = sets.select(F.col("sid").alias("other"), "job_ids")
+    return both.join(jobs, "other").select("sid", F.explode("job_ids").alias("job_id"), "i", "u")
+
+
 def similar_top_k(
     job_skills: DataFrame, k: int = TOP, hot_df: int = HOT_DF, max_hot: int = MAX_HOT
 ) -> DataFrame:
@@ -186,24 +263,21 @@ def similar_top_k(
     members = cut_lineage(skill_sets(job_skills))
     folded = _distinct_sets(members, k)
     sets = cut_lineage(_encoded_sets(folded, _ranked_tokens(folded), hot_df, k))
-    pair = F.explode(
-        F.array(
-            F.struct(F.col("a"), F.col("b")),
-            F.struct(F.col("b").alias("a"), F.col("a").alias("b")),
-        )
-    )
-    both_ways = _shared_token_pairs(sets, max_hot).select(pair.alias("p"), "i", "u").select("p.*", "i", "u")
-    ids_of = sets.select(F.col("sid").alias("b"), "job_ids")
-    across = both_ways.join(ids_of, "b").select(
-        F.col("a").alias("sid"), F.explode("job_ids").alias("job_id"), "i", "u"
-    )
     within = sets.select(
         "sid", F.explode("job_ids").alias("job_id"), F.col("n").alias("i"), F.col("n").alias("u")
     )
-    offers = across.unionByName(_hot_neighbors(sets, k, max_hot)).unionByName(within)
     order = [(F.col("i") / F.col("u")).desc(), F.col("job_id").asc()]
-    # k + 1 per set, because a job of the set may find itself among them.
-    best = top_k(offers, ["sid"], order, k + 1).drop("rank")
+
+    def best_of(offers: DataFrame) -> DataFrame:
+        # k + 1 per set, because a job of the set may find itself among them.
+        return top_k(offers.distinct(), ["sid"], order, k + 1).drop("rank")
+
+    cold = _offers(sets, _token_pairs(sets, False))
+    best = best_of(cold.unionByName(_near(sets, k)).unionByName(within))
+    if not sets.where(F.col("n") > F.col("cold_n")).isEmpty():
+        best = cut_lineage(best)
+        still_open = cut_lineage(_open_sets(sets, best, k))
+        best = best_of(best.unionByName(_far(sets, still_open, k, max_hot)))
     offered = best.groupBy("sid").agg(
         F.array_sort(
             F.collect_list(
