@@ -140,13 +140,15 @@ def _verified(candidates: DataFrame, worth_it: Column) -> DataFrame:
     return (
         candidates.select(
             F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.col("a.tok").alias("tok"),
-            common.alias("common"), total.alias("total"),
+            common.alias("common"), total.alias("total"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"),
         )
         .where(
             ((NUM + DEN) * F.size("common") >= NUM * F.col("total"))
             & (F.get("common", 0) == F.col("tok"))
         )
-        .select("a", "b", F.size("common").alias("i"), (F.col("total") - F.size("common")).alias("u"))
+        .select(
+            "a", "b", F.size("common").alias("i"), (F.col("total") - F.size("common")).alias("u"), "na", "nb"
+        )
     )
 
 
@@ -235,21 +237,27 @@ def _far(sets: DataFrame, still_open: DataFrame, k: int, max_hot: int) -> DataFr
     asked = _listed(asking, F.lit(1))
     # Only groups that some open set asks for are built.
     offered = _listed(small, F.lit(1)).join(asked.select("subset").distinct(), "subset", "left_semi")
-    seen = (F.col("na") - F.col("i") <= NEAR_ASKED) & (F.col("nb") - F.col("i") <= NEAR_OFFERED)
-    by_subset = _met_in_subsets(asked, offered, k).where(~seen).select("sid", "job_id", "i", "u")
+    by_subset = _met_in_subsets(asked, offered, k).where(~_seen()).select("sid", "job_id", "i", "u")
     flagged = sets.join(
         still_open.select("sid", F.lit(True).alias("_open")), "sid", "left"
     ).select("*", large.alias("large"), F.col("_open").isNotNull().alias("open"))
-    return by_subset.unionByName(_offers(flagged, _token_pairs(flagged, True)))
+    return by_subset.unionByName(_offers(flagged, _token_pairs(flagged, True), fresh_only=True))
+
+
+def _seen() -> Column:
+    """Whether :func:`_near` already met a pair of hot overlap, as asked by the ``na`` side."""
+    return (F.col("na") - F.col("i") <= NEAR_ASKED) & (F.col("nb") - F.col("i") <= NEAR_OFFERED)
 
 
-def _offers(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _offers(sets: DataFrame, pairs: DataFrame, fresh_only: bool = False) -> DataFrame:
     """Set pairs, both ways, as the jobs each set is offered."""
     ways = F.array(
-        F.struct(F.col("a").alias("sid"), F.col("b").alias("other")),
-        F.struct(F.col("b").alias("sid"), F.col("a").alias("other")),
+        F.struct(F.col("a").alias("sid"), F.col("b").alias("other"), F.col("na"), F.col("nb")),
+        F.struct(F.col("b").alias("sid"), F.col("a").alias("other"), F.col("nb").alias("na"), F.col("na").alias("nb")),
     )
     both = pairs.select(F.explode(ways).alias("p"), "i", "u").select("p.*", "i", "u")
+    if fresh_only:
+        both = both.where(~_seen())
     jobs = sets.select(F.col("sid").alias("other"), "job_ids")
     return both.join(jobs, "other").select("sid", F.explode("job_ids").alias("job_id"), "i", "u")
 
@@ -270,7 +278,7 @@ def similar_top_k(
 
     def best_of(offers: DataFrame) -> DataFrame:
         # k + 1 per set, because a job of the set may find itself among them.
-        return top_k(offers.distinct(), ["sid"], order, k + 1).drop("rank")
+        return top_k(offers, ["sid"], order, k + 1).drop("rank")
 
     cold = _offers(sets, _token_pairs(sets, False))
     best = best_of(cold.unionByName(_near(sets, k)).unionByName(within))
