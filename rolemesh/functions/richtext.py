@@ -61,8 +61,7 @@ def safe_rich_text(c: Column) -> Column:
     marked = F.regexp_replace(body, "\u0001([A-Za-z]+)\u0003", "<$1>")
     marked = F.regexp_replace(marked, "\u0002[bB][rR]\u0003", "")
     marked = F.regexp_replace(marked, "\u0002([A-Za-z]+)\u0003", "</$1>")
-    for tag in ALLOWED:
-        if tag != tag.upper():
-            marked = F.regexp_replace(marked, rf"(?i)<(/?){tag}>", rf"<$1{tag}>")
+    for tag in ALLOWED:  # tag names in lower case
+        marked = F.regexp_replace(marked, rf"(?i)<(/?){tag}>", rf"<$1{tag}>")
     safe = F.coalesce(blank_to_null(marked), _escape(raw, quotes=True))
     return F.when(raw.rlike(MARKUP), safe).otherwise(_escape(raw, quotes=True))

@@ -206,7 +206,7 @@ def map_employment(c: Column, mapping: dict[str, str]) -> Column:
 
 def clean_whitespace(c: Column) -> Column:
     """Per-line trim, single blanks, at most one empty line in a row; empty becomes null."""
-    text = F.regexp_replace(F.translate(c, " ​", " "), "\r\n?", "\n")
+    text = F.regexp_replace(F.translate(c, "\u00a0\u200b", " "), "\r\n?", "\n")
     text = F.regexp_replace(text, "[ \t\f\x0b]+", " ")
     line_ws = r"[\s\x1c-\x1f&&[^\n]]"
     text = F.regexp_replace(text, rf"(?mdU)^{line_ws}+|{line_ws}+$", "")
