@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bits import FILTER_BITS, bit_filter
 from .components import connected
 from .store import stored
 from .words import hash_words, mix, shingles, slices
 
 GROUPS = 128  # coordinates of a point
 TILE = 512  # members of a block that meet in one task; larger blocks are cut into pairs of tiles
-FILTER_BITS = 1 << 23  # of the membership filter that keeps texts without a candidate from the shuffle
 _CLASS_GROWTH = 1.6
 _DELETIONS = 2  # up to so many differences, sets with members left out are listed instead of parts
 
@@ -160,17 +160,7 @@ def _candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     A bit filter of fixed size travels to the scan, so that few other texts are shuffled;
     the join that follows is exact.
     """
-    bit = F.pmod("node", F.lit(FILTER_BITS))
-    words = (
-        nodes.select(F.floor(bit / 64).alias("word"), F.expr(f"shiftleft(1L, int(pmod(node, {FILTER_BITS}) % 64))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .collect()
-    )
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in words:
-        table[row.word] = row.bits
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes, "node"))
 
     def run(batches):
         bits = held.value

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, languages, mixing, near_duplicates, wavelet
+from . import (
+    contamination,
+    disclosure,
+    fingerprints,
+    languages,
+    licences,
+    mixing,
+    near_duplicates,
+    revisits,
+    toolcalls,
+    wavelet,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +79,214 @@ def wavelet_shards(spark, sf_dir):
         table(spark, sf_dir, "documents"), lambda: wavelet.word_encoder(path), END_ID, ID_BITS
     )
     return wavelet.read_shards(shards)
+
+
+@query("op9_weighted_samples")
+def weighted_samples(spark, sf_dir):
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op10_disclosure_spans")
+def disclosure_spans(spark, sf_dir):
+    found = disclosure.find_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
+# --- conversations as tool calls ------------------------------------------------
+
+TOOLS = {
+    name: [
+        toolcalls.Parameter("query", "string"),
+        toolcalls.Parameter("words", "integer", least=1, most=most),
+        toolcalls.Parameter("after", "string", required=False, pattern="^[0-9]+:[0-9]+$"),
+    ]
+    for name, most in (("ask", 40), ("read", 400))
+}
+
+TOOL_SQL = """
+WITH RECURSIVE u AS (
+    SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id,
+           CASE WHEN contains(text, chr(10)) THEN 'read' ELSE 'ask' END AS tool,
+           len(string_split(text, ' ')) AS words
+    FROM conversations WHERE role = 'user'
+), c AS (
+    SELECT u.*, CASE WHEN length(u.text) < length(p.text) THEN p.call_id END AS after
+    FROM u LEFT JOIN u p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2
+), lv AS (
+    SELECT call_id, 0 AS level FROM c WHERE after IS NULL
+    UNION ALL
+    SELECT c.call_id, lv.level + 1 FROM c JOIN lv ON c.after = lv.call_id
+), r AS (
+    SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'
+)
+SELECT c.conv_id, c.call_id, CAST(lv.level AS BIGINT) AS level, c.turn AS position,
+       CASE WHEN r.call_id IS NULL THEN 'no result' ELSE 'linked' END AS state,
+       CASE WHEN c.words > (CASE c.tool WHEN 'ask' THEN 40 ELSE 400 END) THEN 'range of words' ELSE '' END AS problems,
+       '{"arguments":{' || CASE WHEN c.after IS NULL THEN '' ELSE '"after":"' || c.after || '",' END
+           || '"query":' || CAST(to_json(c.text) AS VARCHAR) || ',"words":' || c.words || '},"id":"' || c.call_id
+           || '","name":"' || c.tool || '","result":'
+           || CASE WHEN r.call_id IS NULL THEN 'null' ELSE CAST(to_json(r.text) AS VARCHAR) END || '}' AS json
+FROM c JOIN lv USING (call_id) LEFT JOIN r USING (call_id)
+UNION ALL
+SELECT r.conv_id, r.call_id, 0, r.turn, 'no call', '',
+       '{"id":"' || r.call_id || '","result":' || CAST(to_json(r.text) AS VARCHAR) || '}'
+FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.call_id = r.call_id)
+"""
+
+
+@query("op2_tool_calls", TOOL_SQL)
+def tool_calls(spark, sf_dir):
+    """User turns as calls, the turns after them as results; a shorter turn refers to the one before."""
+    turns = table(spark, sf_dir, "conversations")
+    user = turns.where("role = 'user'").select(
+        "conv_id", "turn", "text", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("call_id")
+    )
+    before = user.select("conv_id", (F.col("turn") + 2).alias("turn"), F.length("text").alias("n"), F.col("call_id").alias("previous"))
+    asked = user.join(before, ["conv_id", "turn"], "left").withColumn(
+        "after", F.when(F.length("text") < F.col("n"), F.col("previous"))
+    )
+    words = F.size(F.split("text", " "))
+    arguments = F.to_json(F.struct(F.col("text").alias("query"), words.alias("words"), "after"))
+    calls = asked.select(
+        "conv_id", "call_id", F.col("turn").alias("position"),
+        F.when(F.col("text").contains("\n"), "read").otherwise("ask").alias("tool"), arguments.alias("arguments"),
+    )
+    answered = turns.where("role = 'assistant'").select(
+        "conv_id",
+        F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")).alias("call_id"),
+        F.col("turn").alias("position"),
+        F.col("text").alias("content"),
+    )
+    references = asked.where("after is not null").select(F.col("call_id").alias("node"), F.col("after").alias("needs"))
+    return toolcalls.link_tool_calls(calls, answered, references, TOOLS)
+
+
+# --- pages as captures of an archive ----------------------------------------------
+
+REVISIT_DELAY = 1_000
+HISTORY_PIECE = 500
+
+REVISIT_SQL = f"""
+WITH p AS (
+    SELECT page_id, md5(html) AS tag, length(html) AS n,
+           regexp_replace(trim(url), '#.*$', '') AS plain
+    FROM pages
+), q AS (
+    SELECT *, regexp_replace(split_part(plain, '?', 1), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS base,
+           list_sort(list_filter(string_split(CASE WHEN contains(plain, '?') THEN regexp_replace(plain, '^[^?]*[?]', '') ELSE '' END, '&'),
+                     lambda x: x <> '' AND NOT regexp_matches(x, '{revisits.TRACKING}'))) AS kept
+    FROM p
+), k AS (
+    SELECT page_id, tag, n,
+           regexp_replace(lower(split_part(base, '/', 1)), ':(80|443)$', '')
+           || regexp_replace(regexp_replace(base, '^[^/]*', ''), '/+$', '')
+           || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key
+    FROM q
+), v AS (
+    SELECT 'v' || page_id AS record_id, url_key, page_id + {REVISIT_DELAY} AS ts, tag, page_id FROM k
+), a AS (
+    SELECT v.*, r.page_id AS rid, r.tag AS rtag, r.n AS rn
+    FROM v LEFT JOIN k r ON r.url_key = v.url_key AND r.page_id < v.ts
+    QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY r.page_id DESC NULLS LAST) = 1
+), o AS (
+    SELECT *, CASE WHEN substr(tag, 1, 1) < '4' THEN reverse(tag) WHEN substr(tag, 1, 1) = '4' THEN NULL ELSE tag END AS vtag
+    FROM a
+), s AS (
+    SELECT *, CASE WHEN vtag IS NULL THEN 'unverified' WHEN vtag = rtag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM o
+)
+SELECT record_id, url_key, CAST(ts AS BIGINT) AS ts, 'r' || rid AS response_id, CAST(rid AS BIGINT) AS response_ts, outcome,
+       CASE WHEN outcome <> 'mismatch' THEN
+           'cache-control: max-age=' || page_id || chr(10) || 'content-length: ' || rn || chr(10) || 'content-type: text/html'
+           || chr(10) || 'etag: "' || coalesce(vtag, rtag) || '"' || chr(10) || 'server: s' || rid % 7 END AS headers
+FROM s
+"""
+
+
+@query("op6_revisits", REVISIT_SQL)
+def revisit_records(spark, sf_dir):
+    """Every page as a response at the time page_id, and a not-modified capture of its URL later."""
+    pages = table(spark, sf_dir, "pages").withColumn("tag", F.md5("html"))
+    number = F.col("page_id").cast("string")
+
+    def headers(**values):
+        given = F.map_from_arrays(
+            F.array(*(F.lit(k.replace("_", "-")) for k in values)), F.array(*(v.cast("string") for v in values.values()))
+        )
+        return F.map_filter(given, lambda k, v: v.isNotNull()).alias("headers")
+
+    quoted = lambda tag: F.concat(F.lit('"'), tag, F.lit('"'))
+    full = pages.select(
+        F.concat(F.lit("r"), number).alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit(200).alias("status"),
+        headers(content_type=F.lit("text/html"), content_length=F.length("html"), etag=quoted(F.col("tag")),
+                server=F.concat(F.lit("s"), (F.col("page_id") % 7).cast("string"))),
+    )
+    first = F.substring("tag", 1, 1)
+    shown = F.when(first < "4", F.reverse("tag")).when(first != "4", F.col("tag"))
+    again = pages.select(
+        F.concat(F.lit("v"), number).alias("record_id"), "url", (F.col("page_id") + REVISIT_DELAY).alias("ts"), F.lit(304).alias("status"),
+        headers(cache_control=F.concat(F.lit("max-age="), number), content_length=F.lit(0), etag=quoted(shown)),
+    )
+    found = revisits.resolve_revisits(full.unionByName(again), HISTORY_PIECE)
+    return found.withColumn("headers", revisits.header_text(F.col("headers")))
+
+
+# --- documents as files of a tree -------------------------------------------------
+
+_SCAN = licences.Templates(licences.TEMPLATES, licences.THRESHOLD)
+
+
+def _licence_sql() -> str:
+    weights = ", ".join(
+        f"('{name}', {-i}, '{t}', {w!r}::DOUBLE)" for i, (name, own) in enumerate(_SCAN.weights.items()) for t, w in own.items()
+    )
+    idf = ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in _SCAN.idf.items())
+    return f"""
+WITH weights(licence, place, term, w) AS (VALUES {weights}), idf(term, w) AS (VALUES {idf}),
+f AS (
+    SELECT doc_id, text, source || '/' || lang || '/' || CASE WHEN doc_id % 32 = 0 THEN '' ELSE 'part' || doc_id % 7 || '/' END
+           || CASE WHEN doc_id % 8 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path
+    FROM documents
+), l AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM f
+), tok AS (
+    SELECT doc_id, n, unnest(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+')) AS term
+    FROM l
+), tf AS (
+    SELECT doc_id, n, term, count(*) * coalesce(any_value(idf.w), {_SCAN.rare!r}::DOUBLE) AS w
+    FROM tok LEFT JOIN idf USING (term) WHERE term <> '' GROUP BY doc_id, n, term
+), norm AS (
+    SELECT doc_id, n, sqrt(sum(w * w)) AS length FROM tf GROUP BY doc_id, n
+), cosine AS (
+    SELECT tf.doc_id, tf.n, weights.licence, any_value(weights.place) AS place, round(sum(tf.w * weights.w) / any_value(norm.length), 6) AS score
+    FROM tf JOIN weights USING (term) JOIN norm ON norm.doc_id = tf.doc_id AND norm.n = tf.n GROUP BY tf.doc_id, tf.n, weights.licence
+), best AS (
+    SELECT * FROM cosine WHERE score >= {_SCAN.threshold}
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place DESC, n) = 1
+), own AS (
+    SELECT f.doc_id, f.path, regexp_replace(f.path, '/?[^/]*$', '') AS dir, b.licence, b.score, b.n FROM f LEFT JOIN best b USING (doc_id)
+), held AS (
+    SELECT dir AS top, licence, path FROM own WHERE licence IS NOT NULL AND path LIKE '%/LICENSE'
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, licence) = 1
+), near AS (
+    SELECT DISTINCT o.dir, h.licence, h.path, length(h.top) AS depth
+    FROM (SELECT DISTINCT dir FROM own) o JOIN held h ON o.dir = h.top OR starts_with(o.dir, h.top || '/')
+    QUALIFY row_number() OVER (PARTITION BY o.dir ORDER BY length(h.top) DESC) = 1
+)
+SELECT own.doc_id, own.path, coalesce(own.licence, near.licence) AS licence, own.score, CAST(own.n AS BIGINT) AS line,
+       CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN near.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+       CASE WHEN own.licence IS NULL THEN near.path END AS licence_path
+FROM own LEFT JOIN near ON near.dir = own.dir AND own.licence IS NULL
+"""
+
+
+@query("op7_licences", _licence_sql())
+def licence_scan(spark, sf_dir):
+    """Documents as files source/lang[/part]/name; every eighth is called LICENSE."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    part = F.when(F.col("doc_id") % 32 == 0, "").otherwise(F.concat(F.lit("part"), (F.col("doc_id") % 7).cast("string"), F.lit("/")))
+    name = F.when(F.col("doc_id") % 8 == 0, "LICENSE").otherwise(F.concat(number, F.lit(".txt")))
+    files = docs.select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), part, name).alias("path"), "text")
+    return licences.scan_licences(files)
