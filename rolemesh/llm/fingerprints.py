@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .store import stored
 
-SAMPLES = 16
+SAMPLES = 24
 _NO_ID = -(1 << 63)
 _DIGITS = 8  # hexadecimal digits of a sample in a fingerprint
 
