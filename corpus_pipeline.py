@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from rolemesh.llm import contamination, languages, mixing, near_duplicates, wavelet
 from rolemesh.llm.queries import END_ID, ID_BITS, TOKENIZER, held_out
-from rolemesh.llm.store import stored
+from rolemesh.llm.store import bounded_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; null texts and texts without a letter go."""
+    bounded_batches(spark)
     profiles = languages.train(docs.where(~held_out()).select("text", "lang"))
-    columns = docs.columns
-    # The text goes through the identifier as one more column, so nothing is joined.
-    found = languages.identify(docs.withColumn("kept_text", F.col("text")), profiles)
-    kept = found.where(F.col("lang_pred") != languages.UNKNOWN).withColumnRenamed("kept_text", "text")
-    return kept.select(*columns)
+    found = languages.identify(docs, profiles, keep_text=True)
+    return found.where(F.col("lang_pred") != languages.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +23,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Where rows repeat a doc_id, those with the smallest text hash stay, once.
     """
+    bounded_batches(spark)
     classes = near_duplicates.near_duplicate_classes(docs)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
@@ -32,17 +31,20 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified passage of the benchmark."""
+    bounded_batches(spark)
     leaks = contamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(stored(leaks.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix takes them: pieces that are left out go, repeats follow again."""
+    bounded_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Wavelet-matrix files of the token ids, read back: doc_id, start, n_tokens, ids_crc32."""
+    bounded_batches(spark)
     path = TOKENIZER
     return wavelet.read_shards(wavelet.write_shards(docs, lambda: wavelet.word_encoder(path), END_ID, ID_BITS))
 

@@ -52,7 +52,7 @@ def ngram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     body = np.frombuffer("\0".join(texts).encode("utf-32-le", "replace"), np.uint32)
     lengths = np.array([len(t) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), lengths + 1)[: len(body)]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths + 1)[: len(body)]
     letters = _letters()[body]
     keep = letters > 0
     keep[1:] |= letters[:-1] > 0  # the first blank of a run ends a word
@@ -121,7 +121,7 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE_PE
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = _shared_vectors(dimensions)
         total: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             langs = batch.column("lang").to_pylist()
             owner, code, n = _counted(*ngram_codes(batch.column("text").to_pylist()))
             if not len(owner):
@@ -133,9 +133,9 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE_PE
             distinct, at = np.unique(code, return_inverse=True)
             table = np.zeros((len(names), len(distinct)))
             np.add.at(table, (lang, at), weight)
-            for begin in range(0, len(distinct), 2048):
-                part = vectors.bind(distinct[begin : begin + 2048]).astype(np.float32)
-                for name, row in zip(names, table[:, begin : begin + 2048].astype(np.float32) @ part):
+            for begin in range(0, len(distinct), 1024):
+                part = vectors.bind(distinct[begin : begin + 1024]).astype(np.float32)
+                for name, row in zip(names, table[:, begin : begin + 1024].astype(np.float32) @ part):
                     total[name] = total.get(name, 0) + row
         for name, row in total.items():
             yield pa.RecordBatch.from_arrays(
@@ -157,8 +157,10 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE_PE
     return dict(sorted(out.items()))
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS) -> DataFrame:
-    """``docs`` without text, and with lang_pred and score, from each row's whole text alone.
+def identify(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, keep_text: bool = False
+) -> DataFrame:
+    """``docs`` with lang_pred and score, from each row's whole text alone; text is dropped unless kept.
 
     score is the cosine with the chosen prototype, cut to 0..1. Null texts and texts without
     a letter get ``und`` and 0; so does every text when nothing was learned. Equal cosines
@@ -169,25 +171,28 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     if names:
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
     held = docs.sparkSession.sparkContext.broadcast(matrix)
-    others = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    others = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = held.value
         vectors = _shared_vectors(dimensions)
-        known = np.zeros(1 << 26, np.int32)  # n-gram code -> row of products, from 1; pages fill as they are met
+        known = np.zeros(0, np.int64)  # n-gram codes in order, and their rows of products
         products = np.zeros((0, len(names)), np.float32)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             n_rows = batch.num_rows
             best, score = np.full(n_rows, -1), np.zeros(n_rows)
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             owner, code, n = _counted(*ngram_codes(texts))
             if len(owner) and names:
-                new = np.unique(code[known[code] == 0])
-                for begin in range(0, len(new), 2048):
-                    part = new[begin : begin + 2048]
-                    known[part] = len(products) + 1 + np.arange(len(part))
+                new = np.setdiff1d(code, known)
+                for begin in range(0, len(new), 1024):
+                    part = new[begin : begin + 1024]
+                    known = np.concatenate((known, part))
                     products = np.concatenate((products, vectors.bind(part).astype(np.float32) @ matrix.T))
-                rows = products[known[code] - 1] * n[:, None]
+                if len(new):
+                    order = np.argsort(known)
+                    known, products = known[order], products[order]
+                rows = products[np.searchsorted(known, code)] * n[:, None]
                 first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
                 dots = np.add.reduceat(rows, first, axis=0)
                 length = np.sqrt(np.add.reduceat((n * n).astype(float), first) * dimensions)
@@ -201,4 +206,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
             )
 
     schema = docs.select(*others).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*others, "text").mapInArrow(run, schema)
+    return docs.select(*others, *(["text"] if "text" not in others else [])).mapInArrow(run, schema)

@@ -12,8 +12,8 @@ than two linked sets can differ in n-grams; so at least one part is equal in bot
 meet in a block for every part that is. A block of unrelated texts is rare, even where they
 share a long passage, as all n-grams of the part have to agree.
 
-Equal sets are folded into one node first. Then members of a block are compared with two
-leaders of it, links are joined to components, and only blocks that still hold more than
+Equal sets are folded into one node first. Then members of a block are compared with its
+smallest node and then with its best connected one, links are joined to components, and only blocks that still hold more than
 one component are searched with trees, pairs of one component left out. No group is turned
 into all its pairs: what is left to compare are texts that the bound cannot tell apart.
 """
@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bits import FILTER_BITS, bit_filter
+from .bits import bit_filter, passes
 from .components import connected
 from .store import stored
 from .words import hash_words, mix, shingles, slices
 
-GROUPS = 128  # coordinates of a point
+GROUPS = 64  # coordinates of the smallest point; larger sets have more, 8 to 16 members a group
 TILE = 512  # members of a block that meet in one task; larger blocks are cut into pairs of tiles
+SEEN = 100_000  # sets that a task remembers to list copies once
 _CLASS_GROWTH = 1.6
 _DELETIONS = 2  # up to so many differences, sets with members left out are listed instead of parts
 
@@ -124,98 +125,155 @@ def _folded(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _block_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(key, node) of every set; copies within a batch are listed once."""
+    """(key, node) of every set; most copies within a task are listed once."""
 
     def run(batches):
-        for batch in batches:
-            seen = set()
-            for part in slices(iter([batch]), "text"):
-                keys, nodes, counts = [], [], []
-                for members in _sets(part, size):
-                    if not len(members):
-                        continue
-                    node, _ = _node(members)
-                    if node in seen:
-                        continue
-                    seen.add(node)
-                    found = block_keys(members, num, den)
-                    keys.append(found)
-                    nodes.append(node)
-                    counts.append(len(found))
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(keys).view(np.int64)),
-                            pa.array(np.repeat(np.array(nodes, np.int64), counts)),
-                        ],
-                        names=["key", "node"],
-                    )
+        seen = set()
+        for part in slices(batches, "text"):
+            if len(seen) > SEEN:
+                seen.clear()
+            keys, nodes, counts = [], [], []
+            for members in _sets(part, size):
+                if not len(members):
+                    continue
+                node, _ = _node(members)
+                if node in seen:
+                    continue
+                seen.add(node)
+                found = block_keys(members, num, den)
+                keys.append(found)
+                nodes.append(node)
+                counts.append(len(found))
+            if keys:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(keys).view(np.int64)),
+                        pa.array(np.repeat(np.array(nodes, np.int64), counts)),
+                    ],
+                    names=["key", "node"],
+                )
 
     return docs.select("text").mapInArrow(run, "key long, node long")
 
 
-def _candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, n, members, point) of the given nodes, each once.
+def point_of(members: np.ndarray) -> np.ndarray:
+    """Members per group, in as many groups as the set's size asks for; counts fit one byte.
+
+    The group is the low bits of the hash, so a point with more groups folds into one with fewer.
+    """
+    groups = GROUPS
+    while True:
+        if groups * 16 > len(members):
+            point = np.bincount((members & _u(groups - 1)).astype(np.int64), minlength=groups)
+            if point.max() < 256:
+                return point.astype(np.uint8)
+        groups *= 2
+
+
+def folded_point(point: np.ndarray, groups: int) -> np.ndarray:
+    """A point as one of fewer groups."""
+    return point.astype(np.int64).reshape(-1, groups).sum(axis=0)
 
-    A bit filter of fixed size travels to the scan, so that few other texts are shuffled;
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, members: bool) -> DataFrame:
+    """(node, n, point) or (node, members) of the given nodes, each once.
+
+    A bit filter of fixed size travels to the scan, so that few other sets are shuffled;
     the join that follows is exact.
     """
     held = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes, "node"))
 
     def run(batches):
-        bits = held.value
-        for batch in batches:
-            seen = set()
-            for part in slices(iter([batch]), "text"):
-                rows = []
-                for members in _sets(part, size):
-                    if not len(members):
-                        continue
-                    node, _ = _node(members)
-                    at = node % FILTER_BITS
-                    if node in seen or not (int(bits[at >> 6]) >> (at & 63)) & 1:
-                        continue
-                    seen.add(node)
-                    point = np.bincount((members & _u(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                    rows.append((node, len(members), members.tobytes(), point.astype(np.uint32).tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
-                        names=["node", "n", "members", "point"],
-                    )
-
-    found = docs.select("text").mapInArrow(run, "node long, n long, members binary, point binary")
-    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: first by sizes and the bound of their points, then by their sets."""
+        seen = set()
+        for part in slices(batches, "text"):
+            if len(seen) > SEEN:
+                seen.clear()
+            rows = []
+            for own in _sets(part, size):
+                if not len(own):
+                    continue
+                node, _ = _node(own)
+                if node in seen or not passes(held.value, np.int64(node)):
+                    continue
+                seen.add(node)
+                rows.append((node, own.tobytes()) if members else (node, len(own), point_of(own).tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.binary()) if members else (pa.int64(), pa.int64(), pa.binary())
+                names = ["node", "members"] if members else ["node", "n", "point"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    schema = "node long, members binary" if members else "node long, n long, point binary"
+    return docs.select("text").mapInArrow(run, schema).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose sizes fit and whose points bound their overlap high enough."""
 
     def run(batches):
         for batch in batches:
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             keep = np.zeros(batch.num_rows, bool)
-            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            for i, (x, y) in enumerate(zip(batch.column("p_a"), batch.column("p_b"))):
-                total = int(n_a[i] + n_b[i])
-                bound = np.minimum(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)).sum()
-                if int(bound) * (den + num) < total * num:
-                    continue
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("m_a", "m_b"))
-                both = np.sort(np.concatenate((x, y)))
-                same = int((both[1:] == both[:-1]).sum())
-                keep[i] = den * same >= num * (total - same)
+            for i, (x, y) in enumerate(zip(batch.column("p_a").to_pylist(), batch.column("p_b").to_pylist())):
+                groups = min(len(x), len(y))
+                one, two = (folded_point(np.frombuffer(z, np.uint8), groups) for z in (x, y))
+                keep[i] = int(np.minimum(one, two).sum()) * (den + num) >= int(total[i]) * num
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("m_a"), F.col("point").alias("p_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("m_b"), F.col("point").alias("p_b"))
-    sizes = sets.select("node", "n")
-    fit = (
-        pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("x")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("y")), "b")
-        .where(F.least("x", "y") * den >= F.greatest("x", "y") * num)
-        .select("a", "b")
+    def side(name, *columns):
+        return points.select(F.col("node").alias(name), *(F.col(c).alias(f"{c[0]}_{name}") for c in columns))
+
+    sized = (
+        pairs.join(side("a", "n"), "a").join(side("b", "n"), "b")
+        .where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    )
+    return sized.join(side("a", "point"), "a").join(side("b", "point"), "b").mapInArrow(run, "a long, b long")
+
+
+class _Verifier:
+    """Exact tests of bounded pairs; a set is computed when a pair first needs it."""
+
+    def __init__(self, docs: DataFrame, size: int, num: int, den: int):
+        self.docs, self.size, self.num, self.den = docs, size, num, den
+        self.sets: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The stored pairs (a, b) that link."""
+        num, den = self.num, self.den
+        pairs = stored(pairs, "bounded")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
+        if nodes.limit(1).count():
+            more = stored(_sets_of(self.docs, nodes, self.size, True), "sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            return pairs
+
+        def exact(batches):
+            for batch in batches:
+                keep = np.zeros(batch.num_rows, bool)
+                for i in range(batch.num_rows):
+                    x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("m_a", "m_b"))
+                    both = np.sort(np.concatenate((x, y)))
+                    same = int((both[1:] == both[:-1]).sum())
+                    keep[i] = den * same >= num * (len(both) - same)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+        one = self.sets.select(F.col("node").alias("a"), F.col("members").alias("m_a"))
+        two = self.sets.select(F.col("node").alias("b"), F.col("members").alias("m_b"))
+        return stored(pairs.join(one, "a").join(two, "b").mapInArrow(exact, "a long, b long"), "links")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: components of the components' roots."""
+    ends = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
     )
-    return fit.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    upper = connected(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "merged")
+    up = upper.select(F.col("node").alias("root"), F.col("root").alias("upper"))
+    known = roots.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+    new = upper.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return stored(known.unionByName(new), "roots")
 
 
 class CountTree:
@@ -270,7 +328,8 @@ def _tree_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def search(group):
         key, left, right = group
-        points = [np.frombuffer(b"".join(x["point"]), np.uint32).reshape(-1, GROUPS).astype(np.int64) for x in (left, right)]
+        groups = min(len(p) for x in (left, right) for p in x["point"])
+        points = [np.array([folded_point(np.frombuffer(p, np.uint8), groups) for p in x["point"]]) for x in (left, right)]
         trees = [CountTree(p, np.array(x["n"], np.int64)) for p, x in zip(points, (left, right))]
         found = trees[0].pairs(trees[1], num, den)
         node = [np.array(x["node"], np.int64) for x in (left, right)]
@@ -307,10 +366,10 @@ def _tree_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _open_blocks(shared: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Members of the blocks that still hold several components, dealt out as pairs of tiles.
+def _open_blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the blocks that still hold several components, equal blocks once.
 
-    Blocks with the same members are searched once.
+    The only pair of a block of two has been compared as a pair with its smallest node.
     """
     rows = shared.select("key", "node").join(roots, "node", "left").select(
         "key", "node", F.coalesce("root", "node").alias("root")
@@ -323,12 +382,25 @@ def _open_blocks(shared: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
             F.count("*").alias("members"),
             F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"),
         )
-        .where("low <> high")
+        .where("low <> high and members > 2")
         .groupBy("members", "mark")
         .agg(F.min("key").alias("key"))
-        .select("key")
+        .select("key", "members")
     )
-    members = rows.join(kept, "key").join(sets.select("node", "n", "point"), "node")
+    return stored(rows.join(kept, "key"), "open")
+
+
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of each member with the member of its block that meets most others in all blocks."""
+    met = rows.groupBy("node").agg(F.sum("members").alias("met"))
+    hubs = rows.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "root")).alias("hub"))
+    far = rows.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
+    return far.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def _tiles(rows: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Members of open blocks dealt out as pairs of tiles of fitting sizes."""
+    members = rows.select("key", "node", "root").join(points.select("node", "n"), "node")
     by_size = Window.partitionBy("key").orderBy("n", "node")
     tiled = members.withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / TILE).cast("int"))
     span = tiled.groupBy("key", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -336,7 +408,8 @@ def _open_blocks(shared: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
         span.select("key", F.col("tile").alias("j"), F.col("least").alias("least_j")), "key"
     ).where((F.col("i") <= F.col("j")) & (F.col("most_i") * den >= F.col("least_j") * num))
     sides = met.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-    return tiled.join(sides, ["key", "tile"])
+    # Points are joined last, to be shuffled once.
+    return tiled.join(sides, ["key", "tile"]).join(points.select("node", "point"), "node")
 
 
 def near_duplicate_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -361,35 +434,20 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, num: int = 80, den: i
         .withColumn("low", F.min("node").over(block))
         .withColumn("high", F.max("node").over(block))
         .where("low <> high")
-        .withColumn("other", F.min(F.struct(F.xxhash64("node", "key"), "node")).over(block)["node"])
+        .select("key", "node", "low")
         .distinct()
     )
-    shared = stored(shared.select("key", "node", "low", "other"), "blocks")
-    nodes = shared.select("node").distinct()
-    sets = stored(_candidate_sets(docs, nodes, size), "sets")
-
-    def ordered(column):
-        return shared.select(F.least("node", column).alias("a"), F.greatest("node", column).alias("b")).where("a <> b")
-
-    first = stored(_verified(ordered("low").unionByName(ordered("other")).distinct(), sets, num, den), "links")
-    roots = stored(connected(first), "roots")
-    rest = stored(_tree_pairs(_open_blocks(shared, roots, sets, num, den), num, den), "pairs")
-    second = stored(_verified(rest, sets, num, den), "links")
-    # Components of components: only links between different ones are left.
-    root = roots.select("node", "root")
-    merged = (
-        second.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-        .join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    )
-    upper = connected(merged, "merged")
-    up = upper.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-    final = (
-        names.join(root, "node", "left")
-        .select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-        .join(up, "root", "left")
-        .select("node", "doc_id", F.coalesce("upper", "root").alias("root"))
-    )
+    shared = stored(shared, "blocks")
+    points = stored(_sets_of(docs, shared.select("node").distinct(), size, False), "points")
+    verify = _Verifier(docs, size, num, den)
+
+    star = shared.where("node <> low").select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b"))
+    roots = stored(connected(verify.links(_bounded(star.distinct(), points, num, den))), "roots")
+    hubs = _hub_pairs(_open_blocks(shared, roots))
+    roots = _joined(roots, verify.links(_bounded(hubs, points, num, den)))
+    rest = _tree_pairs(_tiles(_open_blocks(shared, roots), points, num, den), num, den)
+    roots = _joined(roots, verify.links(rest))
+    final = names.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = final.join(least, "root").select("node", "component_id")
     return (

@@ -23,6 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most ``BATCH_ROWS`` rows: whole texts make heavy rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read back.
 

@@ -9,6 +9,7 @@ access, counting and the places of an id are answered from the file alone.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,7 +26,15 @@ from .words import slices
 MAGIC = b"WVM1"
 BLOCK = 512  # bits between two stored ranks
 SHARD_TOKENS = 1 << 21
-CACHED_WORDS = 600_000  # of a worker's memory of encoded words
+CACHED_WORDS = 700_000  # of a worker's memory of encoded words
+
+_STOP = re.compile(r"[.,](?<=[^\W_][.,])(?=[ \n]|\Z)")
+_PLAIN_STOP = re.compile(r"[.,](?<=[A-Za-z0-9][.,])(?=[ \n]|\Z)")
+
+
+# Byte-level vocabularies write a byte without a visible character of its own as 256, 257, ...
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
 class WaveletMatrix:
@@ -47,7 +56,7 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, zeros = [], []
         for bit in range(width - 1, -1, -1):
-            ones = (now >> bit) & 1 == 1
+            ones = (now & (1 << bit)).astype(bool)
             planes.append(np.packbits(ones))
             low = now[~ones]
             zeros.append(len(low))
@@ -153,49 +162,80 @@ class WaveletMatrix:
         return cls(header["n"], planes, header["zeros"])
 
 
+class _Known(dict):
+    """Ids of words, computed on first use. Of two halves the older is dropped when the newer is full."""
+
+    def __init__(self, ids: Callable[[str], bytes]):
+        super().__init__()
+        self.ids, self.older = ids, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHED_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(word)
+        if found is None:
+            found = self.ids(word)
+        self[word] = found
+        return found
+
+
 class WordEncoder:
     """Ids of whole texts, with a bounded memory of words between spaces or line ends.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its words one after the other. Words of ASCII letters are looked up in lower case, which
-    is what the tokenizer reads; a letter word's full stop or comma is a token of its own.
+    its words one after the other. Nor does it join a full stop or comma between a letter or
+    digit and white space with either, so that one counts as a word. A text of Latin-1 characters
+    is looked up in lower case, which is what the tokenizer reads.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        base = {}
-        for word in words:
-            core, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[:-1].isalpha() else (word, "")
-            if core.isascii():
-                core = core.lower()
-            base[word] = (core, tail)
-        need = [w for w in {x for pair in base.values() for x in pair} if w not in known]
-        for word, found in zip(need, self.tokenizer.encode_batch_fast(need, add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        for word, (core, tail) in base.items():
-            known[word] = known[core] + known[tail]
+        self.model = self.tokenizer.model
+        # The bytes of an id: two where all ids fit.
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.known = _Known(self._ids)
+
+    def _ids(self, word: str) -> bytes:
+        letters = self._byte_letters(word)
+        if letters is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            # Letters whose lower case is not one letter, or depends on others, stay as they are.
+            return _PLAIN_STOP.sub(r" \g<0>", text).replace("\n", " ").split(" ")
+        return _STOP.sub(r" \g<0>", text).replace("\n", " ").split(" ")
+
+    @staticmethod
+    def _byte_letters(word: str) -> str | None:
+        """The model's own spelling of a word that the steps before the model leave as it is.
+
+        Lower-case Latin-1 letters: composed already, one run, written byte by byte.
+        """
+        if not word.isalpha() or word != word.lower():
+            return None
+        if word.isascii():
+            return word
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return word.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        out = []
-        for words in parts:
-            missing = {w for w in words if w not in self.known}
-            if missing:
-                self._learn(missing)
-                for w in set(words):  # the memory may have been emptied
-                    if w not in self.known:
-                        self._learn({w})
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+        """Ids of each text as little-endian numbers of ``dtype``."""
+        return [b"".join(map(self.known.__getitem__, self._split(t))) for t in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -226,12 +266,12 @@ def write_shards(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], encode.dtype).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, held, total = [], [], [], 0
 
         def shard():
-            flat = np.frombuffer(b"".join(held), "<u4")
+            flat = np.frombuffer(b"".join(held), encode.dtype)
             matrix = WaveletMatrix.build(flat, width).to_bytes()
             columns = [[part], [seq], [len(ids)], [len(flat)], [ids], [lengths], [matrix]]
             kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
@@ -240,11 +280,11 @@ def write_shards(
                 names=["part", "seq", "n_docs", "n_tokens", "doc_ids", "lengths", "matrix"],
             )
 
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode.encode(texts)):
                 ids.append(doc_id)
-                lengths.append(len(found) // 4 + 1)
+                lengths.append(len(found) // encode.dtype.itemsize + 1)
                 held += [found, end]
                 total += lengths[-1]
                 if total >= shard_tokens:
@@ -262,6 +302,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the shard files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # of a worker that has written shards before
         for batch in batches:
             for row in batch.to_pylist():
                 ids = WaveletMatrix.from_bytes(row["matrix"]).decode().astype("<u4")

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_PIECE = 1 << 21
+_PIECE = 1 << 19
 
 # Fixed values: \x20 and \x09-\x0D.
 WHITE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -105,7 +105,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``limit`` bytes of text, or one longer text."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
