@@ -172,7 +172,7 @@ def point_of(members: np.ndarray) -> np.ndarray:
 
 def folded_point(point: np.ndarray, groups: int) -> np.ndarray:
     """A point as one of fewer groups."""
-    return point.astype(np.int64).reshape(-1, groups).sum(axis=0)
+    return point.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, members: bool) -> DataFrame:
@@ -305,8 +305,8 @@ class CountTree:
                 now = _children(now, 0, len(mine[level][0]), mine[level] is not mine[level + 1])
                 now = _children(now, 1, len(theirs[level][0]), theirs[level] is not theirs[level + 1])
             kept = []
-            for part in np.array_split(now, len(now) // 4096 + 1):
-                (p, low), (q, low2) = mine[level], theirs[level]
+            (p, low), (q, low2) = mine[level], theirs[level]
+            for part in np.array_split(now, len(now) * p.shape[1] // (1 << 18) + 1):
                 bound = np.minimum(p[part[:, 0]], q[part[:, 1]]).sum(axis=1, dtype=np.int64)
                 kept.append(part[bound * (den + num) >= (low[part[:, 0]] + low2[part[:, 1]]) * num])
             now = np.concatenate(kept)

@@ -116,3 +116,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             end = max(begin + 1, int(np.searchsorted(total, base + limit, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    pa.default_memory_pool().release_unused()  # workers live on between stages
