@@ -48,7 +48,8 @@ class Templates:
             self.weights[name] = {t: w / length for t, w in sorted(raw.items())}
             # By Cauchy-Schwarz a line has at most the length of the part it can meet.
             left = 1.0
-            for t, w in sorted(self.weights[name].items(), key=lambda x: (-x[1], x[0])):
+            # Any order is safe; long words first, since short ones are met in most texts.
+            for t, w in sorted(self.weights[name].items(), key=lambda x: (len(x[0]) <= 3, -x[1], x[0])):
                 if math.sqrt(max(left, 0.0)) < threshold:
                     break
                 anchors.add(t)
@@ -57,7 +58,7 @@ class Templates:
 
     def gate(self, text: Column) -> Column:
         """False only for texts in which no line can reach the threshold."""
-        return text.rlike("(?i)(?:" + "|".join(self.anchors) + ")")
+        return text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(self.anchors) + ")(?![a-z0-9])")
 
 
 def tokens(text: Column) -> Column:
