@@ -28,6 +28,9 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 
+# English words that nearly every text holds.
+COMMON = {"all", "and", "are", "by", "in", "is", "of", "or", "the", "this", "to", "with"}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,8 +51,9 @@ class Templates:
             self.weights[name] = {t: w / length for t, w in sorted(raw.items())}
             # By Cauchy-Schwarz a line has at most the length of the part it can meet.
             left = 1.0
-            # Any order is safe; long words first, since short ones are met in most texts.
-            for t, w in sorted(self.weights[name].items(), key=lambda x: (len(x[0]) <= 3, -x[1], x[0])):
+            # Any order is safe; words that most texts hold come last, the lightest of them first.
+            order = sorted(self.weights[name].items(), key=lambda x: (x[0] in COMMON, x[1] if x[0] in COMMON else -x[1], x[0]))
+            for t, w in order:
                 if math.sqrt(max(left, 0.0)) < threshold:
                     break
                 anchors.add(t)
