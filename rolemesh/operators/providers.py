@@ -133,11 +133,12 @@ def decode_results(df: DataFrame, column: str, default_provenance: str, lenient:
     def evidence(v) -> Column:
         if not lenient:
             return _list(F.try_variant_get(v, "$.evidence", "variant"), False)
-        picks = [
-            F.when(F.size(_list(F.try_variant_get(v, f"$.{k}", "variant"), True)) > 0,
-                   _list(F.try_variant_get(v, f"$.{k}", "variant"), True))
-            for k in ("evidence", "evidence_quotes", "source_spans")
-        ]
+        # An empty text or list falls through to the next key.
+        picks = []
+        for k in ("evidence", "evidence_quotes", "source_spans"):
+            found = _list(F.try_variant_get(v, f"$.{k}", "variant"), True)
+            blank = F.coalesce(F.try_variant_get(v, f"$.{k}", "string") == "", F.lit(False))
+            picks.append(F.when((F.size(found) > 0) & ~blank, found))
         return F.coalesce(*picks, F.array().cast("array<string>"))
 
     def score(c: Column) -> Column:
