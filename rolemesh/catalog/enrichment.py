@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, enrich, providers
+from ..operators.vocabulary import load_taxonomy
 from ..plans import standins
 from ..plans.standins import RULES, TAXONOMY, table
 from ..schemas import CACHE
@@ -117,8 +118,9 @@ def skill_matches(spark, sf):
 
 @query("skill_matches_large_taxonomy", SKILL_MATCHES)
 def skill_matches_large_taxonomy(spark, sf):
-    """The same matches by the route taken when a taxonomy is too large for the plan."""
-    return _flat_matches(enrich.enrich(_jobs(spark, sf), TAXONOMY, RULES, max_inline=0))
+    """The same matches with 2,000 more entries in the taxonomy, whose words no text has."""
+    unused = load_taxonomy({f"qz{i}xj": {"label": f"Unused {i}"} for i in range(2_000)})
+    return _flat_matches(enrich.enrich(_jobs(spark, sf), [*TAXONOMY, *unused], RULES))
 
 
 @query("enriched_jobs", CTES.rstrip() + f""",
@@ -278,6 +280,53 @@ def _responses(spark, sf):
     return providers.parse_provider_responses(answers, "test-model")
 
 
+@query("enveloped_provider_responses", with_(f"d AS (SELECT doc_id, {strip('text')} AS summary FROM documents)") + """
+SELECT doc_id AS job_id, nullif(summary, '') AS summary, 'quoted' AS evidence FROM d""")
+def enveloped_provider_responses(spark, sf):
+    """Whole texts as answers in every shape of a response body, blank evidence before the quoted one."""
+    d = table(spark, sf, "documents")
+    answer = F.to_json(
+        F.struct(F.col("text").alias("summary"), F.lit("").alias("evidence"), F.array(F.lit("quoted")).alias("evidence_quotes"))
+    )
+    half = F.floor(F.length(answer) / 2).cast("int")
+
+    def part(value):
+        return F.struct(F.lit("text").alias("type"), value.alias("text"))
+
+    parts = F.array(part(F.substring(answer, F.lit(1), half)), part(F.substring(answer, half + 1, F.length(answer))))
+    chat = F.to_json(F.struct(F.array(F.struct(F.struct(answer.alias("content")).alias("message"))).alias("choices")))
+    chat_parts = F.to_json(F.struct(F.array(F.struct(F.struct(parts.alias("content")).alias("message"))).alias("choices")))
+    plain = F.to_json(F.struct(answer.alias("output_text")))
+    output = F.to_json(F.struct(F.array(F.struct(parts.alias("content"))).alias("output")))
+    lang = F.col("lang")
+    body = F.when(lang == "en", chat).when(lang == "de", chat_parts).when(lang == "fr", plain).otherwise(output)
+    answers = d.select(F.col("doc_id").alias("job_id"), providers.response_content(body).alias("content"))
+    good, _ = providers.parse_provider_responses(answers, "test-model")
+    return good.select("job_id", "summary", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("upserted_enrichment", """
+WITH r AS (
+  SELECT doc_id // 4 AS job_id, source AS summary, lang AS seniority, doc_id AS ord, 'run-' || source AS written_at FROM documents
+  UNION ALL SELECT d.doc_id // 4, NULL, d.lang, 1000000000000 + d.doc_id, 'run-x' FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels))
+SELECT job_id, summary, seniority, created_at, updated_at FROM (
+  SELECT *, min(written_at) OVER w AS created_at, max(written_at) OVER w AS updated_at,
+         row_number() OVER (PARTITION BY job_id ORDER BY ord DESC) AS back FROM r WINDOW w AS (PARTITION BY job_id)) WHERE back = 1""")
+def upserted_enrichment(spark, sf):
+    """Four documents are results of one job; labelled ones come again without a summary."""
+    d = table(spark, sf, "documents")
+    job = F.floor(F.col("doc_id") / 4).cast("long").alias("job_id")
+    first = d.select(job, F.col("source").alias("summary"), F.col("lang").alias("seniority"), F.col("doc_id").cast("long").alias("ord"),
+                     F.concat(F.lit("run-"), "source").alias("written_at"))
+    again = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(
+        job, F.lit(None).cast("string").alias("summary"), F.col("lang").alias("seniority"),
+        (F.col("doc_id") + F.lit(1_000_000_000_000)).alias("ord"), F.lit("run-x").alias("written_at"),
+    )
+    return enrich.upsert_enrichment(first.unionByName(again), "ord", "written_at").select(
+        "job_id", "summary", "seniority", "created_at", "updated_at"
+    )
+
+
 @query("invalid_results", "SELECT doc_id::VARCHAR AS job_id, 'skills must be a list' AS reason FROM documents WHERE lang = 'fr'")
 def invalid_results(spark, sf):
     results = enrich.enrich(_jobs(spark, sf), TAXONOMY, RULES)

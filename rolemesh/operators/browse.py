@@ -298,7 +298,7 @@ def induced_subgraph(g: GraphTables, wanted: DataFrame) -> tuple[DataFrame, Data
     """Nodes of ``wanted`` (id) with degree and subtitle, and the edges between them."""
     ids = wanted.select("id").distinct()
     nodes = node_subtitle(g, g.nodes.select("id", "type", "label").join(ids, "id", "left_semi"))
-    nodes = nodes.join(graph.degree(g.edges), "id", "left").withColumn(
+    nodes = nodes.join(graph.degree(g.edges, ids), "id", "left").withColumn(
         "degree", F.coalesce("degree", F.lit(0).cast("long"))
     )
     edges = (

@@ -15,9 +15,6 @@ KEYWORD = "[A-Za-z][A-Za-z0-9+-]+"
 STOP_WORDS = ["the", "and", "with", "for", "you", "our", "will", "this", "that", "are", "job", "role"]
 KEYWORDS_READ, KEYWORDS_KEPT = 100, 12
 
-# A driver-side alias map above this size is joined like any other table.
-MAX_BROADCAST_ALIASES = 100_000
-
 
 def insert_if_absent(raw: DataFrame, existing_keys: DataFrame | None = None) -> DataFrame:
     """Raw postings whose source key is new; of equal keys in the batch the first stays."""
@@ -39,8 +36,7 @@ def alias_table(spark, aliases: dict) -> DataFrame:
         (key, value, None) if isinstance(value, str) else (key, value["id"], value.get("name") or None)
         for key, value in aliases.items()
     ]
-    table = spark.createDataFrame(rows, "alias_key string, alias_id string, alias_name string")
-    return F.broadcast(table) if len(rows) <= MAX_BROADCAST_ALIASES else table
+    return spark.createDataFrame(rows, "alias_key string, alias_id string, alias_name string")
 
 
 def resolve_company(df: DataFrame, aliases: DataFrame, name: str = "company_name") -> DataFrame:

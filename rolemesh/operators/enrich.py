@@ -7,6 +7,7 @@ words occurs among the tokens of the text.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..schemas import ENRICHMENT, SKILL_MATCH
 from ..session import cut_lineage
-from .dedupe import upsert_job_skill_edges, upsert_skills
+from .dedupe import upsert_job_skill_edges, upsert_last_wins, upsert_skills
 from .ranking import first_per_key
 from .vocabulary import BULLET_MARKS, CJK, SENTENCE_END, Rules, Skill, taxonomy_hash
 
@@ -28,9 +29,6 @@ EVIDENCE_PER_SKILL, EVIDENCE_PER_JOB = 5, 20
 HEURISTIC = "heuristic"
 PROVENANCE = "heuristic+taxonomy"
 
-# Up to this many entries the taxonomy travels inside the plan; above it, by a join.
-MAX_INLINE_SKILLS = 1_000
-
 _ENTRY = (
     "struct<pos:int,skill_id:string,label:string,normalized_label:string,"
     "aliases:array<string>,parent_id:string,category:string,keys:array<string>,"
@@ -68,16 +66,6 @@ def _entry(pos: int, skill: Skill) -> tuple:
     )
 
 
-def _literal(value) -> Column:
-    if isinstance(value, (list, tuple)):
-        return F.array(*[F.lit(v) for v in value]).cast("array<string>")
-    return F.lit(value)
-
-
-def _entry_literal(entry: tuple) -> Column:
-    return F.struct(*[_literal(v) for v in entry]).cast(_ENTRY)
-
-
 def split_sentences(c: Column) -> Column:
     """Split after ``.!?`` plus white space and right after CJK terminators."""
     return F.filter(F.split(c, SENTENCE_END, -1), lambda s: s != "")
@@ -154,71 +142,38 @@ def _match(entry: Column, sentences: Column, description: Column, tokens: Column
     return text.let(evidence, lambda found: F.when(F.size(found) > 0, classify(found)))
 
 
-def _candidates_inline(df: DataFrame, entries: list[tuple]) -> DataFrame:
-    """Candidate entries by looking the taxonomy's words up among each text's tokens."""
-    all_keys = sorted({k for e in entries for k in e[7] if k})
-    has_cjk = F.col("description_text").rlike(CJK)
-    lowered = F.lower("description_text")
-
-    def possible(entry: tuple) -> Column:
-        keys = [k for k in entry[7] if k]
-        test = F.arrays_overlap(F.col("_hits"), _literal(keys)) if keys else F.lit(False)
-        if "" in entry[7]:
-            return F.lit(True)
-        if entry[10]:
-            cjk = F.lit(False)
-            for term in entry[10]:
-                cjk = cjk | F.contains(lowered, F.lit(term))
-            test = test | (has_cjk & cjk)
-        return test
-
-    return df.withColumn("_hits", F.array_intersect("_tokens", _literal(all_keys))).withColumn(
-        "_entries",
-        F.array_compact(F.array(*[F.when(possible(e), _entry_literal(e)) for e in entries]))
-        if entries
-        else F.array().cast(f"array<{_ENTRY}>"),
-    )
+def _constant(value, kind: str) -> Column:
+    """A driver-side value as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
 
 
-def _candidates_joined(df: DataFrame, entries: list[tuple], key: str) -> DataFrame:
-    """Same candidates for a large taxonomy: tokens meet words in an equi-join.
+def _candidates(df: DataFrame, entries: list[tuple]) -> DataFrame:
+    """Adds ``_entries``: what can match a text, in taxonomy order.
 
-    CJK terms have no tokens; each is cut to its first two characters and meets the
-    character pairs of the text the same way. One-character terms meet single characters.
+    The taxonomy travels as constants: a text's distinct words are met with the taxonomy's
+    words, and only those in both are looked up. CJK terms are tested as substrings, where
+    the text has CJK letters at all.
     """
-    spark = df.sparkSession
-    terms = {(k, e[0]) for e in entries for k in e[7] if k}
-    terms |= {(t[:2], e[0]) for e in entries for t in e[10]}
-    words = spark.createDataFrame(sorted(terms), "_token string, _pos int")
-    table = spark.createDataFrame([(e[0], e) for e in entries], f"_pos int, _entry {_ENTRY}")
-    always = [e for e in entries if "" in e[7]]
-
-    cjk_text = F.regexp_replace("description_text", "[^一-鿿]", " ")
-    singles = F.filter(F.split(cjk_text, ""), lambda ch: (ch != "") & (ch != " "))
-    lowered = F.lower("description_text")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(lowered) - 1, F.lit(1))),
-        lambda i: F.substring(lowered, i, F.lit(2)),
-    )
-    cjk_grams = F.when(
-        F.col("description_text").rlike(CJK),
-        F.array_union(singles, F.filter(pairs, lambda p: p.rlike(CJK))),
-    ).otherwise(F.array().cast("array<string>"))
-    found = (
-        df.select(key, F.explode(F.array_union("_tokens", cjk_grams)).alias("_token"))
-        .join(words, "_token")
-        .select(key, "_pos")
-        .distinct()
-        .join(table, "_pos")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list("_entry")).alias("_found"))
+    places: dict[str, list[int]] = {}
+    for entry in entries:
+        for word in entry[7]:
+            if word:
+                places.setdefault(word, []).append(entry[0])
+    names = re.findall(r"(\w+):", re.sub("<string>", "", _ENTRY))
+    table = _constant([dict(zip(names, e)) for e in entries], f"array<{_ENTRY}>")
+    by_word = _constant(places, "map<string,array<int>>")
+    always = _constant([e[0] for e in entries if "" in e[7]], "array<int>")
+    terms = _constant([{"term": t, "pos": e[0]} for e in entries for t in e[10]], "array<struct<term:string,pos:int>>")
+
+    hits = F.array_intersect("_tokens", _constant(sorted(places), "array<string>"))
+    worded = F.flatten(F.transform(hits, lambda word: F.element_at(by_word, word)))
+    inside = text.let(
+        F.lower("description_text"),
+        lambda low: F.transform(F.filter(terms, lambda t: F.contains(low, t["term"])), lambda t: t["pos"]),
     )
-    extra = F.array(*[_entry_literal(e) for e in always]).cast(f"array<{_ENTRY}>")
-    joined = df.join(found, key, "left")
-    merged = F.coalesce(F.col("_found"), F.array().cast(f"array<{_ENTRY}>"))
-    if always:
-        merged = F.array_sort(F.array_union(merged, extra))
-    return joined.withColumn("_entries", merged).drop("_found")
+    cjk = F.when(F.col("description_text").rlike(CJK), inside).otherwise(F.array().cast("array<int>"))
+    positions = F.array_sort(F.array_distinct(F.concat(worded, cjk, always)))
+    return df.withColumn("_entries", F.transform(positions, lambda at: F.get(table, at)))
 
 
 def _bullets(described: Column, cue: text.Cue) -> Column:
@@ -263,7 +218,6 @@ def enrich(
     taxonomy: list[Skill],
     rules: Rules = Rules(),
     key: str = "id",
-    max_inline: int = MAX_INLINE_SKILLS,
 ) -> DataFrame:
     """Jobs (key, title, description_text, remote_mode) -> enrichment rows, one per job."""
     entries = [_entry(i, s) for i, s in enumerate(taxonomy)]
@@ -275,10 +229,7 @@ def enrich(
     ).withColumn(
         "_tokens", F.array_distinct(F.flatten(F.col("_described.tokens")))
     )
-    if len(entries) <= max_inline:
-        candidates = _candidates_inline(tokenised, entries)
-    else:
-        candidates = _candidates_joined(tokenised, entries, key)
+    candidates = _candidates(tokenised, entries)
     matched = F.filter(
         F.transform(
             F.col("_entries"),
@@ -369,7 +320,9 @@ def cached_enrichment(
     keyed = jobs.withColumn(
         "cache_key", F.when(has_hash, ids.cache_key(F.col("description_hash"), signature, digest))
     )
-    readable = cache.select(
+    # Only rows that some job asks for are parsed.
+    asked = cache.join(keyed.select("cache_key").distinct(), "cache_key", "left_semi")
+    readable = asked.select(
         "cache_key", F.from_json("result_json", ENRICHMENT, {"mode": "PERMISSIVE"}).alias("cached")
     ).where(F.col("cached.job_id").isNotNull())
     looked_up = keyed.join(readable, "cache_key", "left")
@@ -420,10 +373,18 @@ def cached_enrichment(
     return answered, fresh, counts
 
 
+def upsert_enrichment(results: DataFrame, order: str, written_at: str) -> DataFrame:
+    """One enrichment row per job: the last result by ``order`` with all its values, even null;
+    created_at is the first ``written_at`` of the job and updated_at the last."""
+    values = [c for c in results.columns if c not in ("job_id", "skills", order, written_at)]
+    return upsert_last_wins(results, ["job_id"], order, values, created=written_at, updated=written_at)
+
+
 def store_results(results: DataFrame) -> dict[str, DataFrame]:
     """Enrichment rows, skills and job-skill edges to upsert from a batch of results.
 
     Order within the batch is (job id, position of the match), which fixes who is last.
+    A batch holds one result per job; :func:`upsert_enrichment` folds several.
     """
     good = results.where((F.coalesce("job_id", F.lit("")) != "") & F.col("skills").isNotNull())
     matches = skill_matches(good).withColumn("ord", F.struct("job_id", "pos"))

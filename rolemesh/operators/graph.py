@@ -214,13 +214,12 @@ def company_skill_stats(known: DataFrame) -> DataFrame:
     return known.groupBy("company_id", "skill_id").agg(F.count("*").alias("n"))
 
 
-def degree(edges: DataFrame) -> DataFrame:
-    """Edges touching a node; a self-loop counts twice."""
-    return (
-        edges.select(F.explode(F.array("source", "target")).alias("id"))
-        .groupBy("id")
-        .agg(F.count("*").alias("degree"))
-    )
+def degree(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Edges touching a node; a self-loop counts twice. ``ids`` (id) limits the count to its nodes."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id"))
+    if ids is not None:
+        ends = ends.join(ids.select("id"), "id", "left_semi")
+    return ends.groupBy("id").agg(F.count("*").alias("degree"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from .vocabulary import Rules, Skill, taxonomy_records
 
 # Envelope keys of model responses and limits of a request.
 WRAPPERS = ("result", "data", "payload", "output", "response")
+TEXT_PARTS = ("output_text", "text")
 RESULT_KEYS = ("summary", "role_family", "skills", "confidence")
 REQUEST_SKILLS, REQUEST_ALIASES = 250, 5
 RESPONSE_VERSION = "openai-compatible-v2"
@@ -229,6 +230,37 @@ def response_object(content: pd.Series) -> pd.Series:
     return content.map(_object_text)
 
 
+def _joined_texts(items: Column) -> Column:
+    """The texts of message parts in one; null when there is none."""
+    parts = F.filter(items, lambda x: F.try_variant_get(x, "$.type", "string").isin(*TEXT_PARTS))
+    texts = F.transform(parts, lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit("")))
+    return text.blank_to_null(F.array_join(texts, ""))
+
+
+def response_content(body: Column) -> Column:
+    """The answer text inside a stored response body; null for a body of another shape.
+
+    A chat body holds it in its first choice, as text or as parts; other bodies in
+    ``output_text`` or in the parts of their ``output`` items, in this order.
+    """
+
+    def read(v: Column) -> Column:
+        def get(path: str, kind: str) -> Column:
+            return F.try_variant_get(v, "$." + path, kind)
+
+        message = "choices[0].message.content"
+        chat = F.coalesce(_joined_texts(get(message, "array<variant>")), get(message, "string"))
+        contents = F.transform(get("output", "array<variant>"), lambda o: F.try_variant_get(o, "$.content", "array<variant>"))
+        parts = F.flatten(F.filter(contents, lambda c: c.isNotNull()))
+        return (
+            F.when(F.size(get("choices", "array<variant>")) > 0, chat)
+            .when(get("output_text", "variant").isNotNull(), get("output_text", "string"))
+            .otherwise(_joined_texts(parts))
+        )
+
+    return read(F.try_parse_json(body))
+
+
 def parse_provider_responses(
     responses: DataFrame, model: str, provider: str = "openai-compatible"
 ) -> tuple[DataFrame, DataFrame]:

@@ -25,9 +25,9 @@ TAXONOMY = load_taxonomy(
 )
 
 ROWS = [
-    ("j1", "高级后端开发工程师", "岗位职责：负责视频推荐系统的后端服务开发，使用 Java 构建。结合机器学习优化效果。\n任职要求：精通 Java。熟悉 SQL 数据库。\n加分项：有大模型 LLM 落地经验。"),
-    ("j2", "2026校招 - 算法工程师", "工作职责：负责多模态算法研究。\n岗位要求：熟悉 Python，了解框架。\n优先考虑：有大模型经验。"),
-    ("j3", "Senior Machine Learning Engineer", "Responsibilities: Build ML pipelines. Required: Python, SQL, machine learning. Nice to have: LLM experience. Pay $120,000 - 150,000 a year."),
+    ("j1", "高级服务端工程师", "岗位职责：维护广告推荐系统与后端接口，日常用 Java 编写。用机器学习改进排序。\n任职要求：Java 基础扎实。会写 SQL 查询。\n加分项：做过大模型 LLM 应用。"),
+    ("j2", "校招 - 语音算法工程师", "工作职责：做多模态检索研究。\n岗位要求：会用 Python，读过框架源码。\n优先考虑：参与过大模型训练。"),
+    ("j3", "Senior Ranking Engineer", "Responsibilities: Own ranking models from data to launch. Required: SQL, Python, machine learning. Nice to have: LLM tuning. Pay $90,000 - 130,000 a year."),
     ("j4", "使用Java构建", "C++ dev wanted! C++11 and cpp are a plus. 使用Java构建"),
     ("j5", "", ""),
     ("j6", "Mobile", None),
@@ -38,7 +38,8 @@ ROWS = [
 def results(spark):
     jobs = spark.createDataFrame([(*r, "remote") for r in ROWS], "id string, title string, description_text string, remote_mode string")
     rows = E.enrich(jobs, TAXONOMY).collect()
-    large = E.enrich(jobs, TAXONOMY, max_inline=0).collect()
+    unused = load_taxonomy({f"qz{i}xj": {"label": f"Unused {i}"} for i in range(1_500)})
+    large = E.enrich(jobs, [*TAXONOMY, *unused]).collect()
     assert sorted(map(str, rows)) == sorted(map(str, large))
     return {r.job_id: r for r in rows}
 
@@ -64,8 +65,8 @@ def test_english_posting(results):
     row = results["j3"]
     assert set(labels(row)) == {"Python", "SQL", "Machine Learning", "LLM"}
     assert row.seniority == "senior" and row.role_family == "machine-learning"
-    assert row.salary_text == "$120,000 - 150,000"
-    assert row.summary == "Responsibilities: Build ML pipelines. Required: Python, SQL, machine learning."
+    assert row.salary_text == "$90,000 - 130,000"
+    assert row.summary == "Responsibilities: Own ranking models from data to launch. Required: SQL, Python, machine learning."
     assert row.responsibilities[0].startswith("Required") and len(row.responsibilities) == 3
     assert labels(row)["Python"].confidence == 0.75
     assert row.confidence == 0.55 and row.remote_mode_inferred == "remote"
@@ -148,6 +149,30 @@ def test_provider_answers(spark):
     assert sorted(r.job_id for r in bad.collect()) == ["broken", "many"]
 
 
+def test_response_bodies(column):
+    parts = [{"type": "text", "text": "a"}, {"type": "image", "text": "x"}, "noise", {"type": "output_text", "text": "b"}]
+    bodies = [
+        {"choices": [{"message": {"content": "plain"}}], "output_text": "later"},
+        {"choices": [{"message": {"content": parts}}]},
+        {"choices": [], "output_text": "text"},
+        {"output": [{"content": parts}, {}, {"content": [{"type": "text", "text": ""}]}]},
+        {"choices": [{"message": {"content": {"summary": "s"}}}]},
+        {"output": []},
+        {"other": 1},
+    ]
+    values = [json.dumps(b) for b in bodies] + ["{broken", None]
+    assert column(values, lambda v: providers.response_content(v)) == [
+        "plain", "ab", "text", "ab", '{"summary":"s"}', None, None, None, None,
+    ]
+
+
+def test_last_result_of_a_job_stays(spark):
+    rows = [("a", "old", "x", 1, "t1"), ("a", None, "y", 3, "t3"), ("a", "mid", "z", 2, "t2"), ("b", "one", None, 1, "t9")]
+    results = spark.createDataFrame(rows, "job_id string, summary string, seniority string, ord long, at string")
+    out = {r.job_id: tuple(r)[1:] for r in E.upsert_enrichment(results, "ord", "at").collect()}
+    assert out == {"a": (None, "y", "t1", "t3"), "b": ("one", None, "t9", "t9")}
+
+
 def test_requests_hold_the_taxonomy(spark):
     jobs = spark.createDataFrame([("a",)], "id string")
     for c in ("title", "company_name", "location_text", "description_text", "source_url", "remote_mode", "employment_type", "description_hash"):

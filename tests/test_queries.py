@@ -17,7 +17,7 @@ FAST = [
     "slugs_of_documents", "derived_ids", "cleaned_whitespace", "clean_page_urls", "normalized_dates",
     "raw_insert_if_absent", "events_last_wins", "events_last_wins_in_parts", "normalized_jobs", "upserted_jobs",
     "skill_matches", "skill_matches_large_taxonomy", "enriched_jobs", "cache_counters",
-    "parsed_provider_responses", "greenhouse_postings", "lever_postings", "ashby_postings", "jsonld_postings",
+    "parsed_provider_responses", "enveloped_provider_responses", "upserted_enrichment", "greenhouse_postings", "lever_postings", "ashby_postings", "jsonld_postings",
     "resolved_detail_payloads", "merged_detail_records", "raw_job_violations", "source_report",
     "company_root_similarity", "job_root_similarity",
 ]
