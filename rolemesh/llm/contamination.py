@@ -2,13 +2,16 @@
 
 Test items are indexed by words; every passage of every training text is a query. An item
 is retrieved when the BM25 score of the passage reaches a share of the score that the item
-gives itself. Retrieved pairs are verified on their words: enough of the item's question
-part and of its answer part has to occur in the passage and its surroundings.
+gives itself. A passage may hold only part of a long item, so items are also indexed as
+overlapping pieces, each short enough to lie whole in some passage wherever it stands, and
+retrieved by the score that a piece gives itself. Retrieved pairs are verified on their
+words: enough of the item's question part and of its answer part has to occur in the
+passage and its surroundings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +24,8 @@ from .words import NOT_WORD, hash_words, shingles, slices
 
 K1, B = 1.2, 0.75
 PASSAGE, STEP = 64, 32  # words of a passage and from one passage to the next
-SCORE = 0.6  # of the score that an item gives itself
+PIECE, PIECE_STEP = PASSAGE - STEP + 1, (PASSAGE - STEP) // 2  # words of a piece, which some passage holds whole
+SCORE = 0.6  # of the score that an item, or a piece of it, gives itself
 OVERLAP = 0.6  # of the n-grams of the question, and of the answer
 NGRAM = 3
 BLOCK = 8  # items of a block with stored maxima
@@ -39,12 +43,19 @@ def question_and_answer(words: np.ndarray, answer: float = 0.25) -> tuple[np.nda
     return (words[:cut] if cut else words), words[cut:]
 
 
+def pieces_of(words: np.ndarray) -> list[np.ndarray]:
+    """Overlapping pieces that cover an item, the last one at its end; none for an item that is no longer than a piece."""
+    last = len(words) - PIECE
+    return [words[k : k + PIECE] for k in (*range(0, last, PIECE_STEP), last)] if last > 0 else []
+
+
 @dataclass
 class Index:
-    """Inverted index of one shard of items, scores as shares of each item's own score."""
+    """Inverted index of one shard of items, or of their pieces, scores as shares of each entry's own score."""
 
     items: list  # ids
     words: list[np.ndarray]
+    owner: list[int]  # the item of each entry
     terms: np.ndarray  # sorted
     begins: np.ndarray  # of each term's postings
     item: np.ndarray
@@ -53,11 +64,14 @@ class Index:
     block_most: np.ndarray  # the largest score of each term in each block of items; one row of zeros more
 
     @classmethod
-    def build(cls, ids: list, texts: list[str], df: dict[int, int], n_items: int, mean: float) -> "Index":
+    def build(
+        cls, ids: list, texts: list[str], df: dict[int, int], n_items: int, mean: float, pieces: bool = False
+    ) -> "Index":
         hashes, at = _words(pa.array(texts, pa.string()))
         words = [hashes[at[i] : at[i + 1]] for i in range(len(ids))]
+        entries = [(i, e) for i, w in enumerate(words) for e in (pieces_of(w) if pieces else [w])]
         rows = []
-        for i, w in enumerate(words):
+        for i, (_, w) in enumerate(entries):
             term, tf = np.unique(w, return_counts=True)
             if not len(term):
                 continue
@@ -73,10 +87,11 @@ class Index:
         terms, begins = np.unique(term, return_index=True)
         begins = np.append(begins, len(term))
         most = np.maximum.reduceat(score, begins[:-1]) if len(terms) else score
-        block_most = np.zeros((len(terms) + 1, max(1, -(-len(ids) // BLOCK))), np.float32)
+        block_most = np.zeros((len(terms) + 1, max(1, -(-len(entries) // BLOCK))), np.float32)
         np.maximum.at(block_most, (np.repeat(np.arange(len(terms)), np.diff(begins)), item // BLOCK), score)
         # Rounded up, so that single precision never undercuts a score.
-        return cls(ids, words, terms, begins, item, score, most, np.nextafter(block_most, np.float32(2)) * (block_most > 0))
+        block_most = np.nextafter(block_most, np.float32(2)) * (block_most > 0)
+        return cls(ids, words, [i for i, _ in entries], terms, begins, item, score, most, block_most)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 where no item has it."""
@@ -86,7 +101,7 @@ class Index:
         return np.where(self.terms[at] == hashes, at, -1)
 
     def search(self, query: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All items whose score reaches ``threshold``, by document-at-a-time block-max WAND.
+        """All entries whose score reaches ``threshold``, by document-at-a-time block-max WAND.
 
         Cursors stand in the postings of the query's terms in order of item. The pivot is the
         first item at which the maxima of the terms up to it reach the threshold. If the
@@ -188,8 +203,9 @@ def find_leaks(
     One row per row of ``docs`` (doc_id, text) and leaked item of ``benchmark`` (item_id,
     text), with the best passage (ties: the first). Words are runs of letters and digits,
     lower case. Null or empty texts and items match nothing; repeated rows each get their
-    rows; items that occur twice are reported by each id. An item of up to ``PASSAGE``
-    words may lie anywhere; a longer one is found by any passage that holds enough of it.
+    rows; items that occur twice are reported by each id. An item of any length may lie
+    anywhere. The score is that of the whole item where a passage reaches the threshold
+    with it, else that of the item's best piece; an item is always verified as a whole.
 
     The index is sent to the workers in shards of bounded size, a bounded number of them at
     once; document frequencies, item count and mean length cover the whole benchmark.
@@ -224,7 +240,8 @@ def find_leaks(
         indexes = []
         for k in range(low, min(n_shards, low + SHARDS_AT_ONCE)):
             mine = [r for r in rows if r.shard == k]
-            indexes.append(Index.build([r.item_id for r in mine], [r.text for r in mine], df, total["items"], total.mean or 1.0))
+            own = [r.item_id for r in mine], [r.text for r in mine], df, total["items"], total.mean or 1.0
+            indexes.append((Index.build(*own), Index.build(*own, pieces=True)))
         held = spark.sparkContext.broadcast(indexes)
         found = docs.select("doc_id", "text").mapInArrow(
             _searcher(held, score, overlap, docs.select("doc_id").schema, benchmark.select("item_id").schema),
@@ -244,8 +261,9 @@ def _searcher(held, threshold: float, overlap: float, doc_schema, item_schema):
         for batch in slices(batches, "text", 2 << 20):
             hashes, begins = _words(batch.column("text"))
             passages = _passages(begins)
-            for index in held.value:
-                found = _leaks(index, hashes, begins, passages, threshold, overlap)
+            for index, pieces in held.value:
+                whole = _leaks(index, hashes, begins, passages, threshold, overlap)
+                found = _leaks(pieces, hashes, begins, passages, threshold, overlap, whole) | whole
                 if not found:
                     continue
                 keys = sorted(found)
@@ -261,8 +279,10 @@ def _searcher(held, threshold: float, overlap: float, doc_schema, item_schema):
     return run
 
 
-def _leaks(index: Index, hashes, begins, passages, threshold: float, overlap: float) -> dict[tuple[int, int], tuple]:
-    """The best verified passage of each (text, item) of a batch."""
+def _leaks(
+    index: Index, hashes, begins, passages, threshold: float, overlap: float, done: Container = ()
+) -> dict[tuple[int, int], tuple]:
+    """The best verified passage of each (text, item) of a batch that is not among those done."""
     owner, first, end = passages
     term = index.lookup(hashes)
     longest = max((len(w) for w in index.words), default=0)
@@ -270,9 +290,12 @@ def _leaks(index: Index, hashes, begins, passages, threshold: float, overlap: fl
     for p in index.promising(term, first, end, threshold):
         query = np.unique(term[first[p] : end[p]])
         doc = int(owner[p])
-        for item, score in index.search(query[query >= 0], threshold):
+        hits: dict[int, float] = {}
+        for entry, score in index.search(query[query >= 0], threshold):
+            hits[index.owner[entry]] = max(score, hits.get(index.owner[entry], 0.0))
+        for item, score in hits.items():
             known = best.get((doc, item))
-            if known and known[2] >= score:
+            if (doc, item) in done or known and known[2] >= score:
                 continue
             low = max(int(begins[doc]), int(first[p]) - longest)
             high = min(int(begins[doc + 1]), int(end[p]) + longest)

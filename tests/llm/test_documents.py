@@ -214,6 +214,22 @@ def test_leaks_and_wand(spark):
         assert {i for i, _ in index.search(query, 0.15)} == set(np.flatnonzero(scores >= 0.15))
 
 
+def test_long_items_leak_at_every_offset(spark):
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 7))) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    # The last item has its rare words at both ends, and no passage holds both ends at every offset.
+    items = [(n, say(n)) for n in (110, 200, 1000)] + [(64, " ".join([say(14), *["common"] * 36, say(14)]))]
+    rows = [(1000 * k + i, f"{say(i)} {t} {say(150)}", "en", "s") for k, (_, t) in enumerate(items) for i in range(64)]
+    rows += [(9000 + i, say(1200), "en", "s") for i in range(10)]
+    # Half a question is no leak, though whole pieces of the item are there.
+    rows += [(9100, " ".join(items[1][1].split(" ")[:70]), "en", "s")]
+    got = contamination.find_leaks(make(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(1000 * k + i, n) for k, (n, _) in enumerate(items) for i in range(64)}
+    assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.score >= contamination.SCORE and r.question_overlap == r.answer_overlap == 1 for r in got)
+
+
 def test_mix_meets_targets_and_caps(spark, rows):
     docs = make(spark, rows)
     plan = mixing.plan_mix(docs, block_words=8)
