@@ -10,6 +10,23 @@ from rolemesh.llm.queries import END_ID, ID_BITS, TOKENIZER, held_out
 from rolemesh.llm.store import bounded_batches, stored
 
 
+KEY = "row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, never null, in order of (doc_id, text hash), null ids last.
+
+    Only rows that are equal in all columns share a key: a doc_id may be null or repeated.
+    """
+    no_id = F.col("doc_id").isNull()
+    doc_id = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    text_hash = F.xxhash64("text")
+    # xxhash64 skips nulls, so each column is hashed with a mark for them.
+    row_hash = F.xxhash64(*(x for c in sorted(docs.columns) for x in (F.col(c).isNull(), F.col(c))))
+    fields = {"no_id": no_id, "doc_id": doc_id, "text_hash": text_hash, "row_hash": row_hash}
+    return docs.withColumn(KEY, F.struct(*(v.alias(k) for k, v in fields.items())))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; null texts and texts without a letter go."""
     bounded_batches(spark)
@@ -19,21 +36,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (word 5-grams, Jaccard 0.8): the smallest doc_id.
+    """One row of each group of near copies (word 5-grams, Jaccard 0.8): the smallest (doc_id, text hash).
 
-    Where rows repeat a doc_id, those with the smallest text hash stay, once.
+    A row with an id goes before one without. Rows are told apart by all their columns, so
+    different texts with one doc_id, or without any, are documents of their own; rows equal
+    in all columns stay once.
     """
     bounded_batches(spark)
-    classes = near_duplicates.near_duplicate_classes(docs)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    rows = keyed(docs)
+    classes = near_duplicates.near_duplicate_classes(rows.select(F.col(KEY).alias("doc_id"), "text"))
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(gone, KEY, "left_anti").dropDuplicates([KEY]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified passage of the benchmark."""
     bounded_batches(spark)
-    leaks = contamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(stored(leaks.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti")
+    rows = keyed(docs)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = contamination.find_leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), benchmark)
+    leaked = stored(leaks.select(F.col("doc_id").alias(KEY)).distinct(), "leaks")
+    return rows.join(leaked, KEY, "left_anti").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

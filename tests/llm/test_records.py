@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rolemesh.llm import licences, queries, revisits, toolcalls
 from tests.oracle import compare, connect
@@ -115,3 +117,32 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).orderBy("start").collect()
     assert rows and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_pipeline_keeps_rows_apart_by_more_than_their_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 7))) for _ in range(900)]
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    item, one, two, three, four = say(30), *(say(60) for _ in range(4))
+    clean = [(None, say(50), "en", "s"), (None, say(50), "en", None), (7, say(50), "en", "s"), (7, say(50), "en", "s")]
+    copies = [(5, one, "en", "s"), (7, one + " end", "en", "s"), (None, one, "en", "s")]
+    nameless = [(None, two, "en", "s"), (None, two, "en", "s"), (None, two + " end", "en", "s")]
+    same_id = [(8, three, "en", "s"), (8, three + " end", "en", "s"), (8, four, "en", "s"), (8, four, "en", "s")]
+    leaked = [(None, f"{say(40)} {item} {say(40)}", "en", "s"), (7, f"{say(20)} {item} {say(70)}", "en", "s")]
+    rows = [*clean, *copies, *nameless, *same_id, *leaked]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def smallest(*own):
+        order = spark.createDataFrame(own, docs.schema).withColumn("h", F.xxhash64("text"))
+        return tuple(order.orderBy("h").drop("h").first())
+
+    key = lambda r: tuple(map(str, r))
+    want = sorted([*clean, copies[0], smallest(*nameless), smallest(*same_id[:2]), same_id[2]], key=key)
+    for deal in (1, 5):
+        kept = corpus_pipeline.near_duplicates_stage(spark, docs.repartition(deal), str(tmp_path))
+        assert sorted(map(tuple, kept.collect()), key=key) == sorted([*want, *leaked], key=key)
+        left = corpus_pipeline.decontamination(spark, kept, str(tmp_path))
+        assert left.columns == docs.columns and sorted(map(tuple, left.collect()), key=key) == want
