@@ -1,9 +1,11 @@
 """Personal data and what gives it away.
 
 Four kinds of personal data are found by their form. Each value and the group it belongs to
-(mail host, network, card issuer, dialling prefix) are entities to protect, and the corpus tells how strongly a word near it reveals it: the pointwise mutual information of
-word and entity, as a share of the entity's own information content. A word that carries
-nearly all of it is removed, one that carries much of it is generalised.
+(mail host, network, card issuer, dialling prefix) are entities to protect, and the corpus
+tells how strongly a word anywhere in the same text reveals it: the pointwise mutual
+information of word and entity, as a share of the entity's own information content. A word
+that carries nearly all of it is removed, one that carries much of it is generalised,
+wherever it stands in a text that holds the entity.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from .words import NOT_WORD, hash_words, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("generalised", "removed")
-WINDOW = 8  # words on either side of a value
-SUPPORT = 3  # different texts in which a word stands near the value
+SUPPORT = 3  # different texts that hold both the word and the entity
+PAIRS_AT_ONCE = 1 << 18  # rows of pairs in a batch
+TERMS_AT_ONCE = 1 << 20  # terms that a task counts before it hands them on
 GENERALISE, REMOVE = 0.6, 0.9  # shares of an entity's information
 
 # The forms of the four kinds. Possessive where giving back cannot help.
@@ -105,73 +108,153 @@ def entities_of(value: str) -> tuple[str, str]:
     return value, f"{kind} of {group}"
 
 
-def _near(text: str, spans: list[tuple[str, int, int, str]]) -> list[tuple[str, str, int, int]]:
-    """(entity, word, start, end) of the words around each value, parts of values left out."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts = [a for a, _ in words]
-    taken = sorted((a, b) for _, a, b, _ in spans)
-    begins = np.array([a for a, _ in taken])
-    ends = np.maximum.accumulate([b for _, b in taken])
-    free = []
-    for a, b in words:
-        k = int(np.searchsorted(begins, b)) - 1
-        free.append(k < 0 or ends[k] <= a)
-    out = []
-    for _, a, b, entity in spans:
-        low, high = int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))
-        before = [i for i in range(low - 1, max(-1, low - 1 - WINDOW), -1) if free[i]]
-        after = [i for i in range(high, min(len(words), high + WINDOW)) if free[i]]
-        out += [(e, text[words[i][0] : words[i][1]], *words[i]) for i in before + after for e in entities_of(entity)]
-    return out
+def free_words(text: str, spans: list[tuple[str, int, int, str]]) -> str:
+    """The text with blanks, as many as code points, for each value and the words it touches."""
+    out, done = [], 0
+    for a, b in sorted((a, b) for _, a, b, _ in spans):
+        while a > done and _WORD.match(text, a - 1):
+            a -= 1
+        while b < len(text) and _WORD.match(text, b):
+            b += 1
+        if b > done:
+            a = max(a, done)
+            out += [text[done:a], " " * (b - a)]
+            done = b
+    return "".join(out) + text[done:]
+
+
+def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    hashes, begins = hash_words(pc.utf8_lower(pa.array(texts, pa.large_string())), NOT_WORD)
+    return hashes.view(np.int64), begins
 
 
 ROW = (
     "row long, doc_id {id}, h long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-    "entities array<long>, near array<struct<entity: long, term: long, start: long, stop: long>>"
+    "entities array<long>, free string"
 )
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Base spans of every row, its entities, and the words near them."""
+    """Base spans of every row and its entities; for rows with entities, the text without the values."""
 
     def name(entity: str) -> int:
         return xxhash.xxh64_intdigest(entity.encode(), 17) - (1 << 63)
 
-    near_type = pa.list_(pa.struct([(c, pa.int64()) for c in ("entity", "term", "start", "stop")]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            counts, base, entities, near = [], [], [], []
+            counts, base, entities, free = [], [], [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text or "")
                 counts.append([sum(s[0] == k for s in spans) for k in KINDS])
                 base.append(",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans))
                 entities.append(sorted({name(e) for s in spans for e in entities_of(s[3])}))
-                near.append(_near(text, spans) if spans else [])
-            flat = pa.array([n[1] for own in near for n in own], pa.string())
-            terms = iter(hash_words(pc.utf8_lower(flat), NOT_WORD)[0].view(np.int64).tolist())
-            near = [
-                [{"entity": name(e), "term": next(terms), "start": a, "stop": b} for e, _, a, b in own] for own in near
-            ]
+                free.append(free_words(text, spans) if spans else None)
             rows = number + np.arange(batch.num_rows)
             number += batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows), batch.column("doc_id"), batch.column("h")]
                 + [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
-                + [pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64())), pa.array(near, near_type)],
-                names=["row", "doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "near"],
+                + [pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64())), pa.array(free, pa.string())],
+                names=["row", "doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "free"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, ROW.format(id=kind))
 
 
+def _pairs(scanned: DataFrame, support: int) -> DataFrame:
+    """(entity, term, both, texts): in how many rows, and different texts, a term stands with an entity.
+
+    Every distinct word of the whole text counts. Equal texts are folded, and entities of
+    fewer than ``support`` texts left out, before any pair is listed; pairs are summed
+    before the shuffle. The null entity stands for any, whatever its support.
+    """
+    holds = scanned.where(F.size("entities") > 0)
+    folded = stored(
+        holds.groupBy("h").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("free").alias("free")),
+        "texts",
+    )
+    often = folded.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
+    often = stored(often.where(F.col("n") >= support).select("entity"), "entities")
+    held = scanned.sparkSession.sparkContext.broadcast(bit_filter(often, "entity"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "free"):
+            hashes, begins = _hashes(batch.column("free").to_pylist())
+            copies = batch.column("copies").to_numpy()
+            parts, n = [], 0
+            for i, entities in enumerate(batch.column("entities").to_pylist()):
+                own = np.array(entities, np.int64)
+                own = own[passes(held.value, own)]
+                terms = np.unique(hashes[begins[i] : begins[i + 1]])
+                parts.append((np.zeros(len(terms), np.int64), terms, np.full(len(terms), copies[i]), np.ones(len(terms), bool)))
+                n += len(terms)
+                step = max(1, PAIRS_AT_ONCE // max(1, len(terms)))
+                for k in range(0, len(own) if len(terms) else 0, step):
+                    some = own[k : k + step]
+                    size = len(some) * len(terms)
+                    parts.append((np.repeat(some, len(terms)), np.tile(terms, len(some)), np.full(size, copies[i]), np.zeros(size, bool)))
+                    n += size
+                    if n >= PAIRS_AT_ONCE:
+                        yield emit(parts)
+                        parts, n = [], 0
+            if parts:
+                yield emit(parts)
+
+    def emit(parts: list) -> pa.RecordBatch:
+        entity, term, n, whole = (np.concatenate(c) for c in zip(*parts))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(entity, mask=whole), pa.array(term), pa.array(n)], names=["entity", "term", "copies"]
+        )
+
+    found = folded.mapInArrow(run, "entity long, term long, copies long")
+    counted = found.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"))
+    return counted.where(F.col("texts") >= support)
+
+
+def _occurrences(scanned: DataFrame, risky: DataFrame) -> DataFrame:
+    """(row, entity, term, start, stop) of every word that may be risky for an entity of its row."""
+    held = scanned.sparkSession.sparkContext.broadcast(bit_filter(risky.select(F.expr("entity ^ term").alias("code")), "code"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "free"):
+            texts = batch.column("free").to_pylist()
+            hashes, begins = _hashes(texts)
+            rows = batch.column("row").to_numpy()
+            parts, n = [], 0
+            for i, entities in enumerate(batch.column("entities").to_pylist()):
+                own = hashes[begins[i] : begins[i + 1]]
+                spans = None
+                for entity in entities:
+                    at = np.flatnonzero(passes(held.value, own ^ np.int64(entity)))
+                    if not len(at):
+                        continue
+                    if spans is None:
+                        spans = np.array([m.span() for m in _WORD.finditer(texts[i])], np.int64)
+                    parts.append((np.full(len(at), rows[i]), np.full(len(at), entity), own[at], spans[at, 0], spans[at, 1]))
+                    n += len(at)
+                    if n >= PAIRS_AT_ONCE:
+                        yield emit(parts)
+                        parts, n = [], 0
+            if parts:
+                yield emit(parts)
+
+    def emit(parts: list) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "entity", "term", "start", "stop"])
+
+    holds = scanned.where(F.size("entities") > 0).select("row", "entities", "free")
+    return holds.mapInArrow(run, "row long, entity long, term long, start long, stop long")
+
+
 def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): in how many rows of the whole corpus each of the given terms occurs."""
     held = docs.sparkSession.sparkContext.broadcast(bit_filter(terms, "term"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Summed over the batches of a task, as far as they stay small.
+        terms, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in slices(batches, "text"):
             hashes, begins = hash_words(pc.utf8_lower(batch.column("text").cast(pa.large_string())), NOT_WORD)
             hashes = hashes.view(np.int64)
@@ -183,7 +266,15 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
             if len(term):
                 first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])))
                 found, n = np.unique(term[first], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["term", "n"])
+                both, at = np.unique(np.concatenate((terms, found)), return_inverse=True)
+                sums = np.zeros(len(both), np.int64)
+                np.add.at(sums, at, np.concatenate((counts, n)))
+                terms, counts = both, sums
+                if len(terms) >= TERMS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
+                    terms, counts = terms[:0], counts[:0]
+        if len(terms):
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
 
     counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     return counts.join(terms, "term", "left_semi")
@@ -194,22 +285,25 @@ def risky_terms(scanned: DataFrame, docs: DataFrame, support: int, generalise: f
 
     With N rows, share = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)). All counts are over
     whole rows of the corpus; a pair needs ``support`` different texts, so that copies of
-    one text prove nothing.
+    one text prove nothing. Pairs that fall short even if a term stood in no other rows
+    than those with an entity are left out before the corpus is read for n(t).
     """
     total = scanned.count()
-    near = scanned.select("row", "h", F.explode("near").alias("x")).select("row", "h", "x.entity", "x.term")
-    by_text = near.groupBy("entity", "term", "h").agg(F.count_distinct("row").alias("rows"))
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("texts"))
-    pairs = stored(pairs.where(F.col("texts") >= support), "pairs")
-    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne"))
-    counts = _document_counts(docs, pairs.select("term").distinct())
     n = F.lit(float(max(total, 1)))
     information = F.ln(n / F.col("ne"))
-    share = F.when(information > 0, F.ln(n * F.col("both") / (F.col("ne") * F.col("df"))) / information).otherwise(0.0)
+
+    def share(df: str):
+        return F.when(information > 0, F.ln(n * F.col("both") / (F.col("ne") * F.col(df))) / information).otherwise(0.0)
+
+    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne"))
+    counted = stored(_pairs(scanned, support), "pairs")
+    least = counted.where("entity is null").select("term", F.col("both").alias("least"))
+    pairs = counted.where("entity is not null").join(entities, "entity").join(least, "term")
+    pairs = stored(pairs.where(F.round(share("least"), 6) >= generalise).drop("least"), "candidates")
+    counts = _document_counts(docs, pairs.select("term").distinct())
     return (
-        pairs.join(entities, "entity")
-        .join(counts, "term")
-        .select("entity", "term", F.round(share, 6).alias("share"))
+        pairs.join(counts, "term")
+        .select("entity", "term", F.round(share("df"), 6).alias("share"))
         .where(F.col("share") >= generalise)
         .withColumn("action", F.when(F.col("share") >= remove, F.lit(ADDED[1])).otherwise(F.lit(ADDED[0])))
     )
@@ -221,16 +315,15 @@ def find_spans(
     """Spans of every row of ``docs`` (doc_id, text): base spans and the words that give them away.
 
     doc_id, h (hash of the text), n_email, n_ip, n_card, n_phone, base (kind:start:end,
-    comma-joined), spans (base, then generalised and removed words by start). A word within
-    ``WINDOW`` words of a value is added where it reveals that value; of two actions the
-    stronger counts. Added spans never overlap base spans. Null texts count as empty;
+    comma-joined), spans (base, then generalised and removed words by start). A word is added
+    at each of its occurrences in every text that holds a value, or a group, which it
+    reveals; of two actions the stronger counts. Added spans never overlap base spans. Null texts count as empty;
     repeated rows each have their spans; other columns are not read.
     """
     scanned = stored(_scan(docs), "scan")
     risky = stored(risky_terms(scanned, docs, support, generalise, remove), "risky")
-    near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.*")
     flagged = (
-        near.join(risky.select("entity", "term", "action"), ["entity", "term"])
+        _occurrences(scanned, risky).join(risky.select("entity", "term", "action"), ["entity", "term"])
         .groupBy("row", "start", "stop")
         .agg(F.max("action").alias("action"))  # removed before generalised, by letter
         .groupBy("row")

@@ -307,3 +307,29 @@ def test_words_that_reveal_a_value(spark):
     clean = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
     assert "zebra" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[10][1] and clean[65] is None
     assert disclosure.find_spans(docs.where("doc_id < 0")).count() == 0
+
+
+def test_words_far_from_a_value_reveal_it(spark):
+    filler = [" ".join(f"w{(i * k) % 97}" for k in range(1, 30)) for i in range(60)]
+    told = [f"Zebra {filler[i]} a.b@mail.example.org {filler[i + 9]} é zebra {filler[i + 5]} ZEBRA" for i in range(5)]
+    near = "zebra " + filler[3]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*told, *filler, near, told[1]])]
+    got = {r.doc_id: r for r in disclosure.find_spans(make(spark, rows)).collect()}
+    for i in (0, 1, 2, 3, 4, 66):
+        text = rows[i][1]
+        want = {f"removed:{m.start()}:{m.end()}" for m in re.finditer("(?i)zebra", text)}
+        want |= {f"removed:{m.start()}:{m.end()}" for m in re.finditer("é", text)}
+        spans = got[i].spans.split(",")
+        assert len(want) == 4 and want <= set(spans) and spans[0] == got[i].base
+    # Without the value the word discloses nothing.
+    assert got[65].spans == "" and all(got[i].spans == "" for i in range(5, 65))
+    # Two texts are not enough, however often they are repeated.
+    few = [(i, told[i % 2], "en", "s") for i in range(6)] + rows[5:65]
+    assert all(r.spans == r.base for r in disclosure.find_spans(make(spark, few)).collect())
+
+
+def test_words_that_touch_a_value_are_not_free():
+    text = "éa@b.cd x1.2.3.4y next +49 170 1234567 end"
+    spans = disclosure.base_spans(text)
+    free = disclosure.free_words(text, spans)
+    assert len(free) == len(text) and free.split() == ["next", "end"]
