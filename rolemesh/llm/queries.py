@@ -12,6 +12,7 @@ from . import (
     contamination,
     disclosure,
     fingerprints,
+    hard_negatives,
     languages,
     licences,
     mixing,
@@ -19,6 +20,7 @@ from . import (
     revisits,
     toolcalls,
     wavelet,
+    whitening,
 )
 from .store import bounded_batches
 
@@ -95,6 +97,44 @@ def disclosure_spans(spark, sf_dir):
     )
 
 
+@query("op12_whitened_embeddings")
+def whitened_embeddings(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+NEGATIVE_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)
+), s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+           CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+       s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) <= 5
+"""
+
+
+@query("op13_hard_negatives", NEGATIVE_SQL)
+def hard_negative_rows(spark, sf_dir):
+    """Every seventh label moves on by one first; rows whose id is divisible by 100 ask."""
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    )
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 # --- conversations as tool calls ------------------------------------------------
 
 TOOLS = {
