@@ -18,6 +18,7 @@ from . import (
     mixing,
     near_duplicates,
     revisits,
+    secrets,
     toolcalls,
     wavelet,
     whitening,
@@ -97,6 +98,14 @@ def disclosure_spans(spark, sf_dir):
     )
 
 
+@query("op11_secret_formats")
+def secret_formats(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "scores"
+    )
+
+
 @query("op12_whitened_embeddings")
 def whitened_embeddings(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
