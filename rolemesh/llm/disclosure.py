@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_filter, passes
-from .store import stored
+from .store import fresh_name, stored
 from .words import NOT_WORD, hash_words, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("generalised", "removed")
 SUPPORT = 3  # different texts that hold both the word and the entity
-PAIRS_AT_ONCE = 1 << 18  # rows of pairs in a batch
+PAIRS_AT_ONCE = 1 << 18  # rows of found words in a batch
 TERMS_AT_ONCE = 1 << 20  # terms that a task counts before it hands them on
 GENERALISE, REMOVE = 0.6, 0.9  # shares of an entity's information
 
@@ -163,54 +163,52 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, ROW.format(id=kind))
 
 
-def _pairs(scanned: DataFrame, support: int) -> DataFrame:
-    """(entity, term, both, texts): in how many rows, and different texts, a term stands with an entity.
+def _vocabulary(docs: DataFrame) -> DataFrame:
+    """(term, df): in how many rows of the whole corpus each word occurs.
 
-    Every distinct word of the whole text counts. Equal texts are folded, and entities of
-    fewer than ``support`` texts left out, before any pair is listed; pairs are summed
-    before the shuffle. The null entity stands for any, whatever its support.
+    Every task sums over its own rows first, so it hands on its vocabulary once, or in parts
+    of TERMS_AT_ONCE words.
     """
-    holds = scanned.where(F.size("entities") > 0)
-    folded = stored(
-        holds.groupBy("h").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("free").alias("free")),
-        "texts",
-    )
-    often = folded.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
-    often = stored(often.where(F.col("n") >= support).select("entity"), "entities")
-    held = scanned.sparkSession.sparkContext.broadcast(bit_filter(often, "entity"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in slices(batches, "text"):
+            hashes, begins = hash_words(pc.utf8_lower(batch.column("text").cast(pa.large_string())), NOT_WORD)
+            hashes = hashes.view(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(begins))
+            order = np.lexsort((owner, hashes))
+            owner, term = owner[order], hashes[order]
+            if not len(term):
+                continue
+            first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])))
+            found, n = np.unique(term[first], return_counts=True)
+            both, at = np.unique(np.concatenate((terms, found)), return_inverse=True)
+            terms, counts = both, np.bincount(at, np.concatenate((counts, n)), len(both)).astype(np.int64)
+            if len(terms) >= TERMS_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
+                terms, counts = terms[:0], counts[:0]
+        if len(terms):
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
+
+    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def _texts(scanned: DataFrame) -> DataFrame:
+    """(h, copies, entities, terms) of every different text with entities; terms are its distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "free"):
             hashes, begins = _hashes(batch.column("free").to_pylist())
-            copies = batch.column("copies").to_numpy()
-            parts, n = [], 0
-            for i, entities in enumerate(batch.column("entities").to_pylist()):
-                own = np.array(entities, np.int64)
-                own = own[passes(held.value, own)]
-                terms = np.unique(hashes[begins[i] : begins[i + 1]])
-                parts.append((np.zeros(len(terms), np.int64), terms, np.full(len(terms), copies[i]), np.ones(len(terms), bool)))
-                n += len(terms)
-                step = max(1, PAIRS_AT_ONCE // max(1, len(terms)))
-                for k in range(0, len(own) if len(terms) else 0, step):
-                    some = own[k : k + step]
-                    size = len(some) * len(terms)
-                    parts.append((np.repeat(some, len(terms)), np.tile(terms, len(some)), np.full(size, copies[i]), np.zeros(size, bool)))
-                    n += size
-                    if n >= PAIRS_AT_ONCE:
-                        yield emit(parts)
-                        parts, n = [], 0
-            if parts:
-                yield emit(parts)
-
-    def emit(parts: list) -> pa.RecordBatch:
-        entity, term, n, whole = (np.concatenate(c) for c in zip(*parts))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(entity, mask=whole), pa.array(term), pa.array(n)], names=["entity", "term", "copies"]
-        )
+            terms = [np.unique(hashes[a:b]) for a, b in zip(begins[:-1], begins[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("h", "copies", "entities")] + [pa.array(terms, pa.list_(pa.int64()))],
+                names=["h", "copies", "entities", "terms"],
+            )
 
-    found = folded.mapInArrow(run, "entity long, term long, copies long")
-    counted = found.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"))
-    return counted.where(F.col("texts") >= support)
+    folded = scanned.where(F.size("entities") > 0).groupBy("h").agg(
+        F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("free").alias("free")
+    )
+    return folded.mapInArrow(run, "h long, copies long, entities array<long>, terms array<long>")
 
 
 def _occurrences(scanned: DataFrame, risky: DataFrame) -> DataFrame:
@@ -248,62 +246,37 @@ def _occurrences(scanned: DataFrame, risky: DataFrame) -> DataFrame:
     return holds.mapInArrow(run, "row long, entity long, term long, start long, stop long")
 
 
-def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): in how many rows of the whole corpus each of the given terms occurs."""
-    held = docs.sparkSession.sparkContext.broadcast(bit_filter(terms, "term"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Summed over the batches of a task, as far as they stay small.
-        terms, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in slices(batches, "text"):
-            hashes, begins = hash_words(pc.utf8_lower(batch.column("text").cast(pa.large_string())), NOT_WORD)
-            hashes = hashes.view(np.int64)
-            at = np.flatnonzero(passes(held.value, hashes))
-            owner = np.searchsorted(begins, at, "right")
-            term = hashes[at]
-            order = np.lexsort((owner, term))
-            owner, term = owner[order], term[order]
-            if len(term):
-                first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])))
-                found, n = np.unique(term[first], return_counts=True)
-                both, at = np.unique(np.concatenate((terms, found)), return_inverse=True)
-                sums = np.zeros(len(both), np.int64)
-                np.add.at(sums, at, np.concatenate((counts, n)))
-                terms, counts = both, sums
-                if len(terms) >= TERMS_AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
-                    terms, counts = terms[:0], counts[:0]
-        if len(terms):
-            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    return counts.join(terms, "term", "left_semi")
-
-
 def risky_terms(scanned: DataFrame, docs: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
     """(entity, term, share, action) of the words that reveal an entity.
 
     With N rows, share = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)). All counts are over
     whole rows of the corpus; a pair needs ``support`` different texts, so that copies of
-    one text prove nothing. Pairs that fall short even if a term stood in no other rows
-    than those with an entity are left out before the corpus is read for n(t).
+    one text prove nothing.
+
+    n(e,t) is at most n(e), so a word is too frequent for an entity from some n(t) on: such
+    pairs are never listed, however many words and entities a text has.
     """
     total = scanned.count()
     n = F.lit(float(max(total, 1)))
     information = F.ln(n / F.col("ne"))
 
-    def share(df: str):
-        return F.when(information > 0, F.ln(n * F.col("both") / (F.col("ne") * F.col(df))) / information).otherwise(0.0)
+    def share(both: str):
+        return F.when(information > 0, F.ln(n * F.col(both) / (F.col("ne") * F.col("df"))) / information).otherwise(0.0)
 
-    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne"))
-    counted = stored(_pairs(scanned, support), "pairs")
-    least = counted.where("entity is null").select("term", F.col("both").alias("least"))
-    pairs = counted.where("entity is not null").join(entities, "entity").join(least, "term")
-    pairs = stored(pairs.where(F.round(share("least"), 6) >= generalise).drop("least"), "candidates")
-    counts = _document_counts(docs, pairs.select("term").distinct())
+    words = stored(_vocabulary(docs), "words")
+    texts = stored(_texts(scanned), "texts")
+    often = texts.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(
+        F.sum("copies").alias("ne"), F.count("*").alias("texts")
+    )
+    often = stored(often.where(F.col("texts") >= support).select("entity", "ne"), "entities")
+    entities = texts.select("h", F.explode("entities").alias("entity")).join(often, "entity")
+    # A term of ``support`` texts stands in as many rows at least.
+    terms = texts.select("h", "copies", F.explode("terms").alias("term")).join(words.where(F.col("df") >= support), "term")
+    pairs = entities.join(terms, "h").where(F.round(share("ne"), 6) >= generalise)
+    counted = pairs.groupBy("entity", "term", "ne", "df").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"))
     return (
-        pairs.join(counts, "term")
-        .select("entity", "term", F.round(share("df"), 6).alias("share"))
+        counted.where(F.col("texts") >= support)
+        .select("entity", "term", F.round(share("both"), 6).alias("share"))
         .where(F.col("share") >= generalise)
         .withColumn("action", F.when(F.col("share") >= remove, F.lit(ADDED[1])).otherwise(F.lit(ADDED[0])))
     )
@@ -336,30 +309,46 @@ def find_spans(
     )
 
 
+def general_form(word: str) -> str:
+    """What a generalised word leaves: a number its size, any other word its kind.
+
+    1987 becomes 1000+, Berlin becomes [Name], other words become [word].
+    """
+    if word.isascii() and word.isdigit():
+        digits = word.lstrip("0")
+        return f"{digits[0]}{'0' * (len(digits) - 1)}+" if digits else "0"
+    return "[Name]" if word[:1].isupper() else "[word]"
+
+
 def sanitised(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the spans of their texts replaced: values by [KIND], generalised words by [TERM].
+    """``docs`` with the spans of their texts replaced: values by [KIND], generalised words by a general form.
 
     Removed words vanish. Where base spans overlap, the one that begins first hides the
-    others. Null texts stay null. Rows keep their columns, repeated rows stay repeated.
+    others. Null texts stay null. Rows keep their columns, whatever their names; repeated rows
+    stay repeated.
     """
-    found = find_spans(docs.select("doc_id", "text"), **options).select("doc_id", "h", "spans").distinct()
+    found = find_spans(docs.select("doc_id", "text"), **options).select(
+        F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"), F.col("spans").alias("of_spans")
+    ).distinct()
     columns = docs.columns
+    spans_name = fresh_name("spans", columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("found_spans").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(spans_name).to_pylist()):
                 own = sorted((int(a), int(b), k) for k, a, b in (s.rsplit(":", 2) for s in (spans or "").split(",") if s))
                 out, done = [], 0
                 for a, b, kind in own:
                     if a >= done:
-                        out += [text[done:a], "" if kind == "removed" else "[TERM]" if kind == "generalised" else f"[{kind.upper()}]"]
+                        shown = {"removed": "", "generalised": general_form(text[a:b])}.get(kind, f"[{kind.upper()}]")
+                        out += [text[done:a], shown]
                         done = b
                 texts.append(None if text is None else "".join(out) + text[done:])
             kept = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(kept, names=columns)
 
-    joined = docs.withColumn("found_h", F.xxhash64("text")).alias("d").join(
-        found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.found_h = f.h"), "left"
+    joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("d"), F.col("doc_id").alias("my_id"), F.xxhash64("text").alias("my_h")).join(
+        found, F.expr("my_id <=> of_id and my_h = of_h"), "left"
     )
-    return joined.select(*(F.col(f"d.`{c}`") for c in columns), F.col("f.spans").alias("found_spans")).mapInArrow(run, docs.schema)
+    return joined.select("d.*", F.col("of_spans").alias(spans_name)).mapInArrow(run, docs.schema)

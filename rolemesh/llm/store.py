@@ -43,3 +43,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, or a longer name that none of the taken ones equals; case does not count."""
+    used = {t.lower() for t in taken}
+    while wanted.lower() in used:
+        wanted = "_" + wanted
+    return wanted
