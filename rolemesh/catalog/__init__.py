@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
 
-from . import browsing, entities, enrichment, graphs, landing, textual, weaving  # noqa: E402,F401
+from . import browsing, entities, enrichment, graphs, landing, state, textual, weaving  # noqa: E402,F401
 
 __all__ = ["ORACLES", "QUERIES"]

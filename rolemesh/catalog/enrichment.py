@@ -116,11 +116,31 @@ def skill_matches(spark, sf):
     return _flat_matches(enrich.enrich(_jobs(spark, sf), TAXONOMY, RULES))
 
 
-@query("skill_matches_large_taxonomy", SKILL_MATCHES)
+LARGE = 2_000
+LARGE_TAXONOMY = with_(CLEAN, SENTENCES).rstrip() + f""",
+w AS (
+  SELECT word FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(clean), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM docs)
+  WHERE regexp_full_match(word, '[a-z]{{5,}}') ORDER BY md5(word) LIMIT {LARGE}),
+t AS (
+  SELECT DISTINCT doc_id, pos, sentence, word FROM (
+    SELECT doc_id, pos, sentence, unnest(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM sentence_rows)
+  SEMI JOIN w USING (word)),
+f AS (
+  SELECT doc_id, word, list({strip('sentence')} ORDER BY pos) AS evidence FROM t GROUP BY 1, 2)
+SELECT doc_id AS job_id, 'skill:' || word AS skill_id,
+       CASE WHEN {has_word("array_to_string(evidence, ' ')", "than")} THEN 'PREFERS' ELSE 'REQUIRES' END AS edge_type,
+       CASE WHEN {has_word("array_to_string(evidence, ' ')", "than")} THEN 0.6 ELSE 0.75 END::DOUBLE AS confidence,
+       array_to_string(evidence[1:5], ' # ') AS evidence FROM f"""
+
+
+@query("skill_matches_large_taxonomy", LARGE_TAXONOMY)
 def skill_matches_large_taxonomy(spark, sf):
-    """The same matches with 2,000 more entries in the taxonomy, whose words no text has."""
-    unused = load_taxonomy({f"qz{i}xj": {"label": f"Unused {i}"} for i in range(2_000)})
-    return _flat_matches(enrich.enrich(_jobs(spark, sf), [*TAXONOMY, *unused], RULES))
+    """A taxonomy of 2,000 words that the documents themselves hold."""
+    jobs = _jobs(spark, sf)
+    words = jobs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("description_text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
+    some = words.where(F.col("word").rlike("^[a-z]{5,}$")).distinct().orderBy(F.md5("word")).limit(LARGE)
+    taxonomy = load_taxonomy({r.word: {} for r in some.collect()})
+    return _flat_matches(enrich.enrich(jobs, taxonomy, RULES)).select("job_id", "skill_id", "edge_type", "confidence", "evidence")
 
 
 @query("enriched_jobs", CTES.rstrip() + f""",

@@ -147,6 +147,38 @@ def upserted_jobs(spark, sf):
     )
 
 
+# Few external ids and few fingerprints, so that postings are linked both ways; a third has no external id.
+CHAINS = """
+rows AS (
+  SELECT doc_id AS ord, source, 'd' || doc_id AS id, CASE WHEN doc_id % 3 > 0 THEN (doc_id * 7919 + n_chars) % 61 END AS ext,
+         (doc_id * 104729 + n_chars) % 53 AS fp FROM documents),
+lists AS (
+  SELECT source, list({'id': id, 'ord': ord, 'ext': ext, 'fp': fp, 'jobs': []::STRUCT(id VARCHAR, lo BIGINT, hi BIGINT, ext BIGINT, fp BIGINT)[]} ORDER BY ord) AS l
+  FROM rows GROUP BY source),
+folded AS (
+  SELECT list_reduce(list_prepend({'id': NULL, 'ord': NULL, 'ext': NULL, 'fp': NULL, 'jobs': []}, l), lambda a, r:
+    {'id': r.id, 'ord': r.ord, 'ext': r.ext, 'fp': r.fp, 'jobs': list_transform([coalesce(
+        CASE WHEN r.ext IS NOT NULL THEN list_position(list_transform(a.jobs, lambda j: j.ext), r.ext) END, list_position(list_transform(a.jobs, lambda j: j.fp), r.fp), len(a.jobs) + 1)],
+      lambda p: list_concat(list_concat(a.jobs[1:p - 1],
+        [{'id': coalesce(a.jobs[p].id, r.id), 'lo': coalesce(a.jobs[p].lo, r.ord), 'hi': r.ord, 'ext': r.ext, 'fp': r.fp}]),
+        a.jobs[p + 1:]))[1]}).jobs AS jobs FROM lists)
+"""
+
+
+@query("upserted_mixed_chains", with_(CHAINS) + "SELECT j.id, j.lo AS first_ord, j.hi AS raw_id FROM (SELECT unnest(jobs) AS j FROM folded)")
+def upserted_mixed_chains(spark, sf):
+    """Postings whose two keys disagree on what is one job, next to a fold of one row after another."""
+    d, c = table(spark, sf, "documents"), F.col
+    number = c("doc_id").cast("long")
+    external = F.when(number % 3 > 0, (number * 7919 + c("n_chars")) % 61)
+    postings = d.select(
+        F.concat(F.lit("d"), number.cast("string")).alias("id"), number.alias("raw_id"), c("source").alias("company_id"),
+        F.lit("doc").alias("source_type"), external.cast("string").alias("external_id"),
+        F.concat_ws("/", "source", ((number * 104729 + c("n_chars")) % 53).cast("string")).alias("dedupe_fingerprint"),
+    )
+    return dedupe.upsert_jobs(postings).select("id", "first_ord", "raw_id")
+
+
 @query("upserted_skills", """
 SELECT 'skill:' || l_partkey AS skill_id, arg_max(l_shipdate::DATE::VARCHAR, n) AS label, arg_max(l_linestatus, n) AS provenance,
        arg_max(rf, n) FILTER (rf IS NOT NULL) AS category

@@ -89,8 +89,29 @@ def similar_kept_pairs(spark, sf):
 
 @query("similar_top_k_hot_skills", with_(GRAPH, SIMILAR) + "SELECT job_id, other_id, rank, i, u, score FROM neighbors")
 def similar_top_k_hot_skills(spark, sf):
-    """The same answer with every skill of more than 20 sets treated as hot."""
-    return similarity.similar_top_k(standins.known(spark, sf), hot_df=20)
+    """The same answer by rounds from the highest level on, with lists cut into blocks of 20."""
+    return similarity.similar_top_k(standins.known(spark, sf), start=0, block=20)
+
+
+DENSE = """
+known AS (
+  SELECT DISTINCT 'c' || o_custkey AS job_id, unnest([p_brand, o_orderpriority, l_returnflag, l_linestatus]) AS skill_id
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)
+"""
+
+
+@query("similar_top_k_dense_skills", with_(DENSE, SIMILAR) + "SELECT job_id, other_id, rank, i, u, score FROM neighbors")
+def similar_top_k_dense_skills(spark, sf):
+    """Customers by the brands, priorities and states of what they buy: 35 skills, all of them hot."""
+    lines = standins.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
+    orders = standins.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    parts = standins.table(spark, sf, "part").select("p_partkey", "p_brand")
+    bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    held = bought.select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("job_id"),
+        F.explode(F.array("p_brand", "o_orderpriority", "l_returnflag", "l_linestatus")).alias("skill_id"),
+    )
+    return similarity.similar_top_k(held)
 
 
 @query("jaccard_of_brands", """

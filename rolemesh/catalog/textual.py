@@ -16,13 +16,15 @@ FIRST_LINE = "split_part(text, chr(10), 1)"
 
 @query("slugs_of_documents", f"""
 SELECT doc_id, {slug(FIRST_LINE)} AS slug, {graph_slug(FIRST_LINE)} AS graph_slug,
-       coalesce(nullif(trim(regexp_replace(lower({FIRST_LINE}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'source') AS source_slug
+       coalesce(nullif(trim(regexp_replace(lower({FIRST_LINE}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'source') AS source_slug,
+       md5({slug('text')}) AS whole_slug, md5({graph_slug('text')}) AS whole_graph_slug
 FROM documents""")
 def slugs_of_documents(spark, sf):
     title = F.substring_index("text", "\n", 1)
     return table(spark, sf, "documents").select(
         "doc_id", text.slug(title).alias("slug"), text.graph_slug(title).alias("graph_slug"),
-        text.source_slug(title).alias("source_slug"),
+        text.source_slug(title).alias("source_slug"), F.md5(text.slug(F.col("text"))).alias("whole_slug"),
+        F.md5(text.graph_slug(F.col("text"))).alias("whole_graph_slug"),
     )
 
 
@@ -74,9 +76,15 @@ def normalized_text(spark, sf):
     )
 
 
-@query("cleaned_whitespace", rf"""
-SELECT doc_id, nullif({strip("regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(replace(replace(text, chr(160), ' '), chr(8203), ''), chr(13) || chr(10) || '?', chr(10), 'g'), '[ \t\f\x0b]+', ' ', 'g'), chr(10)), lambda x: " + strip('x') + "), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")}, '') AS cleaned
-FROM documents""")
+def cleaned(expr: str) -> str:
+    plain = f"replace(replace({expr}, chr(160), ' '), chr(8203), '')"
+    plain = rf"regexp_replace(regexp_replace({plain}, chr(13) || chr(10) || '?', chr(10), 'g'), '[ \t\f\x0b]+', ' ', 'g')"
+    lines = f"array_to_string(list_transform(string_split({plain}, chr(10)), lambda x: {strip('x')}), chr(10))"
+    few = rf"regexp_replace({lines}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"nullif({strip(few)}, '')"
+
+
+@query("cleaned_whitespace", f"SELECT doc_id, {cleaned('text')} AS cleaned FROM documents")
 def cleaned_whitespace(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.clean_whitespace(F.col("text")).alias("cleaned"))
 
@@ -203,34 +211,41 @@ def canonical_detail_urls(spark, sf):
     )
 
 
-@query("page_sections", r"""
-SELECT doc_id, lang, (CASE WHEN trim(p1) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(p2) <> '' THEN 1 ELSE 0 END)::BIGINT AS sections,
-       greatest(len(trim(p1)), len(trim(p2)))::BIGINT AS longest
-FROM (SELECT doc_id, lang, source AS p1, lang || '-' || n_chars AS p2 FROM documents)""")
-def page_sections(spark, sf):
-    """Bodies written from document fields under known headings, an end marker last."""
+# A document's text under one heading, its first line under another, and more behind an end marker.
+WHOLE, TOP = cleaned("text"), cleaned("split_part(text, chr(10), 1)")
+
+
+def _sectioned():
     c = F.col
-    body = F.concat_ws(
-        "\n", F.lit("Job Description:"), c("source"), F.lit("职位要求："),
-        F.concat_ws("-", "lang", c("n_chars").cast("string")), F.lit("相关职位"), F.substring_index("text", "\n", 1),
+    return F.concat_ws(
+        "\n", F.lit("Job Description:"), c("text"), F.lit("职位要求："), F.substring_index("text", "\n", 1),
+        F.lit("相关职位"), c("text"),
     )
-    found = text.parse_sections(body)
-    sizes = F.transform(found, lambda s: F.length(s["content"]))
-    return table(spark, sf, "documents").select(
-        "doc_id", "lang", F.size(found).cast("long").alias("sections"), F.array_max(sizes).cast("long").alias("longest")
+
+
+@query("page_sections", rf"""
+SELECT doc_id, lang, ((t IS NOT NULL)::INT + (h IS NOT NULL)::INT)::BIGINT AS sections, md5(t) AS whole_md5, h AS top
+FROM (SELECT doc_id, lang, {WHOLE} AS t, {TOP} AS h FROM documents)""")
+def page_sections(spark, sf):
+    """Whole texts under known headings, an end marker last."""
+    found = text.parse_sections(_sectioned())
+    of = lambda name: F.get(F.filter("found", lambda s: s["heading"] == name), 0)["content"]
+    return table(spark, sf, "documents").select("doc_id", "lang", found.alias("found")).select(
+        "doc_id", "lang", F.size("found").cast("long").alias("sections"),
+        F.md5(of("Job Description")).alias("whole_md5"), of("职位要求").alias("top"),
     )
 
 
-@query("merged_sections", """
-SELECT doc_id, '职位描述' || chr(10) || lang || chr(10) || chr(10) || '加分项' || chr(10) || source AS merged FROM documents""")
+@query("merged_sections", rf"""
+SELECT doc_id, md5(nullif(concat_ws(chr(10) || chr(10), '职位描述' || chr(10) || {WHOLE}, '加分项' || chr(10) || source), '')) AS merged_md5 FROM documents""")
 def merged_sections(spark, sf):
-    """A repeated heading keeps its last text; the preferred order decides the output order."""
+    """A repeated heading keeps its last text, the whole document; the preferred order decides the output order."""
     body = F.concat_ws(
         "\n", F.lit("加分项"), F.col("source"), F.lit("职位描述："), F.lit("earlier"), F.lit("职位描述："),
-        F.col("lang"), F.lit("Apply"), F.lit("now"),
+        F.col("text"), F.lit("Apply"), F.lit("now"),
     )
     return table(spark, sf, "documents").select(
-        "doc_id", text.merge_sections(text.parse_sections(body)).alias("merged")
+        "doc_id", F.md5(text.merge_sections(text.parse_sections(body))).alias("merged_md5")
     )
 
 
@@ -249,7 +264,45 @@ def sanitized_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.sanitize_html(F.col("html")).alias("html"))
 
 
-@query("safe_rich_text")
+def _rich_text_sql() -> str:
+    """The same steps, and the stack of open elements folded by list_reduce."""
+    # The entities that the pages hold.
+    decoded = "raw"
+    for _ in range(2):
+        for name, sign in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+            decoded = f"replace({decoded}, '&{name};', '{sign}')"
+    body = f"regexp_replace({decoded}, '(?s)<!--.*?(?:-->|$)', '', 'g')"
+    for tag in richtext.BLOCKED:
+        body = f"regexp_replace({body}, '(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|$)', '', 'g')"
+    for tag in richtext.ALLOWED:
+        body = f"regexp_replace({body}, '(?i)<{tag}(?:\\s[^>]*|/)?>', chr(1) || '{tag}' || chr(3), 'g')"
+        body = f"regexp_replace({body}, '(?i)</{tag}\\s*>', chr(2) || '{tag}' || chr(3), 'g')"
+    body = f"regexp_replace({body}, '</?[A-Za-z!?][^>]*>', '', 'g')"
+    for sign, name in (("&", "amp"), ("<", "lt"), (">", "gt")):
+        body = f"replace({body}, '{sign}', '&{name};')"
+    walls, ends = (", ".join(f"'{t}'" for t in x) for x in (richtext.WALLS, richtext.ENDS_PARAGRAPH))
+    closers = "array_to_string(list_transform(a.open[1:n], lambda t: '</' || t || '>'), '')"
+    return f"""
+WITH p AS (SELECT page_id, {strip('html')} AS raw FROM pages),
+b AS (SELECT page_id, raw, {body} AS body FROM p),
+t AS (
+  SELECT page_id, list_transform(regexp_extract_all(body, '[\\x01\\x02][a-z]+\\x03|[^\\x01\\x02]+'), lambda x:
+    {{'kind': ascii(x), 'name': CASE WHEN ascii(x) < 3 THEN x[2:-2] ELSE '' END, 'out': x, 'open': []::VARCHAR[]}}) AS tokens FROM b),
+f AS (
+  SELECT page_id, list_reduce(list_prepend({{'kind': 0, 'name': '', 'out': '', 'open': []::VARCHAR[]}}, tokens), lambda a, x:
+    list_transform([CASE
+        WHEN x.kind = 2 THEN coalesce(list_position(a.open, x.name), 0)
+        WHEN x.kind = 1 AND x.name = 'li' AND coalesce(list_position(a.open, 'li'), 0) > 0
+             AND coalesce(list_position(a.open, 'li') < list_position(list_transform(a.open, lambda o: o IN ({walls})), true), true)
+          THEN list_position(a.open, 'li')
+        WHEN x.kind = 1 AND x.name IN ({ends}) THEN coalesce(list_position(a.open, 'p'), 0) ELSE 0 END],
+      lambda n: {{'kind': 0, 'name': '',
+        'out': a.out || {closers} || CASE x.kind WHEN 1 THEN '<' || x.name || '>' WHEN 2 THEN '' ELSE x.out END,
+        'open': CASE WHEN x.kind = 1 AND x.name <> 'br' THEN list_prepend(x.name, a.open[n + 1:]) ELSE a.open[n + 1:] END}})[1]) AS a FROM t)
+SELECT page_id, a.out || array_to_string(list_transform(a.open, lambda t: '</' || t || '>'), '') AS safe FROM f"""
+
+
+@query("safe_rich_text", _rich_text_sql())
 def safe_rich_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", richtext.safe_rich_text(F.col("html")).alias("safe"))
 
@@ -271,18 +324,23 @@ def page_headings(spark, sf):
     )
 
 
-@query("phrase_locations", r"""
-SELECT doc_id, CASE WHEN lang = 'en' THEN source || ', ' || lang WHEN lang = 'de' THEN source ELSE NULL END AS location FROM documents""")
+@query("phrase_locations", rf"""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Place ' || page_id WHEN page_id % 3 = 1 THEN 'Town ' || page_id END AS location,
+       {strip_tags("html || CASE page_id % 3 WHEN 0 THEN '<p>Location: Place ' || page_id || '</p>;' WHEN 1 THEN '<p>We are based in <b>Town ' || page_id || '</b>.' ELSE '' END")} AS plain
+FROM pages""")
 def phrase_locations(spark, sf):
-    """Pages written from document fields that name a location in either wording."""
-    c = F.col
-    html = (
-        F.when(c("lang") == "en", F.concat(F.lit("<p>Location: "), c("source"), F.lit(", "), c("lang"), F.lit("</p>;")))
-        .when(c("lang") == "de", F.concat(F.lit("<h1>x</h1>We are based in <b>"), c("source"), F.lit("</b>.")))
-        .otherwise(F.lit("<p>nowhere</p>"))
+    """Whole pages, two of three of which name a location at their end, in either wording."""
+    number = F.col("page_id")
+    name = number.cast("string")
+    added = (
+        F.when(number % 3 == 0, F.concat(F.lit("<p>Location: Place "), name, F.lit("</p>;")))
+        .when(number % 3 == 1, F.concat(F.lit("<p>We are based in <b>Town "), name, F.lit("</b>.")))
+        .otherwise("")
+    )
+    pages = table(spark, sf, "pages").select("page_id", F.concat("html", added).alias("html"), "url", F.lit("").alias("fetched_at"))
+    return page_source.extract_html(pages, carry=["page_id"]).select(
+        "page_id", F.col("location_text").alias("location"), F.col("description_text").alias("plain")
     )
-    pages = table(spark, sf, "documents").select("doc_id", html.alias("html"), F.lit("u").alias("url"), F.lit("").alias("fetched_at"))
-    return page_source.extract_html(pages, carry=["doc_id"]).select("doc_id", F.col("location_text").alias("location"))
 
 
 @query("keyword_hashes", r"""

@@ -57,6 +57,40 @@ SELECT source, target, low::DOUBLE / (a.total + b.total - low)::DOUBLE AS weight
 FROM pairs JOIN totals a ON a.id = source JOIN totals b ON b.id = target WHERE low::DOUBLE / (a.total + b.total - low)::DOUBLE > {}"""
 
 
+PLACED_LINKS = """
+placed AS (
+  SELECT source, target, low::DOUBLE / (a.total + b.total - low)::DOUBLE AS weight, 0 AS part, p.pos AS pa, q.pos AS pb
+  FROM pairs JOIN totals a ON a.id = source JOIN totals b ON b.id = target JOIN tops p ON p.id = source JOIN tops q ON q.id = target
+  WHERE low::DOUBLE / (a.total + b.total - low)::DOUBLE > {bound}{direct}),
+merged AS (
+  SELECT arg_max(source, (weight, -part)) AS source, arg_max(target, (weight, -part)) AS target, max(weight) AS weight, min((part, pa, pb)) AS ord
+  FROM placed GROUP BY least(source, target), greatest(source, target)),
+"""
+DIRECT_LINKS = """
+  UNION ALL SELECT arg_min(job_id, (a.pos, rank)), arg_min(other_id, (a.pos, rank)),
+         least(1.0::DOUBLE, greatest(0.22::DOUBLE, 0.22::DOUBLE + any_value(score) * 0.78::DOUBLE))::DOUBLE, 1, min(a.pos),
+         arg_min(rank, (a.pos, rank))
+  FROM neighbors JOIN tops a ON a.id = job_id SEMI JOIN tops b ON b.id = other_id GROUP BY least(job_id, other_id), greatest(job_id, other_id)"""
+# The greedy pass: links by weight, each kept while both ends have room for it.
+GREEDY = """
+listed AS (
+  SELECT list({'s': source, 't': target, 'w': weight, 'used': []::VARCHAR[], 'kept': []::STRUCT(s VARCHAR, t VARCHAR, w DOUBLE)[]}
+              ORDER BY weight DESC, ord, source, target) AS l FROM merged),
+greedy AS (
+  SELECT list_reduce(list_prepend({'s': '', 't': '', 'w': 0.0::DOUBLE, 'used': []::VARCHAR[], 'kept': []::STRUCT(s VARCHAR, t VARCHAR, w DOUBLE)[]}, l),
+    lambda a, x: CASE WHEN len(list_filter(a.used, lambda u: u = x.s)) < 4 AND len(list_filter(a.used, lambda u: u = x.t)) < 4
+      THEN {'s': '', 't': '', 'w': 0.0::DOUBLE, 'used': list_concat(a.used, [x.s, x.t]), 'kept': list_append(a.kept, {'s': x.s, 't': x.t, 'w': x.w})}
+      ELSE a END).kept AS kept FROM listed)
+SELECT k.s AS source, k.t AS target, k.w AS weight FROM (SELECT unnest(kept) AS k FROM greedy)"""
+
+
+def _links_sql(kind: str, ctes: tuple[str, str]) -> str:
+    direct = DIRECT_LINKS if kind == "job" else ""
+    tables = (GRAPH, SIMILAR, *ctes, PAIRS) if kind == "job" else (GRAPH, *ctes, PAIRS)
+    placed = PLACED_LINKS.format(bound=BOUNDS[kind], direct=direct)
+    return with_(*tables).rstrip() + "," + placed + GREEDY.lstrip()
+
+
 def _features(kind):
     def run(spark, sf):
         g = graph_tables(spark, sf)
@@ -90,8 +124,7 @@ for _kind, _ctes in {
 }.items():
     query(f"{_kind}_root_features", with_(GRAPH, *_ctes) + "SELECT id, key, w FROM features")(_features(_kind))
     query(f"{_kind}_root_similarity", with_(GRAPH, *_ctes, PAIRS) + ANSWER.format(BOUNDS[_kind]))(_pairs(_kind))
-    # The link cap is a greedy pass and has no SQL form; the tests compare it with one.
-    query(f"{_kind}_root_links")(_weave(_kind))
+    query(f"{_kind}_root_links", _links_sql(_kind, _ctes))(_weave(_kind))
 
 
 @query("job_root_direct_links", with_(GRAPH, SIMILAR, TOP_JOBS.replace("120", "5000")) + """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -99,8 +99,8 @@ def skill_company_newest_jobs(g: GraphTables, k: int = CHILDREN) -> DataFrame:
 
 
 def drill_down(g: GraphTables, k: int = CHILDREN) -> DataFrame:
-    """Skill -> its companies by job count -> their newest jobs with that skill -> the
-    jobs' other skills; every level keeps ``k`` children per parent."""
+    """Skill -> its companies by job count -> their newest jobs with that skill; every level
+    keeps ``k`` children per parent. The level below, a job's skills, is :func:`job_children`."""
     companies = skill_top_companies(g, k).select(
         "skill_id", "company_id", "company_name", F.col("jobs").alias("company_jobs"),
         F.col("rank").alias("company_rank"),
@@ -253,13 +253,19 @@ def expand(
     adjacent = ordered.select(
         F.col("source").alias("id"), F.col("target").alias("neighbor_id"), "_ord"
     ).unionByName(ordered.select(F.col("target").alias("id"), F.col("source").alias("neighbor_id"), "_ord"))
-    known = g.nodes.select("id").join(seeds.select("id", "pos"), "id").select(
-        "id", F.struct(F.lit(0).alias("hop"), F.col("pos").cast("long").alias("pos"),
-                       F.lit(None).cast("struct<phase:int,a:string,b:string,c:string>").alias("o")).alias("at"),
+    none = F.lit(None).cast("struct<phase:int,a:string,b:string,c:string>")
+    reached = cut_lineage(
+        g.nodes.select("id").join(seeds.select("id", "pos"), "id").select(
+            "id", F.struct(F.lit(0).alias("hop"), F.col("pos").cast("long").alias("pos"), none.alias("o")).alias("at")
+        )
     )
-    reached = known
-    frontier = known
+    frontier = reached
+    # Level by level: a hop reads the stored frontier alone, and nodes are ordered by hop first,
+    # so none that a full hop leaves out could come in later, nor anything behind it.
+    room = None if cap is None else cap - reached.count()
     for hop in range(1, hops + 1):
+        if room is not None and room <= 0:
+            break
         nearer = (
             adjacent.join(frontier, "id")
             .groupBy("neighbor_id")
@@ -268,7 +274,11 @@ def expand(
             .where(wanted)
             .select(F.col("neighbor_id").alias("id"), "at")
         )
-        frontier = nearer.join(reached.select("id"), "id", "left_anti")
+        new = nearer.join(reached.select("id"), "id", "left_anti")
+        frontier = cut_lineage(new if room is None else new.orderBy("at", "id").limit(room))
+        if hop < hops or room is not None:
+            found = frontier.count()
+            room = None if room is None else room - found
         reached = reached.unionByName(frontier)
     if cap is not None:
         reached = reached.orderBy("at", "id").limit(cap)
@@ -357,11 +367,21 @@ def _order(columns):
     return Window.orderBy(*columns)
 
 
+def settled(g: GraphTables) -> GraphTables:
+    """The graph with its nodes and edges stored once, for views that read them several times."""
+    return replace(
+        g,
+        nodes=cut_lineage(g.nodes.select("id", "type", "label")),
+        edges=cut_lineage(g.edges.select("id", "source", "target", "type", "weight", "confidence")),
+    )
+
+
 def overview(
     g: GraphTables, query: str = "", kind: str | None = None, selected: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The graph view for a filter: focused when anything is set, the default otherwise."""
     query = query.strip().lower()
+    g = settled(g)
     if query or kind or selected:
         ids, limit = focused_nodes(g, query, kind, selected), FOCUSED_NODES
     else:

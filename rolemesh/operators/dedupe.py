@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from ..session import cut_lineage
+from .components import connected
 from .ranking import first_per_key
 
 # What counts as a keyword of a posting, and how many are kept.
@@ -183,21 +186,102 @@ def upsert_companies(normalized: DataFrame, order: str = "raw_id") -> DataFrame:
     return upsert_last_wins(prepared, ["id"], order, ["name", "aliases"], ["website", "industry"])
 
 
+def _mixed_chains(narrow: DataFrame) -> DataFrame | None:
+    """(dedupe_fingerprint, chain) of the postings that the two keys link in more than one way.
+
+    Where all linked postings share one external id, or all share one fingerprint, they are
+    one job whatever their order. Else some pair of keys has an external id with several
+    fingerprints and a fingerprint with several external ids; only then order decides.
+    """
+    pairs = narrow.select("external", "dedupe_fingerprint").distinct()
+    by_external = pairs.where("external is not null").groupBy("external").agg(F.count("*").alias("prints"))
+    by_print = pairs.groupBy("dedupe_fingerprint").agg(F.count("*").alias("externals"))
+    middle = (
+        pairs.join(by_external.where("prints > 1"), "external")
+        .join(by_print.where("externals > 1"), "dedupe_fingerprint")
+        .select("dedupe_fingerprint")
+        .distinct()
+    )
+    middle = cut_lineage(middle)
+    if middle.isEmpty():
+        return None
+    edges = pairs.where("external is not null").select(
+        F.concat(F.lit("e"), "external").alias("a"), F.concat(F.lit("f"), "dedupe_fingerprint").alias("b")
+    )
+    found = connected(edges).where(F.col("node").startswith("f"))
+    prints = found.select(F.expr("substring(node, 2)").alias("dedupe_fingerprint"), F.col("root").alias("chain"))
+    chains = prints.join(middle, "dedupe_fingerprint", "left_semi").select("chain").distinct()
+    return cut_lineage(prints.join(chains, "chain", "left_semi"))
+
+
+def _folded_chains(rows: DataFrame) -> DataFrame:
+    """(id, first_ord, last_ord) of the jobs in mixed chains, by the rule for one posting after another.
+
+    A posting belongs to the job that now has its external id, else to the first job that now
+    has its fingerprint, else it is a new one; the job takes over both keys. Postings stream
+    through in order, narrow rows only; what is kept of a chain is its jobs.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, jobs, by_external, by_print = None, [], {}, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if jobs:
+                columns = zip(*((j[0], j[1], j[2]) for j in jobs))
+                kinds = (pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "first_ord", "last_ord"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["chain"] != chain:
+                    yield from done()
+                    chain, jobs, by_external, by_print = row["chain"], [], {}, {}
+                external, fingerprint = row["external"], row["dedupe_fingerprint"]
+                at = by_external.get(external) if external is not None else None
+                if at is None and by_print.get(fingerprint):
+                    at = min(by_print[fingerprint])
+                if at is None:
+                    at = len(jobs)
+                    jobs.append([row["id"], row["ord"], row["ord"], None, None])
+                job = jobs[at]
+                if job[3] is not None:
+                    by_external.pop(job[3], None)
+                if job[4] is not None:
+                    by_print[job[4]].discard(at)
+                job[2], job[3], job[4] = row["ord"], external, fingerprint
+                if external is not None:
+                    by_external[external] = at
+                by_print.setdefault(fingerprint, set()).add(at)
+        yield from done()
+
+    dealt = rows.repartition("chain").sortWithinPartitions("chain", "ord")
+    return dealt.mapInArrow(fold, "id string, first_ord long, last_ord long")
+
+
 def upsert_jobs(normalized: DataFrame, order: str = "raw_id") -> DataFrame:
     """Merge re-posted jobs and keep the first id with the last attributes.
 
-    Postings merge first on (company, source, external id), then on the fingerprint the
-    merged record ended with, then on the id. Only narrow keys are aggregated; the wide
-    row of the winner is fetched once at the end.
+    A posting updates the job that has its (company, source, external id) at that time, else
+    the one that has its fingerprint. Where the keys agree on who belongs together, that is a
+    grouping by external id and then by fingerprint; only chains that mix the keys are walked
+    in order. Ids that several jobs claim are merged last. Only narrow keys are aggregated;
+    the wide row of the winner is fetched once at the end.
     """
     at = F.col(order)
-    narrow = normalized.select(
-        "company_id", "source_type", text.blank_to_null(F.col("external_id")).alias("external_id"),
-        "dedupe_fingerprint", "id", at.alias("ord"),
-    )
+    external = text.blank_to_null(F.col("external_id"))
+    narrow = cut_lineage(normalized.select(
+        F.when(external.isNotNull(), F.concat_ws("\u0001", "company_id", "source_type", external)).alias("external"),
+        "dedupe_fingerprint", "id", at.cast("long").alias("ord"),
+    ))
+    mixed = _mixed_chains(narrow)
+    chained = None
+    if mixed is not None:
+        # At most the keys of mixed chains.
+        chained = _folded_chains(narrow.join(mixed, "dedupe_fingerprint"))
+        narrow = narrow.join(mixed.select("dedupe_fingerprint"), "dedupe_fingerprint", "left_anti")
     by_external = (
-        narrow.where(F.col("external_id").isNotNull())
-        .groupBy("company_id", "source_type", "external_id")
+        narrow.where(F.col("external").isNotNull())
+        .groupBy("external")
         .agg(
             F.min_by("id", "ord").alias("id"),
             F.max_by("dedupe_fingerprint", "ord").alias("dedupe_fingerprint"),
@@ -206,7 +290,7 @@ def upsert_jobs(normalized: DataFrame, order: str = "raw_id") -> DataFrame:
         )
         .select("id", "dedupe_fingerprint", "first_ord", "last_ord")
     )
-    without = narrow.where(F.col("external_id").isNull()).select(
+    without = narrow.where(F.col("external").isNull()).select(
         "id", "dedupe_fingerprint", F.col("ord").alias("first_ord"), F.col("ord").alias("last_ord")
     )
     by_fingerprint = (
@@ -217,7 +301,10 @@ def upsert_jobs(normalized: DataFrame, order: str = "raw_id") -> DataFrame:
             F.min("first_ord").alias("first_ord"),
             F.max("last_ord").alias("last_ord"),
         )
+        .drop("dedupe_fingerprint")
     )
+    if chained is not None:
+        by_fingerprint = by_fingerprint.unionByName(chained)
     survivors = by_fingerprint.groupBy("id").agg(
         F.min("first_ord").alias("first_ord"),
         F.max("last_ord").alias("last_ord"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,12 +148,41 @@ def _constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
 
 
+def _lookup(places: dict[str, list[int]], words: Column) -> Column:
+    """Positions listed for any of ``words``, each word looked up in a hash table of its own making.
+
+    The table travels as constants: buckets by the word's CRC, about one word in each. A
+    look-up costs the same however many words the table has.
+    """
+    size = 1
+    while size < 2 * len(places):
+        size *= 2
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for word, at in sorted(places.items()):
+        buckets[zlib.crc32(word.encode()) % size].append({"word": word, "at": at})
+    table = _constant(buckets, "array<array<struct<word:string,at:array<int>>>>")
+
+    def find(word: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(word), F.lit(size)).cast("int"))
+        return F.flatten(F.transform(F.filter(bucket, lambda e: e["word"] == word), lambda e: e["at"]))
+
+    return F.flatten(F.transform(words, find))
+
+
+def _heads(chars: Column) -> Column:
+    """Every letter of a text, and every pair of neighbouring ones, each once."""
+    pairs = F.transform(
+        F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), lambda c, i: F.concat(c, F.get(chars, i + 1))
+    )
+    return F.array_distinct(F.concat(chars, pairs))
+
+
 def _candidates(df: DataFrame, entries: list[tuple]) -> DataFrame:
     """Adds ``_entries``: what can match a text, in taxonomy order.
 
-    The taxonomy travels as constants: a text's distinct words are met with the taxonomy's
-    words, and only those in both are looked up. CJK terms are tested as substrings, where
-    the text has CJK letters at all.
+    The taxonomy travels as constants. A text's distinct words are looked up one by one, so a
+    text meets only entries that share a word with it. CJK terms are found by their first two
+    letters, where the text has CJK letters at all, and then tested as substrings.
     """
     places: dict[str, list[int]] = {}
     for entry in entries:
@@ -161,17 +191,23 @@ def _candidates(df: DataFrame, entries: list[tuple]) -> DataFrame:
                 places.setdefault(word, []).append(entry[0])
     names = re.findall(r"(\w+):", re.sub("<string>", "", _ENTRY))
     table = _constant([dict(zip(names, e)) for e in entries], f"array<{_ENTRY}>")
-    by_word = _constant(places, "map<string,array<int>>")
     always = _constant([e[0] for e in entries if "" in e[7]], "array<int>")
-    terms = _constant([{"term": t, "pos": e[0]} for e in entries for t in e[10]], "array<struct<term:string,pos:int>>")
-
-    hits = F.array_intersect("_tokens", _constant(sorted(places), "array<string>"))
-    worded = F.flatten(F.transform(hits, lambda word: F.element_at(by_word, word)))
-    inside = text.let(
-        F.lower("description_text"),
-        lambda low: F.transform(F.filter(terms, lambda t: F.contains(low, t["term"])), lambda t: t["pos"]),
-    )
-    cjk = F.when(F.col("description_text").rlike(CJK), inside).otherwise(F.array().cast("array<int>"))
+    worded = _lookup(places, F.col("_tokens"))
+    terms = [(t, e[0]) for e in entries for t in e[10]]
+    cjk = F.array().cast("array<int>")
+    if terms:
+        heads: dict[str, list[int]] = {}
+        for i, (term, _) in enumerate(terms):
+            heads.setdefault(term[:2], []).append(i)
+        listed = _constant([{"term": t, "pos": p} for t, p in terms], "array<struct<term:string,pos:int>>")
+
+        def inside(low: Column) -> Column:
+            begun = F.array_distinct(_lookup(heads, text.let(F.split(low, ""), _heads)))
+            found = F.filter(F.transform(begun, lambda i: F.get(listed, i)), lambda t: F.contains(low, t["term"]))
+            return F.transform(found, lambda t: t["pos"])
+
+        has_cjk = F.col("description_text").rlike(CJK)
+        cjk = F.when(has_cjk, text.let(F.lower("description_text"), inside)).otherwise(cjk)
     positions = F.array_sort(F.array_distinct(F.concat(worded, cjk, always)))
     return df.withColumn("_entries", F.transform(positions, lambda at: F.get(table, at)))
 
@@ -373,6 +409,24 @@ def cached_enrichment(
     return answered, fresh, counts
 
 
+def jobs_with_enrichment(jobs: DataFrame, enrichment: DataFrame, companies: DataFrame) -> DataFrame:
+    """Every job with its enrichment row (struct ``enrichment``) and company name, both null where missing."""
+    rows = enrichment.select(
+        F.col("job_id").alias("id"), F.struct(*(c for c in enrichment.columns if c != "job_id")).alias("enrichment")
+    )
+    names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
+    return jobs.drop("company_name").join(rows, "id", "left").join(names, "company_id", "left")
+
+
+def run_counters(counts: DataFrame, written: dict[str, int]) -> DataFrame:
+    """The counters of an enrichment run: cache hits and misses, and what the writes counted."""
+    return counts.select(
+        "*",
+        F.lit(written["skills"]).cast("long").alias("skills_written"),
+        F.lit(written["job_skill_edges"]).cast("long").alias("edges_written"),
+    )
+
+
 def upsert_enrichment(results: DataFrame, order: str, written_at: str) -> DataFrame:
     """One enrichment row per job: the last result by ``order`` with all its values, even null;
     created_at is the first ``written_at`` of the job and updated_at the last."""

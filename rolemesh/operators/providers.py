@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 from typing import Protocol, runtime_checkable
 
@@ -193,41 +192,53 @@ def decode_results(df: DataFrame, column: str, default_provenance: str, lenient:
     )
 
 
-def _object_text(content: str | None) -> str | None:
-    """The JSON object inside one model answer, unwrapped; None when there is none."""
-    if content is None:
-        return None
-    body = re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", content, flags=re.I | re.S).strip()
-    spans = [body]
-    for opening, closing in ("{}", "[]"):
-        first, last = body.find(opening), body.rfind(closing)
-        if -1 < first < last:
-            spans.append(body[first : last + 1])
-    for span in spans:
-        try:
-            value = json.loads(span)
-        except ValueError:
-            continue
-        if value is not None:
-            break
-    else:
-        return None
-    if isinstance(value, list) and len(value) == 1:
-        value = value[0]
-    if not isinstance(value, dict):
-        return None
-    inner = value
-    while not any(k in inner for k in RESULT_KEYS):
-        nested = next((inner[k] for k in WRAPPERS if isinstance(inner.get(k), dict)), None)
-        if nested is None:
-            break
-        inner = nested
-    return json.dumps(inner, ensure_ascii=False)
-
-
-@F.pandas_udf(T.StringType())
-def response_object(content: pd.Series) -> pd.Series:
-    return content.map(_object_text)
+# The fence that models put around JSON, and how many wrappers are opened.
+FENCE = r"(?is)^\s*```(?:json)?\s*|\s*```\s*$"
+WRAPPER_DEPTH = 8
+
+
+def _spanned(body: Column, opening: str, closing: str) -> Column:
+    """From the first opening sign to the last closing one; null where there is no such span."""
+    first, back = F.locate(opening, body), F.locate(closing, F.reverse(body))
+    size = F.length(body) - back + 2 - first
+    return F.when((first > 0) & (back > 0) & (size > 1), body.substr(first, size))
+
+
+def _kind(v: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _unwrapped(v: Column) -> Column:
+    """The object behind known wrapper keys: the first one that has a key of a result."""
+
+    def step(inner: Column, _: Column) -> Column:
+        members = F.try_variant_get(inner, "$", "map<string,variant>")
+        is_result = F.arrays_overlap(F.map_keys(members), F.array(*(F.lit(k) for k in RESULT_KEYS)))
+        nested = [F.try_element_at(members, F.lit(k)) for k in WRAPPERS]
+        found = F.coalesce(*(F.when(_kind(n) == "OBJECT", n) for n in nested))
+        return F.when(is_result, inner).otherwise(F.coalesce(found, inner))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WRAPPER_DEPTH)), v, step)
+
+
+def response_object(content: str) -> Column:
+    """The JSON object inside a model answer, as text; null when there is none.
+
+    An answer may be fenced, stand inside prose, be a list of one, or be wrapped in objects.
+    """
+    body = text.strip(F.regexp_replace(F.col(content), FENCE, ""))
+
+    def read(body: Column) -> Column:
+        spans = F.array_compact(F.array(body, _spanned(body, "{", "}"), _spanned(body, "[", "]")))
+        values = F.filter(F.transform(spans, F.try_parse_json), lambda v: v.isNotNull() & (_kind(v) != "VOID"))
+        return text.let(F.get(values, 0), lone)
+
+    def lone(v: Column) -> Column:
+        entries = F.try_variant_get(v, "$", "array<variant>")
+        single = F.when((_kind(v) == "ARRAY") & (F.size(entries) == 1), F.get(entries, 0)).otherwise(v)
+        return text.let(single, lambda one: F.when(_kind(one) == "OBJECT", F.to_json(_unwrapped(one))))
+
+    return text.let(body, read)
 
 
 def _joined_texts(items: Column) -> Column:

@@ -146,17 +146,24 @@ def _array_violations(v: Column, items: dict, path: Column) -> Column:
     )
 
 
-def violations(df: DataFrame, contract: str | dict, payload: str, context: Column) -> DataFrame:
-    """All broken rules of JSON text column ``payload`` as (context, path, message) rows.
+def record_problems(payload: Column, contract: str | dict) -> Column:
+    """All broken rules of JSON text as an array of (path, message).
 
     Text that is no JSON at all is one violation at ``$``.
     """
     rules = CONTRACTS[contract] if isinstance(contract, str) else contract
-    parsed = df.select(context.alias("context"), F.try_parse_json(payload).alias("_v"))
     unreadable = F.array(F.struct(F.lit("$").alias("path"), F.lit("is not valid JSON").alias("message"))).cast(_NONE)
-    found = F.when(F.col("_v").isNull(), unreadable).otherwise(_violations(F.col("_v"), rules, F.lit("$")))
+
+    def found(v: Column) -> Column:
+        return F.when(v.isNull(), unreadable).otherwise(_violations(v, rules, F.lit("$")))
+
+    return text.let(F.try_parse_json(payload), found)
+
+
+def violations(df: DataFrame, contract: str | dict, payload: str, context: Column) -> DataFrame:
+    """All broken rules of JSON text column ``payload`` as (context, path, message) rows."""
     # The outer form keeps Spark from testing the array first, which would compute it twice.
-    listed = parsed.select("context", F.explode_outer(found).alias("e"))
+    listed = df.select(context.alias("context"), F.explode_outer(record_problems(F.col(payload), contract)).alias("e"))
     return listed.where(F.col("e").isNotNull()).select("context", "e.path", "e.message")
 
 

@@ -1,27 +1,31 @@
 """Jaccard similarity of skill sets: top-k neighbours per job, exact and safe under skew.
 
-No step pairs up everything that shares a popular skill.
-
 * Jobs with equal skill sets are folded into one *set row* that keeps its ``k + 1``
   smallest job ids; a job never needs more neighbours than that from one set. A set with
   more than ``k`` jobs serves its own jobs, at similarity 1, and only offers to others.
-* Skills are ordered by how many sets hold them, rarest first. A pair is found at its
-  rarest common skill only.
-* Rarest common skill held by at most ``hot_df`` sets: prefix-filtered equi-join. Every
-  posting list on this path is at most ``hot_df`` long, so the join grows linearly.
-* Rarest common skill hot: then the whole overlap consists of hot skills. Sets list subsets
-  of their hot skills; for every (subset, set size) only the ``k + 1`` smallest job ids are
-  kept, and each set looks its own subsets up. Whatever that drops is beaten by ``k`` kept
-  jobs of the same group, so the result stays exact.
-* Large subsets first: a set that finds ``k + 1`` jobs more similar than anything still
-  unseen could be is done. Only the others list all subsets that can matter, and pairs
-  with a set of more than ``max_hot`` hot skills, which has too many, use the prefix join.
+* Skills are numbered by how many sets hold them, rarest first. A pair of sets is found at
+  its rarest common skill only, in the posting list of that skill.
+* Rounds go down by levels of similarity. At a level a set stands in the lists of its first
+  skills only, as many as a pair of that similarity can miss. A set that has met ``k + 1``
+  jobs at or above the level is closed: what is still unseen is below. Later rounds look
+  only for the sets that are open. The first round takes the lowest level at which the lists
+  are short enough, so sparse skills need one round and skills that everybody has need more.
+* Posting lists are cut into blocks of at most BLOCK sets in the order of their skills. Two
+  blocks of a list are compared in one task, by a product of their bit matrices, unless
+  their common and united skills bound every similarity between them below the level. Per
+  asking set a task hands on its best ``k + 1`` sets, never all pairs.
 
 Similarity is compared in integers: i / u >= 7 / 20 is 20 i >= 7 u.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +37,11 @@ NUM, DEN = 7, 20
 TOP = 8
 DIGITS = 4
 
-HOT_DF = 1_000
-MAX_HOT = 10
-# First look-up: skills the asking and the offering set may have outside the overlap.
-NEAR_ASKED, NEAR_OFFERED = 1, 2
+# Levels of similarity in falling order; the last is the threshold.
+LEVELS = ((9, 10), (4, 5), (7, 10), (3, 5), (1, 2), (2, 5), (NUM, DEN))
+BLOCK = 1_024
+# A first level is low enough if its lists ask for about so many comparisons per list entry.
+COMPARISONS = 4_096
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -56,243 +61,270 @@ def skill_sets(job_skills: DataFrame) -> DataFrame:
 
 
 def _distinct_sets(members: DataFrame, k: int) -> DataFrame:
-    """Equal skill sets folded: (toks, job_ids, sid), the k + 1 smallest job ids each."""
-    return (
+    """Equal skill sets folded: (sid, toks, job_ids), the k + 1 smallest job ids each.
+
+    Numbers follow the smallest job id, so that a smaller sid stands for a smaller job. They
+    are stored with the table: a recomputed partition must not number them differently.
+    """
+    folded = (
         top_k(members, ["toks"], [F.col("job_id").asc()], k + 1)
         .groupBy("toks")
         .agg(F.array_sort(F.collect_list("job_id")).alias("job_ids"))
-        .withColumn("sid", F.col("job_ids")[0])
     )
+    ordered = folded.orderBy(F.col("job_ids")[0])
+    return cut_lineage(ordered.select(F.monotonically_increasing_id().alias("sid"), "toks", "job_ids"))
 
 
-def _ranked_tokens(folded: DataFrame) -> DataFrame:
-    """Skills with a number that grows with how many sets hold them.
-
-    The sort is a range sort over all tasks; the numbers follow its partitions. They are
-    stored before use, because a recomputed partition must not number them differently.
-    """
+def _encoded_sets(folded: DataFrame, k: int) -> DataFrame:
+    """Set rows (sid, n, skills, jobs): skill numbers rarest first, how many jobs it offers."""
     df = folded.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    return cut_lineage(df.orderBy("df", "tok").withColumn("tid", F.monotonically_increasing_id()))
-
-
-def _encoded_sets(folded: DataFrame, tokens: DataFrame, hot_df: int, k: int) -> DataFrame:
-    """Set rows (sid, n, cold_n, ordered, job_ids, full): skill numbers rarest first, the hot
-    ones from position ``cold_n`` on. A full set has enough jobs to serve its own."""
+    tokens = cut_lineage(df.orderBy("df", "tok").select("tok", F.monotonically_increasing_id().alias("tid")))
     ordered = (
         folded.select("sid", F.explode("toks").alias("tok"))
         .join(tokens, "tok")
         .groupBy("sid")
-        .agg(
-            F.array_sort(F.collect_list("tid")).alias("ordered"),
-            F.count_if(F.col("df") <= hot_df).cast("int").alias("cold_n"),
-        )
+        .agg(F.array_sort(F.collect_list("tid")).alias("skills"))
     )
-    return ordered.join(folded.select("sid", "job_ids"), "sid").select(
-        "sid", F.size("ordered").alias("n"), "cold_n", "ordered", "job_ids",
-        (F.size("job_ids") > k).alias("full"),
+    return ordered.join(folded.select("sid", F.size("job_ids").alias("jobs")), "sid").select(
+        "sid", F.size("skills").alias("n"), "skills", "jobs"
     )
 
 
-def _min_overlap(na: Column, nb: Column) -> Column:
-    """Smallest overlap that reaches the threshold: ceil(7 (na + nb) / 27)."""
-    return F.ceil((na + nb) * NUM / F.lit(NUM + DEN)).cast("int")
+def _reach(n: Column, level: tuple[int, int]) -> Column:
+    """How many of its first skills a set of ``n`` must be found by, for all pairs of the level."""
+    num, den = level
+    return n - F.ceil(n * num / F.lit(den)).cast("int") + 1
 
 
-def _hot_n() -> Column:
-    return F.col("n") - F.col("cold_n")
+def first_level(sets: DataFrame, levels: tuple = LEVELS) -> int:
+    """The lowest level whose posting lists are short enough to be compared, else the highest.
 
-
-def _token_pairs(sets: DataFrame, over_hot: bool) -> DataFrame:
-    """Set pairs (a, b, i, u), each once, that meet at their rarest common skill.
-
-    Either all pairs whose rarest common skill is not hot, or, for hot ones, the pairs with
-    a set too large to list its subsets and a set that is still open.
+    The length of every list at every level is counted: a skill's place in a set tells from
+    which level on the set stands in that list.
     """
-    prefix = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1
-    flags = ["full"] if not over_hot else ["large", "open"]
-    index = sets.select(
-        "sid", "n", "ordered", *flags, "cold_n",
-        F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("pos", "tok"),
-    )
-    is_hot = F.col("pos") >= F.col("cold_n")
-    index = index.where(is_hot if over_hot else ~is_hot)
-    a, b = index.alias("a"), index.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    if over_hot:
-        wanted = (F.col("a.large") | F.col("b.large")) & (F.col("a.open") | F.col("b.open"))
-    else:
-        wanted = ~F.col("a.full") | ~F.col("b.full")
-    worth_it = (
-        (F.col("a.sid") < F.col("b.sid"))
-        & wanted
-        & (DEN * na >= NUM * nb)
-        & (DEN * nb >= NUM * na)
-        & (F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= _min_overlap(na, nb))
-    )
-    return _verified(a.join(b, (F.col("a.tok") == F.col("b.tok")) & worth_it), worth_it)
-
-
-def _verified(candidates: DataFrame, worth_it: Column) -> DataFrame:
-    # ``worth_it`` again: it keeps the intersection behind the cheap tests wherever the
-    # optimizer moves it.
-    common = F.when(worth_it, F.array_intersect(F.col("a.ordered"), F.col("b.ordered")))
-    total = F.col("a.n") + F.col("b.n")
-    return (
-        candidates.select(
-            F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.col("a.tok").alias("tok"),
-            common.alias("common"), total.alias("total"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"),
-        )
-        .where(
-            ((NUM + DEN) * F.size("common") >= NUM * F.col("total"))
-            & (F.get("common", 0) == F.col("tok"))
-        )
-        .select(
-            "a", "b", F.size("common").alias("i"), (F.col("total") - F.size("common")).alias("u"), "na", "nb"
-        )
+    enters = F.lit(len(levels))
+    for at in reversed(range(len(levels))):
+        enters = F.when(F.col("pos") < _reach(F.col("n"), levels[at]), at).otherwise(enters)
+    entries = sets.select("n", F.posexplode("skills").alias("pos", "tok")).select("tok", enters.alias("level"))
+    counts = entries.groupBy("tok", "level").count()
+    lengths = counts.groupBy("tok").agg(
+        *(F.sum(F.when(F.col("level") <= at, F.col("count")).otherwise(0)).cast("double").alias(f"m{at}") for at in range(len(levels)))
     )
+    row = lengths.agg(
+        *(F.sum(F.col(f"m{at}") * F.col(f"m{at}")).alias(f"c{at}") for at in range(len(levels))),
+        *(F.sum(f"m{at}").alias(f"r{at}") for at in range(len(levels))),
+    ).first()
+    fits = [at for at in range(len(levels)) if (row[f"c{at}"] or 0) <= COMPARISONS * (row[f"r{at}"] or 0)]
+    return fits[-1] if fits else 0
 
 
-def _subsets(hot: Column, smallest: Column) -> Column:
-    """Subsets of ``hot`` (its order kept) with at least ``smallest`` elements; branches that
-    already left too many out are not followed."""
-    spare = F.size(hot) - smallest
-    start = F.array(F.struct(F.slice(hot, 1, 0).alias("s"), F.lit(0).alias("out")))
+def _lists(sets: DataFrame, still_open: DataFrame | None, level: tuple[int, int], block: int) -> DataFrame:
+    """Posting lists (tok, block, sid, n, skills, asks) of the level, cut into blocks, stored.
 
-    def grow(acc: Column, tok: Column) -> Column:
-        with_it = F.transform(
-            acc, lambda x: F.struct(F.concat(x["s"], F.array(tok)).alias("s"), x["out"].alias("out"))
-        )
-        without = F.transform(
-            F.filter(acc, lambda x: x["out"] < spare),
-            lambda x: F.struct(x["s"].alias("s"), (x["out"] + 1).alias("out")),
+    Entries are sorted by (skill, the set's skills) over all tasks, so a list may span many
+    tasks, and the sets of a block are alike.
+    """
+    asks = sets.withColumn("asks", F.lit(True)) if still_open is None else sets.join(
+        still_open.select("sid", F.lit(True).alias("asks")), "sid", "left"
+    ).withColumn("asks", F.coalesce("asks", F.lit(False)))
+    entries = asks.select(
+        "sid", "n", "skills", "asks", F.explode(F.slice("skills", F.lit(1), _reach(F.col("n"), level))).alias("tok")
+    )
+    worth = entries.groupBy("tok").agg(F.count("*").alias("m"), F.bool_or("asks").alias("any")).where("m > 1 and any")
+    entries = entries.join(worth.select("tok"), "tok", "left_semi")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, tok, filled = TaskContext.get().partitionId() << 32, None, 0
+        for batch in batches:
+            toks = batch.column("tok").to_numpy()
+            numbers = np.empty(len(toks), np.int64)
+            begins = np.flatnonzero(np.concatenate(([True], toks[1:] != toks[:-1]))) if len(toks) else []
+            for a, b in zip(begins, [*begins[1:], len(toks)]):
+                if toks[a] != tok:
+                    number, tok, filled = number + 1, toks[a], 0
+                places = filled + np.arange(b - a)
+                numbers[a:b] = number + places // block
+                number, filled = int(numbers[b - 1]), int(places[-1] % block) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], names=[*batch.schema.names, "block"])
+
+    ranged = entries.repartitionByRange("tok", "skills").sortWithinPartitions("tok", "skills")
+    return cut_lineage(ranged.mapInArrow(cut, "tok long, sid long, n int, skills array<bigint>, asks boolean, block long"))
+
+
+def _block_pairs(lists: DataFrame, level: tuple[int, int]) -> DataFrame:
+    """(tok, i, j) of the blocks that may hold a pair of the level, i <= j, one of them asking.
+
+    Skills that all sets of one block have and no set of the other are missed by every pair.
+    """
+    num, den = level
+    blocks = cut_lineage(
+        lists.groupBy("tok", "block").agg(
+            F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"), F.bool_or("asks").alias("asks")
         )
-        return F.concat(with_it, without)
-
-    listed = F.transform(F.aggregate(hot, start, grow), lambda x: x["s"])
-    return F.when(spare >= 0, listed)
-
-
-def _listed(sets: DataFrame, smallest: Column) -> DataFrame:
-    """Set rows with one row per subset of their hot skills of at least ``smallest``."""
-    hot = F.slice("ordered", F.col("cold_n") + 1, F.col("n") - F.col("cold_n"))
-    least = F.greatest(F.lit(1), F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int"), smallest)
-    # The outer form keeps Spark from listing twice to see whether there is anything.
-    return sets.select("*", F.explode_outer(_subsets(hot, least)).alias("subset")).where(
-        F.col("subset").isNotNull()
     )
-
-
-def _met_in_subsets(asking: DataFrame, offering: DataFrame, k: int) -> DataFrame:
-    """(sid, job_id, i, u) of sets that share one of their listed subsets, and the sizes."""
-    offered = top_k(
-        offering.select(
-            "subset", F.col("n").alias("nb"), F.col("sid").alias("other"),
-            F.col("ordered").alias("theirs"), F.explode("job_ids").alias("job_id"),
-        ),
-        ["subset", "nb"],
-        [F.col("job_id").asc()],
-        k + 1,
-    ).drop("rank")
-    asked = asking.select("subset", "sid", F.col("n").alias("na"), F.col("ordered").alias("mine"))
-    met = asked.join(offered, "subset").where(
-        (F.col("sid") != F.col("other"))
-        & ((NUM + DEN) * F.size("subset") >= NUM * (F.col("na") + F.col("nb")))
+    alone = blocks.where("asks and m > 1").select("tok", F.col("block").alias("i"), F.col("block").alias("j"))
+    several = blocks.groupBy("tok").agg(F.count("*").alias("blocks")).where("blocks > 1")
+    held = (
+        lists.join(several, "tok", "left_semi")
+        .select("tok", "block", F.explode("skills").alias("skill"))
+        .groupBy("tok", "block", "skill")
+        .agg(F.count("*").alias("c"))
+        .join(blocks, ["tok", "block"])
+        .groupBy("tok", "block", "least", "most", "asks")
+        .agg(F.collect_list("skill").alias("some"), F.collect_list(F.when(F.col("c") == F.col("m"), F.col("skill"))).alias("all"))
     )
-    # Found once, where the subset is the whole overlap.
-    overlap = F.size(F.array_intersect("mine", "theirs"))
-    return met.where(overlap == F.size("subset")).select(
-        "sid", "job_id", F.size("subset").alias("i"),
-        (F.col("na") + F.col("nb") - F.size("subset")).alias("u"), "na", "nb",
+    held = cut_lineage(held)
+    a, b = (held.select([F.col(c).alias(f"{c}_{x}") for c in held.columns]) for x in "ab")
+    common = F.least(F.size(F.array_intersect("some_a", "some_b")), F.col("most_a"), F.col("most_b"))
+    missed = F.size(F.array_except("all_a", "some_b")) + F.size(F.array_except("all_b", "some_a"))
+    either = F.greatest(common + missed, F.col("least_a") + F.col("least_b") - common)
+    near = (
+        (F.col("block_a") < F.col("block_b")) & (F.col("asks_a") | F.col("asks_b"))
+        & (F.col("most_a") * den >= F.col("least_b") * num) & (F.col("most_b") * den >= F.col("least_a") * num)
     )
+    met = a.join(b, (F.col("tok_a") == F.col("tok_b")) & near).where(common * den >= either * num)
+    return alone.unionByName(met.select(F.col("tok_a").alias("tok"), F.col("block_a").alias("i"), F.col("block_b").alias("j")))
 
 
-def _near(sets: DataFrame, k: int) -> DataFrame:
-    """Jobs of sets that differ by very few hot skills."""
-    n = F.col("n")
-    return _met_in_subsets(
-        _listed(sets.where(~F.col("full")), n - NEAR_ASKED), _listed(sets, n - NEAR_OFFERED), k
-    ).select("sid", "job_id", "i", "u")
+def _bits(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """Rows of sets as 0 / 1 over the sorted skill numbers ``columns``."""
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.searchsorted(columns, flat)
+    known = (at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == flat)
+    out[row[known], at[known]] = 1
+    return out
 
 
-def _open_sets(sets: DataFrame, best: DataFrame, k: int) -> DataFrame:
-    """Sets that may still meet a better job through hot skills: they do not have ``k + 1``
-    jobs above what an unseen pair could reach, (n - 2) / n or n / (n + 3)."""
-    n, i, u = F.col("n"), F.col("i"), F.col("u")
-    above = (i * n > u * (n - NEAR_ASKED - 1)) & (i * (n + NEAR_OFFERED + 1) > u * n)
-    done = (
-        best.join(sets.select("sid", "n"), "sid")
-        .where(above)
-        .groupBy("sid")
-        .agg(F.count("*").alias("ahead"))
-        .where(F.col("ahead") > k)
-    )
-    has_hot = (n > F.col("cold_n")) & ~F.col("full")
-    return sets.where(has_hot).join(done.select("sid"), "sid", "left_anti")
-
-
-def _far(sets: DataFrame, still_open: DataFrame, k: int, max_hot: int) -> DataFrame:
-    """What the open sets have not met yet through hot skills."""
-    large = (F.col("n") - F.col("cold_n")) > max_hot
-    small, asking = sets.where(~large), still_open.where(~large)
-    asked = _listed(asking, F.lit(1))
-    # Only groups that some open set asks for are built.
-    offered = _listed(small, F.lit(1)).join(asked.select("subset").distinct(), "subset", "left_semi")
-    by_subset = _met_in_subsets(asked, offered, k).where(~_seen()).select("sid", "job_id", "i", "u")
-    flagged = sets.join(
-        still_open.select("sid", F.lit(True).alias("_open")), "sid", "left"
-    ).select("*", large.alias("large"), F.col("_open").isNotNull().alias("open"))
-    return by_subset.unionByName(_offers(flagged, _token_pairs(flagged, True), fresh_only=True))
-
-
-def _seen() -> Column:
-    """Whether :func:`_near` already met a pair of hot overlap, as asked by the ``na`` side."""
-    return (F.col("na") - F.col("i") <= NEAR_ASKED) & (F.col("nb") - F.col("i") <= NEAR_OFFERED)
-
-
-def _offers(sets: DataFrame, pairs: DataFrame, fresh_only: bool = False) -> DataFrame:
-    """Set pairs, both ways, as the jobs each set is offered."""
-    ways = F.array(
-        F.struct(F.col("a").alias("sid"), F.col("b").alias("other"), F.col("na"), F.col("nb")),
-        F.struct(F.col("b").alias("sid"), F.col("a").alias("other"), F.col("nb").alias("na"), F.col("na").alias("nb")),
+def compare_blocks(
+    tok: int, asking: tuple, offering: tuple, level: tuple[int, int], above: tuple[int, int] | None, k: int
+) -> tuple[np.ndarray, ...] | None:
+    """(sid, other, i, u): per asking set its ``k`` best sets of the offering block.
+
+    Blocks are (sid, skills, asks). Counted are pairs of the level, below ``above``, whose
+    rarest common skill is ``tok``; ties go to the smaller sid.
+    """
+    sid, skills, asks = asking
+    other, theirs, _ = offering
+    skills, sid = [s for s, ask in zip(skills, asks) if ask], sid[asks]
+    if not len(sid):
+        return None
+    # Skills of one side alone are in no intersection.
+    columns = np.intersect1d(np.concatenate(skills), np.concatenate(theirs))
+    a, b = _bits(skills, columns), _bits(theirs, columns)
+    common = a @ b.T
+    rarer = int(np.searchsorted(columns, tok))
+    total = np.array([len(s) for s in skills])[:, None] + np.array([len(s) for s in theirs])[None]
+    either = total - common
+    num, den = level
+    good = (den * common >= num * either) & (sid[:, None] != other[None])
+    if above is not None:
+        good &= above[1] * common < above[0] * either
+    if rarer:
+        good &= a[:, :rarer] @ b[:, :rarer].T == 0
+    i, j = np.nonzero(good)
+    if not len(i):
+        return None
+    both, united = common[i, j].astype(float), either[i, j].astype(float)
+    order = np.lexsort((other[j], -both / united, i))
+    i, j, both, united = i[order], j[order], both[order], united[order]
+    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+    place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+    kept = place < k
+    return sid[i[kept]], other[j[kept]], both[kept].astype(np.int32), united[kept].astype(np.int32)
+
+
+def _met(lists: DataFrame, level: tuple[int, int], above: tuple[int, int] | None, k: int) -> DataFrame:
+    """(sid, other, i, u) that asking sets meet at the level, ``k`` best of each pair of blocks."""
+    sides = _block_pairs(lists, level).select(
+        "tok", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")
     )
-    both = pairs.select(F.explode(ways).alias("p"), "i", "u").select("p.*", "i", "u")
-    if fresh_only:
-        both = both.where(~_seen())
-    jobs = sets.select(F.col("sid").alias("other"), "job_ids")
-    return both.join(jobs, "other").select("sid", F.explode("job_ids").alias("job_id"), "i", "u")
+    keys = ["tok", "i", "j", "block"]
+    dealt = lists.join(sides, ["tok", "block"]).select(*keys, "sid", "skills", "asks")
+    dealt = dealt.repartition("tok", "i", "j").sortWithinPartitions(*keys)
+
+    def search(parts: list[tuple]) -> pa.RecordBatch | None:
+        """Rows of one pair of blocks, in pieces (i, j, block, sid, skills, asks, tok)."""
+        i, j, tok = parts[0][0], parts[0][1], parts[0][6]
+        side = {}
+        for block in dict.fromkeys((i, j)):
+            own = [p for p in parts if p[2] == block]
+            side[block] = (
+                np.concatenate([p[3] for p in own]), [s for p in own for s in p[4]], np.concatenate([p[5] for p in own])
+            )
+        if len(side) == 1 and i != j:
+            return None
+        found = [compare_blocks(tok, side[x], side[y], level, above, k) for x, y in dict.fromkeys(((i, j), (j, i)))]
+        found = [f for f in found if f is not None]
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["sid", "other", "i", "u"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("tok", "i", "j", "block", "sid")]
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            lengths = pc.list_value_length(batch.column("skills")).to_numpy()
+            flat = pc.list_flatten(batch.column("skills")).to_numpy()
+            ends = np.cumsum(lengths)
+            sets = np.split(flat, ends[:-1]) if len(ends) else []
+            changes = np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)
+            begins = np.flatnonzero(np.concatenate(([True], changes))) if batch.num_rows else []
+            for a, b in zip(begins, [*begins[1:], batch.num_rows]):
+                tok, i, j, block = (int(c[a]) for c in columns[:4])
+                if parts and (parts[0][6], parts[0][0], parts[0][1]) != (tok, i, j):
+                    if (out := search(parts)) is not None:
+                        yield out
+                    parts = []
+                parts.append((i, j, block, columns[4][a:b], sets[a:b], asks[a:b], tok))
+        if parts and (out := search(parts)) is not None:
+            yield out
+
+    return dealt.mapInArrow(run, "sid long, other long, i int, u int")
 
 
 def similar_top_k(
-    job_skills: DataFrame, k: int = TOP, hot_df: int = HOT_DF, max_hot: int = MAX_HOT
+    job_skills: DataFrame, k: int = TOP, levels: tuple[tuple[int, int], ...] = LEVELS, block: int = BLOCK, start: int | None = None
 ) -> DataFrame:
     """Directed neighbours (job_id, other_id, rank, i, u, score): at most ``k`` per job,
-    most similar first, equal similarity by id."""
+    most similar first, equal similarity by id.
+
+    ``levels`` fall to the threshold; ``start`` is the first one taken, by the lists' lengths
+    if not given.
+    """
     # Each of these is read by several of the steps below, so it is computed once.
     members = cut_lineage(skill_sets(job_skills))
     folded = _distinct_sets(members, k)
-    sets = cut_lineage(_encoded_sets(folded, _ranked_tokens(folded), hot_df, k))
-    within = sets.select(
-        "sid", F.explode("job_ids").alias("job_id"), F.col("n").alias("i"), F.col("n").alias("u")
-    )
-    order = [(F.col("i") / F.col("u")).desc(), F.col("job_id").asc()]
-
-    def best_of(offers: DataFrame) -> DataFrame:
-        # k + 1 per set, because a job of the set may find itself among them.
-        return top_k(offers, ["sid"], order, k + 1).drop("rank")
-
-    cold = _offers(sets, _token_pairs(sets, False))
-    best = best_of(cold.unionByName(_near(sets, k)).unionByName(within))
-    if not sets.where(F.col("n") > F.col("cold_n")).isEmpty():
-        best = cut_lineage(best)
-        still_open = cut_lineage(_open_sets(sets, best, k))
-        best = best_of(best.unionByName(_far(sets, still_open, k, max_hot)))
-    offered = best.groupBy("sid").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct((-F.col("i") / F.col("u")).alias("order"), F.col("job_id").alias("other_id"), "i", "u")
+    sets = cut_lineage(_encoded_sets(folded, k))
+    order = [(F.col("i") / F.col("u")).desc(), F.col("other").asc()]
+    # A set that serves its own jobs never asks. k + 1 jobs, because a job may find itself.
+    still_open = sets.where(F.col("jobs") <= k).select("sid", F.col("jobs").alias("seen"))
+    if start is None:
+        start = first_level(sets, levels)
+    best, above = None, None
+    for at in range(start, len(levels)):
+        asking = still_open if at > start else sets.where(F.col("jobs") <= k).select("sid")
+        # k + 1 best sets hold the k + 1 best jobs: every set before one offers a smaller job.
+        met = _met(_lists(sets, asking, levels[at], block), levels[at], above, k + 1)
+        met = cut_lineage(top_k(met, ["sid"], order, k + 1).drop("rank"))
+        best = met if best is None else cut_lineage(top_k(best.unionByName(met), ["sid"], order, k + 1).drop("rank"))
+        above = levels[at]
+        if at + 1 < len(levels):
+            gained = met.join(sets.select(F.col("sid").alias("other"), "jobs"), "other").groupBy("sid").agg(F.sum("jobs").alias("more"))
+            still_open = cut_lineage(
+                still_open.join(gained, "sid", "left")
+                .select("sid", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("seen"))
+                .where(F.col("seen") <= k)
             )
-        ).alias("best")
-    )
+            if still_open.isEmpty():
+                break
+    within = sets.select("sid", F.col("sid").alias("other"), F.col("n").alias("i"), F.col("n").alias("u"))
+    offers = best.unionByName(within).join(folded.select(F.col("sid").alias("other"), "job_ids"), "other")
+    offers = offers.select("sid", F.explode("job_ids").alias("other_id"), "i", "u")
+    ranked = top_k(offers, ["sid"], [(F.col("i") / F.col("u")).desc(), F.col("other_id").asc()], k + 1)
+    offered = ranked.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("rank", "other_id", "i", "u"))).alias("best"))
     per_set = folded.select("sid", "toks").join(offered, "sid").select("toks", "best")
     own = F.filter("best", lambda o: o["other_id"] != F.col("job_id"))
     return (

@@ -7,6 +7,8 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 from ..functions.text import EMPLOYMENT_RULES, REMOTE_RULES, Cue
 
 
@@ -138,6 +140,14 @@ def load_taxonomy(source: str | dict) -> list[Skill]:
     ]
 
 
+def read_taxonomy(spark: SparkSession, path: str) -> list[Skill]:
+    """The taxonomy of a JSON file, or of the files of a folder, in any store that Spark reads."""
+    merged: dict = {}
+    for row in spark.read.text(path, wholetext=True).orderBy("value").collect():
+        merged.update(json.loads(row.value))
+    return load_taxonomy(merged)
+
+
 def taxonomy_records(taxonomy: list[Skill]) -> list[dict]:
     return [
         {

@@ -50,13 +50,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` once as Parquet below the shared folder and continue from the files.
 
     Unlike a checkpoint the files keep columns, so readers prune them and plan by their size.
+    With columns ``by``, a filter on them reads only its own files.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_folder(df.sparkSession, "table")
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

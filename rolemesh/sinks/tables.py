@@ -1,90 +1,97 @@
-"""Stored state: versioned tables, exports, JSON lines, the run log."""
+"""Stored state: versioned tables, checked writes, exports, JSON lines, the run log."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.quality import require_valid
+from ..operators.quality import ContractError, record_problems
 from ..schemas import RUN_LOG
+from ..session import scratch_folder
 
 TRUTH_TABLES = ["raw_jobs", "companies", "jobs", "skills", "job_enrichment", "job_skill_edges", "run_log"]
 SKILL_BUCKETS = 64
+VERSION = "version"
 
 
-class TableStore:
-    """Parquet tables below one folder, each as a row of immutable versions.
+def write_version(df: DataFrame, path: str, version: int, column: str = VERSION) -> None:
+    """Store ``df`` as one version of the table at ``path``; the caller names the version.
 
-    A version counts once Spark has committed it (``_SUCCESS``); readers take the newest
-    committed one, so a lost executor or driver leaves the previous state untouched.
+    Versions are values of a partition column. Writing one replaces that one alone, so a
+    repeated write does no harm and writers of different versions keep out of each other's way.
     """
+    (
+        df.withColumn(column, F.lit(version).cast("long"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(column)
+        .parquet(path)
+    )
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = []
-        for entry in fs.listStatus(path):
-            label = entry.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-            if label.startswith("version=") and fs.exists(done):
-                found.append(int(label.split("=")[1]))
-        return sorted(found)
-
-    def read(self, name: str, before: int | None = None) -> DataFrame | None:
-        """Newest version (or the newest one older than ``before``); None when there is none."""
-        versions = [v for v in self._versions(name) if before is None or v < before]
-        if not versions:
-            return None
-        return self.spark.read.parquet(f"{self.root}/{name}/version={versions[-1]}")
-
-    def write(self, name: str, df: DataFrame, version: int | None = None) -> DataFrame:
-        """Store ``df`` as the next version and return it as read back."""
-        if version is None:
-            version = (self._versions(name) or [0])[-1] + 1
-        path = f"{self.root}/{name}/version={version}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
-
-    def append(self, name: str, df: DataFrame, batch: int) -> None:
-        """Store one batch of an append-only table; repeating a batch replaces it."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
-
-    def appended(self, name: str, schema=None, before: int | None = None) -> DataFrame | None:
-        """All batches of an append-only table (optionally only earlier ones)."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path) or not fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "batch=*/_SUCCESS")):
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """All versions of a table, or None before the first one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        df = reader.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}/batch=*")
-        return df if before is None else df.where(F.col("batch") < before)
+        raise
+
+
+def read_version(spark: SparkSession, path: str, version: int, column: str = VERSION) -> DataFrame:
+    """One version; only its files are read."""
+    return spark.read.parquet(path).where(F.col(column) == version).drop(column)
+
+
+def latest_version(spark: SparkSession, path: str, column: str = VERSION) -> int | None:
+    """The largest version stored, from the names of the folders."""
+    found = read_versions(spark, path)
+    return None if found is None else found.agg(F.max(column)).first()[0]
 
 
-def write_truth_tables(store: TableStore, tables: dict[str, DataFrame], version: int | None = None) -> None:
-    """Write entity tables, nested columns as they are; every name must be a known table."""
+def write_truth_tables(tables: dict[str, DataFrame], root: str, version: int) -> dict[str, int]:
+    """Write entity tables as one version, nested columns as they are; every name must be a known table.
+
+    Returns the rows written per table, counted while writing.
+    """
     unknown = set(tables) - set(TRUTH_TABLES)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
+    written = {}
     for name, df in tables.items():
-        store.write(name, df, version)
+        seen = Observation()
+        write_version(df.observe(seen, F.count(F.lit(1)).alias("rows")), f"{root}/{name}", version)
+        written[name] = seen.get["rows"]
+    return written
 
 
-def write_validated(df: DataFrame, path: str, contract: str, key: str, fmt: str = "parquet") -> None:
-    """Check every record against its contract, then write; nothing is written when one fails."""
-    json_form = df.select(
-        F.col(key).alias("_key"),
-        F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_json"),
+def write_validated(df: DataFrame, path: str, contract: str, key: str, fmt: str = "parquet") -> int:
+    """Check every record against its contract and write them all, or nothing when one fails.
+
+    The input is computed once: rows go to a staging folder together with their problems,
+    which are counted on the way, and from there to ``path``. Returns the rows written.
+    """
+    record = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
+    context = F.concat(F.lit(contract + "["), F.col(key).cast("string"), F.lit("]"))
+    checked = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"),
+        context.alias("context"),
+        record_problems(record, contract).alias("problems"),
     )
-    context = F.concat(F.lit(contract + "["), F.col("_key").cast("string"), F.lit("]"))
-    require_valid(json_form, contract, "_json", context)
-    df.write.mode("overwrite").format(fmt).save(path)
+    seen = Observation()
+    counted = checked.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("problems") > 0).alias("broken")
+    )
+    staging = scratch_folder(df.sparkSession, "staging")
+    counted.write.parquet(staging)
+    staged = df.sparkSession.read.schema(checked.schema).parquet(staging)
+    if seen.get["broken"]:
+        listed = staged.where(F.size("problems") > 0).select("context", F.explode("problems").alias("p")).limit(20)
+        raise ContractError("; ".join(f"{r.context}: {r.p.path} {r.p.message}" for r in listed.collect()))
+    staged.select("row.*").write.mode("overwrite").format(fmt).save(path)
+    return seen.get["rows"]
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -92,26 +99,25 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_read_models(models: dict[str, DataFrame], root: str, fmt: str = "json") -> None:
+def write_read_models(
+    models: dict[str, DataFrame], root: str, fmt: str = "json", skill_table: str = "skill_jobs", buckets: int = SKILL_BUCKETS
+) -> None:
     """Write each read model as rows sorted by key over range partitions.
 
     A range partition may split one key, so a hot company or skill spreads over several
-    files. ``skill_jobs`` is stored in skill buckets, to be fetched skill by skill.
+    files. ``skill_jobs`` becomes the catalog table ``skill_table``, bucketed by skill: a skill
+    is fetched, and joined, without touching the other buckets.
     """
     for name, df in models.items():
         # The first three columns identify and order a row of every read model.
         lead = df.columns[:3]
         if name == "skill_jobs":
-            bucket = F.pmod(F.xxhash64("skill_id"), F.lit(SKILL_BUCKETS)).cast("int")
-            ordered = df.withColumn("skill_bucket", bucket)
-            lead = ["skill_bucket", *lead]
-        else:
-            ordered = df
-        writer = ordered.repartitionByRange(*lead).sortWithinPartitions(*lead).write.mode("overwrite")
+            writer = df.write.mode("overwrite").bucketBy(buckets, "skill_id").sortBy("skill_id", "job_id")
+            writer.format("parquet").option("path", f"{root}/{name}").saveAsTable(skill_table)
+            continue
+        writer = df.repartitionByRange(*lead).sortWithinPartitions(*lead).write.mode("overwrite")
         if fmt == "json":
             writer = writer.option("ignoreNullFields", "false")
-        if name == "skill_jobs":
-            writer = writer.partitionBy("skill_bucket")
         writer.format(fmt).save(f"{root}/{name}")
 
 

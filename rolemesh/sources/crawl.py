@@ -70,6 +70,22 @@ def _names(*key_sets: list[str]) -> Column:
     return F.from_json(F.lit(json.dumps([_normal(k) for k in key_sets])), "array<array<string>>")
 
 
+def object_fields(item: Column) -> Column:
+    """JSON text of an object -> its members by normalised key, as JSON text.
+
+    Of keys that differ only in case or signs the last in order counts.
+    """
+    members = F.map_entries(F.try_variant_get(F.try_parse_json(item), "$", "map<string,variant>"))
+    plain = F.transform(members, lambda e: F.struct(urls.normalize_key(e["key"]).alias("key"), F.to_json(e["value"]).alias("value")))
+
+    def last_of_each(entries: Column) -> Column:
+        return F.filter(
+            entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])
+        )
+
+    return F.map_from_entries(text.let(plain, last_of_each))
+
+
 def first_field(fields: Column, names: Column) -> Column:
     """JSON text of the first filled spelling of an attribute in one object."""
     values = F.transform(names, lambda k: F.try_element_at(fields, k))
@@ -259,7 +275,8 @@ _STUB = [
 
 def listing_stubs(items: DataFrame, site: str, carry: list[str] = ()) -> DataFrame:
     """List items (item: JSON text) -> stubs; a missing URL is built from ids; no URL, no stub."""
-    opened = items.withColumn("_o", json_objects("item")).withColumn("_f", F.get("_o", 0)["fields"])
+    # The outer form keeps Spark from reading the object again for every attribute.
+    opened = items.select("*", F.explode_outer(F.array(object_fields(F.col("item")))).alias("_f"))
 
     by_path = site == urls.BYTEDANCE.key
     wanted = {

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators.quality import table_violations
 from ..operators.ranking import top_k
-from ..schemas import RAW_COLUMNS
+from ..schemas import RAW_COLUMNS, RAW_JOB
+from ..session import cut_lineage
 from .boards import flatten_ashby, flatten_greenhouse, flatten_lever
 from .pages import UNKNOWN_COMPANY, extract_html, extract_jsonld
 
@@ -43,36 +44,59 @@ def normalize_entry(entry: dict) -> dict:
     }
 
 
-def _records(kind: str, config: dict, landed: DataFrame) -> DataFrame:
-    """One source's raw postings with their position in the payload."""
+def _checked_config(kind: str, config: dict) -> dict:
+    """What the postings of a source need of its config; raises when something is missing."""
     if kind in REQUIRED and not config.get(REQUIRED[kind]):
         raise SourceError(f"Source type '{kind}' requires field '{REQUIRED[kind]}'")
-    if kind == "greenhouse":
-        df = flatten_greenhouse(landed.withColumn("board", F.lit(str(config["board"]))), carry=["seq"])
-    elif kind == "lever":
-        df = flatten_lever(landed.withColumn("account", F.lit(str(config["account"]))), carry=["seq"])
-    elif kind == "ashby":
-        df = flatten_ashby(landed.withColumn("board", F.lit(str(config["job_board"]))), carry=["seq"])
-    elif kind in ("jsonld", "html"):
+    if kind in ("greenhouse", "lever", "ashby"):
+        return {"board": str(config[REQUIRED[kind]])}
+    if kind in ("jsonld", "html"):
         if not (config.get("html_file") or config.get("url")):
             raise SourceError(f"{kind} sources require 'url' or 'html_file'")
         url = config.get("source_url") or config.get("url") or config.get("html_file")
-        pages = landed.withColumnRenamed("payload", "html").withColumn("url", F.lit(str(url)))
-        if kind == "jsonld":
-            df = extract_jsonld(pages, carry=["seq"])
-        else:
-            company = F.lit(str(config.get("company_name") or UNKNOWN_COMPANY))
-            df = extract_html(pages, company=company, carry=["seq"]).withColumn("pos", F.lit(0))
-    elif kind == "company_site":
-        # The crawl merge (sources.crawl) already wrote raw postings as JSON lines.
-        from ..schemas import RAW_JOB
+        return {"url": str(url), "company": str(config.get("company_name") or UNKNOWN_COMPANY)}
+    if kind == "company_site":
+        return {}
+    raise SourceError(f"Unsupported source type: {kind}")
 
-        df = landed.select("seq", F.lit(0).alias("pos"), F.from_json("payload", RAW_JOB).alias("r")).select(
-            "seq", "pos", "r.*"
-        )
+
+def _records(kind: str, landed: DataFrame) -> DataFrame:
+    """Raw postings of all sources of one type, with their position in the payload.
+
+    ``landed`` carries each source's own settings as columns (board, url, company).
+    """
+    carry = ["source_name", "seq"]
+    if kind == "greenhouse":
+        df = flatten_greenhouse(landed, carry=carry)
+    elif kind == "lever":
+        df = flatten_lever(landed.withColumn("account", F.col("board")), carry=carry)
+    elif kind == "ashby":
+        df = flatten_ashby(landed, carry=carry)
+    elif kind == "jsonld":
+        df = extract_jsonld(landed.withColumnRenamed("payload", "html"), carry=carry)
+    elif kind == "html":
+        pages = landed.withColumnRenamed("payload", "html")
+        df = extract_html(pages, company=F.col("company"), carry=carry).withColumn("pos", F.lit(0))
     else:
-        raise SourceError(f"Unsupported source type: {kind}")
-    return df.select("seq", "pos", *RAW_COLUMNS)
+        # The crawl merge (sources.crawl) already wrote raw postings as JSON lines.
+        df = landed.select(*carry, F.lit(0).alias("pos"), F.from_json("payload", RAW_JOB).alias("r")).select(*carry, "pos", "r.*")
+    return df.select("source_name", "seq", "pos", *RAW_COLUMNS)
+
+
+def landed_by_type(landed: DataFrame, sources: list[tuple[str, str, dict]]) -> DataFrame:
+    """Landed payloads with the type and the settings of their source, stored by type.
+
+    One scan of the landing zone serves all sources, however many there are; a branch per
+    type then reads the rows of its type alone.
+    """
+    spark = landed.sparkSession
+    config = spark.createDataFrame(
+        [(name, kind, c.get("board"), c.get("url"), c.get("company")) for name, kind, c in sources],
+        "source_name string, kind string, board string, url string, company string",
+    )
+    # As many rows as there are configured sources.
+    marked = landed.join(F.broadcast(config), "source_name")
+    return cut_lineage(marked, "kind")
 
 
 def cap_per_source(records: DataFrame, caps: DataFrame) -> DataFrame:
@@ -103,7 +127,7 @@ def ingest_sources(
     A source whose config is wrong or whose records break the contract is an error and
     yields nothing; the others go on, or the run stops when told to.
     """
-    status, parts = [], []
+    status, good_sources = [], []
     for entry in sources:
         try:
             source = normalize_entry(entry)
@@ -117,20 +141,21 @@ def ingest_sources(
             status.append((name, kind, False, "skipped", None, None))
             continue
         try:
-            mine = landed.where(F.col("source_name") == name)
-            parts.append(_records(kind, source["config"], mine).withColumn("source_name", F.lit(name)))
+            good_sources.append((name, kind, _checked_config(kind, source["config"])))
             status.append((name, kind, True, "ok", None, None if cap is None else int(cap)))
         except SourceError as error:
             if not continue_on_error:
                 raise
             status.append((name, kind, True, "error", str(error), None))
     table = spark.createDataFrame(status, STATUS)
-    if not parts:
+    if not good_sources:
         empty = landed.sparkSession.createDataFrame([], "source_name string")
         counts = empty.groupBy("source_name").agg(F.count("*").alias("records"))
         return empty, _report(table, counts, empty.select("source_name", F.lit("").alias("message")))
+    marked = landed_by_type(landed, good_sources)
+    kinds = sorted({kind for _, kind, _ in good_sources})
     records = cap_per_source(
-        reduce(DataFrame.unionByName, parts),
+        reduce(DataFrame.unionByName, (_records(kind, marked.where(F.col("kind") == kind)) for kind in kinds)),
         table.where(F.col("status") == "ok").select(F.col("name").alias("source_name"), "max_jobs"),
     )
     checked = records.withColumn(

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ def random_sets(seed: int, jobs: int, skills: int, most: int):
 
 @pytest.mark.parametrize(
     "options",
-    [{}, {"hot_df": 3}, {"hot_df": 0}, {"hot_df": 0, "max_hot": 3}, {"hot_df": 5, "max_hot": 0}],
-    ids=["cold", "hot", "all-hot", "hot-and-large", "only-large"],
+    [{}, {"block": 3}, {"start": 0}, {"start": 0, "block": 5}, {"start": 3, "block": 2}],
+    ids=["one-round", "small-blocks", "all-rounds", "rounds-and-blocks", "late-rounds"],
 )
 def test_equals_brute_force(spark, options):
     sets = random_sets(7, 150, 14, 8)
@@ -56,7 +57,40 @@ def test_equals_brute_force(spark, options):
 
 def test_sparse_and_dense_worlds(spark):
     sets = random_sets(3, 120, 60, 6)
-    assert run(spark, sets, hot_df=4) == brute_force(sets)
+    assert run(spark, sets, start=1, block=16) == brute_force(sets)
+
+
+def test_large_sets_of_few_skills(spark):
+    """Every skill is hot and sets are larger than what could be listed as subsets."""
+    rng = random.Random(13)
+    names = [f"s{i:02d}" for i in range(35)]
+    sets = {f"j{j:03d}": set(rng.sample(names, rng.choice([3, 12, 13, 14, 20, 30]))) for j in range(300)}
+    want = brute_force(sets)
+    assert run(spark, sets, start=0, block=40) == want
+    assert run(spark, sets) == want
+
+
+def test_bound_of_blocks_drops_no_pair():
+    rng = random.Random(2)
+    sets = [np.array(sorted(rng.sample(range(40), rng.randint(2, 20)))) for _ in range(60)]
+    asks = np.array([i % 3 > 0 for i in range(60)])
+    sid = np.arange(60)
+    for level, above in (((1, 2), None), ((7, 20), (1, 2))):
+        got = {}
+        for tok in range(40):
+            own = [i for i in range(60) if tok in sets[i]]
+            if own:
+                side = (sid[own], [sets[i] for i in own], asks[own])
+                found = S.compare_blocks(tok, side, side, level, above, 1_000)
+                for a, b, i, u in zip(*found) if found else ():
+                    assert (a, b) not in got
+                    got[a, b] = (i, u)
+        want = {}
+        for a, b in [(a, b) for a in range(60) if asks[a] for b in range(60) if a != b]:
+            i, u = len(set(sets[a]) & set(sets[b])), len(set(sets[a]) | set(sets[b]))
+            if level[1] * i >= level[0] * u and (above is None or above[1] * i < above[0] * u):
+                want[a, b] = (i, u)
+        assert got == want and want
 
 
 def test_twenty_identical_sets(spark):
@@ -81,7 +115,7 @@ def test_threshold_is_exact_and_rounding_half_even(spark):
 
 def test_properties(spark):
     sets = random_sets(11, 100, 20, 6)
-    got = run(spark, sets, hot_df=10)
+    got = run(spark, sets, start=2)
     for job, near in got.items():
         assert len(near) <= 8 and job not in [b for b, _, _ in near]
         for other, i, u in near:

@@ -32,6 +32,35 @@ def test_read_raw_jobs(spark, tmp_path):
     assert [r.record for r in bad.collect()] == ["{broken"]
 
 
+@pytest.mark.parametrize("split", [1 << 27, 700])
+def test_array_files_are_split_like_lines(spark, tmp_path, split):
+    """One array file equals the same records as lines, wherever the cuts fall."""
+    tricky = ['}', '{"', '\\', '"}],[{', 'a\\"}', "é}\n", "", "]"]
+    records = [one(f"t{i}" + tricky[i % 8], description_text=tricky[(i * 3) % 8] * (i % 5), metadata={"k": tricky[i % 7]}) for i in range(200)]
+    (tmp_path / "array").mkdir()
+    (tmp_path / "array" / "all.json").write_text(json.dumps(records, indent=1))
+    (tmp_path / "array" / "flat.json").write_text(" \n" + json.dumps(records, separators=(",", ":"), ensure_ascii=False) + "\n\n")
+    (tmp_path / "array" / "none.json").write_text("[ ]")
+    (tmp_path / "array" / "one.json").write_text(json.dumps(records[3], indent=2) + "\n")
+    (tmp_path / "array" / "odd.json").write_text(json.dumps([7, records[4], ["x"]]))
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "all.jsonl").write_text("\n".join(map(json.dumps, records)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        good, bad = files.read_raw_jobs(spark, str(tmp_path / "array"))
+        name = F.regexp_extract("place.file_path", "([a-z]+)[.]json$", 1).alias("name")
+        got = {}
+        for r in good.orderBy("place").select(name, "title", "description_text", "metadata").collect():
+            got.setdefault(r.name, []).append((r.title, r.description_text, r.metadata))
+        lines, _ = files.read_raw_jobs(spark, str(tmp_path / "lines"))
+        want = [(r.title, r.description_text, r.metadata) for r in lines.orderBy("place").collect()]
+        assert len(want) == 200 and got["all"] == want and got["flat"] == want and got["one"] == [want[3]]
+        assert set(got) == {"all", "flat", "one"} and len(bad.collect()) == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def landed(spark, payload, **extra):
     return spark.createDataFrame([("acme", json.dumps(payload) if not isinstance(payload, str) else payload, NOW)], "board string, payload string, fetched_at string").withColumn("account", F.col("board"))
 

@@ -16,31 +16,55 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
-def test_store_versions_and_appends(spark, tmp_path):
-    store = tables.TableStore(spark, str(tmp_path))
-    assert store.read("jobs") is None and store.appended("log") is None
-    store.write("jobs", spark.range(3))
-    second = store.write("jobs", spark.range(5))
-    assert second.count() == 5 and store.read("jobs").count() == 5 and store.read("jobs", before=2).count() == 3
-    store.append("log", spark.range(2), 0)
-    store.append("log", spark.range(2), 0)
-    store.append("log", spark.range(1), 1)
-    assert store.appended("log").count() == 3 and store.appended("log", before=1).count() == 2
+def test_versions_keep_out_of_each_others_way(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    assert tables.read_versions(spark, path) is None and tables.latest_version(spark, path) is None
+    tables.write_version(spark.range(3), path, 1)
+    tables.write_version(spark.range(9), path, 7)
+    tables.write_version(spark.range(5), path, 7)  # a repeated write replaces its own version
+    assert tables.latest_version(spark, path) == 7
+    assert [tables.read_version(spark, path, v).count() for v in (1, 7)] == [3, 5]
+    assert tables.read_version(spark, path, 7).columns == ["id"]
     with pytest.raises(ValueError):
-        tables.write_truth_tables(store, {"nonsense": spark.range(1)})
+        tables.write_truth_tables({"nonsense": spark.range(1)}, str(tmp_path), 1)
+    assert tables.write_truth_tables({"jobs": spark.range(4), "skills": spark.range(0)}, str(tmp_path), 8) == {"jobs": 4, "skills": 0}
 
 
 def test_jsonl_and_validated_writes(spark, tmp_path):
     df = spark.createDataFrame([("é", None)], "id string, name string")
     tables.write_jsonl(df, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"id":"é","name":null}'
-    with pytest.raises(quality.ContractError, match="expected string, got NoneType"):
+    with pytest.raises(quality.ContractError, match=r"company\[é\]: \$.name expected string, got NoneType"):
         tables.write_validated(df, str(tmp_path / "bad"), "company", "id")
     assert not (tmp_path / "bad").exists()
-    tables.write_validated(df.fillna("n"), str(tmp_path / "good"), "company", "id")
+    assert tables.write_validated(df.fillna("n"), str(tmp_path / "good"), "company", "id") == 1
     assert spark.read.parquet(str(tmp_path / "good")).count() == 1
 
 
+def test_validated_write_computes_its_input_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(f"c{i}", "n") for i in range(7)], "id string, name string").mapInArrow(counted, "id string, name string")
+    assert tables.write_validated(df, str(tmp_path / "once"), "company", "id") == 7
+    assert calls.value == 7
+
+
+def test_skill_jobs_are_bucketed(spark, tmp_path, capsys):
+    rows = spark.createDataFrame([(f"s{i % 5}", f"j{i}", "REQUIRES") for i in range(50)], "skill_id string, job_id string, edge_type string")
+    tables.write_read_models({"skill_jobs": rows}, str(tmp_path), skill_table="skill_jobs_test", buckets=8)
+    stored = spark.table("skill_jobs_test")
+    assert stored.where("skill_id = 's3'").count() == 10
+    stored.hint("merge").join(stored.withColumnRenamed("job_id", "other"), "skill_id").explain("formatted")
+    shown = capsys.readouterr().out
+    assert "Bucketed: true" in shown and "Exchange" not in shown, shown
+    spark.sql("DROP TABLE skill_jobs_test")
+
+
 def test_run_log(spark, tmp_path):
     path = str(tmp_path / "log")
     tables.append_run_log(spark, path, "r1", "import", "ok", {"seen": 3})
@@ -59,60 +83,78 @@ def test_upserts_are_idempotent(spark):
     assert rows(once) == rows(twice)
 
 
-def _files(df, path, column, parts=3):
-    """The table as several files, read back as a stream one file per batch."""
-    df.repartition(parts, column).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _arrive(df, path, conditions):
+    """The rows of each condition as a file that arrives with the next run of a stream."""
+    for condition in conditions:
+        df.where(condition).coalesce(1).write.mode("append").parquet(path)
+        yield df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def test_stream_raw_ingest_equals_batch(spark, tmp_path):
     raw = standins.raw_jobs(spark, SF)
-    ordered = raw.repartitionByRange(3, "raw_id").sortWithinPartitions("raw_id")
-    # One folder per arrival, so that the stream meets the postings in id order.
-    for i, part in enumerate(["raw_id < 70", "raw_id >= 70 and raw_id < 140", "raw_id >= 140"]):
-        ordered.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        source = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in"))
-        store = tables.TableStore(spark, str(tmp_path / "store"))
-        ingest.stream_raw_ingest(source, store, str(tmp_path / "check")).awaitTermination()
+    doubled = raw.unionByName(raw).orderBy(F.xxhash64("raw_id"))
+    path, check = str(tmp_path / "raw"), str(tmp_path / "check")
+    arrivals = ["raw_id < 70", "raw_id >= 60 and raw_id < 140", "raw_id >= 20"]  # rows come again later
+    for source in _arrive(doubled, str(tmp_path / "in"), arrivals):
+        ingest.stream_raw_ingest(source, path, check).awaitTermination()  # a restart each time
     batch = dedupe.insert_if_absent(raw).select("source_key", "raw_id")
-    assert rows(store.appended("raw_jobs").select("source_key", "raw_id")) == rows(batch)
+    stored = tables.read_versions(spark, path)
+    assert rows(stored.select("source_key", "raw_id")) == rows(batch)
+    assert stored.select("batch").distinct().count() == 3
 
 
 def test_stream_upsert_equals_batch(spark, tmp_path):
     events = standins.table(spark, SF, "events").select(
         "user_id", "event_type", "props", F.when(F.col("value") > 20, F.col("value")).alias("value"), F.col("event_id").alias("ord")
     )
-    store = tables.TableStore(spark, str(tmp_path / "store"))
-    stream = _files(events, str(tmp_path / "in"), "ord")
+    path, check = str(tmp_path / "state"), str(tmp_path / "check")
     keys = ["user_id", "event_type"]
-    ingest.stream_upsert(stream, store, str(tmp_path / "check"), "state", keys, "ord", ["props"], ["value"]).awaitTermination()
+    # Late rows, and a batch that brings nothing new.
+    arrivals = ["ord % 3 = 1", "ord % 3 = 0", "ord % 3 = 1 and ord < 500", "ord % 3 = 2"]
+    for i, source in enumerate(_arrive(events, str(tmp_path / "in"), arrivals)):
+        ingest.stream_upsert(source, path, check, keys, "ord", ["props"], ["value"]).awaitTermination()
+        if i == 1:
+            assert ingest.compact(spark, path, keys) == 1 == ingest.compact(spark, path, keys)
+            # What is retired is not read any more.
+            assert {r.batch for r in ingest.state_files(spark, path).select("batch").distinct().collect()} == {1}
+    changes = {r.batch: r["count"] for r in tables.read_versions(spark, f"{path}/changes").groupBy("batch").count().collect()}
+    assert 2 not in changes and sum(changes.values()) < 2 * events.count()
     batch = dedupe.upsert_last_wins(events, keys, "ord", ["props"], ["value"])
-    assert rows(ingest.current_state(store, "state", keys).select(*batch.columns)) == rows(batch)
-    ingest.compact(store, "state", keys)
-    assert rows(ingest.current_state(store, "state", keys).select(*batch.columns)) == rows(batch)
+    assert rows(ingest.current_state(spark, path, keys).select(*batch.columns)) == rows(batch)
+    assert ingest.compact(spark, path, keys) == 3
+    # A replay of a compacted batch changes nothing.
+    again = tables.read_version(spark, f"{path}/changes", 3, "batch")
+    tables.write_version(again, f"{path}/changes", 3, "batch")
+    assert rows(ingest.current_state(spark, path, keys).select(*batch.columns)) == rows(batch)
 
 
 def test_stream_enrich_equals_batch(spark, tmp_path):
     taxonomy = load_taxonomy({"with": {}, "der": {}, "pour": {}})
-    jobs = standins.document_jobs(spark, SF).select("id", "title", "description_text", "remote_mode", "description_hash")
-    store = tables.TableStore(spark, str(tmp_path / "store"))
-    stream = _files(jobs, str(tmp_path / "in"), "id", 2)
-    ingest.stream_enrich(stream, store, str(tmp_path / "check"), taxonomy).awaitTermination()
+    columns = ["id", "title", "description_text", "remote_mode", "description_hash"]
+    jobs = standins.document_jobs(spark, SF).select(*columns, F.col("raw_id").alias("ord"))
+    path, check = str(tmp_path / "store"), str(tmp_path / "check")
+    for source in _arrive(jobs, str(tmp_path / "in"), ["ord < 120", "ord >= 60"]):
+        ingest.stream_enrich(source, path, check, taxonomy).awaitTermination()
     want = enrich.skill_matches(enrich.enrich(jobs, taxonomy)).select("job_id", "skill_id", "edge_type")
-    got = enrich.skill_matches(store.appended("job_enrichment")).select("job_id", "skill_id", "edge_type")
+    got = enrich.skill_matches(ingest.enriched(spark, path)).select("job_id", "skill_id", "edge_type")
     assert rows(got) == rows(want)
-    cached = store.appended("enrichment_cache")
-    assert cached.count() == jobs.select("description_hash").distinct().count()
+    computed = tables.read_versions(spark, f"{path}/results")
+    assert computed.count() == jobs.select("description_hash").distinct().count() < jobs.count()
+    assert ingest.enriched(spark, path).count() == jobs.count()
 
 
 def test_end_to_end(spark, tmp_path):
     """Postings to graph: the exports agree with each other."""
     raw = standins.raw_jobs(spark, SF)
-    store = tables.TableStore(spark, str(tmp_path))
+
+    def kept(name, df):
+        tables.write_version(df, str(tmp_path / name), 1)
+        return tables.read_version(spark, str(tmp_path / name), 1)
+
     normal = stages.normalize_stage(dedupe.insert_if_absent(raw).drop("source_key"), dedupe.alias_table(spark, standins.ALIASES), standins.RULES)
-    companies, jobs = store.write("companies", normal["companies"]), store.write("jobs", normal["jobs"])
+    companies, jobs = kept("companies", normal["companies"]), kept("jobs", normal["jobs"])
     found = stages.enrich_stage(jobs, standins.TAXONOMY, standins.RULES)
-    enrichment, skills, edges = (store.write(n, found[k]) for n, k in [("job_enrichment", "enrichment"), ("skills", "skills"), ("job_skill_edges", "edges")])
+    enrichment, skills, edges = (kept(n, found[k]) for n, k in [("job_enrichment", "enrichment"), ("skills", "skills"), ("job_skill_edges", "edges")])
     skills = skills.withColumnRenamed("skill_id", "id")
     g = stages.graph_stage(companies, jobs, skills, edges, enrichment)
     models = stages.read_models(g)
@@ -126,6 +168,7 @@ def test_end_to_end(spark, tmp_path):
     assert ends.join(g.nodes, "id", "left_anti").count() == 0
     assert quality.table_violations(g.nodes.select("id", "type", "label"), "graph_node", "id").count() == 0
     some = {k: models[k] for k in ("company_jobs", "skill_jobs", "job_skills", "company_skill_stats", "summary")}
-    tables.write_read_models(some, str(tmp_path / "models"))
-    back = spark.read.json(str(tmp_path / "models" / "skill_jobs"))
-    assert back.count() == graph.skill_jobs(g.known).count() and "skill_bucket" in back.columns
+    tables.write_read_models(some, str(tmp_path / "models"), skill_table="skill_jobs_end")
+    assert spark.table("skill_jobs_end").count() == graph.skill_jobs(g.known).count()
+    assert spark.read.json(str(tmp_path / "models" / "job_skills")).count() == g.known.count()
+    spark.sql("DROP TABLE skill_jobs_end")
