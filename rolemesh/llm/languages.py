@@ -26,6 +26,7 @@ from .words import slices
 DIMENSIONS = 4096
 SAMPLE_PER_LANGUAGE = 4_000  # about so many training texts of each language, picked by a hash
 MAX_LANGUAGES = 1_000
+KNOWN_NUMBERS = 1 << 24  # products of n-grams with prototypes that a task remembers
 UNKNOWN = "und"
 _LETTERS = 255  # vectors; ASCII letters have their own, others share the rest by code point
 _SIZES = (1, 2, 3)
@@ -95,6 +96,8 @@ def _shared_vectors(dimensions: int) -> Vectors:
 
 def _counted(codes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (owner, code) pairs and how often each occurs."""
+    if not len(codes):
+        return (np.zeros(0, np.int64),) * 3
     key = np.sort((owners.astype(np.int64) << 27) | codes)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     counts = np.diff(np.concatenate((first, [len(key)])))
@@ -142,8 +145,8 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE_PE
                 [pa.array([name]), pa.array([row.astype(float)], pa.list_(pa.float64()))], names=["lang", "v"]
             )
 
-    # The sample is bounded, so a fixed number of tasks bundles it.
-    partial = picked.repartition(64).mapInArrow(bundle, "lang string, v array<double>")
+    # The sample is bounded for every language, and so is what a task bundles of it.
+    partial = picked.repartition(max(64, 16 * len(sizes))).mapInArrow(bundle, "lang string, v array<double>")
     # Sums in whole thousandths do not depend on the order of the parts.
     summed = (
         partial.select("lang", F.posexplode("v").alias("i", "x"))
@@ -183,6 +186,8 @@ def identify(
             best, score = np.full(n_rows, -1), np.zeros(n_rows)
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             owner, code, n = _counted(*ngram_codes(texts))
+            if len(known) * max(1, len(names)) > KNOWN_NUMBERS:
+                known, products = known[:0], products[:0]
             if len(owner) and names:
                 new = np.setdiff1d(code, known)
                 for begin in range(0, len(new), 1024):
