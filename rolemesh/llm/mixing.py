@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import fresh_name, stored
 from .words import WHITE, mix, slices, text_bytes
 
 BLOCK_WORDS = 128
@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 7
 MAX_SOURCES = 100_000
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 1_000
 
 
 def permuted(x: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -217,26 +217,37 @@ def _cut(texts: pa.Array, spans: list) -> list[list[str]]:
     return out
 
 
-def _with_spans(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with the list of their pieces, which one document bounds."""
-    key = Window.partitionBy("doc_id", "h").orderBy(F.col("source").asc_nulls_last())
+HAS_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _with_spans(docs: DataFrame, pieces: DataFrame) -> tuple[DataFrame, str, str]:
+    """Rows of ``docs`` with the list of their pieces and the number of their source, under names of their own.
+
+    The list is bounded by its document. Rows without a word have no piece and go first.
+    """
+    spans, number = fresh_name("spans", docs.columns), fresh_name("source_number", docs.columns)
     lists = pieces.groupBy("doc_id", "h", "s", "row").agg(
         F.sort_array(F.collect_list(F.struct("from", "to", "block", *(c for c in ("times",) if c in pieces.columns)))).alias("spans")
     )
     numbered = lists.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("s", "row")))
-    texts = docs.withColumn("h", F.xxhash64("text")).withColumn("n", F.row_number().over(key))
-    return texts.alias("t").join(
-        numbered.alias("p"), F.expr("t.doc_id <=> p.doc_id and t.h = p.h and t.n = p.n")
-    ).select(*(F.col(f"t.`{c}`") for c in docs.columns), "spans", "s")
+    key = Window.partitionBy("id", "h").orderBy(F.col("of").asc_nulls_last())
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    texts = docs.where(F.col("text").rlike(HAS_WORD)).select(
+        whole, F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("source").cast("string").alias("of")
+    )
+    texts = texts.withColumn("n", F.row_number().over(key))
+    joined = texts.alias("t").join(numbered.alias("p"), F.expr("t.id <=> p.doc_id and t.h = p.h and t.n = p.n"))
+    return joined.select("t.doc.*", F.col("p.spans").alias(spans), F.col("p.s").alias(number)), spans, number
 
 
 def mixed_blocks(docs: DataFrame, pieces: DataFrame, slots: DataFrame) -> DataFrame:
     """The mix itself: (shard, slot, source number s, epoch, block, text) of every slot."""
+    chosen, spans_name, number = _with_spans(docs.select("doc_id", "source", "text"), pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            spans = batch.column("spans").to_pylist()
-            s = batch.column("s").to_pylist()
+            spans = batch.column(spans_name).to_pylist()
+            s = batch.column(number).to_pylist()
             first = batch.column("doc_id").to_pylist()
             rows = [
                 (k, x["block"], x["from"], d, t)
@@ -244,14 +255,13 @@ def mixed_blocks(docs: DataFrame, pieces: DataFrame, slots: DataFrame) -> DataFr
                 for x, t in zip(own, cut)
             ]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["s", "block", "from", "doc_id", "text"]
                 )
 
-    texts = _with_spans(docs.select(F.col("doc_id").cast("long"), "source", "text"), pieces).mapInArrow(
-        run, "s long, block long, `from` long, doc_id long, text string"
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = chosen.mapInArrow(run, f"s long, block long, `from` long, doc_id {kind}, text string")
     blocks = texts.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "from", "text"))).alias("parts"))
     whole = blocks.select("s", "block", F.array_join(F.col("parts.text"), " ").alias("text"))
     return slots.join(whole, ["s", "block"])
@@ -266,12 +276,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     _, pieces, slots = plan_mix(docs, **options)
     times = slots.groupBy("s", "block").agg(F.count("*").alias("times"))
-    chosen = _with_spans(docs, pieces.join(times, ["s", "block"]))
+    chosen, spans_name, _ = _with_spans(docs, pieces.join(times, ["s", "block"]))
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            spans = batch.column("spans").to_pylist()
+            spans = batch.column(spans_name).to_pylist()
             texts = []
             for own, cut in zip(spans, _cut(batch.column("text"), spans)):
                 passes = [
