@@ -247,7 +247,31 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-SHARD = "part long, seq long, n_docs long, n_tokens long, doc_ids array<long>, lengths array<long>, matrix binary"
+SHARD = "part long, seq long, n_tokens long, file binary"
+SHARD_MAGIC = b"WVS1"
+
+
+def pack_shard(doc_ids: pa.Array, lengths: list[int], matrix: WaveletMatrix) -> bytes:
+    """A shard file: magic, size and Arrow stream of (doc_id, length) in order, then the matrix file."""
+    table = pa.table({"doc_id": doc_ids, "length": pa.array(lengths, pa.int64())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    held = sink.getvalue().to_pybytes()
+    return SHARD_MAGIC + struct.pack("<Q", len(held)) + held + matrix.to_bytes()
+
+
+def unpack_shard(data: bytes) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
+    """(doc_ids, lengths, matrix) of a shard file; any document's ids are at the sum of the lengths before it."""
+    if data[:4] != SHARD_MAGIC:
+        raise ValueError("not a shard file")
+    (size,) = struct.unpack("<Q", data[4:12])
+    table = pa.ipc.open_stream(data[12 : 12 + size]).read_all()
+    matrix = WaveletMatrix.from_bytes(data[12 + size :])
+    lengths = table.column("length").to_numpy()
+    if int(lengths.sum()) != matrix.n:
+        raise ValueError("documents and ids do not agree")
+    return table.column("doc_id").combine_chunks(), lengths, matrix
 
 
 def write_shards(
@@ -257,11 +281,12 @@ def write_shards(
     width: int,
     shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
-    """Shard files (one row each, column ``matrix`` is the file) in ascending (doc_id, text).
+    """Shard files (one row each, column ``file``) in ascending (doc_id, text).
 
-    ``docs`` is dealt out by ranges of doc_id, so (part, seq) is the order of the shards.
-    A shard ends with the document that reaches ``shard_tokens``. Null texts are empty and
-    hold the end id alone; a null doc_id comes first; repeated rows are all kept.
+    ``docs`` is dealt out by ranges of doc_id, so (part, seq) is the order of the shards;
+    n_tokens repeats what the file says, for the sums over shards. A shard ends with the
+    document that reaches ``shard_tokens``. Null texts are empty and hold the end id alone; a
+    null doc_id comes first; repeated rows are all kept. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,17 +295,15 @@ def write_shards(
         part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, held, total = [], [], [], 0
 
-        def shard():
+        def shard(kind: pa.DataType):
             flat = np.frombuffer(b"".join(held), encode.dtype)
-            matrix = WaveletMatrix.build(flat, width).to_bytes()
-            columns = [[part], [seq], [len(ids)], [len(flat)], [ids], [lengths], [matrix]]
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["part", "seq", "n_docs", "n_tokens", "doc_ids", "lengths", "matrix"],
-            )
+            file = pack_shard(pa.array(ids, kind), lengths, WaveletMatrix.build(flat, width))
+            columns = [pa.array([part]), pa.array([seq]), pa.array([len(flat)]), pa.array([file], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_tokens", "file"])
 
+        kind = pa.int64()
         for batch in slices(batches, "text", 1 << 20):
+            kind = batch.schema.field("doc_id").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode.encode(texts)):
                 ids.append(doc_id)
@@ -288,41 +311,35 @@ def write_shards(
                 held += [found, end]
                 total += lengths[-1]
                 if total >= shard_tokens:
-                    yield shard()
+                    yield shard(kind)
                     seq += 1
                     ids, lengths, held, total = [], [], [], 0
         if ids:
-            yield shard()
+            yield shard(kind)
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stored(dealt.mapInArrow(run, SHARD), "shards")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the shard files."""
+def read_shards(shards: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the shard files alone.
+
+    ``id_type`` is the Spark type of the doc_ids that were written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _encoders.clear()  # of a worker that has written shards before
         for batch in batches:
             for row in batch.to_pylist():
-                ids = WaveletMatrix.from_bytes(row["matrix"]).decode().astype("<u4")
-                stops = np.cumsum(row["lengths"])
-                crc = [zlib.crc32(ids[stop - n : stop].tobytes()) for stop, n in zip(stops, row["lengths"])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(stops - row["lengths"] + row["base"], pa.int64()),
-                        pa.array(row["lengths"], pa.int64()),
-                        pa.array(crc, pa.int64()),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    return (
-        _with_base(shards)
-        .select("doc_ids", "lengths", "matrix", "base")
-        .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    )
+                doc_ids, lengths, matrix = unpack_shard(row["file"])
+                ids = matrix.decode().astype("<u4")
+                stops = np.cumsum(lengths)
+                crc = [zlib.crc32(ids[stop - n : stop].tobytes()) for stop, n in zip(stops, lengths)]
+                columns = [pa.array(stops - lengths + row["base"], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays([doc_ids, *columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    files = _with_base(shards).select("file", "base")
+    return files.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def _with_base(shards: DataFrame) -> DataFrame:
