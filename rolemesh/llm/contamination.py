@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
 from .words import NOT_WORD, hash_words, shingles, slices
 
 K1, B = 1.2, 0.75
@@ -28,6 +29,7 @@ PIECE, PIECE_STEP = PASSAGE - STEP + 1, (PASSAGE - STEP) // 2  # words of a piec
 SCORE = 0.6  # of the score that an item, or a piece of it, gives itself
 OVERLAP = 0.6  # of the n-grams of the question, and of the answer
 NGRAM = 3
+LEAST_WORDS = 4  # of an item; every text that holds a shorter one would be a leak
 BLOCK = 8  # items of a block with stored maxima
 SHARD_BYTES = 64 << 10  # of benchmark text in one index
 SHARDS_AT_ONCE = 32  # indexes sent to the workers together; a larger benchmark takes several passes
@@ -196,7 +198,12 @@ def _passages(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, score: float = SCORE, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES
+    docs: DataFrame,
+    benchmark: DataFrame,
+    score: float = SCORE,
+    overlap: float = OVERLAP,
+    shard_bytes: int = SHARD_BYTES,
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """Verified (doc_id, item_id, first_word, n_words, score, question_overlap, answer_overlap).
 
@@ -205,13 +212,17 @@ def find_leaks(
     lower case. Null or empty texts and items match nothing; repeated rows each get their
     rows; items that occur twice are reported by each id. An item of any length may lie
     anywhere. The score is that of the whole item where a passage reaches the threshold
-    with it, else that of the item's best piece; an item is always verified as a whole.
+    with it, else that of the item's best piece; an item is always verified as a whole. Items
+    of fewer than ``least_words`` words match nothing. Very long texts are searched whole.
+    Other columns of both tables are not read.
 
     The index is sent to the workers in shards of bounded size, a bounded number of them at
-    once; document frequencies, item count and mean length cover the whole benchmark.
+    once, and what these found is stored before the next ones are built; document
+    frequencies, item count and mean length cover the whole benchmark.
     """
     spark = docs.sparkSession
-    items = benchmark.where("text is not null").select("item_id", "text")
+    long_enough = F.size(F.filter(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"), lambda w: w != "")) >= least_words
+    items = benchmark.where(long_enough).select("item_id", "text")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -248,6 +259,9 @@ def find_leaks(
             f"doc_id {doc_type}, item_id {id_type}, first_word long, n_words long, score double, "
             "question_overlap double, answer_overlap double",
         )
+        if n_shards > SHARDS_AT_ONCE:
+            found = stored(found, "leaks")
+            held.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
