@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from rolemesh.llm import contamination, languages, mixing, near_duplicates, wavelet
 from rolemesh.llm.queries import END_ID, ID_BITS, TOKENIZER, held_out
-from rolemesh.llm.store import bounded_batches, stored
+from rolemesh.llm.store import bounded_batches, fresh_name, stored
 
 
-KEY = "row_key"
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row, never null, in order of (doc_id, text hash), null ids last.
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row, never null, in order of (doc_id, text hash), null ids last; and its name.
 
     Only rows that are equal in all columns share a key: a doc_id may be null or repeated.
     """
@@ -24,7 +21,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     # xxhash64 skips nulls, so each column is hashed with a mark for them.
     row_hash = F.xxhash64(*(x for c in sorted(docs.columns) for x in (F.col(c).isNull(), F.col(c))))
     fields = {"no_id": no_id, "doc_id": doc_id, "text_hash": text_hash, "row_hash": row_hash}
-    return docs.withColumn(KEY, F.struct(*(v.alias(k) for k, v in fields.items())))
+    key = fresh_name("row_key", docs.columns)
+    return docs.withColumn(key, F.struct(*(v.alias(k) for k, v in fields.items()))), key
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,20 +41,20 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     in all columns stay once.
     """
     bounded_batches(spark)
-    rows = keyed(docs)
-    classes = near_duplicates.near_duplicate_classes(rows.select(F.col(KEY).alias("doc_id"), "text"))
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(KEY)).distinct()
-    return rows.join(gone, KEY, "left_anti").dropDuplicates([KEY]).select(*docs.columns)
+    rows, key = keyed(docs)
+    classes = near_duplicates.near_duplicate_classes(rows.select(F.col(key).alias("doc_id"), "text"))
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").dropDuplicates([key]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified passage of the benchmark."""
     bounded_batches(spark)
-    rows = keyed(docs)
+    rows, key = keyed(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = contamination.find_leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), benchmark)
-    leaked = stored(leaks.select(F.col("doc_id").alias(KEY)).distinct(), "leaks")
-    return rows.join(leaked, KEY, "left_anti").select(*docs.columns)
+    leaks = contamination.find_leaks(rows.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    leaked = stored(leaks.select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return rows.join(leaked, key, "left_anti").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
