@@ -29,8 +29,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; null texts and texts without a letter go."""
     bounded_batches(spark)
     profiles = languages.train(docs.where(~held_out()).select("text", "lang"))
-    found = languages.identify(docs, profiles, keep_text=True)
-    return found.where(F.col("lang_pred") != languages.UNKNOWN).select(*docs.columns)
+    # The operator's own columns replace the caller's, which therefore go by other names meanwhile.
+    aside = {c: fresh_name(f"kept_{c}", docs.columns) for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    found = languages.identify(docs.withColumnsRenamed(aside), profiles, keep_text=True)
+    kept = found.where(F.col("lang_pred") != languages.UNKNOWN)
+    return kept.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
