@@ -13,9 +13,11 @@ meet in a block for every part that is. A block of unrelated texts is rare, even
 share a long passage, as all n-grams of the part have to agree.
 
 Equal sets are folded into one node first. Then members of a block are compared with its
-smallest node and then with its best connected one, links are joined to components, and only blocks that still hold more than
-one component are searched with trees, pairs of one component left out. No group is turned
-into all its pairs: what is left to compare are texts that the bound cannot tell apart.
+smallest node, and links are joined to components. Blocks that still hold more than one
+component are put together to clusters, so that two texts meet once however many blocks they
+share. The members of a cluster are cut into tiles by size; a pair of tiles is one task, which
+builds trees over points with two groups or more for every n-gram, verifies what the bound
+lets through, and hands on links that join components, never more than it has members.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,10 @@ from .components import connected
 from .store import stored
 from .words import hash_words, mix, shingles, slices
 
-GROUPS = 64  # coordinates of the smallest point; larger sets have more, 8 to 16 members a group
-TILE = 512  # members of a block that meet in one task; larger blocks are cut into pairs of tiles
+TILE = 2_048  # members of a cluster that meet in one task, at most about so many
+TILE_NGRAMS = 1 << 20  # and at most about so many n-grams of theirs; or one longer text
+DENSE = 0.02  # share of a tree's pairs of points from which on the bound is a matrix product
+STRIP = 512  # rows of such a product at once
 SEEN = 100_000  # sets that a task remembers to list copies once
 _CLASS_GROWTH = 1.6
 _DELETIONS = 2  # up to so many differences, sets with members left out are listed instead of parts
@@ -104,106 +109,130 @@ def _node(members: np.ndarray) -> tuple[int, int]:
     return int(name.view(np.int64)[0]), int(other.view(np.int64)[0])
 
 
-def _folded(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, node, other) of every row; node is null for an empty set."""
+def _scan(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, frozenset[int]]:
+    """(doc_id, n_shingles, node, h, keys, point) of every row, stored; and the clashing names.
+
+    The only reading of all texts: the set's name (null for an empty set), the text's hash,
+    and, for most copies within a task once, the keys of its blocks and its point. Two
+    different sets share a 64-bit name once in 2^64 pairs: a handful of names however large
+    the corpus. Those sets go by their second hash instead.
+    """
 
     def run(batches):
+        seen = set()
         for batch in slices(batches, "text"):
-            n, node, other = [], [], []
+            if len(seen) > SEEN:
+                seen.clear()
+            n, node, other, keys, points = [], [], [], [], []
             for members in _sets(batch, size):
                 one, two = _node(members) if len(members) else (None, None)
+                new = one is not None and (one, two) not in seen
+                seen.add((one, two))
                 n.append(len(members))
                 node.append(one)
                 other.append(two)
+                keys.append(block_keys(members, num, den).view(np.int64) if new else None)
+                points.append(packed(point_of(members)) if new else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(other, pa.int64())],
-                names=["doc_id", "n_shingles", "node", "other"],
+                [batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(node, pa.int64())]
+                + [pa.array(other, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())],
+                names=["doc_id", "h", "n_shingles", "node", "other", "keys", "point"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, other long")
+    schema = f"doc_id {kind}, h long, n_shingles long, node long, other long, keys array<long>, point binary"
+    found = stored(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema), "sets")
+    twice = found.groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y")
+    clashed = frozenset(r.node for r in twice.select("node").collect())
+    name = F.when(F.col("node").isin(*clashed), F.col("other")).otherwise(F.col("node")) if clashed else F.col("node")
+    return found.withColumn("node", name).drop("other"), clashed
 
 
-def _block_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(key, node) of every set; most copies within a task are listed once."""
+def _shared_blocks(found: DataFrame) -> DataFrame:
+    """(key, node, low) of the blocks that several sets share; low is the block's smallest node.
+
+    Grouped minima and maxima find the shared keys, and the sets are read once more for those
+    alone: no block meets in one task, however many texts it has.
+    """
+    listed = found.where("keys is not null").select("node", "keys")
+    ends = listed.select("node", F.explode("keys").alias("key")).groupBy("key").agg(
+        F.min("node").alias("low"), F.max("node").alias("high")
+    )
+    keys = stored(ends.where("low <> high").select("key", "low"), "keys")
+    among = found.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
 
     def run(batches):
-        seen = set()
-        for part in slices(batches, "text"):
-            if len(seen) > SEEN:
-                seen.clear()
-            keys, nodes, counts = [], [], []
-            for members in _sets(part, size):
-                if not len(members):
-                    continue
-                node, _ = _node(members)
-                if node in seen:
-                    continue
-                seen.add(node)
-                found = block_keys(members, num, den)
-                keys.append(found)
-                nodes.append(node)
-                counts.append(len(found))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array(np.repeat(np.array(nodes, np.int64), counts)),
-                    ],
-                    names=["key", "node"],
-                )
-
-    return docs.select("text").mapInArrow(run, "key long, node long")
+        for batch in batches:
+            column = batch.column("keys")
+            counts = pc.list_value_length(column).to_numpy()
+            key = pc.list_flatten(column).to_numpy()
+            node = np.repeat(batch.column("node").to_numpy(), counts)
+            kept = passes(among.value, key)
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept])], names=["key", "node"])
+
+    rows = listed.mapInArrow(run, "key long, node long")
+    return stored(rows.join(keys, "key").distinct(), "blocks")
 
 
 def point_of(members: np.ndarray) -> np.ndarray:
-    """Members per group, in as many groups as the set's size asks for; counts fit one byte.
+    """Members per group, two groups or more for every member; counts fit four bits.
 
     The group is the low bits of the hash, so a point with more groups folds into one with fewer.
     """
-    groups = GROUPS
+    groups = 64
     while True:
-        if groups * 16 > len(members):
+        if groups >= 2 * len(members):
             point = np.bincount((members & _u(groups - 1)).astype(np.int64), minlength=groups)
-            if point.max() < 256:
+            if point.max() < 16:
                 return point.astype(np.uint8)
         groups *= 2
 
 
+def packed(point: np.ndarray) -> bytes:
+    """Two counts a byte: a point takes one to two bytes a member, its set eight."""
+    return (point[0::2] | (point[1::2] << 4)).tobytes()
+
+
+def unpacked(stored_point: bytes) -> np.ndarray:
+    both = np.frombuffer(stored_point, np.uint8)
+    return np.stack((both & 15, both >> 4), axis=1).reshape(-1)
+
+
 def folded_point(point: np.ndarray, groups: int) -> np.ndarray:
     """A point as one of fewer groups."""
     return point.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, members: bool) -> DataFrame:
-    """(node, n, point) or (node, members) of the given nodes, each once.
+def _sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, size: int, clashed: frozenset[int]) -> DataFrame:
+    """(node, members) of the given nodes, each once.
 
-    A bit filter of fixed size travels to the scan, so that few other sets are shuffled;
-    the join that follows is exact.
+    One text of each set is read again: a bit filter of their hashes travels to the scan, so
+    that hardly any other text is looked at; the join that follows is exact.
     """
-    held = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes, "node"))
+    texts = found.select("node", "h").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(texts, "h"))
 
     def run(batches):
         seen = set()
-        for part in slices(batches, "text"):
-            if len(seen) > SEEN:
-                seen.clear()
-            rows = []
-            for own in _sets(part, size):
-                if not len(own):
-                    continue
-                node, _ = _node(own)
-                if node in seen or not passes(held.value, np.int64(node)):
-                    continue
-                seen.add(node)
-                rows.append((node, own.tobytes()) if members else (node, len(own), point_of(own).tobytes()))
-            if rows:
-                kinds = (pa.int64(), pa.binary()) if members else (pa.int64(), pa.int64(), pa.binary())
-                names = ["node", "members"] if members else ["node", "n", "point"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-    schema = "node long, members binary" if members else "node long, n long, point binary"
-    return docs.select("text").mapInArrow(run, schema).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        for batch in batches:
+            batch = batch.filter(pa.array(passes(held.value, batch.column("h").to_numpy())))
+            for part in slices([batch], "text") if batch.num_rows else ():
+                if len(seen) > SEEN:
+                    seen.clear()
+                rows = []
+                for own in _sets(part, size):
+                    if len(own):
+                        name, other = _node(own)
+                        node = other if name in clashed else name
+                        if node not in seen:
+                            seen.add(node)
+                            rows.append((node, own.tobytes()))
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "members"])
+
+    sets = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "node long, members binary")
+    return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -214,9 +243,10 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("p_a").to_pylist(), batch.column("p_b").to_pylist())):
-                groups = min(len(x), len(y))
-                one, two = (folded_point(np.frombuffer(z, np.uint8), groups) for z in (x, y))
-                keep[i] = int(np.minimum(one, two).sum()) * (den + num) >= int(total[i]) * num
+                one, two = unpacked(x), unpacked(y)
+                groups = min(len(one), len(two))
+                bound = int(np.minimum(folded_point(one, groups), folded_point(two, groups)).sum())
+                keep[i] = bound * (den + num) >= int(total[i]) * num
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     def side(name, *columns):
@@ -229,24 +259,37 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
     return sized.join(side("a", "point"), "a").join(side("b", "point"), "b").mapInArrow(run, "a long, b long")
 
 
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of num/den or more."""
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return den * same >= num * (len(both) - same)
+
+
 class _Verifier:
     """Exact tests of bounded pairs; a set is computed when a pair first needs it."""
 
-    def __init__(self, docs: DataFrame, size: int, num: int, den: int):
-        self.docs, self.size, self.num, self.den = docs, size, num, den
+    def __init__(self, docs: DataFrame, found: DataFrame, size: int, num: int, den: int, clashed: frozenset[int]):
+        self.docs, self.found, self.clashed = docs, found, clashed
+        self.size, self.num, self.den = size, num, den
         self.sets: DataFrame | None = None
 
+    def sets_of(self, nodes: DataFrame) -> DataFrame | None:
+        """(node, members) of the stored nodes and of all asked for before."""
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
+        if nodes.limit(1).count():
+            more = stored(_sets_of(self.docs, self.found, nodes, self.size, self.clashed), "sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        return self.sets
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The stored pairs (a, b) that link."""
         num, den = self.num, self.den
         pairs = stored(pairs, "bounded")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
-        if nodes.limit(1).count():
-            more = stored(_sets_of(self.docs, nodes, self.size, True), "sets")
-            self.sets = more if self.sets is None else self.sets.unionByName(more)
-        if self.sets is None:
+        sets = self.sets_of(nodes)
+        if sets is None:
             return pairs
 
         def exact(batches):
@@ -254,13 +297,11 @@ class _Verifier:
                 keep = np.zeros(batch.num_rows, bool)
                 for i in range(batch.num_rows):
                     x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("m_a", "m_b"))
-                    both = np.sort(np.concatenate((x, y)))
-                    same = int((both[1:] == both[:-1]).sum())
-                    keep[i] = den * same >= num * (len(both) - same)
+                    keep[i] = linked(x, y, num, den)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-        one = self.sets.select(F.col("node").alias("a"), F.col("members").alias("m_a"))
-        two = self.sets.select(F.col("node").alias("b"), F.col("members").alias("m_b"))
+        one = sets.select(F.col("node").alias("a"), F.col("members").alias("m_a"))
+        two = sets.select(F.col("node").alias("b"), F.col("members").alias("m_b"))
         return stored(pairs.join(one, "a").join(two, "b").mapInArrow(exact, "a long, b long"), "links")
 
 
@@ -301,11 +342,17 @@ class CountTree:
         theirs = other.levels + [other.levels[-1]] * (depth + 1 - len(other.levels))
         now = np.zeros((1, 2), np.int64)
         for level in range(depth, -1, -1):
+            (p, low), (q, low2) = mine[level], theirs[level]
+            if level == 0 and len(now) * self.FAN**2 >= DENSE * len(p) * len(q) and len(p) * len(q) > 1 << 12:
+                now = np.concatenate([
+                    np.argwhere(_least_sums(p[k : k + STRIP], q) * (den + num) >= (low[k : k + STRIP, None] + low2[None]) * num) + (k, 0)
+                    for k in range(0, len(p), STRIP)
+                ])
+                continue
             if level < depth:
                 now = _children(now, 0, len(mine[level][0]), mine[level] is not mine[level + 1])
                 now = _children(now, 1, len(theirs[level][0]), theirs[level] is not theirs[level + 1])
             kept = []
-            (p, low), (q, low2) = mine[level], theirs[level]
             for part in np.array_split(now, len(now) * p.shape[1] // (1 << 18) + 1):
                 bound = np.minimum(p[part[:, 0]], q[part[:, 1]]).sum(axis=1, dtype=np.int64)
                 kept.append(part[bound * (den + num) >= (low[part[:, 0]] + low2[part[:, 1]]) * num])
@@ -313,6 +360,16 @@ class CountTree:
         return np.stack((self.order[now[:, 0]], other.order[now[:, 1]]), axis=1)
 
 
+def _least_sums(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima of all rows of p and q: a count's minimum is how many levels both reach."""
+    total = np.zeros((len(p), len(q)), np.float32)
+    for level in range(1, int(min(p.max(), q.max())) + 1):
+        left, right = (p >= level).astype(np.float32), (q >= level).astype(np.float32)
+        some = left.any(axis=0) & right.any(axis=0)
+        total += left[:, some] @ right[:, some].T
+    return total
+
+
 def _children(pairs: np.ndarray, side: int, n: int, deeper: bool) -> np.ndarray:
     if not deeper or not len(pairs):
         return pairs
@@ -323,45 +380,64 @@ def _children(pairs: np.ndarray, side: int, n: int, deeper: bool) -> np.ndarray:
     return out
 
 
-def _tree_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in blocks (key, tile, tile), found with two trees each."""
+def tile_links(left: list[tuple], right: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
+    """Verified links between members (node, root, set) of two tiles that join their components.
+
+    Two trees give the pairs that the bound lets through; of those, only pairs of components
+    not joined yet are verified. At most one link fewer than there are members comes back.
+    """
+    sides = [[m for m in side if len(m[2])] for side in (left, right)]
+    if not all(sides):
+        return []
+    groups = max(len(point_of(m[2])) for side in sides for m in side)
+    trees = []
+    for side in sides:
+        points = np.stack([np.bincount((m[2] & _u(groups - 1)).astype(np.int64), minlength=groups) for m in side])
+        trees.append(CountTree(points.astype(np.uint8), np.array([len(m[2]) for m in side], np.int64)))
+    up: dict[int, int] = {}
+
+    def top(root: int) -> int:
+        while up.get(root, root) != root:
+            up[root] = root = up.get(up[root], up[root])
+        return root
+
+    root = [np.array([m[1] for m in side], np.int64) for side in sides]
+    found = trees[0].pairs(trees[1], num, den)
+    found = found[root[0][found[:, 0]] != root[1][found[:, 1]]]
+    out = []
+    for i, j in found.tolist():
+        (a, ra, x), (b, rb, y) = sides[0][i], sides[1][j]
+        ra, rb = top(ra), top(rb)
+        if ra != rb and linked(x, y, num, den):
+            up[max(ra, rb)] = min(ra, rb)
+            out.append((min(a, b), max(a, b)))
+    return out
 
-    def search(group):
-        key, left, right = group
-        groups = min(len(p) for x in (left, right) for p in x["point"])
-        points = [np.array([folded_point(np.frombuffer(p, np.uint8), groups) for p in x["point"]]) for x in (left, right)]
-        trees = [CountTree(p, np.array(x["n"], np.int64)) for p, x in zip(points, (left, right))]
-        found = trees[0].pairs(trees[1], num, den)
-        node = [np.array(x["node"], np.int64) for x in (left, right)]
-        root = [np.array(x["root"], np.int64) for x in (left, right)]
-        a, b = node[0][found[:, 0]], node[1][found[:, 1]]
-        differ = root[0][found[:, 0]] != root[1][found[:, 1]]
-        a, b = a[differ], b[differ]
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-        return pairs[pairs[:, 0] != pairs[:, 1]]
+
+def _tree_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of pairs of tiles (cluster, i, j), found with two trees each."""
 
     def run(batches):
-        key, left, right = None, None, None
-        columns = ("point", "n", "node", "root")
+        key, left, right = None, [], []
         for batch in batches:
             for row in batch.to_pylist():
-                at = (row["key"], row["i"], row["j"])
+                at = (row["cluster"], row["i"], row["j"])
                 if at != key:
-                    if key is not None:
-                        yield from emit(search((key, left, right)))
-                    key, left, right = at, {c: [] for c in columns}, {c: [] for c in columns}
-                for side, on in ((left, row["tile"] == row["i"]), (right, row["tile"] == row["j"])):
-                    if on:
-                        for c in columns:
-                            side[c].append(row[c])
-        if key is not None:
-            yield from emit(search((key, left, right)))
+                    yield from emit(tile_links(left, right, num, den))
+                    key, left, right = at, [], []
+                member = (row["node"], row["root"], np.frombuffer(row["members"], np.uint64))
+                if row["tile"] == row["i"]:
+                    left.append(member)
+                if row["tile"] == row["j"]:
+                    right.append(member)
+        yield from emit(tile_links(left, right, num, den))
 
     def emit(pairs):
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if pairs:
+            a, b = zip(*pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    keys = ["key", "i", "j"]
+    keys = ["cluster", "i", "j"]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -390,26 +466,35 @@ def _open_blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(rows.join(kept, "key"), "open")
 
 
-def _hub_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of each member with the member of its block that meets most others in all blocks."""
-    met = rows.groupBy("node").agg(F.sum("members").alias("met"))
-    hubs = rows.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "root")).alias("hub"))
-    far = rows.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
-    return far.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+def _clusters(rows: DataFrame) -> DataFrame:
+    """(node, root, cluster) of the members of open blocks; blocks with a common node are one cluster."""
+    low = rows.groupBy("key").agg(F.min("node").alias("low"))
+    edges = rows.join(low, "key").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    found = connected(edges, "clusters").select("node", F.col("root").alias("cluster"))
+    return stored(rows.select("node", "root").distinct().join(found, "node"), "clusters")
+
 
+def _tiles(clusters: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """(cluster, tile, i, j, node, root): members dealt out as pairs of tiles of fitting sizes.
 
-def _tiles(rows: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """Members of open blocks dealt out as pairs of tiles of fitting sizes."""
-    members = rows.select("key", "node", "root").join(points.select("node", "n"), "node")
-    by_size = Window.partitionBy("key").orderBy("n", "node")
-    tiled = members.withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / TILE).cast("int"))
-    span = tiled.groupBy("key", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = span.select("key", F.col("tile").alias("i"), F.col("most").alias("most_i")).join(
-        span.select("key", F.col("tile").alias("j"), F.col("least").alias("least_j")), "key"
+    Members stand in the order of their sizes; a tile is a stretch of about TILE_NGRAMS, and of
+    TILE members at most. Only the counts per size meet in one task, so a cluster may be as
+    large as it likes.
+    """
+    members = clusters.join(points.select("node", "n"), "node")
+    weight = F.greatest("n", F.lit(TILE_NGRAMS // TILE))
+    sizes = members.groupBy("cluster", "n").agg(F.count("*").alias("c"), F.sum(weight).alias("w"))
+    before = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("begin", F.coalesce(F.sum("w").over(before), F.lit(0)))
+    place = F.col("begin") + F.pmod(F.xxhash64("node"), "c") * weight
+    tiled = members.join(sizes.drop("w"), ["cluster", "n"]).withColumn("tile", F.floor(place / TILE_NGRAMS).cast("int"))
+    tiled = stored(tiled.select("cluster", "tile", "n", "node", "root"), "tiles")
+    span = tiled.groupBy("cluster", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    met = span.select("cluster", F.col("tile").alias("i"), F.col("most").alias("most_i")).join(
+        span.select("cluster", F.col("tile").alias("j"), F.col("least").alias("least_j")), "cluster"
     ).where((F.col("i") <= F.col("j")) & (F.col("most_i") * den >= F.col("least_j") * num))
-    sides = met.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-    # Points are joined last, to be shuffled once.
-    return tiled.join(sides, ["key", "tile"]).join(points.select("node", "point"), "node")
+    sides = met.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    return tiled.drop("n").join(sides, ["cluster", "tile"])
 
 
 def near_duplicate_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -421,32 +506,23 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, num: int = 80, den: i
     with a null doc_id get the smallest id of their component, or null when it has none.
     Repeated rows and equal texts fall into one component. Other columns are not read.
     """
-    folded = stored(_folded(docs, size), "folded")
-    names = folded.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.min("other").alias("x"), F.max("other").alias("y")
-    )
-    if names.where("x <> y").limit(1).count():
-        raise ValueError("two different sets have the same 64-bit name")
-
-    block = Window.partitionBy("key")
-    shared = (
-        _block_rows(docs, size, num, den)
-        .withColumn("low", F.min("node").over(block))
-        .withColumn("high", F.max("node").over(block))
-        .where("low <> high")
-        .select("key", "node", "low")
-        .distinct()
-    )
-    shared = stored(shared, "blocks")
-    points = stored(_sets_of(docs, shared.select("node").distinct(), size, False), "points")
-    verify = _Verifier(docs, size, num, den)
+    found, clashed = _scan(docs, size, num, den)
+    folded = found.select("doc_id", "n_shingles", "node")
+    names = folded.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    shared = _shared_blocks(found)
+    listed = found.where("point is not null").select("node", F.col("n_shingles").alias("n"), "point")
+    nodes = shared.select("node").distinct()
+    points = stored(listed.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "points")
+    verify = _Verifier(docs, found, size, num, den, clashed)
 
     star = shared.where("node <> low").select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b"))
     roots = stored(connected(verify.links(_bounded(star.distinct(), points, num, den))), "roots")
-    hubs = _hub_pairs(_open_blocks(shared, roots))
-    roots = _joined(roots, verify.links(_bounded(hubs, points, num, den)))
-    rest = _tree_pairs(_tiles(_open_blocks(shared, roots), points, num, den), num, den)
-    roots = _joined(roots, verify.links(rest))
+    clusters = _clusters(_open_blocks(shared, roots))
+    sets = verify.sets_of(clusters.select("node"))
+    if sets is not None:
+        # Sets are joined last, to be shuffled once.
+        rows = _tiles(clusters, points, num, den).join(sets, "node")
+        roots = _joined(roots, stored(_tree_links(rows, num, den), "links"))
     final = names.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = final.join(least, "root").select("node", "component_id")
