@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .store import stored
 
-SAMPLES = 24
-_NO_ID = -(1 << 63)
+SAMPLES = 64  # the standard error of a likeness is at most 1 / 16
+GROUP = 8  # samples computed in one row
 _DIGITS = 8  # hexadecimal digits of a sample in a fingerprint
 
 
@@ -55,7 +55,7 @@ def likeness(one: Column, two: Column, samples: int) -> Column:
 def _samples(texts: DataFrame, keys: list[str], columns: list[str], samples: int) -> DataFrame:
     """keys and a fingerprint per text column, for texts with a word; ``texts`` is placed by ``keys``.
 
-    One sample of one term is a row on its way to the smallest value, never shuffled.
+    GROUP samples of one term are a row on its way to the smallest values, never shuffled.
     """
     text = F.col(columns[-1])
     for i, c in list(enumerate(columns))[:-1]:
@@ -70,15 +70,21 @@ def _samples(texts: DataFrame, keys: list[str], columns: list[str], samples: int
     )
     # The logarithm of weight 0 is null, and so are its values.
     logs = counted.select(*keys, "term", *(F.ln(f"w{i}").alias(f"l{i}") for i in range(len(columns))))
-    steps = logs.select("*", F.explode(F.array(*(F.lit(k) for k in range(samples)))).alias("k"))
-    values = sample_values(F.col("term"), [F.col(f"l{i}") for i in range(len(columns))], F.col("k"))
-    least = steps.select(*keys, "k", *(v.alias(f"v{i}") for i, v in enumerate(values))).groupBy(*keys, "k").agg(
-        *(F.min(f"v{i}").alias(f"v{i}") for i in range(len(columns)))
+    groups = -(-samples // GROUP)
+    steps = logs.select("*", F.explode(F.array(*(F.lit(g) for g in range(groups)))).alias("g"))
+    sides_of = range(len(columns))
+    least = []
+    for j in range(GROUP):
+        values = sample_values(F.col("term"), [F.col(f"l{i}") for i in sides_of], F.col("g") * GROUP + j)
+        least += [F.min(v).alias(f"v{i}_{j}") for i, v in enumerate(values)]
+    found = steps.groupBy(*keys, "g").agg(*least)
+    digits = found.select(
+        *keys, "g", *(F.concat(*(_digits(F.col(f"v{i}_{j}")) for j in range(GROUP))).alias(f"p{i}") for i in sides_of)
     )
-    digits = least.select(*keys, "k", *(_digits(F.col(f"v{i}")).alias(f"p{i}") for i in range(len(columns))))
-    parts = F.sort_array(F.collect_list(F.struct("k", *(f"p{i}" for i in range(len(columns))))))
+    parts = F.sort_array(F.collect_list(F.struct("g", *(f"p{i}" for i in sides_of))))
     whole = digits.groupBy(*keys).agg(parts.alias("parts"))
-    return whole.select(*keys, *(F.array_join(F.col(f"parts.p{i}"), "").alias(f"print{i}") for i in range(len(columns))))
+    joined = (F.substring(F.array_join(F.col(f"parts.p{i}"), ""), 1, samples * _DIGITS).alias(f"print{i}") for i in sides_of)
+    return whole.select(*keys, *joined)
 
 
 def _successors(rows: DataFrame) -> DataFrame:
@@ -90,10 +96,9 @@ def _successors(rows: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("id", "h")
     seam = ranged.groupBy("part").agg(F.min(F.struct("id", "h")).alias("first"))
     order = Window.orderBy("part")
-    # One row per range partition.
-    seam = seam.select("part", F.lead("first").over(order).alias("after"))
-    start = ranged.agg(F.min(F.struct("id", "h")).alias("start"))
-    seam = seam.crossJoin(F.broadcast(start)).select("part", F.coalesce("after", "start").alias("after"))
+    # One row per range partition; the first row of all follows the last.
+    start = F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    seam = seam.select("part", F.coalesce(F.lead("first").over(order), start).alias("after"))
     follows = ranged.withColumn("next", F.lead(F.struct("id", "h")).over(inside))
     return (
         follows.join(seam, "part")
@@ -119,11 +124,13 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, h, doc_id, text); id orders doc_ids of any type, nulls first."""
     text = F.coalesce("text", F.lit(""))
+    kind = docs.schema["doc_id"].dataType
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"),
+        F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("value")).alias("id"),
         F.xxhash64(F.col("doc_id").isNull(), text).alias("h"),
-        F.col("doc_id").cast("long").alias("doc_id"),
+        "doc_id",
         text.alias("text"),
     )
 
@@ -143,8 +150,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.first(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies")
     )
     order = stored(_successors(small), "order")
-    one = Window.partitionBy("id", "h").orderBy("id")
-    texts = rows.select("id", "h", "text").withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
+    texts = rows.select("id", "h", "text").dropDuplicates(["id", "h"])  # combined before the shuffle
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     gifts = texts.join(
         order.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("to_id"), F.col("h").alias("to_h"), "n_chars"),
