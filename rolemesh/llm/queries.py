@@ -150,14 +150,14 @@ TOOLS = {
     name: [
         toolcalls.Parameter("query", "string"),
         toolcalls.Parameter("words", "integer", least=1, most=most),
-        toolcalls.Parameter("after", "string", required=False, pattern="^[0-9]+:[0-9]+$"),
+        toolcalls.Parameter("after", "string", required=False, pattern="^call_[0-9]+$"),
     ]
     for name, most in (("ask", 40), ("read", 400))
 }
 
 TOOL_SQL = """
 WITH RECURSIVE u AS (
-    SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id,
+    SELECT conv_id, turn, text, 'call_' || turn AS call_id,
            CASE WHEN contains(text, chr(10)) THEN 'read' ELSE 'ask' END AS tool,
            len(string_split(text, ' ')) AS words
     FROM conversations WHERE role = 'user'
@@ -165,11 +165,11 @@ WITH RECURSIVE u AS (
     SELECT u.*, CASE WHEN length(u.text) < length(p.text) THEN p.call_id END AS after
     FROM u LEFT JOIN u p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2
 ), lv AS (
-    SELECT call_id, 0 AS level FROM c WHERE after IS NULL
+    SELECT conv_id, call_id, 0 AS level FROM c WHERE after IS NULL
     UNION ALL
-    SELECT c.call_id, lv.level + 1 FROM c JOIN lv ON c.after = lv.call_id
+    SELECT c.conv_id, c.call_id, lv.level + 1 FROM c JOIN lv ON c.after = lv.call_id AND c.conv_id = lv.conv_id
 ), r AS (
-    SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'
+    SELECT conv_id, turn, text, 'call_' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'
 )
 SELECT c.conv_id, c.call_id, CAST(lv.level AS BIGINT) AS level, c.turn AS position,
        CASE WHEN r.call_id IS NULL THEN 'no result' ELSE 'linked' END AS state,
@@ -178,21 +178,23 @@ SELECT c.conv_id, c.call_id, CAST(lv.level AS BIGINT) AS level, c.turn AS positi
            || '"query":' || CAST(to_json(c.text) AS VARCHAR) || ',"words":' || c.words || '},"id":"' || c.call_id
            || '","name":"' || c.tool || '","result":'
            || CASE WHEN r.call_id IS NULL THEN 'null' ELSE CAST(to_json(r.text) AS VARCHAR) END || '}' AS json
-FROM c JOIN lv USING (call_id) LEFT JOIN r USING (call_id)
+FROM c JOIN lv USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)
 UNION ALL
 SELECT r.conv_id, r.call_id, 0, r.turn, 'no call', '',
        '{"id":"' || r.call_id || '","result":' || CAST(to_json(r.text) AS VARCHAR) || '}'
-FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.call_id = r.call_id)
+FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.call_id = r.call_id AND u.conv_id = r.conv_id)
 """
 
 
 @query("op2_tool_calls", TOOL_SQL)
 def tool_calls(spark, sf_dir):
-    """User turns as calls, the turns after them as results; a shorter turn refers to the one before."""
+    """User turns as calls, the turns after them as results; a shorter turn refers to the one before.
+
+    Identifiers are numbers of turns, so all conversations use the same ones.
+    """
     turns = table(spark, sf_dir, "conversations")
-    user = turns.where("role = 'user'").select(
-        "conv_id", "turn", "text", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("call_id")
-    )
+    call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    user = turns.where("role = 'user'").select("conv_id", "turn", "text", call_id(F.col("turn")).alias("call_id"))
     before = user.select("conv_id", (F.col("turn") + 2).alias("turn"), F.length("text").alias("n"), F.col("call_id").alias("previous"))
     asked = user.join(before, ["conv_id", "turn"], "left").withColumn(
         "after", F.when(F.length("text") < F.col("n"), F.col("previous"))
@@ -204,12 +206,9 @@ def tool_calls(spark, sf_dir):
         F.when(F.col("text").contains("\n"), "read").otherwise("ask").alias("tool"), arguments.alias("arguments"),
     )
     answered = turns.where("role = 'assistant'").select(
-        "conv_id",
-        F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")).alias("call_id"),
-        F.col("turn").alias("position"),
-        F.col("text").alias("content"),
+        "conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content")
     )
-    references = asked.where("after is not null").select(F.col("call_id").alias("node"), F.col("after").alias("needs"))
+    references = asked.where("after is not null").select("conv_id", "call_id", F.col("after").alias("needs"))
     return toolcalls.link_tool_calls(calls, answered, references, TOOLS)
 
 
