@@ -25,35 +25,125 @@ def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, queries.QUERIES[name], queries.ORACLES[name], SF) is None
 
 
+CALLS = "conv_id long, call_id string, position long, tool string, arguments string, level int, r string, node string"
+RESULTS = "conv_id long, call_id string, position long, content string, level int, r string"
+NEEDS = "conv_id long, call_id string, needs string, level int"
+
+
+def linked(spark, calls, results, needs, schemas):
+    """Tables with extra columns whose names clash with inner ones."""
+    a = spark.createDataFrame([(*r, 1, "r", "n") for r in calls], CALLS)
+    b = spark.createDataFrame([(*r, 1, "r") for r in results], RESULTS)
+    c = spark.createDataFrame([(*r, 1) for r in needs], NEEDS)
+    return toolcalls.link_tool_calls(a, b, c, schemas)
+
+
 def test_tool_calls(spark):
-    calls = spark.createDataFrame(
-        [
-            (1, "a", 0, "add", '{"y": 2, "x": 1}'),
-            (1, "b", 1, "add", '{"x": "1", "z": 0}'),
-            (1, "c", 2, "fly", "{bad"),
-            (1, "d", 3, "add", None),
-            (1, "e", 4, "add", '{"x": 900, "y": null}'),
-            (1, None, 5, "add", '{"x": 1}'),
-            (1, "a", 6, "add", '{"x": 3}'),
-        ],
-        "conv_id long, call_id string, position long, tool string, arguments string",
-    )
-    results = spark.createDataFrame(
-        [("a", 2, "later"), ("a", 1, "three"), ("b", 0, "early"), ("q", 9, "lone"), (None, 9, "none")],
-        "call_id string, position long, content string",
-    )
-    needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "zz"), ("d", "e"), ("e", "d")], "node string, needs string")
+    calls = [
+        (1, "a", 0, "add", '{"y": 2, "x": 1}'),
+        (1, "b", 1, "add", '{"x": "1", "z": 0}'),
+        (1, "c", 2, "fly", "{bad"),
+        (1, "d", 3, "add", None),
+        (1, "e", 4, "add", '{"x": 900, "y": null}'),
+        (1, None, 5, "add", '{"x": 1}'),
+        (1, "a", 6, "add", '{"x": 3}'),
+        (1, "g", 7, "add", ""),
+    ]
+    results = [(1, "a", 2, "later"), (1, "a", 1, "three"), (1, "b", 0, "early"), (1, "q", 9, "lone"), (1, None, 9, "none")]
+    needs = [(1, "b", "a"), (1, "c", "b"), (1, "c", "zz"), (1, "d", "e"), (1, "e", "d"), (1, "g", "g"), (1, None, "a")]
     schemas = {"add": [toolcalls.Parameter("x", "integer", most=100), toolcalls.Parameter("y", "number", required=False)]}
-    got = toolcalls.link_tool_calls(calls, results, needs, schemas).collect()
+    got = linked(spark, calls, results, needs, schemas).collect()
     by = {(r.call_id, r.position): r for r in got}
-    assert len(got) == 9
+    assert len(got) == 10
     assert by["a", 0].json == '{"arguments":{"x":1,"y":2},"id":"a","name":"add","result":"three"}'
-    assert [by[k].level for k in (("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4), (None, 5))] == [0, 1, 2, -1, -1, 0]
+    assert [by[k].level for k in (("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4), (None, 5), ("g", 7))] == [0, 1, 2, -1, -1, 0, -1]
     assert by["a", 0].problems == "" and by["b", 1].problems == "extra argument; type of x"
     assert by["c", 2].problems == "not JSON; unknown tool" and by["e", 4].problems == "range of x"
     assert by["b", 1].state == "early result" and by["c", 2].state == "no result" and by["q", 9].state == "no call"
     assert all(json.loads(r.json) for r in got)
-    assert toolcalls.link_tool_calls(calls.limit(0), results.limit(0), needs.limit(0), schemas).count() == 0
+    assert linked(spark, [], [], [], schemas).count() == 0
+
+
+def test_identifiers_count_within_their_conversation(spark):
+    calls = [(c, "call_1", 0, "t", "{}") for c in (1, 2, None)] + [(1, "call_2", 2, "t", "{}"), (2, "call_2", 2, "t", "{}"), (3, "own", 0, "t", "{}")]
+    results = [(1, "call_1", 1, "one"), (2, "call_1", 1, "two"), (None, "call_1", 1, "none"), (None, "own", 5, "adopted"), (None, "call_2", 5, "whose")]
+    got = linked(spark, calls, results, [(1, "call_2", "call_1")], {"t": []}).collect()
+    found = {(r.conv_id, r.call_id): (r.level, r.state, json.loads(r.json)["result"]) for r in got}
+    assert found == {
+        (1, "call_1"): (0, "linked", "one"), (2, "call_1"): (0, "linked", "two"), (None, "call_1"): (0, "linked", "none"),
+        (1, "call_2"): (1, "no result", None), (2, "call_2"): (0, "no result", None), (3, "own"): (0, "linked", "adopted"),
+        (None, "call_2"): (0, "no call", "whose"),
+    }
+
+
+def test_levels_of_chains_and_webs(spark):
+    """Against a walk over the graph: long chains, several references, cycles and what leads to them."""
+    rng = random.Random(8)
+    edges = {(f"n{i}", f"n{i - 1}") for i in range(1, 70)}
+    edges |= {(f"m{i}", f"m{rng.randrange(i)}") for i in range(1, 60) for _ in range(rng.choice([1, 1, 1, 2, 3]))}
+    edges |= {("m20", "n69"), ("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("v", "w"), ("v", "n3"), ("s", "s"), ("m5", "gone")}
+    nodes = {n for e in edges for n in e if n != "gone"} | {"lone"}
+    needs = {n: [b for a, b in edges if a == n and b in nodes] for n in nodes}
+
+    def walk(n, on=()):
+        if n in on:
+            return None
+        below = [walk(m, (*on, n)) for m in needs[n]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    got = toolcalls.dependency_levels(
+        spark.createDataFrame([(n,) for n in nodes] + [(None,), ("lone",)], "node string"),
+        spark.createDataFrame([*edges, ("n1", "n0")], "node string, needs string"),
+    )
+    small = {n: walk(n) for n in nodes if not n.startswith("m")}
+    levels = {r.node: r.level for r in got.collect()}
+    assert levels.keys() == nodes and all(levels[n] == (-1 if v is None else v) for n, v in small.items())
+    assert all(levels[n] == 1 + max(levels[m] for m in needs[n]) for n in nodes if n.startswith("m") and needs[n])
+    assert toolcalls.dependency_levels(spark.createDataFrame([], "node string"), spark.createDataFrame([], "node string, needs string")).count() == 0
+
+
+NUMBERS = {
+    "0": "0", "-0": "0", "-0.0": "0", "1.0": "1", "1e2": "100", "100": "100", "1.50": "1.5", "-2.5E-3": "-0.0025", "0.1e1": "1",
+    "12345678901234567890123456789012345678901234": "12345678901234567890123456789012345678901234",
+    "0.1000000000000000055511151231257827": "0.1000000000000000055511151231257827", "1e400": "1e400", "12e-400": "12e-400",
+    "1E+2": "100", "10e-1": "1", "123.456e1": "1234.56",
+}
+
+
+def test_numbers_keep_their_digits(spark, column):
+    assert column(list(NUMBERS), toolcalls.canonical_number) == list(NUMBERS.values())
+    texts = [f'{{"b": [{t}, "{t}"], "a": {{"z": {t}, "\\"y\\\\": {t}}}}}' for t in NUMBERS]
+    want = [f'{{"a":{{"\\"y\\\\":{v},"z":{v}}},"b":[{v},"{t}"]}}' for t, v in NUMBERS.items()]
+    through = lambda c: toolcalls.canonical_json(toolcalls.parsed_json(c))
+    assert column(texts, through) == want
+    marks = [r'["\u0001n5", "x\u0001n5", "\"\u0001n7\"", 5, true, null, false]', "1", '"e1"', "01", "1.", "-", "", None, '{"a":1,"a":2}', "[1", '["\x02"]']
+    assert column(marks, through) == [
+        r'["\u0001n5","x\u0001n5","\"\u0001n7\"",5,true,null,false]', "1", '"e1"', None, None, None, None, None, None, None, None,
+    ]
+    long = "[" + ",".join(['"' + r"\n\"" * 30_000 + '"', *map(str, range(20_000))]) + "]"
+    assert column([long], through) == [long]
+
+
+def test_schemas_of_nested_arguments(spark):
+    P = toolcalls.Parameter  # noqa: N806
+    schemas = {
+        "f": [
+            P("mode", "string", choices=("fast", "slow")), P("ids", "array", required=False, items=P("", "integer", least=1)),
+            P("at", "object", required=False, fields=(P("x", "number"), P("tags", "array", required=False, items=P("", "string", pattern="^t")))),
+        ]
+    }
+    cases = {
+        '{"mode": "fast", "ids": [1, 1e2, 3.0], "at": {"x": 1.5, "tags": ["t1"]}}': "",
+        '{"mode": "x", "ids": [0, "1", 2.5]}': "choice of mode; range of ids[]; type of ids[]",
+        '{"mode": "slow", "at": {"tags": ["t", "u", 3], "y": 1}}': "extra argument in at; form of at.tags[]; missing at.x; type of at.tags[]",
+        '{"mode": 1, "ids": {}, "at": []}': "type of at; type of ids; type of mode",
+        '{"mode": "fast", "mode": "slow"}': "repeated key",
+        '["mode"]': "not an object", "7": "not an object", "nope": "not JSON",
+    }
+    calls = [(1, f"c{i}", i, "f", text) for i, text in enumerate(cases)]
+    got = {r.call_id: r for r in linked(spark, calls, [], [], schemas).collect()}
+    assert [got[f"c{i}"].problems for i in range(len(cases))] == list(cases.values())
+    assert json.loads(got["c4"].json)["arguments"] == '{"mode": "fast", "mode": "slow"}'
 
 
 def test_revisits(spark):
@@ -80,6 +170,17 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(records.limit(0)).count() == 0
 
 
+NOTICES = {
+    "Proprietary": "Copyright (c) 2020 Jane Doe. All rights reserved.",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/",
+    "MIT": "MIT License\n\nCopyright (c) 2020\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and"
+    " associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+}
+
+
 def test_licences(spark):
     rows = [
         ("a/LICENSE", "words\nReleased under the MIT License.\nmore"),
@@ -88,20 +189,24 @@ def test_licences(spark):
         ("a/y.py", None),
         ("z.py", ""),
         ("a/own.py", "# Licensed under CC BY-NC 4.0.\n"),
+        ("a/inside.py", "x " * 50_000 + "this code was written by me and released under the MIT License. " + "y " * 50_000),
         (None, "the the the"),
         ("a/y.py", None),
     ]
-    files = spark.createDataFrame([(*r, 1.0) for r in rows], "path string, text string, score double")
-    got = [(r.path, r.licence, r.basis, r.licence_path) for r in licences.scan_licences(files).collect()]
-    assert sorted(got, key=str) == sorted(
-        [
-            ("a/LICENSE", "MIT", "own", None), ("a/b/c/x.py", "Apache-2.0", "inherited", "a/b/COPYING"),
-            ("a/b/COPYING", "Apache-2.0", "own", None), ("a/y.py", "MIT", "inherited", "a/LICENSE"),
-            ("a/y.py", "MIT", "inherited", "a/LICENSE"), ("z.py", None, "none", None),
-            ("a/own.py", "CC-BY-NC-4.0", "own", None), (None, None, "none", None),
-        ],
-        key=str,
-    )
+    rows += [(f"n/{name}/LICENSE", text) for name, text in NOTICES.items()] + [(f"n/{name}/deep/down/x.c", "int main") for name in NOTICES]
+    clash = {c: F.lit(c) for c in ("h", "kept", "own_path", "directory", "from", "words", "template", "basis", "position")}
+    files = spark.createDataFrame([(*r, 1.0) for r in rows], "path string, text string, score double").withColumns(clash)
+    found = licences.scan_licences(files)
+    assert found.columns == ["path", "h", "kept", "own_path", "directory", "from", "words", "template", "licence", "score", "position", "basis", "licence_path"]
+    got = [(r.path, r.licence, r.basis, r.licence_path) for r in found.collect()]
+    want = [
+        ("a/LICENSE", "MIT", "own", None), ("a/b/c/x.py", "Apache-2.0", "inherited", "a/b/COPYING"),
+        ("a/b/COPYING", "Apache-2.0", "own", None), ("a/y.py", "MIT", "inherited", "a/LICENSE"),
+        ("a/y.py", "MIT", "inherited", "a/LICENSE"), ("z.py", None, "none", None),
+        ("a/own.py", "CC-BY-NC-4.0", "own", None), ("a/inside.py", "MIT", "own", None), (None, None, "none", None),
+    ]
+    want += [(f"n/{n}/LICENSE", n, "own", None) for n in NOTICES] + [(f"n/{n}/deep/down/x.c", n, "inherited", f"n/{n}/LICENSE") for n in NOTICES]
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert licences.scan_licences(files.limit(0)).count() == 0
 
 
@@ -119,6 +224,32 @@ def test_pipeline(spark):
     assert os.path.exists(corpus_pipeline.__file__)
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables in every stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "some words of a benchmark item that no text holds")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    rows = [(i, say(12), "en", "s") for i in range(40)] + [(90, None, "en", "s"), (91, "", None, None), (92, "12 3!", "en", "s")]
+    rows += [(93, say(30_000), "en", "s"), (None, say(9), None, None), rows[0], rows[0]]
+    schema = "doc_id long, text string, lang string, source string"
+    names = ("row_key", "component_id", "spans", "s", "n", "h", "lang_pred", "score", "item_id", "start", "keys", "node")
+    for own in (rows, []):
+        docs = spark.createDataFrame(own, schema).withColumns({c: F.lit(c) for c in names})
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert all(r[c] == c for r in got for c in names), name
+            if own and name == "language ID":
+                assert {r.doc_id for r in got} == {*range(40), 93, None} and len(got) == 44
+            if own and name == "near duplicates":
+                assert len(got) == 45  # three equal rows of the first stay as one
+        tokens = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert len(tokens) == len(own) and sum(r.n_tokens for r in tokens) == max((r.start + r.n_tokens for r in tokens), default=0)
+
+
 def test_pipeline_keeps_rows_apart_by_more_than_their_id(spark, tmp_path):
     import corpus_pipeline
 
