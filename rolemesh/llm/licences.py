@@ -1,68 +1,105 @@
 """Licence scan: sparse TF-IDF cosine with licence templates, inherited along directories.
 
-Lines of a file are compared with templates; a file takes the licence of its best line. A
-file without one takes that of the nearest directory above it which holds a licence file.
+A file is read as one sequence of terms, so that line ends and sentences around a notice do
+not matter. Wherever a telling term of a template stands, the window of as many terms as the
+template has, laid so that this term falls on its place in the template, is compared with
+the template. A file takes the licence of its best window; a file without one takes that of
+the nearest directory above it which holds a licence file.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
+
 THRESHOLD = 0.7
 LICENCE_FILE = "^(LICEN[CS]E|COPYING|NOTICE)([.].*)?$"
 
-# The notices that licences ask to be put into files.
+# The notices that licences ask to be put into files, and the heads of their full texts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+        " documentation files, to deal in the Software without restriction",
+    ),
+    ("MPL-2.0", "of the Mozilla Public License, version 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Proprietary", "All rights reserved."),
 ]
 
-# English words that nearly every text holds.
-COMMON = {"all", "and", "are", "by", "in", "is", "of", "or", "the", "this", "to", "with"}
+# English words that many texts hold.
+COMMON = {
+    "a", "all", "and", "any", "are", "by", "charge", "code", "copy", "deal", "files", "for", "form", "forms", "free", "from", "in",
+    "is", "of", "or", "person", "public", "source", "subject", "terms", "the", "this", "to", "under", "use", "v", "version", "with",
+    "without", "work",
+}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+SHORT_NUMBER = "^[0-9]{1,2}$"
+
+
+def _plain(term: str) -> bool:
+    return term in COMMON or re.match(SHORT_NUMBER, term) is not None
+
+
 class Templates:
-    """Weights of the templates' terms, and the words without which no line can reach the threshold."""
+    """Weights of the templates' terms, and the terms without which no window can reach the threshold."""
 
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
         self.threshold = threshold
-        counts = {name: Counter(re.findall("[a-z0-9]+", text.lower())) for name, text in templates}
-        n = len(counts)
-        df = Counter(t for c in counts.values() for t in c)
-        self.idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in sorted(df.items())}
-        self.rare = math.log(1 + n) + 1  # of a word in no template
-        self.weights, anchors = {}, set()
-        for name, own in sorted(counts.items()):
-            raw = {t: k * self.idf[t] for t, k in own.items()}
+        self.names = [name for name, _ in templates]
+        self.terms = [re.findall("[a-z0-9]+", text.lower()) for _, text in templates]
+        n = len(templates)
+        df = Counter(t for own in self.terms for t in set(own))
+        # Common words and short numbers tell little: they weigh as if every template had them.
+        self.idf = {t: 1.0 if _plain(t) else math.log((1 + n) / (1 + k)) + 1 for t, k in sorted(df.items())}
+        self.rare = math.log(1 + n) + 1  # of any other word that is not in the template
+        self.weights, self.places = [], []
+        for own in self.terms:
+            raw = {t: k * self.idf[t] for t, k in Counter(own).items()}
             length = math.sqrt(sum(w * w for w in raw.values()))
-            self.weights[name] = {t: w / length for t, w in sorted(raw.items())}
-            # By Cauchy-Schwarz a line has at most the length of the part it can meet.
-            left = 1.0
-            # Any order is safe; words that most texts hold come last, the lightest of them first.
-            order = sorted(self.weights[name].items(), key=lambda x: (x[0] in COMMON, x[1] if x[0] in COMMON else -x[1], x[0]))
-            for t, w in order:
+            weights = {t: w / length for t, w in sorted(raw.items())}
+            # By Cauchy-Schwarz a window has at most the length of the part it can meet. Any
+            # order is safe; words that many texts hold come last.
+            left, anchors = 1.0, set()
+            for t, w in sorted(weights.items(), key=lambda x: (_plain(x[0]), -x[1], x[0])):
                 if math.sqrt(max(left, 0.0)) < threshold:
                     break
                 anchors.add(t)
                 left -= w * w
-        self.anchors = sorted(anchors)
+            self.weights.append(weights)
+            # Where each telling term stands in the template.
+            self.places.append([(t, i) for i, t in enumerate(own) if t in anchors])
+        self.anchors = sorted({t for places in self.places for t, _ in places})
 
     def gate(self, text: Column) -> Column:
-        """False only for texts in which no line can reach the threshold."""
-        return text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(self.anchors) + ")(?![a-z0-9])")
+        """False only for texts in which no window can reach the threshold: none of the telling terms is in it."""
+        any_of = lambda low: reduce(or_, (F.contains(low, F.lit(t)) for t in self.anchors), F.lit(False))
+        return F.get(F.transform(F.array(F.translate(text, _UPPER, _LOWER)), any_of), 0)
 
 
 def tokens(text: Column) -> Column:
@@ -70,68 +107,96 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def best_lines(texts: DataFrame, templates: Templates) -> DataFrame:
-    """(h, licence, score, line) of the best line of each text that reaches the threshold.
+def best_windows(texts: DataFrame, templates: Templates) -> DataFrame:
+    """(h, licence, score, position) of the best window of each text that reaches the threshold.
 
-    ``texts`` has h and text. Every line of the whole text that passes the gate is compared;
-    ties go to the first licence name, then the first line. Equal texts are looked at once,
-    and only texts that pass the gate are shuffled. The templates' weights are a table of a
-    few dozen rows.
+    ``texts`` has h and text. Every window of the whole text that can reach the threshold is
+    compared; ties go to the first template, then the first position (a term's number). All
+    steps are array expressions in a text's own row: nothing is shuffled but the few rows found.
     """
-    spark = texts.sparkSession
-    weights = spark.createDataFrame(
-        [(t, name, -i, w) for i, (name, own) in enumerate(templates.weights.items()) for t, w in own.items()],
-        "term string, licence string, place int, weight double",
+    # Generators stand between the steps: Spark would otherwise compute a step again for each
+    # element of the next.
+    once = lambda value, name: F.explode(F.array(value)).alias(name)
+    words = texts.where(templates.gate(F.col("text"))).select("h", once(tokens(F.col("text")), "words"))
+    hit = lambda w, i: F.when(w.isin(templates.anchors), F.struct(w.alias("term"), i.alias("at")))
+    hits = words.select("h", "words", once(F.array_compact(F.transform("words", hit)), "hits"))
+
+    def starts(number: int) -> Column:
+        found = []
+        for term, place in templates.places[number]:
+            at = F.filter("hits", lambda x: x["term"] == term)
+            found.append(F.transform(at, lambda x: F.greatest(x["at"] - place, F.lit(0))))
+        return F.transform(F.array_distinct(F.concat(*found)), lambda s: F.struct(F.lit(number).alias("template"), s.alias("start")))
+
+    used = [i for i, p in enumerate(templates.places) if p]
+    if not used:
+        return hits.select("h", F.lit("").alias("licence"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("position")).limit(0)
+    sizes = F.array(*(F.lit(len(t)) for t in templates.terms))
+    windows = hits.select("h", "words", F.explode(F.concat(*map(starts, used))).alias("w")).select(
+        "h", "w.*", F.slice("words", F.col("w.start") + 1, F.get(sizes, F.col("w.template"))).alias("terms")
     )
-    idf = spark.createDataFrame(list(templates.idf.items()), "term string, idf double")
-    lines = (
-        texts.where(templates.gate(F.col("text")))
-        .dropDuplicates(["h"])
-        .select("h", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-        .where(templates.gate(F.col("text")))
+    windows = windows.select("h", "template", "start", "terms", once(F.array_distinct("terms"), "distinct"))
+    table = [[{"term": t, "idf": templates.idf[t], "w": w} for t, w in own.items()] for own in templates.weights]
+    table = F.from_json(F.lit(json.dumps(table)), "array<array<struct<term:string,idf:double,w:double>>>")
+    windows = windows.select("h", "template", "start", "terms", "distinct", once(F.get(table, F.col("template")), "own"))
+    elsewhere = lambda t: F.when(t.isin(sorted(COMMON)) | t.rlike(SHORT_NUMBER), 1.0).otherwise(templates.rare)
+
+    def weighed(t: Column) -> Column:
+        n = F.size(F.filter("terms", lambda x: x == t))
+        entry = F.filter("own", lambda e: e["term"] == t)
+        own = lambda e: F.struct((n * e["idf"]).alias("w"), e["w"].alias("own"))
+        return F.coalesce(
+            F.get(F.transform(entry, own), 0), F.struct((n * elsewhere(t)).alias("w"), F.lit(0.0).alias("own"))
+        )
+
+    pairs = F.transform("distinct", weighed)
+    scored = windows.select("h", "template", "start", once(pairs, "p"))
+    total = lambda value: F.aggregate("p", F.lit(0.0), lambda s, x: s + value(x))
+    cosine = total(lambda x: x["w"] * x["own"]) / F.sqrt(total(lambda x: x["w"] * x["w"]))
+    best = (
+        scored.withColumn("score", F.round(cosine, 6))
+        .where(F.col("score") >= templates.threshold)
+        .groupBy("h")
+        .agg(F.max(F.struct("score", (-F.col("template")).alias("order"), (-F.col("start")).alias("up"))).alias("best"))
     )
-    terms = (
-        lines.select("h", "line", F.explode(tokens(F.col("text"))).alias("term"))
-        .groupBy("h", "line", "term")
-        .agg(F.count("*").alias("n"))
-        .join(F.broadcast(idf), "term", "left")
-        .select("h", "line", "term", (F.col("n") * F.coalesce("idf", F.lit(templates.rare))).alias("w"))
+    names = F.array(*(F.lit(n) for n in templates.names))
+    return best.select(
+        "h", F.get(names, -F.col("best.order")).alias("licence"), "best.score", (-F.col("best.up")).cast("long").alias("position")
     )
-    length = terms.groupBy("h", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = terms.join(F.broadcast(weights), "term").groupBy("h", "line", "licence", "place").agg(
-        F.sum(F.col("w") * F.col("weight")).alias("dot")
-    )
-    scored = dots.join(length, ["h", "line"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6))
-    best = scored.where(F.col("score") >= templates.threshold).groupBy("h").agg(
-        F.max(F.struct("score", "place", (-F.col("line")).alias("up"), "licence")).alias("best")
-    )
-    return best.select("h", "best.licence", "best.score", (-F.col("best.up")).cast("long").alias("line"))
 
 
 def directory_of(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+_OWN = ("licence", "score", "position", "basis", "licence_path")
+
+
 def scan_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Each row of ``files`` (path, text, ...) with licence, score, line, basis and licence_path.
+    """Each row of ``files`` (path, text, ...) with licence, score, position, basis and licence_path.
 
-    basis is ``own`` (a line of the file), ``inherited`` (the licence file licence_path in
+    basis is ``own`` (a window of the file), ``inherited`` (the licence file licence_path in
     the nearest directory above, its own included) or ``none``. Of several licence files in
-    a directory the highest score counts, then the first path. Null paths inherit nothing;
-    repeated rows each get their row. Texts stay where they are: only paths are joined,
-    directories as their distinct set, so a directory with very many files counts once.
+    a directory the highest score counts, then the first path. Null and empty texts have no
+    licence of their own, null paths inherit nothing; repeated rows each get their row, and
+    very long texts are read whole. Other columns of ``files`` are kept but for those that
+    the result's own columns replace. Only paths and text hashes are joined, directories as
+    their distinct set, so a directory with very many files counts once.
     """
-    found = best_lines(files.select(F.xxhash64("text").alias("h"), "text"), Templates(templates, threshold))
-    others = [c for c in files.columns if c not in ("text", "h", "licence", "score", "line")]
-    own = files.select(*others, F.xxhash64("text").alias("h")).join(found, "h", "left").drop("h")
-    name = F.regexp_extract("path", "([^/]*)$", 1)
+    # Two hashes name a text: one alone would give a few of 10^10 texts another's licence.
+    h = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    # A row for each text with a licence; read three times below.
+    found = stored(best_windows(files.select(h.alias("h"), "text"), Templates(templates, threshold)), "licences")
+    kept = F.struct(*(F.col(f"`{c}`") for c in files.columns if c not in ("text", *_OWN))).alias("kept")
+    own = files.select(kept, F.col("path").alias("own_path"), h.alias("h")).join(found, "h", "left").drop("h")
+    name = F.regexp_extract("own_path", "([^/]*)$", 1)
     held = (
         own.where(F.col("licence").isNotNull() & name.rlike(LICENCE_FILE))
-        .select(directory_of(F.col("path")).alias("top"), "licence", "score", "path")
+        .select(directory_of(F.col("own_path")).alias("top"), "licence", "score", "own_path")
         .groupBy("top")
-        .agg(F.min(F.struct((-F.col("score")).alias("order"), "path", "licence")).alias("from"))
+        .agg(F.min(F.struct((-F.col("score")).alias("order"), "own_path", "licence")).alias("from"))
     )
-    places = own.where("licence is null and path is not null").select(directory_of(F.col("path")).alias("directory")).distinct()
+    places = own.where("licence is null and own_path is not null").select(directory_of(F.col("own_path")).alias("directory")).distinct()
     parts = F.split("directory", "/")
     above = F.concat(
         F.array(F.lit("")),
@@ -143,13 +208,12 @@ def scan_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
         .groupBy("directory")
         .agg(F.max_by(F.col("from"), F.length("top")).alias("from"))
     )
-    joined = own.withColumn("directory", F.when(F.col("licence").isNull(), directory_of(F.col("path")))).join(nearest, "directory", "left")
-    columns = [c for c in own.columns if c not in ("licence", "score", "line", "directory", "from")]
+    joined = own.withColumn("directory", F.when(F.col("licence").isNull(), directory_of(F.col("own_path")))).join(nearest, "directory", "left")
     return joined.select(
-        *columns,
+        "kept.*",
         F.coalesce("licence", "from.licence").alias("licence"),
         "score",
-        "line",
+        "position",
         F.when(F.col("licence").isNotNull(), "own").when(F.col("from").isNotNull(), "inherited").otherwise("none").alias("basis"),
-        F.when(F.col("licence").isNull(), F.col("from.path")).alias("licence_path"),
+        F.when(F.col("licence").isNull(), F.col("from.own_path")).alias("licence_path"),
     )

@@ -288,33 +288,38 @@ _SCAN = licences.Templates(licences.TEMPLATES, licences.THRESHOLD)
 
 def _licence_sql() -> str:
     weights = ", ".join(
-        f"('{name}', {-i}, '{t}', {w!r}::DOUBLE)" for i, (name, own) in enumerate(_SCAN.weights.items()) for t, w in own.items()
+        f"({i}, '{t}', {w!r}::DOUBLE, {_SCAN.idf[t]!r}::DOUBLE)" for i, own in enumerate(_SCAN.weights) for t, w in own.items()
     )
-    idf = ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in _SCAN.idf.items())
+    common = ", ".join(f"'{t}'" for t in sorted(licences.COMMON))
+    places = ", ".join(f"({i}, '{t}', {at}, {len(_SCAN.terms[i])})" for i, own in enumerate(_SCAN.places) for t, at in own)
+    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(_SCAN.names))
     return f"""
-WITH weights(licence, place, term, w) AS (VALUES {weights}), idf(term, w) AS (VALUES {idf}),
+WITH weights(template, term, w, idf) AS (VALUES {weights}),
+places(template, term, place, size) AS (VALUES {places}), names(template, licence) AS (VALUES {names}),
 f AS (
     SELECT doc_id, text, source || '/' || lang || '/' || CASE WHEN doc_id % 32 = 0 THEN '' ELSE 'part' || doc_id % 7 || '/' END
            || CASE WHEN doc_id % 8 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path
     FROM documents
-), l AS (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM f
+), a AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda t: t <> '') AS words
+    FROM f
 ), tok AS (
-    SELECT doc_id, n, unnest(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+')) AS term
-    FROM l
+    SELECT doc_id, unnest(words) AS term, unnest(range(len(words))) AS at FROM a
+), win AS (
+    SELECT DISTINCT tok.doc_id, places.template, places.size, greatest(tok.at - places.place, 0) AS start FROM tok JOIN places USING (term)
 ), tf AS (
-    SELECT doc_id, n, term, count(*) * coalesce(any_value(idf.w), {_SCAN.rare!r}::DOUBLE) AS w
-    FROM tok LEFT JOIN idf USING (term) WHERE term <> '' GROUP BY doc_id, n, term
-), norm AS (
-    SELECT doc_id, n, sqrt(sum(w * w)) AS length FROM tf GROUP BY doc_id, n
+    SELECT win.doc_id, win.template, win.start, tok.term, count(*) AS n
+    FROM win JOIN tok ON tok.doc_id = win.doc_id AND tok.at BETWEEN win.start AND win.start + win.size - 1 GROUP BY ALL
 ), cosine AS (
-    SELECT tf.doc_id, tf.n, weights.licence, any_value(weights.place) AS place, round(sum(tf.w * weights.w) / any_value(norm.length), 6) AS score
-    FROM tf JOIN weights USING (term) JOIN norm ON norm.doc_id = tf.doc_id AND norm.n = tf.n GROUP BY tf.doc_id, tf.n, weights.licence
+    SELECT doc_id, template, start, round(sum(w * own) / sqrt(sum(w * w)), 6) AS score FROM (
+      SELECT tf.doc_id, tf.template, tf.start, coalesce(weights.w, 0) AS own,
+             n * coalesce(weights.idf, CASE WHEN tf.term IN ({common}) OR regexp_matches(tf.term, '{licences.SHORT_NUMBER}') THEN 1.0::DOUBLE ELSE {_SCAN.rare!r}::DOUBLE END) AS w
+      FROM tf LEFT JOIN weights ON weights.template = tf.template AND weights.term = tf.term) GROUP BY ALL
 ), best AS (
-    SELECT * FROM cosine WHERE score >= {_SCAN.threshold}
-    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place DESC, n) = 1
+    SELECT doc_id, licence, score, start FROM cosine JOIN names USING (template) WHERE score >= {_SCAN.threshold}
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template, start) = 1
 ), own AS (
-    SELECT f.doc_id, f.path, regexp_replace(f.path, '/?[^/]*$', '') AS dir, b.licence, b.score, b.n FROM f LEFT JOIN best b USING (doc_id)
+    SELECT f.doc_id, f.path, regexp_replace(f.path, '/?[^/]*$', '') AS dir, b.licence, b.score, b.start FROM f LEFT JOIN best b USING (doc_id)
 ), held AS (
     SELECT dir AS top, licence, path FROM own WHERE licence IS NOT NULL AND path LIKE '%/LICENSE'
     QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, licence) = 1
@@ -323,7 +328,7 @@ f AS (
     FROM (SELECT DISTINCT dir FROM own) o JOIN held h ON o.dir = h.top OR starts_with(o.dir, h.top || '/')
     QUALIFY row_number() OVER (PARTITION BY o.dir ORDER BY length(h.top) DESC) = 1
 )
-SELECT own.doc_id, own.path, coalesce(own.licence, near.licence) AS licence, own.score, CAST(own.n AS BIGINT) AS line,
+SELECT own.doc_id, own.path, coalesce(own.licence, near.licence) AS licence, own.score, CAST(own.start AS BIGINT) AS position,
        CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN near.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
        CASE WHEN own.licence IS NULL THEN near.path END AS licence_path
 FROM own LEFT JOIN near ON near.dir = own.dir AND own.licence IS NULL
