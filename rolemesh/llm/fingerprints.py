@@ -20,7 +20,8 @@ from .store import stored
 
 SAMPLES = 64  # the standard error of a likeness is at most 1 / 16
 GROUP = 8  # samples computed in one row
-_DIGITS = 8  # hexadecimal digits of a sample in a fingerprint
+_NO_ID = -(1 << 63)
+_DIGITS = 4  # hexadecimal digits of a sample in a fingerprint: two samples differ unseen once in 65,536
 
 
 def words_of(text: Column) -> Column:
@@ -124,14 +125,14 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(id, h, doc_id, text); id orders doc_ids of any type, nulls first."""
+    """(id, h, doc_id, text); id orders doc_ids, nulls first: whole numbers by value, others as text."""
     text = F.coalesce("text", F.lit(""))
-    kind = docs.schema["doc_id"].dataType
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    else:
+        key = F.coalesce(F.concat(F.lit("1"), F.col("doc_id").cast("string")), F.lit("0"))
     return docs.select(
-        F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("value")).alias("id"),
-        F.xxhash64(F.col("doc_id").isNull(), text).alias("h"),
-        "doc_id",
-        text.alias("text"),
+        key.alias("id"), F.xxhash64(F.col("doc_id").isNull(), text).alias("h"), "doc_id", text.alias("text")
     )
 
 
@@ -150,7 +151,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.first(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies")
     )
     order = stored(_successors(small), "order")
-    texts = rows.select("id", "h", "text").dropDuplicates(["id", "h"])  # combined before the shuffle
+    one = Window.partitionBy("id", "h").orderBy("id")
+    texts = rows.select("id", "h", "text").withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     gifts = texts.join(
         order.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("to_id"), F.col("h").alias("to_h"), "n_chars"),
