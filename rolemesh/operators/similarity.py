@@ -10,6 +10,10 @@
   jobs at or above the level is closed: what is still unseen is below. Later rounds look
   only for the sets that are open. The first round takes the lowest level at which the lists
   are short enough, so sparse skills need one round and skills that everybody has need more.
+* Few skills that everybody has (at most MASKED of them, lists too long for one round) need no
+  lists: sets are bit masks in their order, cut into blocks. A tile of asking sets meets all
+  blocks, the near ones first, and a set leaves out a block whose common and united skills
+  bound its similarity below the worst that the set keeps.
 * Posting lists are cut into blocks of at most BLOCK sets in the order of their skills. Two
   blocks of a list are compared in one task, by a product of their bit matrices, unless
   their common and united skills bound every similarity between them below the level. Per
@@ -42,6 +46,13 @@ LEVELS = ((9, 10), (4, 5), (7, 10), (3, 5), (1, 2), (2, 5), (NUM, DEN))
 BLOCK = 1_024
 # A first level is low enough if its lists ask for about so many comparisons per list entry.
 COMPARISONS = 4_096
+# Masks: skills in a word of a mask, most skills, sets in a block, blocks in a tile, pairs compared at once.
+WORD = 63
+MASKED = 4 * WORD
+MASK_BLOCK, MASK_TILE = 256, 64
+AT_ONCE = 1 << 18
+# Pairs of blocks with at most so many sets of at most so many skills are compared many at once.
+FEW_SETS, FEW_SKILLS = 128, 16
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -56,7 +67,7 @@ def skill_sets(job_skills: DataFrame) -> DataFrame:
         job_skills.select("job_id", "skill_id")
         .distinct()
         .groupBy("job_id")
-        .agg(F.array_sort(F.collect_list("skill_id")).alias("toks"))
+        .agg(F.sort_array(F.collect_list("skill_id")).alias("toks"))
     )
 
 
@@ -69,7 +80,7 @@ def _distinct_sets(members: DataFrame, k: int) -> DataFrame:
     folded = (
         top_k(members, ["toks"], [F.col("job_id").asc()], k + 1)
         .groupBy("toks")
-        .agg(F.array_sort(F.collect_list("job_id")).alias("job_ids"))
+        .agg(F.sort_array(F.collect_list("job_id")).alias("job_ids"))
     )
     ordered = folded.orderBy(F.col("job_ids")[0])
     return cut_lineage(ordered.select(F.monotonically_increasing_id().alias("sid"), "toks", "job_ids"))
@@ -83,7 +94,7 @@ def _encoded_sets(folded: DataFrame, k: int) -> DataFrame:
         folded.select("sid", F.explode("toks").alias("tok"))
         .join(tokens, "tok")
         .groupBy("sid")
-        .agg(F.array_sort(F.collect_list("tid")).alias("skills"))
+        .agg(F.sort_array(F.collect_list("tid")).alias("skills"))
     )
     return ordered.join(folded.select("sid", F.size("job_ids").alias("jobs")), "sid").select(
         "sid", F.size("skills").alias("n"), "skills", "jobs"
@@ -235,6 +246,53 @@ def compare_blocks(
     return sid[i[kept]], other[j[kept]], both[kept].astype(np.int32), united[kept].astype(np.int32)
 
 
+def compare_small(
+    tok: np.ndarray, block: np.ndarray, alone: np.ndarray, sid: np.ndarray, asks: np.ndarray, lengths: np.ndarray,
+    flat: np.ndarray, sizes: np.ndarray, level: tuple[int, int], above: tuple[int, int] | None, k: int,
+) -> tuple[np.ndarray, ...]:
+    """What ``compare_blocks`` finds, for many small pairs of blocks at once.
+
+    Rows are sets with their skills in ``flat``; ``sizes`` counts the rows of one pair of
+    blocks after another, ``alone`` marks those of a block that meets itself.
+    """
+    skills = np.full((len(sid), max(int(lengths.max()), 1)), -1, np.int64)
+    row = np.repeat(np.arange(len(sid)), lengths)
+    skills[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    first = (np.cumsum(sizes) - sizes)[group]
+    asking = np.flatnonzero(asks)
+    per_row = sizes[group[asking]]
+    step = max(AT_ONCE // (skills.shape[1] * int(sizes.max())), 1)
+    found = []
+    for at in range(0, len(asking), step):
+        rows, n = asking[at : at + step], per_row[at : at + step]
+        a = np.repeat(rows, n)
+        b = np.repeat(first[rows], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        other = (a != b) & (alone[a] | (block[a] != block[b]))
+        a, b = a[other], b[other]
+        if not len(a):
+            continue
+        mine = skills[a]
+        held = np.zeros(mine.shape, bool)
+        for column in range(skills.shape[1]):
+            held |= mine == skills[b, column][:, None]
+        held &= mine >= 0
+        common = held.sum(1)
+        either = lengths[a] + lengths[b] - common
+        good = (level[1] * common >= level[0] * either) & (mine[np.arange(len(a)), held.argmax(1)] == tok[a])
+        if above is not None:
+            good &= above[1] * common < above[0] * either
+        a, b, common, either = a[good], b[good], common[good], either[good]
+        order = np.lexsort((sid[b], -common / np.maximum(either, 1), a))
+        a, b, common, either = a[order], b[order], common[order], either[order]
+        begins = np.searchsorted(a, a)
+        kept = np.arange(len(a)) - begins < k
+        found.append((sid[a[kept]], sid[b[kept]], common[kept].astype(np.int32), either[kept].astype(np.int32)))
+    if not found:
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _met(lists: DataFrame, level: tuple[int, int], above: tuple[int, int] | None, k: int) -> DataFrame:
     """(sid, other, i, u) that asking sets meet at the level, ``k`` best of each pair of blocks."""
     sides = _block_pairs(lists, level).select(
@@ -261,30 +319,209 @@ def _met(lists: DataFrame, level: tuple[int, int], above: tuple[int, int] | None
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["sid", "other", "i", "u"])
 
+    def small(columns: list[np.ndarray], asks: np.ndarray, lengths: np.ndarray, flat: np.ndarray, sizes: np.ndarray, few: np.ndarray):
+        """Rows of the pairs of blocks marked ``few``, all of which are in this batch."""
+        rows = np.repeat(few, sizes)
+        if not rows.any():
+            return None
+        tok, i, j, block, sid = (c[rows] for c in columns)
+        out = compare_small(
+            tok, block, i == j, sid, asks[rows], lengths[rows], flat[np.repeat(rows, lengths)], sizes[few], level, above, k
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["sid", "other", "i", "u"]) if len(out[0]) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             columns = [batch.column(c).to_numpy() for c in ("tok", "i", "j", "block", "sid")]
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            lengths = pc.list_value_length(batch.column("skills")).to_numpy()
+            lengths = pc.list_value_length(batch.column("skills")).to_numpy().astype(np.int64)
             flat = pc.list_flatten(batch.column("skills")).to_numpy()
             ends = np.cumsum(lengths)
-            sets = np.split(flat, ends[:-1]) if len(ends) else []
-            changes = np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)
-            begins = np.flatnonzero(np.concatenate(([True], changes))) if batch.num_rows else []
-            for a, b in zip(begins, [*begins[1:], batch.num_rows]):
-                tok, i, j, block = (int(c[a]) for c in columns[:4])
+            # Pairs of blocks that may go on in another batch are at its ends.
+            changes = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+            begins = np.flatnonzero(np.concatenate(([True], changes)))
+            sizes = np.diff(np.append(begins, batch.num_rows))
+            few = (sizes <= FEW_SETS) & (np.maximum.reduceat(lengths, begins) <= FEW_SKILLS)
+            few[[0, -1]] = False
+            if (out := small(columns, asks, lengths, flat, sizes, few)) is not None:
+                yield out
+            for begin, size in zip(begins[~few], sizes[~few]):
+                tok, i, j = (int(c[begin]) for c in columns[:3])
                 if parts and (parts[0][6], parts[0][0], parts[0][1]) != (tok, i, j):
                     if (out := search(parts)) is not None:
                         yield out
                     parts = []
-                parts.append((i, j, block, columns[4][a:b], sets[a:b], asks[a:b], tok))
+                own = columns[3][begin : begin + size]
+                cuts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                for a, b in zip(cuts + begin, np.append(cuts[1:], size) + begin):
+                    sets = np.split(flat[ends[a] - lengths[a] : ends[b - 1]], (ends[a:b] - ends[a] + lengths[a])[:-1])
+                    parts.append((i, j, int(columns[3][a]), columns[4][a:b], sets, asks[a:b], tok))
         if parts and (out := search(parts)) is not None:
             yield out
 
     return dealt.mapInArrow(run, "sid long, other long, i int, u int")
 
 
+def _masked_blocks(sets: DataFrame, toks: np.ndarray, k: int) -> DataFrame:
+    """Blocks (tile, block, sid, n, asks, words) of sets as bit masks over ``toks``, alike sets together, stored."""
+    words = -(-len(toks) // WORD)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("skills")).to_numpy()
+            code = np.searchsorted(toks, pc.list_flatten(batch.column("skills")).to_numpy())
+            masks = np.zeros((batch.num_rows, words), np.int64)
+            # The rarest skill is the highest bit, so that the order of the masks parts the sets best.
+            np.bitwise_or.at(masks, (np.repeat(np.arange(batch.num_rows), lengths), code // WORD), np.int64(1) << (WORD - 1 - code % WORD))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * words), pa.array(masks.ravel()))
+            asks = pc.less_equal(batch.column("jobs"), k)
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), asks, lists], names=["sid", "n", "asks", "words"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, None
+
+        def block(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.sort_by("sid").combine_chunks()
+            columns = [rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("sid", "n", "asks")]
+            columns.append(pc.list_flatten(rows.column("words")).combine_chunks().to_numpy())
+            values = [pa.array([number - number % MASK_TILE]), pa.array([number]), *(pa.array([c.tolist()]) for c in columns)]
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([v.cast(t) for v, t in zip(values, types)], names=["tile", "block", "sid", "n", "asks", "words"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            while held.num_rows >= MASK_BLOCK:
+                yield block(held.slice(0, MASK_BLOCK))
+                number, held = number + 1, held.slice(MASK_BLOCK)
+        if held is not None and held.num_rows:
+            yield block(held)
+
+    masks = sets.select("sid", "n", "skills", "jobs").mapInArrow(encode, "sid long, n int, asks boolean, words array<bigint>")
+    ranged = masks.repartitionByRange("words").sortWithinPartitions("words")
+    shape = "tile long, block long, sid array<bigint>, n array<int>, asks array<boolean>, words array<bigint>"
+    return cut_lineage(ranged.mapInArrow(cut, shape))
+
+
+def _bit_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that rows of ``a`` and ``b`` (words) share; arrays are broadcast against each other."""
+    return np.bitwise_count(a & b).sum(-1, dtype=np.uint8) if a.shape[-1] > 1 else np.bitwise_count(a[..., 0] & b[..., 0])
+
+
+class _Tile:
+    """Asking sets of a tile with the ``k`` best sets that each has met, ties by the smaller sid."""
+
+    def __init__(self, sid: np.ndarray, n: np.ndarray, words: np.ndarray, level: tuple[int, int], k: int):
+        self.sid, self.n, self.words, self.k = sid, n.astype(np.int16), words, k
+        self.worst = np.full(len(sid), np.float32(level[0]) / np.float32(level[1]), np.float32)
+        self.best = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.float32))
+        self.new: list[tuple] = []
+        self.waiting = 0
+
+    def merge(self) -> None:
+        row, other, i, u, score = (np.concatenate(c) for c in zip(self.best, *self.new))
+        order = np.lexsort((other, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.best = (row[kept], *(c[order][kept] for c in (other, i, u, score)))
+        full = place[kept] == self.k - 1
+        self.worst[self.best[0][full]] = self.best[4][full]
+        self.new, self.waiting = [], 0
+
+    def meet(self, sid: np.ndarray, n: np.ndarray, words: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Compare the asking sets (``rows`` of them) with a block, unless their bound is below what they keep."""
+        every, some = np.bitwise_and.reduce(words, 0), np.bitwise_or.reduce(words, 0)
+        own = self.words if rows is None else self.words[rows]
+        size = self.n if rows is None else self.n[rows]
+        missed = int(np.bitwise_count(every).sum()) - _bit_counts(own, every[None]).astype(np.int16)
+        bound = np.true_divide(_bit_counts(own, some[None]), size + missed, dtype=np.float32)
+        near = np.flatnonzero(bound >= (self.worst if rows is None else self.worst[rows]))
+        if rows is not None:
+            near = rows[near]
+        step = AT_ONCE // MASK_BLOCK
+        for at in range(0, len(near), step):
+            part = near[at : at + step]
+            common = _bit_counts(self.words[part][:, None], words[None])
+            either = self.n[part][:, None] + n.astype(np.int16)[None] - common
+            score = np.true_divide(common, either, dtype=np.float32)
+            a, b = np.nonzero(score >= self.worst[part][:, None])
+            differ = self.sid[part[a]] != sid[b]
+            a, b = a[differ], b[differ]
+            if len(a):
+                self.new.append((part[a], sid[b], common[a, b].astype(np.int32), either[a, b].astype(np.int32), score[a, b]))
+                self.waiting += len(a)
+            if self.waiting > max(AT_ONCE, len(self.best[0])):
+                self.merge()
+
+
+def _met_by_masks(blocks: DataFrame, level: tuple[int, int], k: int) -> DataFrame:
+    """(sid, other, i, u): the ``k`` best sets at or above the level of every asking set."""
+    tiles = blocks.where(F.exists("asks", lambda x: x)).select(F.col("tile").alias("asking")).distinct()
+    own = F.col("asking") == F.col("tile")
+    # Own blocks come first, then the others by their place in the order of the masks.
+    apart = F.when(own, -1).otherwise(F.abs(F.col("block") - F.col("asking") - MASK_TILE // 2))
+    dealt = blocks.crossJoin(F.broadcast(tiles)).withColumn("apart", apart)
+    dealt = dealt.repartition("asking").sortWithinPartitions("asking", "apart", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tile, own = None, None, []
+
+        def begin() -> _Tile:
+            sid, n, asks, words = (np.concatenate(c) for c in zip(*own))
+            found = _Tile(sid[asks], n[asks], words[asks], level, k)
+            # First every block with itself: what a set keeps of its likes rules out most others.
+            ends = np.cumsum([o[2].sum() for o in own])
+            ranges = [np.arange(end - o[2].sum(), end) for o, end in zip(own, ends)]
+            for o, rows in zip(own, ranges):
+                found.meet(o[0], o[1], o[3], rows)
+                if found.new:
+                    found.merge()
+            for o, rows in zip(own, ranges):
+                rest = np.ones(len(found.sid), bool)
+                rest[rows] = False
+                found.meet(o[0], o[1], o[3], np.flatnonzero(rest))
+            return found
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = tile if tile is not None else begin()
+            if found.new:
+                found.merge()
+            row, other, i, u, _ = found.best
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (found.sid[row], other, i, u)], names=["sid", "other", "i", "u"])
+
+        for batch in batches:
+            asking, apart = batch.column("asking").to_numpy(), batch.column("apart").to_numpy()
+            for r in range(batch.num_rows):
+                if asking[r] != at:
+                    if at is not None:
+                        yield from done()
+                    at, tile, own = asking[r], None, []
+                sid, n, asks, words = (
+                    batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("sid", "n", "asks", "words")
+                )
+                words = words.reshape(len(sid), -1)
+                if apart[r] < 0:
+                    own.append((sid, n, asks, words))
+                    continue
+                if tile is None:
+                    tile = begin()
+                tile.meet(sid, n, words)
+        if at is not None:
+            yield from done()
+
+    return dealt.mapInArrow(run, "sid long, other long, i int, u int")
+
+
+def _hot_skills(sets: DataFrame) -> np.ndarray | None:
+    """The numbers of all skills if they are few enough for masks, in order."""
+    toks = sets.select(F.explode("skills").alias("tok")).distinct().limit(MASKED + 1).collect()
+    return np.array(sorted(r.tok for r in toks), np.int64) if 0 < len(toks) <= MASKED else None
+
+
 def similar_top_k(
     job_skills: DataFrame, k: int = TOP, levels: tuple[tuple[int, int], ...] = LEVELS, block: int = BLOCK, start: int | None = None
 ) -> DataFrame:
@@ -301,10 +538,14 @@ def similar_top_k(
     order = [(F.col("i") / F.col("u")).desc(), F.col("other").asc()]
     # A set that serves its own jobs never asks. k + 1 jobs, because a job may find itself.
     still_open = sets.where(F.col("jobs") <= k).select("sid", F.col("jobs").alias("seen"))
+    masked = None
     if start is None:
         start = first_level(sets, levels)
+        masked = _hot_skills(sets) if start + 1 < len(levels) else None
     best, above = None, None
-    for at in range(start, len(levels)):
+    if masked is not None:
+        best = cut_lineage(_met_by_masks(_masked_blocks(sets, masked, k), levels[-1], k + 1))
+    for at in range(start, len(levels)) if masked is None else ():
         asking = still_open if at > start else sets.where(F.col("jobs") <= k).select("sid")
         # k + 1 best sets hold the k + 1 best jobs: every set before one offers a smaller job.
         met = _met(_lists(sets, asking, levels[at], block), levels[at], above, k + 1)
@@ -324,7 +565,7 @@ def similar_top_k(
     offers = best.unionByName(within).join(folded.select(F.col("sid").alias("other"), "job_ids"), "other")
     offers = offers.select("sid", F.explode("job_ids").alias("other_id"), "i", "u")
     ranked = top_k(offers, ["sid"], [(F.col("i") / F.col("u")).desc(), F.col("other_id").asc()], k + 1)
-    offered = ranked.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("rank", "other_id", "i", "u"))).alias("best"))
+    offered = ranked.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("rank", "other_id", "i", "u"))).alias("best"))
     per_set = folded.select("sid", "toks").join(offered, "sid").select("toks", "best")
     own = F.filter("best", lambda o: o["other_id"] != F.col("job_id"))
     return (
@@ -353,12 +594,12 @@ def kept_pairs(neighbors: DataFrame) -> DataFrame:
 def job_neighbors(job_skills: DataFrame, jobs: DataFrame, neighbors: DataFrame) -> DataFrame:
     """Per job with skills: company, skill rows and the directed neighbour list."""
     skills = job_skills.groupBy("job_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("skill_id", "edge_type", "label", "weight", "confidence"))
         ).alias("skills")
     )
     similar = neighbors.groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "other_id", "score"))).alias("_similar")
+        F.sort_array(F.collect_list(F.struct("rank", "other_id", "score"))).alias("_similar")
     )
     return (
         skills.join(jobs.select(F.col("id").alias("job_id"), "company_id"), "job_id")

@@ -161,3 +161,48 @@ def test_merge_takes_the_larger_weight(spark):
     direct = spark.createDataFrame([("b", "a", 0.7, 2, 1), ("c", "a", 0.2, 3, 1), ("b", "c", 0.5, 2, 2)], "source string, target string, weight double, pa long, pb long")
     rows = {(r.source, r.target): r.weight for r in weave.merge_links(similar, direct).collect()}
     assert rows == {("b", "a"): 0.7, ("a", "c"): 0.9, ("b", "c"): 0.5}
+
+
+@pytest.mark.parametrize("skills", [35, 80], ids=["one-word", "two-words"])
+def test_masks_of_few_skills_equal_brute_force(spark, monkeypatch, skills):
+    """Hot skills: every set is met once, in tiles and blocks of masks, copies and ties included."""
+    monkeypatch.setattr(S, "first_level", lambda *_: 0)
+    monkeypatch.setattr(S, "MASK_BLOCK", 16)
+    monkeypatch.setattr(S, "MASK_TILE", 2)
+    rng = random.Random(skills)
+    names = [f"s{i:02d}" for i in range(skills)]
+    sets = {f"j{j:03d}": set(rng.sample(names[: rng.choice([20, skills])], rng.choice([3, 12, 13, 18]))) for j in range(200)}
+    for j in range(0, 200, 5):
+        sets[f"j{j:03d}"] = set(names[:3])
+    monkeypatch.setattr(S, "_lists", None)  # no posting list is asked for
+    assert run(spark, sets) == brute_force(sets)
+
+
+def test_small_pairs_of_blocks_at_once_equal_one_by_one():
+    rng = random.Random(5)
+    rows, sizes = [], []
+    for tok in range(6):
+        for i, j in ((0, 0), (0, 1)):
+            blocks = [(b, sorted({tok, *rng.sample(range(12), rng.randint(1, 7))})) for b in sorted({i, j}) for _ in range(9)]
+            rows += [(tok, b, i == j, sid + 100 * b, rng.random() < 0.7, skills) for sid, (b, skills) in enumerate(blocks)]
+            sizes.append(len(blocks))
+    tok, block, alone, sid, asks, skills = zip(*rows)
+    sets = [np.array(s) for s in skills]
+    for level, above in (((1, 2), None), ((7, 20), (1, 2))):
+        got = S.compare_small(
+            np.array(tok), np.array(block), np.array(alone), np.array(sid), np.array(asks),
+            np.array([len(s) for s in sets]), np.concatenate(sets), np.array(sizes), level, above, 1000,
+        )
+        want, begin = [], 0
+        for size in sizes:
+            part = slice(begin, begin + size)
+            begin += size
+            sides = {}
+            for b in sorted(set(block[part])):
+                at = [x for x in range(part.start, part.stop) if block[x] == b]
+                sides[b] = (np.array([sid[x] for x in at]), [sets[x] for x in at], np.array([asks[x] for x in at]))
+            names = sorted(sides)
+            for x, y in dict.fromkeys(((names[0], names[-1]), (names[-1], names[0]))):
+                found = S.compare_blocks(tok[part.start], sides[x], sides[y], level, above, 1000)
+                want += [] if found is None else list(zip(*(c.tolist() for c in found)))
+        assert sorted(zip(*(c.tolist() for c in got))) == sorted(want)
