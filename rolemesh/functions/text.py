@@ -285,9 +285,12 @@ def parse_sections(
 ) -> Column:
     """Body text -> array of (heading, content), in page order, end markers left out."""
     names = "|".join(headings + end_markers)
+    # The first letters rule out most places before the names are tried one by one.
+    letters = sorted({name[:1] for name in headings + end_markers})
+    ahead = f"(?=[{''.join(letters)}])" if all(letter.isalpha() for letter in letters) else ""
     marked = F.regexp_replace(
         F.coalesce(clean_whitespace(body), F.lit("")),
-        rf"(?U)({names}){WS}*[:：]?",
+        rf"(?U){ahead}({names}){WS}*[:：]?",
         "\u0001$1\u0002",
     )
     pieces = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
@@ -305,12 +308,17 @@ def parse_sections(
 
 def merge_sections(sections: Column, preferred: list[str] = DESCRIPTION_SECTIONS) -> Column:
     """Wanted sections in the wanted order; of a repeated heading the last one counts."""
-    blocks = []
-    for name in preferred:
-        wanted = F.lit(name)
-        found = F.filter(sections, lambda s: s["heading"] == wanted)  # noqa: B023 - used at once
-        blocks.append(F.concat(F.lit(name + "\n"), F.try_element_at(found, F.lit(-1))["content"]))
-    return blank_to_null(F.concat_ws("\n\n", *blocks))
+
+    def merged(found: Column) -> Column:
+        blocks = []
+        for name in preferred:
+            wanted = F.lit(name)
+            own = F.filter(found, lambda s: s["heading"] == wanted)  # noqa: B023 - used at once
+            blocks.append(F.concat(F.lit(name + "\n"), F.try_element_at(own, F.lit(-1))["content"]))
+        return blank_to_null(F.concat_ws("\n\n", *blocks))
+
+    # The sections are read from the text once, not once per heading.
+    return let(sections, merged)
 
 
 def plausible_title(c: Column) -> Column:

@@ -114,3 +114,10 @@ def test_rich_text(column):
 def test_sanitize_and_hash(column):
     assert column(["<b>x</b><script>1</script><STYLE a>b</STYLE>", "<script>1</script>"], lambda V: text.sanitize_html(V)) == ["<b>x</b>", None]
     assert column(["abc"], lambda V: text.short_hash(V)) == [hashlib.sha256(b"abc").hexdigest()[:12]]
+
+
+def test_merged_sections_read_the_text_once(spark):
+    body = spark.range(3).select(F.col("id").cast("string").alias("body"))
+    merged = body.select(text.merge_sections(text.parse_sections(F.col("body"))).alias("merged"))
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|".join(text.SECTION_HEADINGS[:3])) == 1
