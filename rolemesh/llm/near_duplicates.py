@@ -16,8 +16,12 @@ Equal sets are folded into one node first. Then members of a block are compared
 smallest node, and links are joined to components. Blocks that still hold more than one
 component are put together to clusters, so that two texts meet once however many blocks they
 share. The members of a cluster are cut into tiles by size; a pair of tiles is one task, which
-builds trees over points with two groups or more for every n-gram, verifies what the bound
+builds trees over points with two groups or more for every n-gram, tests what the bound
 lets through, and hands on links that join components, never more than it has members.
+
+Sets travel to the tiles as the low halves of their hashes. Two halves may agree where the
+hashes differ, so such a test misses no link but may let a pair through that is none: the links
+handed on are verified on whole hashes, and if one fails, the tiles are met with whole hashes.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from .components import connected
 from .store import stored
 from .words import hash_words, mix, shingles, slices
 
-TILE = 2_048  # members of a cluster that meet in one task, at most about so many
-TILE_NGRAMS = 1 << 20  # and at most about so many n-grams of theirs; or one longer text
+TILE = 4_096  # members of a cluster that meet in one task, at most about so many
+TILE_NGRAMS = 1 << 21  # and at most about so many n-grams of theirs; or one longer text
 DENSE = 0.02  # share of a tree's pairs of points from which on the bound is a matrix product
 STRIP = 512  # rows of such a product at once
 SEEN = 100_000  # sets that a task remembers to list copies once
@@ -112,7 +116,7 @@ def _node(members: np.ndarray) -> tuple[int, int]:
 def _scan(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, frozenset[int]]:
     """(doc_id, n_shingles, node, h, keys, point) of every row, stored; and the clashing names.
 
-    The only reading of all texts: the set's name (null for an empty set), the text's hash,
+    The only reading of all texts: the set's name (null for an empty set), the row's hash,
     and, for most copies within a task once, the keys of its blocks and its point. Two
     different sets share a 64-bit name once in 2^64 pairs: a handful of names however large
     the corpus. Those sets go by their second hash instead.
@@ -141,7 +145,7 @@ def _scan(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, fr
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, h long, n_shingles long, node long, other long, keys array<long>, point binary"
-    found = stored(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema), "sets")
+    found = stored(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, schema), "sets")
     twice = found.groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y")
     clashed = frozenset(r.node for r in twice.select("node").collect())
     name = F.when(F.col("node").isin(*clashed), F.col("other")).otherwise(F.col("node")) if clashed else F.col("node")
@@ -174,6 +178,17 @@ def _shared_blocks(found: DataFrame) -> DataFrame:
     return stored(rows.join(keys, "key").distinct(), "blocks")
 
 
+def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of the given nodes; a bit filter leaves most others out before the exact join."""
+    held = rows.sparkSession.sparkContext.broadcast(bit_filter(nodes, "node"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(held.value, batch.column("node").to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema).join(nodes, "node", "left_semi")
+
+
 def point_of(members: np.ndarray) -> np.ndarray:
     """Members per group, two groups or more for every member; counts fit four bits.
 
@@ -203,10 +218,17 @@ def folded_point(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
-def _sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, size: int, clashed: frozenset[int]) -> DataFrame:
-    """(node, members) of the given nodes, each once.
+def half(members: np.ndarray) -> np.ndarray:
+    """The low halves of a set's hashes, sorted; equal ones stay, as each stands for a member."""
+    return np.sort(members.astype(np.uint32))
 
-    One text of each set is read again: a bit filter of their hashes travels to the scan, so
+
+def _sets_of(
+    docs: DataFrame, found: DataFrame, nodes: DataFrame, size: int, clashed: frozenset[int], halves: bool = False
+) -> DataFrame:
+    """(node, members) of the given nodes, each once; ``halves`` of their hashes if asked for.
+
+    One row of each set is read again: a bit filter of their hashes travels to the scan, so
     that hardly any other text is looked at; the join that follows is exact.
     """
     texts = found.select("node", "h").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
@@ -226,12 +248,12 @@ def _sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, size: int, cla
                         node = other if name in clashed else name
                         if node not in seen:
                             seen.add(node)
-                            rows.append((node, own.tobytes()))
+                            rows.append((node, (half(own) if halves else own).tobytes()))
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["node", "members"])
 
-    sets = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "node long, members binary")
+    sets = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, "node long, members binary")
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -260,7 +282,10 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Whether two sorted sets have a Jaccard similarity of num/den or more."""
+    """Whether two sorted sets have a Jaccard similarity of num/den or more.
+
+    For halves of hashes: whether they may have. What agrees in the halves counts as shared.
+    """
     both = np.sort(np.concatenate((x, y)), kind="stable")
     same = int((both[1:] == both[:-1]).sum())
     return den * same >= num * (len(both) - same)
@@ -381,10 +406,10 @@ def _children(pairs: np.ndarray, side: int, n: int, deeper: bool) -> np.ndarray:
 
 
 def tile_links(left: list[tuple], right: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
-    """Verified links between members (node, root, set) of two tiles that join their components.
+    """Links between members (node, root, set) of two tiles that join their components.
 
     Two trees give the pairs that the bound lets through; of those, only pairs of components
-    not joined yet are verified. At most one link fewer than there are members comes back.
+    not joined yet are tested. At most one link fewer than there are members comes back.
     """
     sides = [[m for m in side if len(m[2])] for side in (left, right)]
     if not all(sides):
@@ -414,8 +439,8 @@ def tile_links(left: list[tuple], right: list[tuple], num: int, den: int) -> lis
     return out
 
 
-def _tree_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of pairs of tiles (cluster, i, j), found with two trees each."""
+def _tree_links(rows: DataFrame, num: int, den: int, kind: type = np.uint64) -> DataFrame:
+    """Links (a, b) of pairs of tiles (cluster, i, j), found with two trees each; members are of ``kind``."""
 
     def run(batches):
         key, left, right = None, [], []
@@ -425,7 +450,7 @@ def _tree_links(rows: DataFrame, num: int, den: int) -> DataFrame:
                 if at != key:
                     yield from emit(tile_links(left, right, num, den))
                     key, left, right = at, [], []
-                member = (row["node"], row["root"], np.frombuffer(row["members"], np.uint64))
+                member = (row["node"], row["root"], np.frombuffer(row["members"], kind))
                 if row["tile"] == row["i"]:
                     left.append(member)
                 if row["tile"] == row["j"]:
@@ -442,6 +467,19 @@ def _tree_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _tile_links(rows: DataFrame, nodes: DataFrame, verify: _Verifier) -> DataFrame:
+    """Verified links of the tiles' members ``rows``, whose sets are those of ``nodes``."""
+    num, den = verify.num, verify.den
+    # Sets are joined last, to be shuffled once.
+    halves = _sets_of(verify.docs, verify.found, nodes, verify.size, verify.clashed, halves=True)
+    found = stored(_tree_links(rows.join(halves, "node"), num, den, np.uint32), "links")
+    links = verify.links(found)
+    if links.count() == found.count():
+        return links
+    # A pair that is no link may have stood in for one that is.
+    return stored(_tree_links(rows.join(verify.sets_of(nodes), "node"), num, den), "links")
+
+
 def _open_blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, node, root) of the blocks that still hold several components, equal blocks once.
 
@@ -512,17 +550,15 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, num: int = 80, den: i
     shared = _shared_blocks(found)
     listed = found.where("point is not null").select("node", F.col("n_shingles").alias("n"), "point")
     nodes = shared.select("node").distinct()
-    points = stored(listed.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "points")
+    points = stored(_among(listed, nodes).dropDuplicates(["node"]), "points")
     verify = _Verifier(docs, found, size, num, den, clashed)
 
     star = shared.where("node <> low").select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b"))
     roots = stored(connected(verify.links(_bounded(star.distinct(), points, num, den))), "roots")
     clusters = _clusters(_open_blocks(shared, roots))
-    sets = verify.sets_of(clusters.select("node"))
-    if sets is not None:
-        # Sets are joined last, to be shuffled once.
-        rows = _tiles(clusters, points, num, den).join(sets, "node")
-        roots = _joined(roots, stored(_tree_links(rows, num, den), "links"))
+    if clusters.limit(1).count():
+        rows = _tiles(clusters, points, num, den)
+        roots = _joined(roots, _tile_links(rows, clusters.select("node"), verify))
     final = names.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = final.join(least, "root").select("node", "component_id")

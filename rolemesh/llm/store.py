@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shuffles_dropped
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -38,10 +40,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read back.
 
     Cuts the lineage with files that outlive any executor; every call writes a folder of its own.
+    The shuffles of the write end with it: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

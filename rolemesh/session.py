@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,14 +57,28 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` once as Parquet below the shared folder and continue from the files.
 
     Unlike a checkpoint the files keep columns, so readers prune them and plan by their size.
-    With columns ``by``, a filter on them reads only its own files.
+    With columns ``by``, a filter on them reads only its own files. The shuffles of the write
+    end with it: nothing reads them again.
     """
     path = scratch_folder(df.sparkSession, "table")
-    df.write.partitionBy(*by).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

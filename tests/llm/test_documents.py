@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rolemesh.llm import contamination, disclosure, fingerprints, languages, mixing, near_duplicates, queries, wavelet
+from rolemesh.llm import contamination, disclosure, fingerprints, languages, mixing, near_duplicates, queries, store, wavelet
 from rolemesh.llm.words import hash_words, shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -151,6 +151,48 @@ def test_links_of_tiles_join_what_links(monkeypatch, strip):
     assert not near_duplicates.tile_links([], left, 85, 100)
 
 
+def test_halves_of_hashes_miss_no_link():
+    """Members may share a half, within a set or between two: what links by whole hashes links by halves."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        pool = (rng.integers(0, 1 << 31, 60).astype(np.uint64) << np.uint64(32)) + rng.integers(0, 40, 60).astype(np.uint64)
+        one, two = (np.unique(rng.choice(pool, int(rng.integers(1, 50)))) for _ in range(2))
+        a, b = near_duplicates.half(one), near_duplicates.half(two)
+        assert len(a) == len(one) and a.dtype == np.uint32
+        for num in (20, 50, 85):
+            assert near_duplicates.linked(a, b, num, 100) or not near_duplicates.linked(one, two, num, 100)
+        both = near_duplicates.tile_links([(1, 1, a)], [(2, 2, b)], 20, 100)
+        assert both or not near_duplicates.tile_links([(1, 1, one)], [(2, 2, two)], 20, 100)
+
+
+def test_tiles_are_met_again_when_a_link_of_halves_is_none(spark):
+    """The pairs of halves and, if verifying refuses one, those of whole hashes: both join what links."""
+    texts = [f"{' '.join(f'w{i}' for i in range(40))} x{k}" for k in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, clashed = near_duplicates._scan(docs, 4, 85, 100)
+    nodes = found.select("node").distinct()
+    rows = nodes.selectExpr("0L as cluster", "0 as tile", "0 as i", "0 as j", "node", "node as root")
+    sound = near_duplicates._Verifier(docs, found, 4, 85, 100, clashed)
+
+    class Strict(near_duplicates._Verifier):
+        def links(self, pairs):
+            return super().links(pairs).limit(1)
+
+    strict = Strict(docs, found, 4, 85, 100, clashed)
+    for verify in (sound, strict):
+        assert near_duplicates._tile_links(rows, nodes, verify).count() == 5
+
+
+def test_stored_tables_leave_no_shuffle(spark, monkeypatch):
+    """The write drops its shuffles itself; the setting of the session is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(name), []
+    write = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda w, path: (seen.append(spark.conf.get(name)), write(w, path))[1])
+    assert store.stored(spark.range(9).groupBy("id").count(), "x").count() == 9
+    assert seen == ["true"] and spark.conf.get(name) == before
+
+
 def test_wavelet_matrix_answers_like_the_sequence():
     ids = np.random.default_rng(3).integers(0, 50, 5000).astype(np.uint16)
     matrix = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, 16).to_bytes())
