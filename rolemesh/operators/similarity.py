@@ -10,12 +10,13 @@
   jobs at or above the level is closed: what is still unseen is below. Later rounds look
   only for the sets that are open. The first round takes the lowest level at which the lists
   are short enough, so sparse skills need one round and skills that everybody has need more.
+  A round that is told to start higher is followed by that level.
 * Few skills that everybody has (at most MASKED of them, lists too long for one round) need no
   lists: sets are bit masks in their order, cut into blocks. A tile of asking sets meets all
   blocks, the near ones first, and a set leaves out a block whose common and united skills
   bound its similarity below the worst that the set keeps.
-* Posting lists are cut into blocks of at most BLOCK sets in the order of their skills. Two
-  blocks of a list are compared in one task, by a product of their bit matrices, unless
+* A posting list of at most BLOCK sets is compared where its skill is dealt to. Longer lists
+  are cut into blocks of at most BLOCK sets in the order of their skills. Two blocks of a list are compared in one task, by a product of their bit matrices, unless
   their common and united skills bound every similarity between them below the level. Per
   asking set a task hands on its best ``k + 1`` sets, never all pairs.
 
@@ -63,12 +64,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def skill_sets(job_skills: DataFrame) -> DataFrame:
     """(job_id, skill_id) rows -> one row per job with its distinct skills, sorted."""
-    return (
-        job_skills.select("job_id", "skill_id")
-        .distinct()
-        .groupBy("job_id")
-        .agg(F.sort_array(F.collect_list("skill_id")).alias("toks"))
-    )
+    return job_skills.groupBy("job_id").agg(F.sort_array(F.collect_set("skill_id")).alias("toks"))
 
 
 def _distinct_sets(members: DataFrame, k: int) -> DataFrame:
@@ -129,20 +125,22 @@ def first_level(sets: DataFrame, levels: tuple = LEVELS) -> int:
     return fits[-1] if fits else 0
 
 
-def _lists(sets: DataFrame, still_open: DataFrame | None, level: tuple[int, int], block: int) -> DataFrame:
-    """Posting lists (tok, block, sid, n, skills, asks) of the level, cut into blocks, stored.
-
-    Entries are sorted by (skill, the set's skills) over all tasks, so a list may span many
-    tasks, and the sets of a block are alike.
-    """
+def _entries(sets: DataFrame, still_open: DataFrame | None, level: tuple[int, int]) -> DataFrame:
+    """Entries (tok, sid, n, skills, asks) of the posting lists of the level."""
     asks = sets.withColumn("asks", F.lit(True)) if still_open is None else sets.join(
         still_open.select("sid", F.lit(True).alias("asks")), "sid", "left"
     ).withColumn("asks", F.coalesce("asks", F.lit(False)))
-    entries = asks.select(
+    return asks.select(
         "sid", "n", "skills", "asks", F.explode(F.slice("skills", F.lit(1), _reach(F.col("n"), level))).alias("tok")
     )
-    worth = entries.groupBy("tok").agg(F.count("*").alias("m"), F.bool_or("asks").alias("any")).where("m > 1 and any")
-    entries = entries.join(worth.select("tok"), "tok", "left_semi")
+
+
+def _lists(entries: DataFrame, block: int) -> DataFrame:
+    """Posting lists (tok, block, sid, n, skills, asks), cut into blocks, stored.
+
+    Entries are sorted by (skill, the set's skills) over all tasks, so a list may span many
+    tasks, and the sets of a block are alike.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, tok, filled = TaskContext.get().partitionId() << 32, None, 0
@@ -293,14 +291,34 @@ def compare_small(
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _met(lists: DataFrame, level: tuple[int, int], above: tuple[int, int] | None, k: int) -> DataFrame:
-    """(sid, other, i, u) that asking sets meet at the level, ``k`` best of each pair of blocks."""
+def _met(entries: DataFrame, level: tuple[int, int], above: tuple[int, int] | None, k: int, block: int) -> DataFrame:
+    """(sid, other, i, u) that asking sets meet at the level, ``k`` best of each pair of blocks.
+
+    A list of at most ``block`` sets is one block; only longer lists are stored, cut and paired.
+    """
+    lengths = entries.groupBy("tok").agg(F.count("*").alias("m"), F.bool_or("asks").alias("any"))
+    worth = cut_lineage(lengths.where("m > 1 and any").select("tok", (F.col("m") > block).alias("long")))
+    zero = F.lit(0).cast("long")
+    whole = entries.join(worth.where("not long"), "tok", "left_semi")
+    dealt = whole.select(
+        "tok", zero.alias("i"), zero.alias("j"), zero.alias("block"), "sid", "skills", "asks"
+    ).repartition("tok")
+    met = _compared(dealt.sortWithinPartitions("tok"), level, above, k)
+    long = worth.where("long")
+    if long.isEmpty():
+        return met
+    lists = _lists(entries.join(long, "tok", "left_semi"), block)
     sides = _block_pairs(lists, level).select(
         "tok", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")
     )
     keys = ["tok", "i", "j", "block"]
     dealt = lists.join(sides, ["tok", "block"]).select(*keys, "sid", "skills", "asks")
     dealt = dealt.repartition("tok", "i", "j").sortWithinPartitions(*keys)
+    return met.unionByName(_compared(dealt, level, above, k))
+
+
+def _compared(dealt: DataFrame, level: tuple[int, int], above: tuple[int, int] | None, k: int) -> DataFrame:
+    """What the sets (tok, i, j, block, sid, skills, asks) of pairs of blocks meet, pairs one after another."""
 
     def search(parts: list[tuple]) -> pa.RecordBatch | None:
         """Rows of one pair of blocks, in pieces (i, j, block, sid, skills, asks, tok)."""
@@ -538,17 +556,18 @@ def similar_top_k(
     order = [(F.col("i") / F.col("u")).desc(), F.col("other").asc()]
     # A set that serves its own jobs never asks. k + 1 jobs, because a job may find itself.
     still_open = sets.where(F.col("jobs") <= k).select("sid", F.col("jobs").alias("seen"))
-    masked = None
+    masked, low = None, first_level(sets, levels)
     if start is None:
-        start = first_level(sets, levels)
+        start = low
         masked = _hot_skills(sets) if start + 1 < len(levels) else None
     best, above = None, None
     if masked is not None:
         best = cut_lineage(_met_by_masks(_masked_blocks(sets, masked, k), levels[-1], k + 1))
-    for at in range(start, len(levels)) if masked is None else ():
+    # After a first round above the level that the lists allow, that level is the next one.
+    for at in [start, *range(max(start + 1, low), len(levels))] if masked is None else ():
         asking = still_open if at > start else sets.where(F.col("jobs") <= k).select("sid")
         # k + 1 best sets hold the k + 1 best jobs: every set before one offers a smaller job.
-        met = _met(_lists(sets, asking, levels[at], block), levels[at], above, k + 1)
+        met = _met(_entries(sets, asking, levels[at]), levels[at], above, k + 1, block)
         met = cut_lineage(top_k(met, ["sid"], order, k + 1).drop("rank"))
         best = met if best is None else cut_lineage(top_k(best.unionByName(met), ["sid"], order, k + 1).drop("rank"))
         above = levels[at]

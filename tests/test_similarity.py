@@ -55,6 +55,15 @@ def test_equals_brute_force(spark, options):
     assert run(spark, sets, **options) == brute_force(sets)
 
 
+def test_short_lists_need_two_rounds_and_no_cut(spark, monkeypatch):
+    """A first round at the highest level is followed by the level that the lists allow; lists of a block are not stored."""
+    sets, rounds, met, cut = random_sets(7, 60, 14, 8), [], S._met, []
+    monkeypatch.setattr(S, "_met", lambda *args: (rounds.append(args), met(*args))[1])
+    monkeypatch.setattr(S, "_lists", lambda *args: cut.append(args))
+    assert run(spark, sets, start=0) == brute_force(sets)
+    assert len(rounds) <= 2 and not cut
+
+
 def test_sparse_and_dense_worlds(spark):
     sets = random_sets(3, 120, 60, 6)
     assert run(spark, sets, start=1, block=16) == brute_force(sets)
