@@ -353,8 +353,9 @@ def cached_enrichment(
     provider = provider or HeuristicProvider()
     signature, digest = provider_signature(provider), taxonomy_hash(taxonomy)
     has_hash = F.coalesce("description_hash", F.lit("")) != ""
-    keyed = jobs.withColumn(
-        "cache_key", F.when(has_hash, ids.cache_key(F.col("description_hash"), signature, digest))
+    # Read by every step below: what prepares and hashes the texts runs once.
+    keyed = cut_lineage(
+        jobs.withColumn("cache_key", F.when(has_hash, ids.cache_key(F.col("description_hash"), signature, digest)))
     )
     # Only rows that some job asks for are parsed.
     asked = cache.join(keyed.select("cache_key").distinct(), "cache_key", "left_semi")

@@ -179,3 +179,18 @@ def test_requests_hold_the_taxonomy(spark):
         jobs = jobs.withColumn(c, F.lit(None).cast("string"))
     body = json.loads(providers.build_provider_requests(jobs, TAXONOMY).first().request)
     assert len(body["taxonomy"]) == len(TAXONOMY) and body["job"]["id"] == "a" and body["job"]["title"] is None
+
+
+def test_cached_enrichment_prepares_texts_once(spark):
+    """What the jobs' columns cost is paid once, however many steps read them."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def hashed(text):
+        calls.add(1)
+        return text
+
+    jobs = spark.createDataFrame([("1", "t", "python", None), ("2", "t", "python", None)], "id string, title string, description_text string, remote_mode string")
+    jobs = jobs.withColumn("description_hash", F.udf(hashed, "string")("description_text"))
+    results, _, counts = E.cached_enrichment(jobs, spark.createDataFrame([], CACHE), TAXONOMY)
+    assert results.count() == 2 and counts.first().cache_hits == 1
+    assert calls.value == 2
