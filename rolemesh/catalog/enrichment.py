@@ -9,6 +9,7 @@ from ..operators.vocabulary import load_taxonomy
 from ..plans import standins
 from ..plans.standins import RULES, TAXONOMY, table
 from ..schemas import CACHE
+from ..session import cut_lineage
 from .registry import query
 from .sql import WS, has_word, strip, strip_tags, with_
 from .textual import _rules
@@ -175,7 +176,8 @@ SELECT skill_id, max(label) AS label, max(parent_id) AS parent_id, count(*) AS m
 @query("stored_skills", CTES + STORED)
 def stored_skills(spark, sf):
     """Only skills some job matched end up in the skill table."""
-    results = enrich.enrich(_jobs(spark, sf), TAXONOMY, RULES)
+    # Read by the skill table and by the counts, so the texts are enriched once.
+    results = cut_lineage(enrich.enrich(_jobs(spark, sf), TAXONOMY, RULES).select("job_id", "evidence", "skills"))
     tables = enrich.store_results(results)
     counts = enrich.skill_matches(results).groupBy("skill_id").agg(F.count("*").alias("matches"))
     return tables["skills"].join(counts, "skill_id").select("skill_id", "label", "parent_id", "matches")
