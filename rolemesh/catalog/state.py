@@ -363,12 +363,12 @@ def hydrated_jobs_with_enrichment(spark, sf):
 # --- streams -----------------------------------------------------------------
 
 
-def _arrivals(df: DataFrame, parts: list, name: str) -> DataFrame:
-    """The table as files that arrive one after the other, read as a stream one file a batch."""
+def _arrivals(df: DataFrame, parts: list, name: str, run) -> None:
+    """The table as parts that land one after the other; ``run`` streams what has landed, a batch a part."""
     path = scratch_folder(df.sparkSession, name)
     for condition in parts:
-        df.where(condition).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.where(condition).write.mode("append").parquet(path)
+        run(df.sparkSession.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
 @query("streamed_first_postings", """
@@ -379,8 +379,8 @@ def streamed_first_postings(spark, sf):
     raw = standins.raw_jobs(spark, sf).select("raw_id", "source_type", "company_name", "external_job_id", "source_url")
     low, high = raw.agg(F.expr("percentile_approx(raw_id, 0.3)"), F.expr("percentile_approx(raw_id, 0.7)")).first()
     parts = [F.col("raw_id") < low, F.col("raw_id").between(low, high), F.col("raw_id") >= low]
-    path = scratch_folder(spark, "postings")
-    ingest.stream_raw_ingest(_arrivals(raw, parts, "arrived"), path, scratch_folder(spark, "progress")).awaitTermination()
+    path, progress = scratch_folder(spark, "postings"), scratch_folder(spark, "progress")
+    _arrivals(raw, parts, "arrived", lambda stream: ingest.stream_raw_ingest(stream, path, progress))
     return tables.read_versions(spark, path).select("source_key", "raw_id")
 
 
@@ -391,8 +391,11 @@ def streamed_last_wins(spark, sf):
         "user_id", "event_type", "props", "event_id", F.when(F.col("value") > 50, F.col("value")).alias("big"), F.col("event_id").alias("ord")
     )
     path, progress, keys = scratch_folder(spark, "state"), scratch_folder(spark, "progress"), ["user_id", "event_type"]
-    stream = _arrivals(events, [F.col("event_id") % 4 == i for i in (2, 0, 3, 1)], "arrived")
-    ingest.stream_upsert(stream, path, progress, keys, "ord", ["props", "event_id"], ["big"]).awaitTermination()
+    parts = [F.col("event_id") % 4 == i for i in (2, 0, 3, 1)]
+    _arrivals(
+        events, parts, "arrived",
+        lambda stream: ingest.stream_upsert(stream, path, progress, keys, "ord", ["props", "event_id"], ["big"]),
+    )
     ingest.compact(spark, path, keys)
     return ingest.current_state(spark, path, keys)
 
@@ -403,6 +406,8 @@ def streamed_enrichment(spark, sf):
     """Documents arriving in two batches that overlap; copies of a text share one result."""
     jobs = _jobs(spark, sf).withColumn("ord", F.col("id").cast("long"))
     path, progress = scratch_folder(spark, "enriched"), scratch_folder(spark, "progress")
-    stream = _arrivals(jobs, [F.col("ord") % 3 < 2, F.col("ord") % 3 > 0], "arrived")
-    ingest.stream_enrich(stream, path, progress, TAXONOMY, providers.HeuristicProvider(RULES)).awaitTermination()
+    _arrivals(
+        jobs, [F.col("ord") % 3 < 2, F.col("ord") % 3 > 0], "arrived",
+        lambda stream: ingest.stream_enrich(stream, path, progress, TAXONOMY, providers.HeuristicProvider(RULES)),
+    )
     return enrich.skill_matches(ingest.enriched(spark, path)).select("job_id", "skill_id", "edge_type", "confidence")

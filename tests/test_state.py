@@ -172,3 +172,22 @@ def test_end_to_end(spark, tmp_path):
     assert spark.table("skill_jobs_end").count() == graph.skill_jobs(g.known).count()
     assert spark.read.json(str(tmp_path / "models" / "job_skills")).count() == g.known.count()
     spark.sql("DROP TABLE skill_jobs_end")
+
+
+def test_arrivals_are_one_batch_each_in_many_files(spark, tmp_path):
+    """No task reads a whole part of the table that lands."""
+    from rolemesh.catalog.state import _arrivals
+
+    seen = []
+    rows = spark.range(0, 1_000, 1, 8)
+
+    def run(stream):
+        def handle(batch, batch_id):
+            seen.append((batch_id, batch.count(), batch.select(F.input_file_name()).distinct().count()))
+
+        query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", str(tmp_path / "progress"))
+        return query.trigger(availableNow=True).start()
+
+    _arrivals(rows, [F.col("id") % 2 == 0, F.col("id") % 2 == 1], "arrived", run)
+    assert [(n, count) for n, count, _ in seen] == [(0, 500), (1, 500)]
+    assert all(files > 1 for _, _, files in seen)
