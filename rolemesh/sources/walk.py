@@ -10,9 +10,12 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+PIECE = 256  # Payloads opened at once: what is open is Python objects, what is done is Arrow.
 SAMPLE = 5  # Fixed value: how many items of a list are looked at.
 
 OBJECTS = T.ArrayType(
@@ -74,7 +77,7 @@ def _objects(payload: str | None) -> list[dict]:
             entry = {
                 "pos": len(found),
                 "last": len(found),
-                "fields": {_key(k): _dump(v) for k, v in value.items()},
+                "fields": list({_key(k): _dump(v) for k, v in value.items()}.items()),
                 "scalars": _scalars(value.values()),
                 "json": _dump(value),
             }
@@ -111,14 +114,21 @@ def _lists(payload: str | None) -> list[dict]:
     return found
 
 
-@F.pandas_udf(OBJECTS)
-def json_objects(payload: pd.Series) -> pd.Series:
-    return payload.map(_objects)
+def _opened(payload: pa.Array, read, kind: T.DataType) -> pa.Array:
+    """``read`` of every payload, a piece of the batch at a time."""
+    arrow = to_arrow_type(kind)
+    pieces = (payload.slice(at, PIECE).to_pylist() for at in range(0, len(payload), PIECE))
+    return pa.concat_arrays([pa.array([], arrow), *(pa.array([read(p) for p in piece], arrow) for piece in pieces)])
 
 
-@F.pandas_udf(LISTS)
-def json_lists(payload: pd.Series) -> pd.Series:
-    return payload.map(_lists)
+@F.arrow_udf(OBJECTS)
+def json_objects(payload: pa.Array) -> pa.Array:
+    return _opened(payload, _objects, OBJECTS)
+
+
+@F.arrow_udf(LISTS)
+def json_lists(payload: pa.Array) -> pa.Array:
+    return _opened(payload, _lists, LISTS)
 
 
 POSTING_KEYS = ("text", "title", "hostedUrl", "applyUrl", "description")

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rolemesh.operators import dedupe, quality
 from rolemesh.sources import boards, crawl, files, pages, registry
+from rolemesh.sources import walk
 from rolemesh.sources.walk import nested_postings
 
 NOW = "2026-01-02T03:04:05+00:00"
@@ -266,3 +269,20 @@ def test_reposted_jobs_merge(spark):
         "job:c:1": ("new", 2, 1), "job:c:x": ("again", 4, 3), "job:c:8": ("other source, same id", 6, 5),
     }
     assert [r.id for r in dedupe.id_collisions(spark.createDataFrame(list(out.values()))).collect()] == ["job:c:8"]
+
+
+def test_payloads_are_opened_a_piece_at_a_time():
+    """Only a piece of a batch is held as Python objects; the rest is Arrow."""
+    payloads = [json.dumps({"a": [{"title": f"t{i}", "n": j} for j in range(8)]}) for i in range(4_000)]
+
+    def peak(work):
+        tracemalloc.start()
+        out = work()
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, top
+
+    opened, held = peak(lambda: walk._opened(pa.array(payloads), walk._objects, walk.OBJECTS))
+    whole, all_at_once = peak(lambda: [walk._objects(p) for p in payloads])
+    assert held < all_at_once / 4
+    assert opened.to_pylist() == whole
