@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import quality
 from ..plans.standins import FETCHED_AT, table
+from ..session import spread
 from ..sources import boards, crawl, pages, registry
 from .registry import query
 from .sql import collapse, strip_tags
@@ -225,7 +226,7 @@ def resolved_detail_payloads(spark, sf):
 
 def _list_payloads(spark, sf):
     """A list page per nation: one payload of tags, one whose nested list holds postings."""
-    n = table(spark, sf, "customer")
+    n = spread(table(spark, sf, "customer"))
     item = F.struct(
         (F.lit(20000000) + F.col("c_custkey")).cast("string").alias("id"),
         F.col("c_name").alias("title"),
@@ -268,7 +269,7 @@ def listing_stubs_by_query(spark, sf):
     item = _json(
         id=c("l_orderkey"), pid=c("l_linenumber"), tid=c("l_suppkey"), title=c("l_shipdate").cast("date").cast("string")
     )
-    items = table(spark, sf, "lineitem").select(item.alias("item"))
+    items = spread(table(spark, sf, "lineitem")).select(item.alias("item"))
     return _fields(crawl.listing_stubs(items, urls.TENCENT.key), "detail_url", "title", "external_id")
 
 

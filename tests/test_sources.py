@@ -286,3 +286,13 @@ def test_payloads_are_opened_a_piece_at_a_time():
     whole, all_at_once = peak(lambda: [walk._objects(p) for p in payloads])
     assert held < all_at_once / 4
     assert opened.to_pylist() == whole
+
+
+def test_rows_of_one_small_file_are_opened_on_all_cores(spark, tmp_path):
+    from rolemesh.catalog import landing
+
+    rows = [(i, f"c{i}", "m", 0.0, 1) for i in range(100)]
+    customers = spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string, c_acctbal double, c_nationkey long")
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    assert landing._list_payloads(spark, str(tmp_path)).rdd.getNumPartitions() >= cores
