@@ -131,7 +131,7 @@ def _query_text(pairs: Column) -> Column:
 
 
 def _with_query(base: Column, query: Column) -> Column:
-    return F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), query))
+    return let(query, lambda q: F.when(q == "", base).otherwise(F.concat(base, F.lit("?"), q)))
 
 
 def strip_tracking_params(url: Column) -> Column:

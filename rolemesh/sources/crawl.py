@@ -297,7 +297,8 @@ def listing_stubs(items: DataFrame, site: str, carry: list[str] = ()) -> DataFra
         F.transform(_names(*wanted.values()), lambda names: first_field(F.col("_f"), names)),
         lambda t: value_text(t),
     )
-    opened = opened.withColumn("_values", values)
+    # So does this one: the filter below would read every attribute again for each that it names.
+    opened = opened.select("*", F.explode_outer(F.array(values)).alias("_values"))
     read = {name: F.get("_values", i) for i, name in enumerate(wanted)}
     if by_path:
         built = F.when(

@@ -296,3 +296,12 @@ def test_rows_of_one_small_file_are_opened_on_all_cores(spark, tmp_path):
     customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     cores = spark.sparkContext.defaultParallelism
     assert landing._list_payloads(spark, str(tmp_path)).rdd.getNumPartitions() >= cores
+
+
+def test_list_items_are_read_once_per_item(spark):
+    """The filter on the URL stands above the attributes that it names, it does not read them again."""
+    items = spark.createDataFrame([('{"id": 1}',)], "item string")
+    stubs = crawl.listing_stubs(items, "tencent_campus").select("detail_url", "title")
+    plan = stubs._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("transform" in line for line in filters)
