@@ -244,6 +244,21 @@ def compare_blocks(
     return sid[i[kept]], other[j[kept]], both[kept].astype(np.int32), united[kept].astype(np.int32)
 
 
+def _signatures(skills: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``skills`` (-1: none) a word with a bit for every skill, and how many skills share a bit."""
+    bits = np.left_shift(np.uint64(1), (skills & 63).astype(np.uint64))
+    words = np.bitwise_or.reduce(np.where(skills >= 0, bits, np.uint64(0)), 1)
+    return words, lengths.astype(np.int32) - np.bitwise_count(words)
+
+
+def _may_reach(
+    a: np.ndarray, b: np.ndarray, words: np.ndarray, shared: np.ndarray, lengths: np.ndarray, level: tuple[int, int]
+) -> np.ndarray:
+    """Which pairs of rows may be of the level: two rows have no more skills in common than bits, but for shared ones."""
+    common = np.bitwise_count(words[a] & words[b]) + shared[a]
+    return (level[0] + level[1]) * common >= level[0] * (lengths[a] + lengths[b])
+
+
 def compare_small(
     tok: np.ndarray, block: np.ndarray, alone: np.ndarray, sid: np.ndarray, asks: np.ndarray, lengths: np.ndarray,
     flat: np.ndarray, sizes: np.ndarray, level: tuple[int, int], above: tuple[int, int] | None, k: int,
@@ -256,6 +271,8 @@ def compare_small(
     skills = np.full((len(sid), max(int(lengths.max()), 1)), -1, np.int64)
     row = np.repeat(np.arange(len(sid)), lengths)
     skills[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    words, shared = _signatures(skills, lengths)
+    short = lengths.astype(np.int32)
     group = np.repeat(np.arange(len(sizes)), sizes)
     first = (np.cumsum(sizes) - sizes)[group]
     asking = np.flatnonzero(asks)
@@ -266,6 +283,8 @@ def compare_small(
         rows, n = asking[at : at + step], per_row[at : at + step]
         a = np.repeat(rows, n)
         b = np.repeat(first[rows], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        near = _may_reach(a, b, words, shared, short, level)
+        a, b = a[near], b[near]
         other = (a != b) & (alone[a] | (block[a] != block[b]))
         a, b = a[other], b[other]
         if not len(a):

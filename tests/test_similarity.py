@@ -215,3 +215,20 @@ def test_small_pairs_of_blocks_at_once_equal_one_by_one():
                 found = S.compare_blocks(tok[part.start], sides[x], sides[y], level, above, 1000)
                 want += [] if found is None else list(zip(*(c.tolist() for c in found)))
         assert sorted(zip(*(c.tolist() for c in got))) == sorted(want)
+
+
+def test_signatures_rule_out_far_pairs_and_no_near_one():
+    """Sets of numbers that share bits, too: what is ruled out is below the level."""
+    rng = np.random.default_rng(5)
+    sets = [sorted(rng.choice(200, rng.integers(1, 8), replace=False)) for _ in range(300)]
+    sets += [sorted({*s[:-1], s[0] + 64}) for s in sets[:100]]
+    lengths = np.array([len(s) for s in sets])
+    skills = np.full((len(sets), 9), -1, np.int64)
+    for row, s in zip(skills, sets):
+        row[: len(s)] = s
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    words, shared = S._signatures(skills, lengths)
+    may = S._may_reach(a, b, words, shared, lengths, (7, 20))
+    is_near = np.array([20 * len({*sets[i]} & {*sets[j]}) >= 7 * len({*sets[i]} | {*sets[j]}) for i, j in zip(a, b)])
+    assert may[is_near].all() and is_near.sum() > len(sets)
+    assert may.mean() < 0.2
