@@ -67,8 +67,12 @@ def block_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the blocks of a set, so that sets with Jaccard >= num/den share at least one.
 
     In a class whose largest size is S, linked sets differ in at most
-    r = 2 S (den - num) / (den + num) members. A set enters its own class and each larger
-    one in which it could have a partner.
+    r = 2 S (den - num) / (den + num) members, and this set differs from one it links with
+    there in at most ``own_r``, by its own size. A set enters its own class and each larger
+    one in which it could have a partner, with the first own_r + 1 of its filled parts in an
+    order that holds for all sets: one of them is equal in the partner. Of two linked sets, the
+    one whose listed parts end first thus shares one that the other lists as well. Parts with
+    many members come first, as unrelated sets with a passage in common agree in small ones.
     """
     n = len(members)
     own = int(np.searchsorted(_CLASSES, n, "right")) - 1
@@ -89,13 +93,18 @@ def block_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
                 keys.append(whole - scrambled[one] - scrambled[two])
             out.append(np.unique(mix(np.concatenate(keys) + tag)))
             continue
-        parts = r + 3 + r // 16
+        parts = r + 3 + r // 6
         at = ((members >> np.uint64(32)) * _u(parts)) >> np.uint64(32)
         begins = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         keys = np.add.reduceat(scrambled, begins) + at[begins] * _u(0xD1342543DE82EF95)
-        if parts - r - (parts - len(begins)) < 1:  # empty parts could be the only equal ones
+        most = min(int(_CLASSES[c + 1]) - 1, n * den // num)
+        own_r = (n + max(n, most)) * (den - num) // (den + num)
+        if len(begins) <= own_r:  # empty parts could be the only equal ones
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[begins])
             keys = np.concatenate((keys, empty * _u(0xD1342543DE82EF95) + _u(0xA0761D6478BD642F)))
+        else:
+            members_of = np.diff(begins, append=n)
+            keys = keys[np.lexsort((keys, -members_of))[: own_r + 1]]
         out.append(mix(keys + tag))
     return np.concatenate(out)
 

@@ -97,6 +97,35 @@ def test_block_keys_lose_no_link():
                     assert np.intersect1d(*(near_duplicates.block_keys(x, num, 100) for x in (one, two))).size
 
 
+def test_blocks_of_unrelated_sets_hold_one_set():
+    """Sets of all sizes, then with a common passage: no block meets on empty parts, hardly one on the passage."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(0, (1 << 64) - 1, n, np.uint64))
+    common = draw(60)
+    for passage in (common[:0], common):
+        sets = [np.union1d(draw(n), passage) for n in range(200, 1200, 5)]
+        keys = np.concatenate([np.unique(near_duplicates.block_keys(x, 80, 100)) for x in sets])
+        shared = np.unique(keys, return_counts=True)[1]
+        assert (shared > 1).sum() <= (20 if len(passage) else 0)
+
+
+def test_block_keys_lose_no_link_at_the_threshold():
+    """Pairs that just link, of neighbouring classes too, with what differs dealt to as many parts as can be."""
+    rng = np.random.default_rng(4)
+    for num in (80, 85):
+        for n in range(50, 700, 13):
+            one = np.unique(rng.integers(0, (1 << 64) - 1, n, np.uint64))
+            least = -(-num * n // 100)
+            for same in {least, (least + n) // 2, n}:
+                more = min(same * 100 // num - n, n // 3)
+                kept = rng.permutation(one)[:same]
+                for extra in {0, max(more, 0)}:
+                    two = np.union1d(kept, rng.integers(0, (1 << 64) - 1, extra, np.uint64))
+                    both = len(np.intersect1d(one, two))
+                    assert 100 * both >= num * (len(one) + len(two) - both)
+                    assert np.intersect1d(*(near_duplicates.block_keys(x, num, 100) for x in (one, two))).size
+
+
 def test_tree_finds_all_bounded_pairs():
     rng = np.random.default_rng(2)
     points = rng.integers(0, 6, (90, 64))
